@@ -105,14 +105,14 @@ SELECT doc_id, title, NOT ({duck.any_term('low', vocab.TITLE_EXCLUDED)})
   WHEN {duck.any_term('low', vocab.TITLE_REQUIRED)} THEN 0::DOUBLE ELSE -0.3::DOUBLE END AS penalty FROM t""")
 def title_relevance(spark, sf_dir):
     df = listings(spark, sf_dir).select("doc_id", "title", F.lower("title").alias("low"))
-    df = df.withColumn("penalty", rules.title_penalty(F.col("low"), CFG))
+    df = df.withColumn("penalty", rules.title_penalty("low", CFG))
     return df.select("doc_id", "title", (F.col("penalty") == 0).alias("relevant"), "penalty")
 
 
 @query("category_rules", f"WITH {TEXTS} SELECT doc_id, {duck.CATEGORY} AS category FROM texts")
 def category_rules(spark, sf_dir):
     df = score.with_match_texts(listings(spark, sf_dir))
-    return df.select("doc_id", rules.category(F.col("_body"), CFG).alias("category"))
+    return df.select("doc_id", rules.category("_body", CFG).alias("category"))
 
 
 @query("experience_filter", f"""WITH {TEXTS}, r AS (SELECT doc_id, {duck.experience_reason()} AS reason FROM texts)
@@ -120,7 +120,7 @@ SELECT doc_id, reason, reason LIKE 'Junior-friendly: %' OR reason LIKE 'No clear
 def experience_filter(spark, sf_dir):
     df = score.with_match_texts(listings(spark, sf_dir))
     df = df.select("doc_id", rules.experience_reason(
-        F.col("_title"), F.col("_body"), CFG.max_years).alias("reason"))
+        "_title", "_body", CFG.max_years).alias("reason"))
     return df.withColumn("suitable", rules.experience_suitable(F.col("reason")))
 
 
@@ -134,7 +134,7 @@ SELECT doc_id, round(least({duck.weighted('skill_text', vocab.SKILL_WEIGHTS)}, 1
  array_to_string(list_filter([{_MATCHED}], lambda k: contains(skill_text, k)), ',') AS matched_keywords
 FROM texts""")
 def keyword_score_v2(spark, sf_dir):
-    t = F.col("_skill_text")
+    t = "_skill_text"
     return score.with_match_texts(listings(spark, sf_dir)).select(
         "doc_id", F.round(score.keyword_score(t, CFG), 4).alias("keyword_score"),
         F.array_join(text.matched_terms(t, CFG.skill_weights), ",").alias("matched_keywords"))
@@ -146,7 +146,7 @@ SELECT doc_id, least({duck.weighted('x', vocab.SKILL_POINTS, 'INTEGER')}, 50) AS
 def keyword_score_v1(spark, sf_dir):
     df = listings(spark, sf_dir).select(
         "doc_id", F.lower(F.concat_ws(" ", "title", "company", "description")).alias("x"))
-    return df.select("doc_id", score.keyword_points(F.col("x"), TAGGED).alias("points"))
+    return df.select("doc_id", score.keyword_points("x", TAGGED).alias("points"))
 
 
 def _tagged_cte() -> str:
@@ -176,7 +176,7 @@ pairs AS (SELECT k.doc_id, k.tag, coalesce(c.term, k.term) AS term, coalesce(c.n
  UNION ALL SELECT c.doc_id, c.tag, c.term, c.n, 0 FROM counts c
  ANTI JOIN profile p ON p.tag = c.tag AND p.term = c.term),
 kept AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY doc_id, tag
- ORDER BY n + p DESC, term COLLATE BINARY) <= 3000),
+ ORDER BY n + p DESC, term) <= 3000),
 sums AS (SELECT doc_id, tag, sum(n * p) AS dot,
  sum(CASE WHEN p > 0 THEN n * n ELSE 0 END) AS jj, sum(CASE WHEN n > 0 THEN p * p ELSE 0 END) AS pp,
  sum(CASE WHEN p = 0 THEN n * n ELSE 0 END) AS j1, sum(CASE WHEN n = 0 THEN p * p ELSE 0 END) AS p1
@@ -188,8 +188,7 @@ tfidf AS (SELECT doc_id, tag, CASE WHEN dot > 0 THEN 50 * (dot::DOUBLE
 
 def tagged_listings(spark, sf_dir) -> DataFrame:
     df = listings(spark, sf_dir)
-    return score.tag_listings(
-        df, F.concat_ws(" ", "title", "description"), vocab.TAGGED_CONFIGS)
+    return score.tag_listings(df, vocab.TAGGED_CONFIGS)
 
 
 @query("tagged_configs", f"""WITH {LISTINGS}, {_tagged_cte()} SELECT doc_id, tag, title FROM tagged""")
@@ -243,7 +242,7 @@ def new_tagged(spark, sf_dir) -> DataFrame:
     batch = score.fresh_by_age(df.filter(F.col("fetched_at") >= cutoff), AS_OF,
                                TAGGED.max_age_hours)
     new = dedup.new_only(batch, old, "job_id_v1")
-    tagged = score.tag_listings(new, F.concat_ws(" ", "title", "description"), vocab.TAGGED_CONFIGS)
+    tagged = score.tag_listings(new, vocab.TAGGED_CONFIGS)
     return score.score_tagged(tagged, PROFILES, TAGGED, STOP_WORDS)
 
 
@@ -291,7 +290,7 @@ sims AS (SELECT vec_id, max(dot) AS dot FROM (SELECT vec_id, pid, sum(a * b) AS
 
 @query("semantic_scored", f"""WITH {SEMANTIC_SCORED}, {scored_sql(
     duck.age(AGE_V2), '(SELECT dot FROM sims WHERE sims.vec_id = texts.doc_id)')}
-SELECT doc_id, status, round(sem, 3) AS semantic_score, round(total, 3) AS combined_score FROM scored""")
+SELECT doc_id, status, semantic_score, combined_score FROM scored""")
 def semantic_scored(spark, sf_dir):
     """Scores with a vector per listing; listings without one use their keywords."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -301,8 +300,7 @@ def semantic_scored(spark, sf_dir):
         semantic.best_similarity(F.col("embedding"), profiles).alias("similarity"))
     df = listings(spark, sf_dir).join(sims, "doc_id", "left")
     df = score.score_listings(df, AS_OF, CFG, similarity="similarity")
-    return df.select("doc_id", "status", F.round("semantic_score", 3).alias("semantic_score"),
-                     F.round("combined_score", 3).alias("combined_score"))
+    return df.select("doc_id", "status", "semantic_score", "combined_score")
 
 
 @query("relevance_flag", f"""WITH {SCORED} SELECT s.doc_id,

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boardsift.config import AGE_V2, AgePolicy
-from boardsift.functions.text import any_term, strip
+from boardsift.functions.text import strip
 
 INFINITE = float("inf")
 LAST_EPOCH_SECOND = 253402300799.0  # end of year 9999
@@ -78,7 +79,7 @@ def age_hours(posted: Column, as_of: datetime | str | Column,
     low = F.lower(strip(raw))
 
     def says(*words: str) -> Column:
-        return any_term(low, words)
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
 
     day = says("day") & says("ago") if policy.day_needs_ago else says("day")
     age = (

@@ -38,23 +38,16 @@ JUNIOR_PATTERNS = [
 NO_RULE_REASON = "No clear senior requirement found"
 
 
-def is_remote(place: Column, cfg: MatchConfig) -> Column:
+def is_remote(place: str, cfg: MatchConfig) -> Column:
     return any_term(place, cfg.remote_terms, cfg.term_mode)
 
 
-def city(place: Column, cfg: MatchConfig) -> Column:
-    return first_label_by_term(place, cfg.city_by_term, cfg.term_mode)
+def city(place: str, cfg: MatchConfig) -> Column:
+    pairs = [(label, [term]) for term, label in cfg.city_by_term.items()]
+    return first_label(place, pairs, None, cfg.term_mode)
 
 
-def first_label_by_term(text: Column, label_by_term: dict, mode: str) -> Column:
-    chain = None
-    for term, label in label_by_term.items():
-        hit = any_term(text, [term], mode)
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain.otherwise(F.lit(None).cast("string"))
-
-
-def is_accessible(location: Column, place: Column, remote: Column, cfg: MatchConfig) -> Column:
+def is_accessible(location: str, place: str, remote: str, cfg: MatchConfig) -> Column:
     """True unless the listing names another country and nothing opens it up.
 
     The closing phrases ("us only") are weighed only with ``strict_exclusion``;
@@ -62,14 +55,14 @@ def is_accessible(location: Column, place: Column, remote: Column, cfg: MatchCon
     """
     home = any_term(place, cfg.home_terms, cfg.term_mode)
     foreign = any_term(place, cfg.foreign_terms, cfg.term_mode)
-    blank = F.lower(strip(location)).isin(*cfg.blank_locations)
+    blank = F.lower(strip(F.col(location))).isin(*cfg.blank_locations)
     if not cfg.strict_exclusion:
-        return home | remote | blank | ~foreign
+        return F.col(remote) | home | blank | ~foreign
     exclusive = any_term(place, cfg.exclusive_phrases, cfg.term_mode)
-    return home | (remote & ~exclusive) | blank | (~foreign & ~exclusive)
+    return home | (F.col(remote) & ~exclusive) | blank | (~foreign & ~exclusive)
 
 
-def title_penalty(title: Column, cfg: MatchConfig) -> Column:
+def title_penalty(title: str, cfg: MatchConfig) -> Column:
     """0 for a relevant title, else the penalty of the rule that failed."""
     return (
         F.when(any_term(title, cfg.title_excluded, cfg.term_mode), F.lit(cfg.excluded_penalty))
@@ -78,22 +71,22 @@ def title_penalty(title: Column, cfg: MatchConfig) -> Column:
     )
 
 
-def category(text: Column, cfg: MatchConfig) -> Column:
-    return first_label(text, cfg.category_terms, vocab.OTHER_CATEGORY, cfg.term_mode)
+def category(text: str, cfg: MatchConfig) -> Column:
+    return first_label(text, cfg.category_terms.items(), vocab.OTHER_CATEGORY, cfg.term_mode)
 
 
-def _match(text: Column, pattern: str, needs: tuple[str, ...], group: int = 0) -> Column:
+def _match(text: str, pattern: str, needs: tuple[str, ...], group: int = 0) -> Column:
     """The hit of a pattern, NULL when there is none."""
-    hit = F.nullif(F.regexp_extract(text, "(?d)" + pattern, group), F.lit(""))
+    hit = F.nullif(F.regexp_extract(F.col(text), "(?d)" + pattern, group), F.lit(""))
     return F.when(any_term(text, needs), hit)
 
 
-def _first_match(text: Column, patterns: list[tuple[str, tuple[str, ...]]]) -> Column:
+def _first_match(text: str, patterns: list[tuple[str, tuple[str, ...]]]) -> Column:
     """The hit of the first pattern that matches, NULL when none does."""
     return F.coalesce(*[_match(text, p, needs) for p, needs in patterns])
 
 
-def required_years(text: Column, at_least: int) -> Column:
+def required_years(text: str, at_least: int) -> Column:
     """The first "N years" with N of ``at_least`` or more, without leading zeros.
 
     Written as one pattern over the digits, so nothing is collected per row.
@@ -115,19 +108,19 @@ def number_at_least(n: int) -> str:
     return "[1-9][0-9]{%d,}|" % len(digits) + "|".join(parts)
 
 
-def experience_reason(title: Column, text: Column, max_years: int = 8) -> Column:
+def experience_reason(title: str, text: str, max_years: int = 8) -> Column:
     """Why a listing passes or fails the experience rule.
 
     Senior words in the title fail; then junior words anywhere pass; then the
     first demand of ``max_years`` or more fails; else it passes.
     """
-    def quoted(prefix: str, hit: Column, suffix: str) -> Column:
+    def around(prefix: str, hit: Column, suffix: str) -> Column:
         return F.concat(F.lit(prefix), hit, F.lit(suffix))  # NULL without a hit
 
     return F.coalesce(
-        quoted("Senior role: '", _first_match(title, SENIOR_PATTERNS), "'"),
-        quoted("Junior-friendly: '", _first_match(text, JUNIOR_PATTERNS), "'"),
-        quoted("Requires ", required_years(text, max_years), "+ years experience"),
+        around("Senior role: '", _first_match(title, SENIOR_PATTERNS), "'"),
+        around("Junior-friendly: '", _first_match(text, JUNIOR_PATTERNS), "'"),
+        around("Requires ", required_years(text, max_years), "+ years experience"),
         F.lit(NO_RULE_REASON),
     )
 

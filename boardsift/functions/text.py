@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,54 +82,80 @@ def match_text(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, rf"[^{WORD}\-+#.]+", " ")))
 
 
-def any_term(text: Column, terms: Iterable[str], mode: str = "substring") -> Column:
-    """True when ``text`` holds one of ``terms``.
+def quoted(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    ``substring`` compiles to a chain of generated ``contains`` calls that
-    stops at the first hit; ``word`` asks for whole words.
-    """
-    terms = list(terms)
-    if not terms:
-        return F.lit(False)
+
+# Lists longer than this are looped over instead of unrolled: unrolled tests of
+# a few lists outgrow the size up to which the JVM compiles a method at all.
+UNROLL = 8
+
+
+def _hit(text: str, term: str, mode: str) -> str:
     if mode == "word":
-        return text.rlike(_words_pattern(terms))
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+        pattern = rf"(?<![{WORD}]){re.escape(term)}(?![{WORD}])"
+        return f"{text} RLIKE {quoted(pattern)}"
+    return f"contains({text}, {quoted(term)})"
+
 
+def _bound(text: str, body: str) -> str:
+    """``body`` over ``t``, bound once: a text used inside a loop would be
+    computed anew on every turn."""
+    return f"get(transform(array({text}), t -> {body}), 0)"
 
-def _words_pattern(terms: Iterable[str]) -> str:
-    body = "|".join(re.escape(t) for t in terms)
-    return rf"(?<![{WORD}])(?:{body})(?![{WORD}])"
 
+def _any(text: str, terms: list[str], mode: str) -> str:
+    if len(terms) <= UNROLL or mode == "word":
+        return "(" + (" OR ".join(_hit(text, t, mode) for t in terms) or "false") + ")"
+    listed = ", ".join(quoted(t) for t in terms)
+    return f"exists(array({listed}), k -> contains({text}, k))"
 
-def has_term(text: Column, term: str, mode: str = "substring") -> Column:
-    return any_term(text, [term], mode)
 
+def any_term(text: str, terms: Iterable[str], mode: str = "substring") -> Column:
+    """True when the text, a column name or SQL expression, holds one of ``terms``.
 
-def any_keyword(text: Column, keywords: Iterable[str]) -> Column:
-    """Case-insensitive substring test of any keyword."""
-    return any_term(F.lower(text), [k.lower() for k in keywords])
+    ``mode='word'`` asks for whole words instead of substrings.
+    """
+    return F.expr(_bound(text, _any("t", list(terms), mode)))
 
 
-def weighted_terms(text: Column, weights: dict, mode: str = "substring") -> Column:
+def any_keyword_sql(text: str, keywords: Iterable[str]) -> str:
+    """SQL of the case-insensitive substring test of any keyword."""
+    return _bound(f"lower({text})", _any("t", [k.lower() for k in keywords], "substring"))
+
+
+def any_keyword(text: str, keywords: Iterable[str]) -> Column:
+    return F.expr(any_keyword_sql(text, keywords))
+
+
+def weighted_terms(text: str, weights: dict, mode: str = "substring") -> Column:
     """Sum the weights of the terms present, each once, in the given order."""
-    zero = F.lit(type(next(iter(weights.values())))(0))
-    hits = [F.when(has_term(text, t, mode), F.lit(w)).otherwise(zero) for t, w in weights.items()]
-    return reduce(lambda a, b: a + b, hits)
+    whole = all(isinstance(w, int) for w in weights.values())
+    number = (lambda w: str(w)) if whole else (lambda w: f"{float(w)!r}D")
+    if mode == "word":
+        body = " + ".join(
+            f"IF({_hit('t', k, mode)}, {number(w)}, {number(0)})" for k, w in weights.items())
+    else:
+        pairs = ", ".join(f"struct({quoted(k)} AS k, {number(w)} AS w)" for k, w in weights.items())
+        body = (f"aggregate(array({pairs}), {number(0)}, "
+                f"(s, e) -> s + IF(contains(t, e.k), e.w, {number(0)}))")
+    return F.expr(_bound(text, body))
 
 
-def matched_terms(text: Column, terms: Iterable[str]) -> Column:
+def matched_terms(text: str, terms: Iterable[str]) -> Column:
     """The terms present, in the given order."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda k: F.contains(text, k))
+    listed = ", ".join(quoted(t) for t in terms)
+    return F.expr(_bound(text, f"filter(array({listed}), k -> contains(t, k))"))
 
 
-def first_label(text: Column, terms_by_label: dict, default: str | None,
-                mode: str = "substring") -> Column:
-    """The first label with a hit; values are one term or a list of terms."""
-    chain = None
-    for label, terms in terms_by_label.items():
-        hit = any_term(text, [terms] if isinstance(terms, str) else terms, mode)
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain.otherwise(F.lit(default))
+def first_label(text: str, terms_by_label: Iterable[tuple[str, Iterable[str]]],
+                default: str | None, mode: str = "substring") -> Column:
+    """The label of the first (label, terms) pair with a hit."""
+    whens = " ".join(f"WHEN {_any('t', list(terms), mode)} THEN {quoted(label)}"
+                     for label, terms in terms_by_label)
+    rest = "NULL" if default is None else quoted(default)
+    return F.expr(_bound(text, f"CASE {whens} ELSE {rest} END"))
 
 
 def display_name(slug: Column) -> Column:

@@ -15,11 +15,24 @@ from boardsift.functions.text import (
 from boardsift.operators.tfidf import with_tfidf
 
 
-def keyword_score(text: Column, cfg: MatchConfig) -> Column:
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters must not unfold.
+
+    Catalyst pushes a filter below a projection by copying the projected
+    expressions into it; a score built from dozens of term tests would be
+    copied many times over.  A one-row ``inline`` computes them once and lets
+    no filter on them through.
+    """
+    values = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(values)))
+
+
+def keyword_score(text: str, cfg: MatchConfig) -> Column:
     return F.least(weighted_terms(text, cfg.skill_weights, cfg.term_mode), F.lit(1.0))
 
 
-def keyword_points(text: Column, cfg: TaggedConfig) -> Column:
+def keyword_points(text: str, cfg: TaggedConfig) -> Column:
     return F.least(weighted_terms(text, cfg.skill_points), F.lit(cfg.keyword_cap))
 
 
@@ -36,10 +49,9 @@ def with_match_texts(df: DataFrame) -> DataFrame:
 
 def with_location(df: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Add ``is_india``, ``is_remote`` and ``city``; needs :func:`with_match_texts`."""
-    place = F.col("_place")
-    df = df.withColumns({"is_remote": rules.is_remote(place, cfg), "city": rules.city(place, cfg)})
-    return df.withColumn(
-        "is_india", rules.is_accessible(F.col("location"), place, F.col("is_remote"), cfg))
+    df = df.withColumns({
+        "is_remote": rules.is_remote("_place", cfg), "city": rules.city("_place", cfg)})
+    return df.withColumn("is_india", rules.is_accessible("location", "_place", "is_remote", cfg))
 
 
 def semantic_score(text: Column, similarity: Column, keyword: Column, cfg: MatchConfig) -> Column:
@@ -75,9 +87,9 @@ def score_listings(df: DataFrame, as_of: datetime | str, cfg: MatchConfig = Matc
     """
     sim = F.col(similarity) if similarity else F.lit(None).cast("double")
     df = with_location(with_match_texts(df), cfg).withColumns({
-        "_penalty": rules.title_penalty(F.col("_title"), cfg),
-        "_keyword": keyword_score(F.col("_skill_text"), cfg),
-        "category": rules.category(F.col("_body"), cfg),
+        "_penalty": rules.title_penalty("_title", cfg),
+        "_keyword": keyword_score("_skill_text", cfg),
+        "category": rules.category("_body", cfg),
         "age_hours": age_hours(F.col("posted"), as_of, policy),
     })
     df = df.withColumn(
@@ -86,25 +98,34 @@ def score_listings(df: DataFrame, as_of: datetime | str, cfg: MatchConfig = Matc
         F.col("_semantic"), F.col("_keyword"), F.col("_penalty"), F.col("is_india"), cfg))
     df = df.withColumn("filter_reason", filter_reason(
         F.col("is_india"), F.col("_penalty"), F.col("age_hours"), F.col("_score"), cfg))
-    return df.withColumns({
+    df = settle(df.drop("_title", "_place", "_body"), {
         "status": F.when(F.col("filter_reason").isNull(), "detected").otherwise("filtered"),
+        "filter_reason": F.col("filter_reason"),
+        "category": F.col("category"),
+        "is_india": F.col("is_india"),
+        "is_remote": F.col("is_remote"),
+        "city": F.col("city"),
+        "age_hours": F.col("age_hours"),
         "semantic_score": round_score(F.col("_semantic")),
         "keyword_score": round_score(F.col("_keyword")),
         "combined_score": round_score(F.col("_score")),
-        "description": left(F.col("description"), STORED_DESCRIPTION_LENGTH),
-    }).drop("_skill_text", "_title", "_place", "_body", "_penalty", "_keyword", "_semantic",
-            "_score")
+    })
+    return df.withColumn(
+        "description", left(F.col("description"), STORED_DESCRIPTION_LENGTH)
+    ).drop("_skill_text", "_penalty", "_keyword", "_semantic", "_score")
 
 
-def tag_listings(df: DataFrame, text: Column, tags: dict[str, list[str]]) -> DataFrame:
+def tag_listings(df: DataFrame, tags: dict[str, list[str]],
+                 columns: tuple[str, ...] = ("title", "description")) -> DataFrame:
     """One row per listing and search configuration with a keyword hit.
 
     The configurations are a short literal list, so this is one map-side
     explode and neither a join nor a union of scans.
     """
     hits = F.array_compact(F.array(*[
-        F.when(any_keyword(text, words), F.lit(tag)) for tag, words in tags.items()]))
-    return df.withColumn("tag", F.explode(hits))
+        F.when(any_keyword("_hay", words), F.lit(tag)) for tag, words in tags.items()]))
+    hay = df.withColumn("_hay", F.concat_ws(" ", *columns))
+    return hay.withColumn("tag", F.explode(hits)).drop("_hay")
 
 
 def score_tagged(df: DataFrame, profiles: dict[str, str], cfg: TaggedConfig = TaggedConfig(),
@@ -117,10 +138,11 @@ def score_tagged(df: DataFrame, profiles: dict[str, str], cfg: TaggedConfig = Ta
     df = df.withColumn(
         "_text", F.lower(F.concat_ws(" ", "title", "company", "description")))
     df = with_tfidf(df, "_text", profiles, "tag", stop_words, cfg)
-    df = df.withColumn("points", keyword_points(F.col("_text"), cfg))
+    df = df.withColumn("points", keyword_points("_text", cfg))
     short = F.length(F.trim("_text")) < cfg.min_text_length
     total = F.least(F.col("points") + F.col("tfidf"), F.lit(100.0))
-    return df.withColumn("score", F.when(short, F.lit(0.0)).otherwise(F.round(total, 2))).drop("_text")
+    df = df.withColumn("score", F.when(short, F.lit(0.0)).otherwise(F.round(total, 2)))
+    return settle(df.drop("_text"), {c: F.col(c) for c in ("points", "tfidf", "score")})
 
 
 def fresh_by_age(df: DataFrame, as_of: datetime | str, max_hours: float,
@@ -130,13 +152,14 @@ def fresh_by_age(df: DataFrame, as_of: datetime | str, max_hours: float,
 
 def with_experience(df: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Turn detected listings that demand too much experience into filtered ones."""
-    reason = rules.experience_reason(
-        F.lower("title"), F.lower(F.concat_ws(" ", "title", "description")), cfg.max_years)
-    df = df.withColumn("_reason", F.when(F.col("status") == "detected", reason))
+    df = df.withColumns({
+        "_title": F.lower("title"), "_body": F.lower(F.concat_ws(" ", "title", "description"))})
+    reason = rules.experience_reason("_title", "_body", cfg.max_years)
+    df = settle(df, {"_reason": F.when(F.col("status") == "detected", reason)})
     rejected = ~rules.experience_suitable(F.col("_reason"))
     rejected = F.coalesce(rejected, F.lit(False))
     return df.withColumns({
         "llm_reason": F.when(rejected, F.col("_reason")).otherwise(F.lit(None).cast("string")),
         "filter_reason": F.when(rejected, "experience").otherwise(F.col("filter_reason")),
         "status": F.when(rejected, "filtered").otherwise(F.col("status")),
-    }).drop("_reason")
+    }).drop("_reason", "_title", "_body")
