@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 
-def queries() -> dict:
-    from boardsift.catalog import listing_queries
+def _parts():
+    from boardsift.catalog import listing_queries, payload_queries
 
-    return dict(listing_queries.QUERIES)
+    return [listing_queries, payload_queries]
 
 
-def oracles() -> dict:
-    from boardsift.catalog import listing_queries
+def queries() -> dict:
+    return {k: v for part in _parts() for k, v in part.QUERIES.items()}
 
-    return dict(listing_queries.ORACLES)
+
+def oracles() -> dict:
+    return {k: v for part in _parts() for k, v in part.ORACLES.items()}

@@ -73,10 +73,21 @@ def _epoch_age(raw: Column, as_of: Column, policy: AgePolicy) -> Column:
 
 def age_hours(posted: Column, as_of: datetime | str | Column,
               policy: AgePolicy = AGE_V2) -> Column:
-    """Age of a listing in hours; the order of the tests is part of the meaning."""
+    """Age of a listing in hours.
+
+    The texts are bound once as the fields of a one-element array: the tests
+    refer to them dozens of times, and unfolding them would multiply whatever
+    expression ``posted`` stands for.
+    """
     as_of = timestamp_literal(as_of)
     raw = strip(posted.cast("string")) if policy.strip_first else posted.cast("string")
-    low = F.lower(strip(raw))
+    texts = F.struct(raw.alias("raw"), F.lower(strip(posted.cast("string"))).alias("low"))
+    return F.get(F.transform(
+        F.array(texts), lambda t: _age_of(t["raw"], t["low"], as_of, policy)), F.lit(0))
+
+
+def _age_of(raw: Column, low: Column, as_of: Column, policy: AgePolicy) -> Column:
+    """The order of the tests is part of the meaning."""
 
     def says(*words: str) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])

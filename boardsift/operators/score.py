@@ -147,7 +147,8 @@ def score_tagged(df: DataFrame, profiles: dict[str, str], cfg: TaggedConfig = Ta
 
 def fresh_by_age(df: DataFrame, as_of: datetime | str, max_hours: float,
                  policy: AgePolicy = AGE_V1) -> DataFrame:
-    return df.filter(age_hours(F.col("posted"), as_of, policy) <= max_hours)
+    return settle(df, {"age_hours": age_hours(F.col("posted"), as_of, policy)}).filter(
+        F.col("age_hours") <= max_hours)
 
 
 def with_experience(df: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
