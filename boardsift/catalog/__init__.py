@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _parts():
-    from boardsift.catalog import listing_queries, payload_queries
+    from boardsift.catalog import listing_queries, payload_queries, stream_queries
 
-    return [listing_queries, payload_queries]
+    return [listing_queries, payload_queries, stream_queries]
 
 
 def queries() -> dict:
