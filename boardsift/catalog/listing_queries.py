@@ -81,7 +81,7 @@ def match_text(spark, sf_dir):
 def _age_query(policy):
     def run(spark, sf_dir):
         return raw_listings(spark, sf_dir).select(
-            "doc_id", "posted", age_hours(F.col("posted"), AS_OF, policy).alias("age_hours"))
+            "doc_id", "posted", age_hours("posted", AS_OF, policy).alias("age_hours"))
     query(f"age_hours_{policy.name}",
           f"WITH raw AS ({duck.RAW}) SELECT doc_id, posted, {duck.age(policy)} AS age_hours FROM raw")(run)
 
@@ -655,6 +655,61 @@ def rotating_keywords(spark, sf_dir):
         report.run_hour_open(F.col("ts"), vocab.METERED_RUN_HOURS).alias("open"))
 
 
+_FUNNEL = f"""fun AS (SELECT count(*) AS total_new, count(*) FILTER ({TOP_SQL}) AS total_matched,
+ coalesce(max(combined_score) FILTER ({TOP_SQL}), 0) AS best FROM scored)"""
+
+
+@query("run_summary", f"""WITH {SCORED}, {_FUNNEL} SELECT '🤖 <b>Job Scan Complete</b>' || chr(10) || chr(10)
+ || '📊 Fetched: ' || total_new || ' jobs' || chr(10) || '🆕 New: ' || total_new || chr(10) || '✅ Matched: ' || total_matched
+ || chr(10) || '📬 Notified: ' || least(total_matched, 15) || chr(10) || '🏆 Best: ' || CAST(trunc(best * 100) AS INTEGER) || '%'
+ || chr(10) || chr(10) || '⏰ 2024-01-31 00:00' AS message FROM fun""")
+def run_summary(spark, sf_dir):
+    row = report.funnel(scored(spark, sf_dir), CFG)
+    columns = {"total_fetched": F.col("total_new"), "total_new": F.col("total_new"),
+               "total_matched": F.col("total_matched"), "best_score": F.col("best_score"),
+               "total_notified": F.least("total_matched", F.lit(15))}
+    return row.select(alerts.run_summary(columns, timestamp_literal(AS_OF)).alias("message"))
+
+
+@query("tagged_alerts", f"""WITH {LISTINGS}, {_tagged_cte()}, p AS (SELECT *, least({duck.weighted('x', vocab.SKILL_POINTS, 'INTEGER')}, 50)
+ AS score FROM tagged) SELECT doc_id, tag, '🎯 <b>' || {_ESC('tag')} || ' - ' || score || '% Match</b>' || {_NL} || {_NL}
+ || '💼 <b>' || {_ESC('title')} || '</b>' || {_NL} || '🏢 ' || {_ESC('company')} || {_NL} || '📍 ' || {_ESC('location')} || {_NL}
+ || '🌐 ' || {_ESC('source')} || {_NL} || {_NL} || '<a href="' || {_ESC('url')} || '">🔗 Apply Now</a>' AS message FROM p""")
+def tagged_alerts(spark, sf_dir):
+    df = tagged_listings(spark, sf_dir).withColumn(
+        "x", F.lower(F.concat_ws(" ", "title", "company", "description")))
+    df = df.withColumn("score", score.keyword_points("x", TAGGED))
+    row = {c: F.col(c) for c in df.columns}
+    return df.select("doc_id", "tag", alerts.tagged_alert(row).alias("message"))
+
+
+@query("strict_location", f"""WITH {TEXTS}, f AS (SELECT *, {duck.any_term('place', vocab.EXCLUSIVE_PHRASES)} AS closed,
+ {duck.any_term('place', vocab.HOME_TERMS)} AS home, {duck.REMOTE} AS remote,
+ lower({duck.strip('location')}) IN ({', '.join(q(b) for b in vocab.BLANK_LOCATIONS)}) AS blank,
+ {duck.any_term('place', vocab.FOREIGN_TERMS)} AS abroad FROM texts)
+SELECT doc_id, CASE WHEN home OR blank THEN true WHEN closed THEN false ELSE remote OR NOT abroad END AS is_india FROM f""")
+def strict_location(spark, sf_dir):
+    """The variant in which "us only" and the like close a remote listing."""
+    cfg = MatchConfig(strict_exclusion=True)
+    df = score.with_location(score.with_match_texts(listings(spark, sf_dir)), cfg)
+    return df.select("doc_id", "is_india")
+
+
+@query("word_titles", f"""WITH {LISTINGS}, w AS (SELECT doc_id, ' ' || regexp_replace(lower(title), '[^{duck.WORD}]+', ' ', 'g') || ' ' AS t FROM listings)
+SELECT doc_id, contains(t, ' data ') OR contains(t, ' bi ') OR contains(t, ' ai ') OR contains(t, ' ml engineer ') AS relevant FROM w""")
+def word_titles(spark, sf_dir):
+    """Whole-word term tests: ``ai`` no longer hits ``training``."""
+    return listings(spark, sf_dir).select("doc_id", F.lower("title").alias("low")).select(
+        "doc_id", text.any_term("low", ["data", "bi", "ai", "ml engineer"], "word").alias("relevant"))
+
+
+@query("listing_exists", f"WITH {LISTINGS} SELECT DISTINCT job_id FROM listings WHERE job_id = (SELECT job_id FROM listings WHERE doc_id = 1)")
+def listing_exists(spark, sf_dir):
+    jobs = listings(spark, sf_dir)
+    wanted = jobs.filter("doc_id = 1").select("job_id").first()[0]
+    return report.exists(jobs, wanted)
+
+
 # ------------------------------------------------------------ state
 
 STATUS_BY_TYPE = """CASE event_type WHEN 'view' THEN 'detected' WHEN 'click' THEN 'notified'

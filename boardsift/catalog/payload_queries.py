@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from boardsift import vocab
 from boardsift.catalog import duck
 from boardsift.catalog.duck import any_term, q
-from boardsift.catalog.fixtures import AS_OF, table
+from boardsift.catalog.fixtures import AS_OF, documents
 from boardsift.config import all_search_keywords
 from boardsift.sources.normalizer import ingest_log, normalize, quarantine
 from boardsift.sources.specs import SPECS, SPECS_V1
+from boardsift.sources.threads import pick_thread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -61,7 +62,7 @@ def fields_of(spec: str) -> str:
 
 
 def landing(spark: SparkSession, sf_dir: str, source: str, payload: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select(
         F.lit(source).alias("source"), F.expr(BOARD).alias("board"), F.expr(KEYWORD).alias("keyword"),
         F.col("doc_id").alias("ord"), F.lit(AS_OF).cast("timestamp").alias("fetched_at"),
@@ -354,6 +355,37 @@ case(V1["Indeed-India"], _indeed, 31, {**_IN, "posted": "coalesce(p, 'today')"},
      first=15, words=2, key=_TC)
 
 
+case(V1["Himalayas"], f"IF(doc_id % 2 = 0, {_himal}, {_himal_list})", 4,
+     {**_CUT, "location": "CASE WHEN l IS NULL THEN 'Remote' ELSE l || ', EU' END", "salary": _SAL,
+      "url": "coalesce(u, concat('https://himalayas.app/jobs/', coalesce(CAST(id AS VARCHAR), '')))"},
+     "normalize_v1_", where=has(both("t", "d", "CASE WHEN doc_id % 2 = 0 THEN t ELSE 'sql remote' END")))
+case(V1["TheMuse"], _muse, 4,
+     {**_CUT, "company": "CASE WHEN doc_id % 2 = 1 THEN coalesce(c, 'Unknown') ELSE 'Unknown' END",
+      "location": "CASE WHEN l = '' THEN 'Unknown' ELSE coalesce(l, 'Unknown') END"},
+     "normalize_v1_", where=has(both("t", "d")), key=_TC)
+
+# ------------------------------------------------------------ thread choice
+
+_THREAD = """CASE (doc_id + i) % 5 WHEN 0 THEN 'Show HN: text' WHEN 1 THEN 'Ask HN: Who is hiring? (May 2019)'
+ WHEN 2 THEN 'Ask HN: Who is hiring? (January 2024)' WHEN 3 THEN 'Who wants to be hired? (2024)'
+ ELSE 'Ask HN: Who''s hiring right now' END"""
+
+
+def _threads(spark, sf_dir):
+    hits = (f"transform(sequence(0, CAST(doc_id % 4 AS INT)), i -> named_struct('objectID',"
+            f" concat(doc_id, '-', i), 'title', {_THREAD}))")
+    rows = landing(spark, sf_dir, "HN-Hiring", obj("hits", hits))
+    return pick_thread(rows, AS_OF).select("ord", "thread_id", "title")
+
+
+QUERIES["hiring_thread"] = _threads
+ORACLES["hiring_thread"] = f"""WITH h AS (SELECT doc_id, i, {_THREAD} AS title FROM
+ (SELECT doc_id, unnest(range(0, 1 + doc_id % 4)) AS i FROM documents)),
+k AS (SELECT *, CASE WHEN contains(title, 'January') OR contains(title, '2024') THEN 0 ELSE 1 END AS late FROM h
+ WHERE contains(title, 'Who is hiring') OR contains(title, 'Who''s hiring'))
+SELECT doc_id AS ord, doc_id || '-' || i AS thread_id, title FROM k
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY late, i) = 1"""
+
 # ------------------------------------------------------------ around the normaliser
 
 def _mixed(spark, sf_dir) -> DataFrame:

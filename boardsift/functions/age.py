@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boardsift.config import AGE_V2, AgePolicy
-from boardsift.functions.text import strip
+from boardsift.functions.text import SPACE_CHARS, quoted
 
 INFINITE = float("inf")
 LAST_EPOCH_SECOND = 253402300799.0  # end of year 9999
 DATE = r"^[0-9]{4}-(1[0-2]|0?[1-9])-(3[01]|[12][0-9]|0?[1-9])$"
+STAMP_FORMAT = "y-M-d'T'H:m:s"
 DATE_TIME = DATE[:-1] + r"T(2[0-3]|[01]?[0-9]):[0-5]?[0-9]:[0-5]?[0-9]$"
 
 
@@ -25,95 +25,99 @@ def hours_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6) / F.lit(3600.0)
 
 
-def _hours(x: float | None) -> Column:
-    return F.lit(INFINITE if x is None else float(x))
+# The rule is written as SQL text: one parsed expression is much cheaper to
+# build than hundreds of column calls.  ``t.raw`` is the text, ``t.low`` its
+# lower-cased form and ``t.now`` the time of the run.
 
 
-def _number_before(text: Column, unit: str, empty: float = 0.0) -> Column:
-    """All digits left of the unit, read as one number."""
-    digits = F.regexp_replace(F.substring_index(text, unit, 1), "[^0-9]", "")
-    return F.coalesce(F.nullif(digits, F.lit("")).cast("double"), F.lit(empty))
+def _hours(x: float | None) -> str:
+    return "DOUBLE('Infinity')" if x is None else f"{float(x)!r}D"
+
+
+def _says(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(t.low, {quoted(w)})" for w in words) + ")"
 
 
-def _date(text: Column) -> Column:
-    return F.when(text.rlike(DATE), F.try_to_timestamp(text, F.lit("y-M-d")))
+def _number_before(unit: str, empty: float = 0.0) -> str:
+    """All digits left of the unit, read as one number."""
+    digits = f"regexp_replace(substring_index(t.low, '{unit}', 1), '[^0-9]', '')"
+    return f"coalesce(CAST(nullif({digits}, '') AS DOUBLE), {_hours(empty)})"
 
 
-def _age(as_of: Column, moment: Column, shift: float = 0.0) -> Column:
+def _age(moment: str, shift: float = 0.0) -> str:
     """NULL when the moment did not parse; never negative."""
-    age = hours_between(as_of, moment)
-    age = age - F.lit(shift) if shift else age
-    return F.when(moment.isNotNull(), F.greatest(F.lit(0.0), age))
+    hours = f"(unix_micros(t.now) - unix_micros({moment})) / 1e6D / 3600D"
+    # greatest() skips NULL, so the test for an unparsed moment comes first.
+    return f"IF({moment} IS NULL, NULL, greatest(0D, {hours} - {_hours(shift)}))"
+
+
+def _date(text: str) -> str:
+    return f"IF({text} RLIKE {quoted(DATE)}, try_to_timestamp({text}, 'y-M-d'), NULL)"
 
 
-def _iso_age(raw: Column, as_of: Column, policy: AgePolicy) -> Column:
-    has_t = F.contains(raw, F.lit("T"))
-    has_dash = F.contains(raw, F.lit("-"))
+def _iso_age(policy: AgePolicy) -> str:
+    has_t, has_dash = "contains(t.raw, 'T')", "contains(t.raw, '-')"
     if policy.iso_min_length:
-        has_dash = has_dash & (F.length(raw) >= policy.iso_min_length)
-    day = F.when(has_t, F.substring_index(raw, "T", 1)).otherwise(F.substring(raw, 1, 10))
+        has_dash = f"({has_dash} AND length(t.raw) >= {policy.iso_min_length})"
+    day = f"IF({has_t}, substring_index(t.raw, 'T', 1), substring(t.raw, 1, 10))"
     if not policy.iso_time:
-        age = _age(as_of, _date(F.substring_index(day, "+", 1)))
-        return F.when(has_t | has_dash, age)
-    zoned = has_t & (F.contains(raw, F.lit("+")) | F.contains(raw, F.lit("Z")))
-    stamp = F.substring_index(F.substring_index(F.substring_index(raw, "+", 1), "Z", 1), ".", 1)
-    moment = F.when(zoned & stamp.rlike(DATE_TIME),
-                    F.try_to_timestamp(stamp, F.lit("y-M-d'T'H:m:s")))
-    return F.coalesce(_age(as_of, moment),
-                      F.when(has_dash, _age(as_of, _date(day), policy.date_shift)))
-
-
-def _epoch_age(raw: Column, as_of: Column, policy: AgePolicy) -> Column:
-    value = F.when(raw.rlike("^[0-9]{10,}$"), raw.cast("double"))
+        age = _age(_date(f"substring_index({day}, '+', 1)"))
+        return f"IF({has_t} OR {has_dash}, {age}, NULL)"
+    zoned = f"{has_t} AND (contains(t.raw, '+') OR contains(t.raw, 'Z'))"
+    stamp = "substring_index(substring_index(substring_index(t.raw, '+', 1), 'Z', 1), '.', 1)"
+    moment = (f"IF({zoned} AND {stamp} RLIKE {quoted(DATE_TIME)}, "
+              f"try_to_timestamp({stamp}, {quoted(STAMP_FORMAT)}), NULL)")
+    dated = f"IF({has_dash}, {_age(_date(day), policy.date_shift)}, NULL)"
+    return f"coalesce({_age(moment)}, {dated})"
+
+
+def _epoch_age(policy: AgePolicy) -> str:
+    value = "IF(t.raw RLIKE '^[0-9]{10,}$', CAST(t.raw AS DOUBLE), NULL)"
     if policy.epoch == "auto":
-        value = F.when(value > F.lit(1e12), value / F.lit(1000.0)).otherwise(value)
-    moment = F.when(value <= F.lit(LAST_EPOCH_SECOND), value.cast("timestamp"))
-    return _age(as_of, moment)
+        value = f"IF({value} > 1e12D, {value} / 1000D, {value})"
+    moment = f"IF({value} <= {_hours(LAST_EPOCH_SECOND)}, CAST({value} AS TIMESTAMP), NULL)"
+    return _age(moment)
 
 
-def age_hours(posted: Column, as_of: datetime | str | Column,
-              policy: AgePolicy = AGE_V2) -> Column:
-    """Age of a listing in hours.
+def _rule(policy: AgePolicy) -> str:
+    """The order of the tests is part of the meaning."""
+    day = _says("day") + (f" AND {_says('ago')}" if policy.day_needs_ago else "")
+    weeks = _hours(None)
+    if policy.week_hours is not None:
+        weeks = f"{_number_before('week', 1.0)} * {_hours(policy.week_hours)}"
+    parsed = [_iso_age(policy)] + ([_epoch_age(policy)] if policy.epoch else [])
+    tests = [
+        ("t.raw IS NULL OR t.raw = ''", _hours(policy.empty)),
+        (_says(*policy.now_words), "0D"),
+        (_says("minute"), f"{_number_before('minute')} / 60D"),
+        (_says("hour"), _number_before("hour")),
+        (_says("today"), _hours(policy.today)),
+        (_says("yesterday"), "30D"),
+        (day, f"{_number_before('day')} * 24D"),
+        (_says("week"), weeks),
+        (_says(*policy.old_words), _hours(None)),
+    ]
+    whens = " ".join(f"WHEN {test} THEN {value}" for test, value in tests)
+    return f"CASE {whens} ELSE coalesce({', '.join(parsed)}, {_hours(policy.unparsed)}) END"
+
+
+def age_hours(posted: str, as_of: datetime | str, policy: AgePolicy = AGE_V2) -> Column:
+    """Age in hours of a listing; ``posted`` is a column name or SQL.
 
     The texts are bound once as the fields of a one-element array: the tests
     refer to them dozens of times, and unfolding them would multiply whatever
     expression ``posted`` stands for.
     """
-    as_of = timestamp_literal(as_of)
-    raw = strip(posted.cast("string")) if policy.strip_first else posted.cast("string")
-    texts = F.struct(raw.alias("raw"), F.lower(strip(posted.cast("string"))).alias("low"))
-    return F.get(F.transform(
-        F.array(texts), lambda t: _age_of(t["raw"], t["low"], as_of, policy)), F.lit(0))
-
-
-def _age_of(raw: Column, low: Column, as_of: Column, policy: AgePolicy) -> Column:
-    """The order of the tests is part of the meaning."""
-
-    def says(*words: str) -> Column:
-        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-
-    day = says("day") & says("ago") if policy.day_needs_ago else says("day")
-    age = (
-        F.when(raw.isNull() | (raw == ""), _hours(policy.empty))
-        .when(says(*policy.now_words), F.lit(0.0))
-        .when(says("minute"), _number_before(low, "minute") / F.lit(60.0))
-        .when(says("hour"), _number_before(low, "hour"))
-        .when(says("today"), F.lit(policy.today))
-        .when(says("yesterday"), F.lit(30.0))
-        .when(day, _number_before(low, "day") * F.lit(24.0))
-    )
-    if policy.week_hours is None:
-        age = age.when(says("week"), F.lit(INFINITE))
-    else:
-        age = age.when(says("week"), _number_before(low, "week", 1.0) * F.lit(policy.week_hours))
-    age = age.when(says(*policy.old_words), F.lit(INFINITE))
-    parsed = [_iso_age(raw, as_of, policy)]
-    if policy.epoch:
-        parsed.append(_epoch_age(raw, as_of, policy))
-    return age.otherwise(F.coalesce(*parsed, F.lit(policy.unparsed)))
+    blank = quoted(SPACE_CHARS)
+    text = f"CAST({posted} AS STRING)"
+    raw = f"btrim({text}, {blank})" if policy.strip_first else text
+    bound = (f"struct({raw} AS raw, lower(btrim({text}, {blank})) AS low, "
+             f"TIMESTAMP {quoted(str(as_of))} AS now)")
+    return F.expr(f"get(transform(array({bound}), t -> {_rule(policy)}), 0)")
 
 
 def epoch_age_hours(seconds: Column, as_of: datetime | str | Column) -> Column:
     """Age of a numeric posting time; NULL counts as too old."""
     moment = F.when(seconds <= F.lit(LAST_EPOCH_SECOND), seconds.cast("double").cast("timestamp"))
-    return F.coalesce(_age(timestamp_literal(as_of), moment), F.lit(INFINITE))
+    age = F.greatest(F.lit(0.0), hours_between(timestamp_literal(as_of), moment))
+    return F.when(moment.isNull(), F.lit(INFINITE)).otherwise(age)

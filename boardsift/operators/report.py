@@ -111,6 +111,12 @@ def joined_errors(log: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("errors"))
 
 
+def run_seconds(started: Column, completed: Column) -> Column:
+    """Duration of a run, 0 while it is unfinished."""
+    micros = F.unix_micros(completed) - F.unix_micros(started)
+    return F.coalesce(micros / F.lit(1e6), F.lit(0.0))
+
+
 # ---------------------------------------------------------------- metered calls
 
 

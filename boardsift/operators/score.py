@@ -90,7 +90,7 @@ def score_listings(df: DataFrame, as_of: datetime | str, cfg: MatchConfig = Matc
         "_penalty": rules.title_penalty("_title", cfg),
         "_keyword": keyword_score("_skill_text", cfg),
         "category": rules.category("_body", cfg),
-        "age_hours": age_hours(F.col("posted"), as_of, policy),
+        "age_hours": age_hours("posted", as_of, policy),
     })
     df = df.withColumn(
         "_semantic", semantic_score(F.col("_skill_text"), sim, F.col("_keyword"), cfg))
@@ -147,7 +147,7 @@ def score_tagged(df: DataFrame, profiles: dict[str, str], cfg: TaggedConfig = Ta
 
 def fresh_by_age(df: DataFrame, as_of: datetime | str, max_hours: float,
                  policy: AgePolicy = AGE_V1) -> DataFrame:
-    return settle(df, {"age_hours": age_hours(F.col("posted"), as_of, policy)}).filter(
+    return settle(df, {"age_hours": age_hours("posted", as_of, policy)}).filter(
         F.col("age_hours") <= max_hours)
 
 

@@ -66,8 +66,29 @@ def _map(counts: Counter) -> Column:
         *[F.lit(counts[t]) for t in sorted(counts)]).cast("array<int>"))
 
 
+def _square_sum(terms: Column) -> Column:
+    """Fold sorted terms into the sum of squared counts and the number of terms.
+
+    A further hit of a term seen ``run`` times raises its square by 2 run + 1.
+    """
+    zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"),
+                    F.lit(0.0).alias("sq"), F.lit(0).alias("n"))
+
+    def step(s: Column, t: Column) -> Column:
+        run = F.when(s["last"] == t, s["run"]).otherwise(F.lit(0))
+        return F.struct(t.alias("last"), (run + 1).alias("run"),
+                        (s["sq"] + (run * 2 + 1).cast("double")).alias("sq"),
+                        (s["n"] + F.when(run == 0, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(terms, zero, step, lambda s: F.struct(s["sq"].alias("sq"), s["n"].alias("n")))
+
+
+def _count_in(hits: Column, term: Column) -> Column:
+    return F.size(F.filter(hits, lambda t: t == term))
+
+
 def _sums(entries: Column) -> Column:
-    """Fold the term entries into the five sums of the cosine."""
+    """Fold term entries into the five sums of the cosine."""
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("dot", "jj", "pp", "j1", "p1")])
 
     def step(s: Column, e: Column) -> Column:
@@ -83,6 +104,27 @@ def _sums(entries: Column) -> Column:
     return F.aggregate(entries, zero, step)
 
 
+def _most_frequent(terms: Column, shared: Column, counts: Column, limit: int) -> Column:
+    """Entries of the ``limit`` most frequent terms of both texts, ties by term."""
+    def weight(term: Column) -> Column:
+        return F.when(F.array_contains(shared, term), F.element_at(counts, term)).otherwise(F.lit(0))
+
+    def entry(n: Column, term: Column, p: Column) -> Column:
+        return F.struct((-(n + p)).alias("k"), term.alias("term"), n.alias("n"), p.alias("p"))
+
+    def run_length(starts: Column) -> Column:
+        return F.transform(starts, lambda at, k: entry(
+            F.coalesce(F.get(starts, k + 1), F.size(terms)) - at, F.get(terms, at),
+            weight(F.get(terms, at))))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(terms) - 1),
+                      lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+    own = F.get(F.transform(F.array(starts), run_length), F.lit(0))
+    rest = F.transform(F.array_except(F.map_keys(counts), shared),
+                       lambda t: entry(F.lit(0), t, F.element_at(counts, t)))
+    return F.slice(F.sort_array(F.concat(own, rest)), 1, limit)
+
+
 def with_tfidf(df: DataFrame, text: str, profiles: dict[str, str], tag: str,
                stop_words: list[str] | None = None,
                cfg: TaggedConfig = TaggedConfig()) -> DataFrame:
@@ -97,45 +139,29 @@ def with_tfidf(df: DataFrame, text: str, profiles: dict[str, str], tag: str,
     none = F.array().cast("array<string>")
     df = df.withColumn("_words", words_of(F.col(text), stop))
     df = df.withColumn("_terms", terms_of(F.col("_words")))
-    size = F.size("_terms")
-    df = df.withColumn("_starts", F.when(size > 0, F.filter(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: (i == 0) | (F.get("_terms", i) != F.get("_terms", i - 1))))
-        .otherwise(F.array().cast("array<int>")))
     df = df.withColumns({
-        "_runs": F.transform("_starts", lambda p, k: F.struct(
-            F.get("_terms", p).alias("term"),
-            (F.coalesce(F.get("_starts", k + 1), size) - p).alias("n"))),
-        "_shared": F.array_intersect(
-            _per_tag(tag, counts, _strings, none), F.col("_terms")),
+        "_own": _square_sum(F.col("_terms")),
+        # Membership in a literal set is one hash lookup per term.
+        "_hits": _per_tag(tag, counts, lambda c: F.filter(
+            F.col("_terms"), lambda t: t.isin(sorted(c))) if c else none, none),
         "_counts": _per_tag(tag, counts, _map, F.lit(None).cast("map<string,int>")),
     })
-
-    def in_profile(term: Column) -> Column:
-        return F.when(F.array_contains(F.col("_shared"), term),
-                      F.element_at(F.col("_counts"), term)).otherwise(F.lit(0))
-
-    df = df.withColumn("_entries", F.transform("_runs", lambda r: F.struct(
-        (-(r["n"] + in_profile(r["term"]))).alias("k"), r["term"].alias("term"),
-        r["n"].alias("n"), in_profile(r["term"]).alias("p"))))
-    only_profile = F.transform(
-        F.array_except(F.map_keys("_counts"), F.col("_shared")),
-        lambda t: F.struct((-F.element_at(F.col("_counts"), t)).alias("k"), t.alias("term"),
-                           F.lit(0).alias("n"), F.element_at(F.col("_counts"), t).alias("p")))
-    limited = (F.size("_runs") + F.coalesce(F.size("_counts"), F.lit(0)) - F.size("_shared")
-               > cfg.max_features)
-    kept = F.slice(F.sort_array(F.concat(F.col("_entries"), only_profile)), 1, cfg.max_features)
-    df = df.withColumns({
-        "_limited": limited,
-        "_sums": _sums(F.when(limited, kept).otherwise(F.col("_entries"))),
-    })
+    df = df.withColumn("_shared", F.array_distinct("_hits"))
+    size = F.coalesce(F.size("_counts"), F.lit(0))
+    limited = F.col("_own.n") + size - F.size("_shared") > cfg.max_features
+    pairs = F.transform("_shared", lambda t: F.struct(
+        _count_in(F.col("_hits"), t).alias("n"), F.element_at(F.col("_counts"), t).alias("p")))
+    kept = F.transform(
+        _most_frequent(F.col("_terms"), F.col("_shared"), F.col("_counts"), cfg.max_features),
+        lambda e: F.struct(e["n"], e["p"]))
+    df = df.withColumn("_limited", limited).withColumn(
+        "_sums", _sums(F.when(F.col("_limited"), kept).otherwise(pairs)))
     total = _per_tag(tag, counts,
                      lambda c: F.lit(float(sum(v * v for v in c.values()))), F.lit(0.0))
     s = F.col("_sums")
+    j1 = F.when(F.col("_limited"), s["j1"]).otherwise(F.col("_own.sq") - s["jj"])
     p1 = F.when(F.col("_limited"), s["p1"]).otherwise(total - s["pp"])
-    norm = (F.sqrt(s["jj"] + s["j1"] * F.lit(SINGLE_IDF))
-            * F.sqrt(s["pp"] + p1 * F.lit(SINGLE_IDF)))
+    norm = (F.sqrt(s["jj"] + j1 * F.lit(SINGLE_IDF)) * F.sqrt(s["pp"] + p1 * F.lit(SINGLE_IDF)))
     cosine = F.when(s["dot"] > 0, s["dot"] / norm).otherwise(F.lit(0.0))
     return df.withColumn("tfidf", cosine * F.lit(cfg.tfidf_scale)).drop(
-        "_words", "_terms", "_starts", "_runs", "_shared", "_counts", "_entries", "_limited",
-        "_sums")
+        "_words", "_terms", "_own", "_hits", "_shared", "_counts", "_limited", "_sums")
