@@ -14,6 +14,7 @@ from boardsift.functions import alerts, rules, text
 from boardsift.functions.age import age_hours, timestamp_literal
 from boardsift.operators import dedup, report, score, semantic, state
 from boardsift.operators.tfidf import profile_counts
+from boardsift.plans import tagged
 
 CFG = MatchConfig()
 TAGGED = TaggedConfig()
@@ -235,15 +236,12 @@ ORACLES.update(_tagged_oracles())
 
 def new_tagged(spark, sf_dir) -> DataFrame:
     """Fresh tagged listings of the last 30 days that older runs have not seen."""
-    df = listings(spark, sf_dir).withColumn(
-        "job_id_v1", text.job_id_v1(F.col("title"), F.col("company"), F.col("source")))
+    df = listings(spark, sf_dir)
     cutoff = timestamp_literal(AS_OF) - F.make_interval(days=F.lit(30))
-    old = df.filter(F.col("fetched_at") < cutoff)
-    batch = score.fresh_by_age(df.filter(F.col("fetched_at") >= cutoff), AS_OF,
-                               TAGGED.max_age_hours)
-    new = dedup.new_only(batch, old, "job_id_v1")
-    tagged = score.tag_listings(new, vocab.TAGGED_CONFIGS)
-    return score.score_tagged(tagged, PROFILES, TAGGED, STOP_WORDS)
+    old = tagged.with_id(df.filter(F.col("fetched_at") < cutoff)).select(
+        F.col("job_id_v1").alias("id"))
+    return tagged.new_matches(
+        df.filter(F.col("fetched_at") >= cutoff), old, AS_OF, PROFILES, TAGGED, STOP_WORDS)
 
 
 @query("tagged_top")

@@ -76,7 +76,7 @@ def stream_first_seen(spark, sf_dir):
 def stream_first_seen_within(spark, sf_dir):
     """The delay spans all events, so each user appears once."""
     keys = streams.first_seen_within(
-        stream_of(spark, sf_dir, "events"), "user_id", "ts", "400 days")
+        stream_of(spark, sf_dir, "events"), "user_id", "ts", "400 days", "event_id")
     return streams.to_table(keys, *paths(spark, "first-seen-within"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from boardsift.operators.dedup import insertable
-from boardsift.schemas import HISTORY_CSV, TABLES
+from boardsift.schemas import HISTORY_CSV, LANDING, TABLES
 
 
 def _path(spark: SparkSession, path: str):
@@ -51,6 +51,20 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df if name == "listings" else df.drop("part")
 
 
+def write_landing(df: DataFrame, path: str) -> None:
+    """Append payloads, laid out by board.
+
+    Every board reads only its own folder; rebalancing splits a board that
+    holds most payloads over several files.
+    """
+    (df.hint("rebalance", "source").write.mode("append")
+     .partitionBy("source").parquet(path))
+
+
+def read_landing(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LANDING).parquet(path)
+
+
 def known_ids(spark: SparkSession, root: str) -> DataFrame:
     """All stored ids; the scan reads this one column."""
     return read_table(spark, root, "listings").select("job_id")

@@ -73,6 +73,10 @@ def ingest(landing: DataFrame, spec: SourceSpec, keywords: list[str], path: str,
     return spark.read.parquet(path)
 
 
+def _salted(stream: DataFrame, salt_by: str, *columns: str | Column) -> DataFrame:
+    return stream.select(*columns, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).alias("_salt"))
+
+
 def first_seen(stream: DataFrame, key: str, salt_by: str) -> DataFrame:
     """Each key once over the whole stream.
 
@@ -80,14 +84,17 @@ def first_seen(stream: DataFrame, key: str, salt_by: str) -> DataFrame:
     of the stream is spread over tasks; the second sees at most ``SALTS`` rows
     of it.  Only the key column enters the state.
     """
-    salted = stream.select(key, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).alias("_salt"))
-    return salted.dropDuplicates([key, "_salt"]).select(key).dropDuplicates([key])
+    once = _salted(stream, salt_by, key).dropDuplicates([key, "_salt"])
+    return once.select(key).dropDuplicates([key])
 
 
-def first_seen_within(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """Each key once per watermark delay, with state bounded by it."""
-    return (stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-            .select(key, time).dropDuplicatesWithinWatermark([key]).select(key))
+def first_seen_within(stream: DataFrame, key: str, time: str, delay: str,
+                      salt_by: str) -> DataFrame:
+    """Each key once per watermark delay, with state bounded by it; salted too."""
+    at = F.col(time).cast("timestamp").alias(time)
+    rows = _salted(stream, salt_by, key, at).withWatermark(time, delay)
+    once = rows.dropDuplicatesWithinWatermark([key, "_salt"])
+    return once.select(key, time).dropDuplicatesWithinWatermark([key]).select(key)
 
 
 def new_only(stream: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -111,7 +118,13 @@ def windowed_counts(stream: DataFrame, time: str, key: str, delay: str, width: s
 
 
 def session_counts(stream: DataFrame, time: str, key: str, delay: str, gap: str) -> DataFrame:
-    """Activity sessions, emitted once the watermark has passed their end."""
+    """Activity sessions, emitted once the watermark has passed their end.
+
+    Rows are merged into sessions per task before the shuffle, so a busy key
+    sends sessions and not rows.
+    """
+    stream.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     at = F.col(time).cast("timestamp")
     return (stream.select(at.alias(time), key).withWatermark(time, delay)
             .groupBy(F.session_window(time, gap).alias("w"), key)

@@ -6,9 +6,10 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from boardsift.config import MatchConfig
+from boardsift.config import MatchConfig, TaggedConfig
 from boardsift.operators import semantic, state
 from boardsift.plans.scan import run_scan
+from boardsift.plans.tagged import run_tagged_scan
 from boardsift.plugins import classify, with_embedding
 from boardsift.schemas import LANDING
 from boardsift.sources import tables
@@ -81,6 +82,34 @@ def test_run_is_incremental_and_restartable(spark, root):
     assert tables.read_table(spark, root, "outbox").count() == 4
 
 
+def test_landing_is_pruned_by_board(spark, root):
+    tables.write_landing(landing(spark, ["Data"]).union(landing(spark, ["Data"], "Remotive")), root)
+    rows = tables.read_landing(spark, root).filter("source = 'Remotive'")
+    assert rows.count() == 1 and all("source=Remotive" in f for f in rows.inputFiles() if "Remotive" in f)
+    assert "PartitionFilters: [isnotnull(source" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tagged_run(spark, root):
+    rows = [(t, "C", "Pune", LONG, "S", p, "http://u") for t, p in (
+        ("Data Scientist", "1 hour ago"), ("Data Analyst", "2 days ago"), ("Cook", "now"),
+        ("BI Developer", "today"))]
+    df = spark.createDataFrame(rows, "title STRING, company STRING, location STRING,"
+                                     " description STRING, source STRING, posted STRING, url STRING")
+    profiles = {tag: "python sql statistics tableau" for tag in TaggedConfig().tags}
+    cfg = TaggedConfig(alerts=2)
+    first = run_tagged_scan(df, f"{root}/history", f"{root}/one", AS_OF, profiles, cfg)
+    stats = first.stats.first()
+    # Every fresh text names machine learning and tableau: two tags each.
+    assert stats.total_new == stats.total_matched == 6 and first.alerts.count() == 2
+    assert first.alerts.first().message.startswith("🎯 <b>")
+    told = first.alerts.select("job_id_v1").distinct().count()
+    again = run_tagged_scan(df, f"{root}/history", f"{root}/one", AS_OF, profiles, cfg)
+    assert again.alerts.count() == 2
+    second = run_tagged_scan(df, f"{root}/history", f"{root}/two", AS_OF, profiles, cfg)
+    assert second.stats.first().total_new == 6 - 2 * told
+    assert tables.read_history(spark, f"{root}/history").count() >= told
+
+
 def test_run_with_models(spark, root):
     def embedder():
         return lambda texts: [[1.0, 0.0] if "ml" in t else [0.0, 1.0] for t in texts]
