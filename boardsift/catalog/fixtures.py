@@ -73,15 +73,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents over at least as many partitions as there are cores.
+def spread(spark: SparkSession, df: DataFrame, files: int, key: str) -> DataFrame:
+    """At least as many partitions as there are cores.
 
     A file of one row group is one task however large its texts; a table of
     many files already has enough tasks and is read as it is.
     """
-    docs = table(spark, sf_dir, "documents")
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+    return df.repartition(cores, key) if files < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spread(spark, docs, len(docs.inputFiles()), "doc_id")
 
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.catalog import duck, listing_queries, payload_queries
-from boardsift.catalog.fixtures import AS_OF, RAW_COLUMNS, fetched_at, table
+from boardsift.catalog.fixtures import AS_OF, RAW_COLUMNS, fetched_at, spread, table
 from boardsift.catalog.listing_queries import CFG, SCORED
 from boardsift.functions import text
 from boardsift.operators import dedup, semantic
@@ -35,8 +35,13 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return streams.read_files(spark, sf_dir, f"{name}.parquet", schema)
 
 
+def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = len(table(spark, sf_dir, "documents").inputFiles())
+    return spread(spark, stream_of(spark, sf_dir, "documents"), files, "doc_id")
+
+
 def listing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = stream_of(spark, sf_dir, "documents").select(
+    raw = document_stream(spark, sf_dir).select(
         "doc_id", "source", *[F.expr(e).alias(c) for c, e in RAW_COLUMNS.items()])
     df = raw.withColumns({
         "title": text.clean_string(F.col("title")), "company": text.clean_string(F.col("company")),
@@ -55,7 +60,7 @@ _ING = payload_queries.ORACLES["normalize_arbeitnow"]
 
 @query("stream_ingest", f"SELECT DISTINCT job_id, title, company FROM ({_ING})")
 def stream_ingest(spark, sf_dir):
-    docs = stream_of(spark, sf_dir, "documents")
+    docs = document_stream(spark, sf_dir)
     landing = docs.select(
         F.lit("Arbeitnow").alias("source"), F.lit(None).cast("string").alias("board"),
         F.lit(None).cast("string").alias("keyword"), F.col("doc_id").alias("ord"),
