@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Folders of local sessions that have no ``spark.checkpoint.dir``, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "boardsift") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -37,9 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="boardsift-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="boardsift-")
+    return _LOCAL_FOLDERS[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
