@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from boardsift.llm import secrets
+from boardsift.llm import pii, secrets
 
 QUERIES = {
+    "op4_pii_bootstrap": pii.op4_pii_bootstrap,
     "op9_secret_ledger": secrets.op9_secret_ledger,
 }
 

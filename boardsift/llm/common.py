@@ -32,17 +32,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
 
 
-def running_sum(values: Column, chunk: int = 256) -> Column:
+def running_sum_of(values: Column, chunk: int = 256) -> Column:
     """Inclusive running sums of an array of ints, in linear time.
 
-    Sums run inside chunks first, and the chunks' totals are summed after that, so that no
-    long array is copied for each element.
+    Sums run inside chunks first and the chunks' totals are summed after that, so that no long
+    array is copied for each element.  ``values`` is used once, as a lambda's argument.
     """
-    n = F.size(values)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(
-        F.array().cast("array<int>"))
+    return F.element_at(F.transform(F.array(values), lambda v: _chunked(v, chunk)), 1)
+
+
+def _chunked(values: Column, chunk: int) -> Column:
+    starts = F.when(F.size(values) > 0, F.sequence(
+        F.lit(0), F.floor((F.size(values) - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
     sums = F.transform(starts, lambda c: _scan(F.slice(values, c * chunk + 1, F.lit(chunk))))
-    return F.flatten(F.zip_with(sums, _offsets(sums), lambda s, o: F.transform(s, lambda x: x + o)))
+    return F.element_at(F.transform(F.array(sums), lambda s: F.flatten(F.zip_with(
+        s, _offsets(s), lambda part, o: F.transform(part, lambda x: x + o)))), 1)
 
 
 def _scan(values: Column) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import running_sum
+from boardsift.llm.common import running_sum_of
 
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
@@ -48,13 +48,15 @@ def with_spans(df: DataFrame, text: str, kinds: list[Kind], prefix: str = "spans
             df = df.withColumn("_k", F.when(F.size("_m") > 0, F.regexp_extract_all(
                 x, p, F.lit(kind.group))).otherwise(none))
         m, g = F.col("_m"), F.col("_g")
-        df = df.withColumn("_l", F.transform(m, lambda v, i: F.char_length(F.get(g, i)) + F.when(
-            i > 0, F.char_length(F.get(m, i - 1))).otherwise(0)))
-        df = df.withColumn("_s", running_sum(F.col("_l")))
-        s, k = F.col("_s"), F.col("_k" if kind.group else "_m")
-        spans = F.transform(m, lambda v, i: F.struct(
-            F.get(s, i).alias("start"), (F.get(s, i) + F.char_length(v)).alias("end"), v.alias("value"),
-            F.get(k, i).alias("key")))
+        # arrays are arguments here, not captured by lambdas, so none is computed for each element
+        before = F.concat(F.array(F.lit(0)), F.transform(m, F.char_length))
+        ends = running_sum_of(F.zip_with(g, before, lambda a, b: F.char_length(a) + b))
+        df = df.withColumn("_s", F.when(F.size(m) > 0, ends).otherwise(F.array().cast("array<bigint>")))
+        zipped = F.arrays_zip(m.alias("v"), F.slice(F.col("_s"), F.lit(1), F.size(m)).alias("s"),
+                              F.col("_k" if kind.group else "_m").alias("k"))
+        spans = F.transform(zipped, lambda z: F.struct(
+            z["s"].alias("start"), (z["s"] + F.char_length(z["v"])).alias("end"), z["v"].alias("value"),
+            z["k"].alias("key")))
         if kind.keep:
             spans = F.filter(spans, lambda z: kind.keep(z["key"]))
         spans = F.when(F.size(m) > 0, spans.cast(
@@ -62,7 +64,7 @@ def with_spans(df: DataFrame, text: str, kinds: list[Kind], prefix: str = "spans
             F.array().cast("array<struct<start:bigint,end:bigint,value:string,key:string>>"))
         df = df.withColumn(prefix + kind.name, F.transform(spans, lambda z: F.struct(
             z["start"].alias("start"), z["end"].alias("end"), z["value"].alias("value"))))
-    return df.drop("_hit", "_m", "_g", "_k", "_l", "_s")
+    return df.drop("_hit", "_m", "_g", "_k", "_s")
 
 
 def _ranked(spans: Column, name: str, rank: int) -> Column:
