@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from boardsift.llm import pii, secrets
+from boardsift.llm import chat, html, pii, rules, secrets
 
 QUERIES = {
+    "op8_wrapper_text": html.op8_wrapper_text,
+    "op10_preference_pairs": chat.op10_preference_pairs,
+    "op3_decision_list": rules.op3_decision_list,
     "op4_pii_bootstrap": pii.op4_pii_bootstrap,
     "op9_secret_ledger": secrets.op9_secret_ledger,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_preference_pairs": chat.ORACLE}
