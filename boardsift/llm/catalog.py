@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from boardsift.llm import chat, html, pii, rules, secrets
+from boardsift.llm import chat, html, jaccard, language, pii, quality, rules, secrets
 
 QUERIES = {
+    "op2_language": language.op2_language,
+    "op6_quality": quality.op6_quality,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_wrapper_text": html.op8_wrapper_text,
     "op10_preference_pairs": chat.op10_preference_pairs,
     "op3_decision_list": rules.op3_decision_list,

@@ -43,6 +43,7 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 ARTICLE = {"article", "main"}
+CONTAINERS = set("html body div section center table tbody".split()) | ARTICLE
 ASIDE = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|sidebar|aside|ads?|advert|adverts|advertisement|"
     r"banner|promo|promoted|sponsor|sponsored|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
@@ -194,7 +195,8 @@ def wrapper(pages: list[str]) -> tuple[str, list[str]]:
                     for k in range(len(names) + 1):
                         weight["/".join(names[:k])] += len(text)
     total = weight[""]
-    deep = [p for p, w in weight.items() if w >= 0.8 * total]
+    deep = [p for p, w in weight.items() if w >= 0.8 * total and (
+        not p or p.rpartition("/")[2].partition(".")[0] in CONTAINERS)]
     constants = sorted(t for t, k in same.items() if k >= 0.5 * (len(parsed) - 1))
     return max(deep, key=lambda p: (p.count("/") if p else -1, p), default=""), constants
 
