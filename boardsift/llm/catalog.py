@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from boardsift.llm import bpe, chat, html, jaccard, language, pii, quality, rules, secrets
+from boardsift.llm import bpe, chat, decontam, html, jaccard, language, pii, quality, rules, secrets
 
 QUERIES = {
+    "op1_latent_leaks": decontam.op1_latent_leaks,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op2_language": language.op2_language,
     "op6_quality": quality.op6_quality,
