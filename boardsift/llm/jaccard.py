@@ -39,7 +39,7 @@ class Settings:
 
     words: int = 3
     percent: int = 90
-    hashes: int = 3
+    hashes: int = 2
     group: int = 1000
     bits: int = 22
     hot: int = 12
@@ -238,7 +238,8 @@ def profiles(docs: DataFrame, hot: np.ndarray, cfg: Settings) -> DataFrame:
                     low, tie = np.flatnonzero(rank < cut), np.flatnonzero(rank == cut)
                     low = low[np.lexsort((s[low], rank[low]))]
                     rare = s[np.concatenate([low, tie])[:p]].view(np.int64)  # s is sorted, so ties are
-                    keys = [int(ngrams.mixed(s * _ODD[k % 4] + np.uint64(k)).min().view(np.int64))
+                    own = s[rank <= np.partition(rank, n // 2)[n // 2]]  # less what is shared widely
+                    keys = [int(ngrams.mixed(own * _ODD[k % 4] + np.uint64(k)).min().view(np.int64))
                             for k in range(cfg.hashes)]
                 rows.append((n, int(a.sum(dtype=np.uint64).view(np.int64)) if n else 0,
                              int(np.bitwise_xor.reduce(b).view(np.int64)) if n else 0, keys, rare))
@@ -272,9 +273,9 @@ def near_groups(docs: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame
     """(doc_id, comp) of every class: linked through groups that share a minimum hash."""
     comps = stored(classes.select("doc_id", F.col("doc_id").alias("comp")), "jaccard-comps")
     for k in range(cfg.hashes):
-        key = stored(classes.select("doc_id", F.get("keys", F.lit(k)).alias("key")), f"jaccard-keys-{k}")
+        keys = stored(classes.select("doc_id", F.get("keys", F.lit(k)).alias("key")), f"jaccard-keys-{k}")
         for level in range(8):
-            leaders = comps.select(F.col("comp").alias("doc_id")).distinct().join(key, "doc_id")
+            leaders = comps.select(F.col("comp").alias("doc_id")).distinct().join(keys, "doc_id")
             counts = leaders.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
             split = stored(leaders.join(counts, "key").withColumn("parts", F.ceil(F.col("m") / cfg.group)).select(
                 "doc_id", "key", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("parts")).alias("salt"),
@@ -283,8 +284,9 @@ def near_groups(docs: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame
                 F.col("doc_id").alias("comp"), "leader"), f"jaccard-links-{k}-{level}")
             comps = stored(comps.join(linked_to, "comp", "left").select(
                 "doc_id", F.coalesce("leader", "comp").alias("comp")), f"jaccard-comps-{k}-{level}")
-            # groups that were dealt to several trees meet again as leaders
-            if split.filter("parts > 1").isEmpty() or linked_to.isEmpty():
+            # the leaders of keys that were dealt to several trees meet again, those of other keys don't
+            keys = stored(split.filter("parts > 1").select("doc_id", "key"), f"jaccard-keys-{k}-{level}")
+            if keys.isEmpty() or linked_to.isEmpty():
                 break
     return comps
 
