@@ -235,15 +235,13 @@ def main_text(pages: DataFrame) -> DataFrame:
         "constants", ""))).alias("b")).first()["b"] or 0
     joined = hosted.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["text"] = [extract(h, r or "", frozenset(c) if c is not None else frozenset()) for h, r, c in zip(
-                batch["html"], batch["root"], batch["constants"])]
-            yield batch[["page_id", "url", "text"]]
-
-    kinds = dict(pages.select("page_id", "url").dtypes)
-    return joined.select("page_id", "url", "html", "root", "constants").mapInPandas(
-        read, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    @F.pandas_udf("string")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for pages, roots, constants in batches:
+            yield pd.Series([extract(h, r or "", frozenset(c) if c is not None else frozenset())
+                             for h, r, c in zip(pages, roots, constants)])
+
+    return joined.select("page_id", "url", read("html", "root", "constants").alias("text"))
 
 
 def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardsift.llm import ngrams
@@ -220,21 +220,21 @@ def hot_buckets(docs: DataFrame, cfg: Settings) -> np.ndarray:
 def profiles(docs: DataFrame, hot: np.ndarray, cfg: Settings) -> DataFrame:
     """(doc_id, n, s1, s2, keys, rare): set size, signature, minimum hashes and rarest shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # of fixed size
-    ten = -(-100 // (100 - cfg.percent))  # below this size only equal sets are alike enough
+    least = -(-100 // (100 - cfg.percent)) if cfg.percent < 100 else 1 << 62  # of sets with unequal partners
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n long, s1 long, s2 long, keys array<long>, rare array<long>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         order = shared.value
-        for batch in batches:
+        for batch in texts:
             rows = []
-            for s in shingle_sets(list(batch["text"]), cfg.words):
+            for s in shingle_sets(list(batch), cfg.words):
                 n = len(s)
                 a, b = ngrams.mixed(s * _ODD[1]), ngrams.mixed(s * _ODD[2])
                 rare = keys = None
-                if n >= ten:
+                if n >= least:
                     rank = order[(s >> np.uint64(64 - cfg.bits)).astype(np.int64)]
                     p = prefix_size(n, cfg.percent)
-                    part = np.argpartition(rank, p - 1)[:p]
-                    cut = rank[part].max()
+                    cut = np.partition(rank, p - 1)[p - 1]
                     low, tie = np.flatnonzero(rank < cut), np.flatnonzero(rank == cut)
                     low = low[np.lexsort((s[low], rank[low]))]
                     rare = s[np.concatenate([low, tie])[:p]].view(np.int64)  # s is sorted, so ties are
@@ -243,12 +243,9 @@ def profiles(docs: DataFrame, hot: np.ndarray, cfg: Settings) -> DataFrame:
                             for k in range(cfg.hashes)]
                 rows.append((n, int(a.sum(dtype=np.uint64).view(np.int64)) if n else 0,
                              int(np.bitwise_xor.reduce(b).view(np.int64)) if n else 0, keys, rare))
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "keys", "rare"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            yield pd.DataFrame(rows, columns=["n", "s1", "s2", "keys", "rare"])
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n long, s1 long, s2 long, keys array<long>, rare array<long>")
+    return docs.select("doc_id", run(F.coalesce("text", F.lit(""))).alias("_r")).select("doc_id", "_r.*")
 
 
 def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -293,8 +290,6 @@ def near_groups(docs: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame
 
 def candidates(classes: DataFrame, comps: DataFrame, cfg: Settings) -> DataFrame:
     """(a, b): classes of different components that share a rare shingle and may be alike."""
-    from pyspark.sql import Window
-
     rows = classes.join(comps, "doc_id").select("doc_id", "comp", "n", F.posexplode("rare").alias("at", "token"))
     w = Window.partitionBy("token")
     mixed = rows.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).filter(
@@ -374,5 +369,13 @@ def join(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
         "root", "rep", "doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """The documents without those that a smaller doc_id of their component stands for."""
+    found = join(docs, cfg)
+    dropped = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-dropped")
+    small = dropped.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

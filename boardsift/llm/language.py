@@ -184,20 +184,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for batch in batches:
-            some = batch["text"].notna().to_numpy()
+        for batch in texts:
+            some = batch.notna().to_numpy()
             lang, score = np.full(len(batch), "und", object), np.zeros(len(batch))
             if some.any():
-                p = m.scores(list(batch["text"][some]))
+                p = m.scores(list(batch[some]))
                 lang[some] = np.array(m.languages, object)[p.argmax(axis=1)]
                 score[some] = p.max(axis=1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": score})
+            yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text.alias("text")).mapInPandas(
-        run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", run(text).alias("_r")).select("doc_id", "_r.*")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

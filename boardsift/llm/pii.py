@@ -64,6 +64,10 @@ KINDS = [
 TOKEN = sp.Kind("token", r"\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9])|[^\x20\x09-\x0D]+")
 
 
+#: Texts with new identifiers are sent to all tasks up to this many.
+BROADCAST_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class Bootstrap:
     """``support``: different believed tokens a pattern needs; ``confidence``: of a pattern;
@@ -103,16 +107,17 @@ def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         value = F.regexp_replace(z["value"], r"""^[("'<\[{]++|[.,;:!?)"'>\]}#*$%&|]++$""", "")
         return F.struct((z["start"] + lead).alias("start"), value.alias("value"), left(i).alias("pattern"))
 
-    at = F.filter(F.sequence(F.lit(2), F.size(t) - 1), lambda i: F.get(t, i)["value"].rlike("[0-9@]"))
-    rows = found.filter(F.size(t) > 2).select("_id", "_hash", F.explode(F.transform(at, mention)).alias("m")).select(
+    # no filter on the tokens: it would be unfolded below their computation
+    third = F.when(F.size(t) > 2, F.sequence(F.lit(2), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
+    at = F.filter(third, lambda i: F.get(t, i)["value"].rlike("[0-9@]"))
+    rows = found.select("_id", "_hash", F.explode(F.transform(at, mention)).alias("m")).select(
         "_id", "_hash", "m.*").filter(F.char_length("value") >= 4)
     v = F.col("value")
     seed = v.rlike(EMAIL) | (v.rlike(f"^{IP}$") & _bytes_of_ip(v)) | (v.rlike(f"^{CARD}$") & _is_card(v)) | (
         v.rlike(f"^{PHONE}$") & _is_phone(v))
     rows = rows.withColumns({"seed": seed, "instance": F.lower("value"),
                              "end": F.col("start") + F.char_length("value")})
-    totals = found.filter(F.size(t) > 2).select(F.explode(F.transform(
-        F.sequence(F.lit(2), F.size(t) - 1), left)).alias("pattern")).groupBy("pattern").agg(
+    totals = found.select(F.explode(F.transform(third, left)).alias("pattern")).groupBy("pattern").agg(
         F.count("*").alias("total"))
     return rows, totals
 
@@ -152,11 +157,17 @@ def discovered(docs: DataFrame, cfg: Bootstrap = Bootstrap()) -> DataFrame:
         F.sort_array(F.collect_set(span)).alias("context"))
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Stored, and sent to all tasks if they are few; else joined by a shuffle."""
+    rows = stored(rows, "pii-discovered")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def find(docs: DataFrame, cfg: Bootstrap = Bootstrap()) -> DataFrame:
     """Adds ``spans_<kind>`` of the fixed kinds and ``spans_context`` to (doc_id, text)."""
     new = discovered(docs, cfg).withColumnsRenamed({"_id": "_id2", "_hash": "_hash2"})
     base = base_spans(_keyed(docs.select("doc_id", "text"))).drop("text", "_text")
-    return base.join(new, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left").select(
+    return base.join(_sent(new), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left").select(
         "doc_id", *(f"spans_{k.name}" for k in KINDS), F.coalesce(
             "context", F.array().cast(sp.SPAN)).alias("spans_context"))
 
@@ -165,8 +176,8 @@ def mask(docs: DataFrame, cfg: Bootstrap = Bootstrap()) -> DataFrame:
     """``docs`` with every personal span of ``text`` replaced by its kind in brackets."""
     new = discovered(docs, cfg).select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), F.transform(
         "context", lambda z: z["value"]).alias("_values"))
-    out = _keyed(docs).join(new, F.col("_id").eqNullSafe(F.col("_id2")) & (
-        F.col("_hash") == F.col("_hash2")), "left")
+    rows = _keyed(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
+    out = rows.join(_sent(new), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
     x, new_values = F.col("_text"), F.col("_values")
     # the quoted values, longest first; only texts with a discovery are searched for them
     quoted = F.array_join(F.transform(F.array_sort(F.array_distinct(new_values), lambda a, b: F.char_length(
@@ -179,7 +190,8 @@ def mask(docs: DataFrame, cfg: Bootstrap = Bootstrap()) -> DataFrame:
             0))).otherwise(F.array().cast("array<string>")))
         out = out.withColumn("_g", F.when(F.size("_m") > 0, F.split(x, kind.pattern, -1)))
         out = out.withColumn("_text", sp.replaced(x, F.col("_g"), F.col("_m"), _mark(kind)))
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_text"))).select(*docs.columns)
+    new_text = F.when(F.col("text").isNotNull(), F.col("_text"))
+    return out.select(*(new_text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def _mark(kind: sp.Kind):

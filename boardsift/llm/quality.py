@@ -190,14 +190,13 @@ def score(docs: DataFrame, model: Model, cfg: Settings = Settings()) -> DataFram
     """(doc_id, score, predicted) of (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            s = shared.value.scores(list(batch["text"]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": s, "predicted": (s >= cfg.cut).astype(np.int32)})
+    @F.pandas_udf("score double, predicted int")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            s = shared.value.scores(list(batch))
+            yield pd.DataFrame({"score": s, "predicted": (s >= cfg.cut).astype(np.int32)})
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", run(F.coalesce("text", F.lit(""))).alias("_r")).select("doc_id", "_r.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm.common import SPACE, stored, table
+from boardsift.operators.score import settle
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "distinct_share"]
@@ -188,9 +189,10 @@ def filtered(docs: DataFrame, labels: DataFrame, cfg: Learner = Learner()) -> Da
     """The documents that pass, with their own columns."""
     stats = stored(statistics(docs.select("doc_id", "text")).drop("text"), "rule-stats")
     verdict = expression(learned(stats, labels, cfg))
-    # rand() is never true here; it keeps the filter above the statistics, which are dear
-    judged = statistics(docs).withColumn("_kept", ~F.col("base_failed") & verdict & (F.rand(0) >= 0))
-    return judged.filter("_kept").select(*docs.columns)
+    judged = statistics(docs.select(F.struct("*").alias("_row"), "text"))
+    # settled, so that the filter does not unfold the statistics below it
+    judged = settle(judged.select("_row", *FEATURES, "base_failed"), {"_kept": ~F.col("base_failed") & verdict})
+    return judged.filter("_kept").select("_row.*")
 
 
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
