@@ -7,7 +7,7 @@
    when everything below is linked already.  Leaders of the linked sets go on to the next round.
 3. What is exact: every class lists its rarest shingles, as many as any partner must share one of
    (prefix filter).  Shingles that join different components so far give candidate pairs, cut by
-   length and position bounds, and each candidate is verified on the whole texts.
+   the length, shared-list and sketch bounds, and each candidate is verified on the whole texts.
 
 So round 2 only saves work: large groups of near copies are linked there once, not pairwise.
 
@@ -218,11 +218,12 @@ def hot_buckets(docs: DataFrame, cfg: Settings) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, hot: np.ndarray, cfg: Settings) -> DataFrame:
-    """(doc_id, n, s1, s2, keys, rare): set size, signature, minimum hashes and rarest shingles."""
+    """(doc_id, n, s1, s2, keys, rare, sketch): size, signature, minimum hashes, rarest shingles and a
+    sketch: for each of 1024 hash buckets whether an odd number of shingles falls into it."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # of fixed size
     least = -(-100 // (100 - cfg.percent)) if cfg.percent < 100 else 1 << 62  # of sets with unequal partners
 
-    @F.pandas_udf("n long, s1 long, s2 long, keys array<long>, rare array<long>")
+    @F.pandas_udf("n long, s1 long, s2 long, keys array<long>, rare array<long>, sketch array<long>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         order = shared.value
         for batch in texts:
@@ -230,7 +231,7 @@ def profiles(docs: DataFrame, hot: np.ndarray, cfg: Settings) -> DataFrame:
             for s in shingle_sets(list(batch), cfg.words):
                 n = len(s)
                 a, b = ngrams.mixed(s * _ODD[1]), ngrams.mixed(s * _ODD[2])
-                rare = keys = None
+                rare = keys = sketch = None
                 if n >= least:
                     rank = order[(s >> np.uint64(64 - cfg.bits)).astype(np.int64)]
                     p = prefix_size(n, cfg.percent)
@@ -241,9 +242,11 @@ def profiles(docs: DataFrame, hot: np.ndarray, cfg: Settings) -> DataFrame:
                     own = s[rank <= np.partition(rank, n // 2)[n // 2]]  # less what is shared widely
                     keys = [int(ngrams.mixed(own * _ODD[k % 4] + np.uint64(k)).min().view(np.int64))
                             for k in range(cfg.hashes)]
+                    parity = np.bincount((a >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+                    sketch = np.packbits(parity.astype(np.uint8)).view(np.int64)
                 rows.append((n, int(a.sum(dtype=np.uint64).view(np.int64)) if n else 0,
-                             int(np.bitwise_xor.reduce(b).view(np.int64)) if n else 0, keys, rare))
-            yield pd.DataFrame(rows, columns=["n", "s1", "s2", "keys", "rare"])
+                             int(np.bitwise_xor.reduce(b).view(np.int64)) if n else 0, keys, rare, sketch))
+            yield pd.DataFrame(rows, columns=["n", "s1", "s2", "keys", "rare", "sketch"])
 
     return docs.select("doc_id", run(F.coalesce("text", F.lit(""))).alias("_r")).select("doc_id", "_r.*")
 
@@ -290,25 +293,36 @@ def near_groups(docs: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame
 
 def candidates(classes: DataFrame, comps: DataFrame, cfg: Settings) -> DataFrame:
     """(a, b): classes of different components that share a rare shingle and may be alike."""
-    rows = classes.join(comps, "doc_id").select("doc_id", "comp", "n", F.posexplode("rare").alias("at", "token"))
+    rows = classes.join(comps, "doc_id").select("doc_id", "comp", "n", F.explode("rare").alias("token"))
     w = Window.partitionBy("token")
     mixed = rows.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).filter(
         "lo <> hi").drop("lo", "hi")
     mixed = stored(mixed, "jaccard-mixed")
-    a = mixed.select("token", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "comp", "n", "at")))
-    b = mixed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "comp", "n", "at")))
-    need = cfg.percent * (F.col("a_n") + F.col("b_n"))
-
-    def may(rest: Column) -> Column:
-        return (100 + cfg.percent) * rest >= need
-
-    return a.join(b, "token").filter(
+    a = mixed.select("token", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "comp", "n")))
+    b = mixed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "comp", "n")))
+    # what both lists share, counted once for each pair; where one list ends first, all that its set
+    # shares up to there is counted, and of the rest no more than its remaining length can be shared
+    met = a.join(b, "token").filter(
         (F.col("a_comp") != F.col("b_comp")) & ((F.col("a_n") < F.col("b_n")) | (
             (F.col("a_n") == F.col("b_n")) & (F.col("a_doc_id") < F.col("b_doc_id"))))
         & (100 * F.col("a_n") >= cfg.percent * F.col("b_n"))
-        & may(F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")))
-    ).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"), F.col("a_comp").alias("ca"),
-             F.col("b_comp").alias("cb")).distinct()
+    ).groupBy("a_doc_id", "b_doc_id", "a_comp", "b_comp", "a_n", "b_n").agg(F.count("*").alias("met"))
+
+    def rest(n: Column) -> Column:
+        return F.ceil(cfg.percent * n / 100) - 1  # less the list itself
+
+    bound = F.col("met") + F.greatest(rest(F.col("a_n")), rest(F.col("b_n")))
+    met = met.filter((100 + cfg.percent) * bound >= cfg.percent * (F.col("a_n") + F.col("b_n")))
+    # two parity sketches differ in no more places than their sets in members
+    sketch = classes.select("doc_id", "sketch")
+    both = met.join(sketch.withColumnsRenamed({"doc_id": "a_doc_id", "sketch": "sa"}), "a_doc_id").join(
+        sketch.withColumnsRenamed({"doc_id": "b_doc_id", "sketch": "sb"}), "b_doc_id")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+                         lambda acc, x: acc + x)
+    total = F.col("a_n") + F.col("b_n")
+    return both.filter((100 + cfg.percent) * differ <= (100 - cfg.percent) * total).select(
+        F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"), F.col("a_comp").alias("ca"),
+        F.col("b_comp").alias("cb"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, cfg: Settings) -> DataFrame:
