@@ -139,7 +139,8 @@ def tree(parts: list[tuple[str, bool, str]]) -> dict:
     for path, inside, text in parts[:NODES]:
         names = path.split("/") if path else []
         k = 0
-        while k < min(len(names), len(open_path)) and names[k] == open_path[k]:
+        # the innermost element of a block is its own, the ones around it are shared
+        while k < min(len(names) - 1, len(open_path)) and names[k] == open_path[k]:
             k += 1
         del nodes[k + 1:]
         for name in names[k:]:

@@ -75,7 +75,7 @@ class Bootstrap:
 
     rounds: int = 3
     support: int = 3
-    confidence: float = 0.6
+    confidence: float = 0.5
     accept: float = 0.8
 
 
