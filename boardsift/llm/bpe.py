@@ -53,8 +53,8 @@ aggregate(
   CASE WHEN octet_length(w) > 1 THEN sequence(2, octet_length(w)) ELSE array() END,
   named_struct(
     'p', transform(sequence(1, octet_length(w)), i -> substring(w, i, 1)),
-    'r', CASE WHEN octet_length(w) > 1 THEN transform(sequence(1, octet_length(w) - 1), i ->
-           element_at(transform(array(substring(w, i, 2)), q -> {_rank('q')}), 1)) ELSE cast(array() AS array<int>) END),
+    'r', CASE WHEN octet_length(w) > 1 THEN transform(transform(sequence(1, octet_length(w) - 1), i ->
+           substring(w, i, 2)), q -> {_rank('q')}) ELSE cast(array() AS array<int>) END),
   (a, k) -> CASE WHEN coalesce(array_min(a.r), {NONE}) = {NONE} THEN a ELSE
     element_at(transform(array(cast(array_position(a.r, array_min(a.r)) AS int)), i ->
       element_at(transform(array(concat(element_at(a.p, i), element_at(a.p, i + 1))), m ->
@@ -62,10 +62,12 @@ aggregate(
           'p', concat(slice(a.p, 1, i - 1), array(m), slice(a.p, i + 2, size(a.p))),
           'r', concat(
             slice(a.r, 1, greatest(i - 2, 0)),
-            CASE WHEN i > 1 THEN transform(array(concat(element_at(a.p, i - 1), m)), q -> {_rank('q')})
-                 ELSE cast(array() AS array<int>) END,
-            CASE WHEN i + 1 < size(a.p) THEN transform(array(concat(m, element_at(a.p, i + 2))), q -> {_rank('q')})
-                 ELSE cast(array() AS array<int>) END,
+            transform(
+              CASE WHEN i = 1 AND size(a.p) = 2 THEN cast(array() AS array<binary>)
+                   WHEN i = 1 THEN array(concat(m, element_at(a.p, 3)))
+                   WHEN i + 1 = size(a.p) THEN array(concat(element_at(a.p, i - 1), m))
+                   ELSE array(concat(element_at(a.p, i - 1), m), concat(m, element_at(a.p, i + 2))) END,
+              q -> {_rank('q')}),
             slice(a.r, i + 2, size(a.r))))), 1)), 1) END,
   a -> a.p)
 """
@@ -73,7 +75,7 @@ aggregate(
 #: What is kept of an encoded word: how many ids, the ids as text, and the decoded piece.
 CODE = f"""
 element_at(transform(array(cast(WORD AS binary)), w ->
-  element_at(transform(array(transform({FOLD}, q -> {_rank('q')})), ids -> named_struct(
+  element_at(transform(array(transform({FOLD}, q -> element_at(get(c.ranks, {_bucket('q')}), q))), ids -> named_struct(
     'n', size(ids),
     'ids', array_join(transform(ids, x -> cast(x AS string)), ' '),
     'text', decode(unhex(array_join(transform(ids, x -> get(c.vocab, x)), '')), 'UTF-8'))), 1)), 1)
