@@ -26,12 +26,12 @@ def strip(x: str) -> str:
 
 def clean_string(x: str) -> str:
     text = f"coalesce(CAST({x} AS VARCHAR), 'Unknown')"
-    return f"substring({strip(text)}, 1, 200)"
+    return strip(text)
 
 
 def clean_description(x: str) -> str:
-    return (f"substring(trim(regexp_replace(regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g'),"
-            f" '{WS}+', ' ', 'g')), 1, 5000)")
+    return (f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g'),"
+            f" '{WS}+', ' ', 'g'))")
 
 
 def clean_url(x: str) -> str:

@@ -362,7 +362,7 @@ def experience_applied(spark, sf_dir):
 
 
 @query("prompts", f"""WITH {SCORED} SELECT doc_id, {q(alerts.PROMPT_FORMAT).replace('%s', "' || {} || '").format(
-    'title', 'company', 'substring(description, 1, 2000)')} AS prompt
+    'title', 'company', 'description')} AS prompt
 FROM scored WHERE status = 'detected' AND combined_score >= 0.25""")
 def prompts(spark, sf_dir):
     df = scored(spark, sf_dir).filter(

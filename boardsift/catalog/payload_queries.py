@@ -149,7 +149,7 @@ _jobicy = obj("jobs", entries(4, fields_of("id=id jobTitle=t companyName=c jobGe
 case(S["Jobicy"], _jobicy, 4, {"salary": _SAL, "job_type": "'full, part'"},
      where=has(both("t", "d", "'food'")), raw_key="id", key="raw_key")
 _findwork = obj("results", entries(4, fields_of("id=id role=t company_name=c location=l text=d url=u date_posted=p")))
-case(S["Findwork"], _findwork, 4, {"location": "coalesce(l, 'Unknown')"}, words=3, raw_key="id", key="raw_key")
+case(S["Findwork"], _findwork, 4, {"location": "coalesce(l, 'Unknown')"}, raw_key="id", key="raw_key")
 _MUSE_ENTRY = (fields_of("id=id name=t contents=d publication_date=p") + ", 'locations', IF(v.l = '', array(),"
                " array(named_struct('name', v.l))), 'refs', named_struct('landing_page', v.u), 'company', ")
 _muse = (f"IF(doc_id % 2 = 1, {obj('results', entries(4, _MUSE_ENTRY + 'named_struct(' + q('name') + ', v.c)'))},"
@@ -166,39 +166,38 @@ _X = f"regexp_replace({_HN_TEXT}, '<[^>]+>', ' ', 'g')"
 _LOW = f"lower({_X})"
 _FIRST = f"split_part({duck.strip(_X)}, chr(10), 1)"
 _HN_COMMON = {
-    "company": f"CASE WHEN contains({_FIRST}, '|') THEN substring({duck.strip(f'split_part({_FIRST}, chr(124), 1)')}, 1, 50)"
-               f" WHEN length({_FIRST}) < 60 THEN substring({_FIRST}, 1, 50) ELSE 'HN Company' END",
+    "company": f"CASE WHEN contains({_FIRST}, '|') THEN {duck.strip(f'split_part({_FIRST}, chr(124), 1)')}"
+               f" WHEN length({_FIRST}) < 60 THEN {_FIRST} ELSE 'HN Company' END",
     "location": "'Remote/Various'", "url": "concat('https://news.ycombinator.com/item?id=', i)"}
 case(S["HN-Hiring"], _hn, 31,
-     {**_HN_COMMON, "description": f"substring({_X}, 1, 2000)",
+     {**_HN_COMMON, "description": f"{_X}",
       "title": f"CASE WHEN contains({_LOW}, 'data scientist') THEN 'Data Scientist' WHEN contains({_LOW}, 'data analyst') THEN 'Data Analyst'"
                f" WHEN contains({_LOW}, 'machine learning') OR contains({_LOW}, 'ml') THEN 'ML Engineer'"
                f" WHEN contains({_LOW}, 'engineer') THEN 'Software Engineer' ELSE 'Tech Position' END"},
-     where=f"{_HN_TEXT} <> '' AND {has(_X)}",
-     matched=25)
+     where=f"{_HN_TEXT} <> '' AND {has(_X)}")
 _naukri = obj("jobDetails", entries(4, fields_of("jobId=id title=t companyName=c jobDescription=d jdURL=u footerPlaceholderLabel=p")
               + ", 'placeholders', IF(v.odd, array(named_struct('type', 'experience', 'label', '2-5 Yrs'),"
                 " named_struct('type', 'location', 'label', v.l)), array(named_struct('type', 'salary', 'label', '9 LPA')))"))
 case(S["Naukri"], _naukri, 4,
      {"location": "CASE WHEN odd THEN coalesce(l, 'India') ELSE 'India' END",
       "url": "'https://www.naukri.com' || coalesce(u, '')", "salary": "CASE WHEN odd THEN '2-5 Yrs' ELSE '9 LPA' END",
-      "job_type": "CASE WHEN odd THEN '2-5 Yrs' ELSE '' END"}, words=3, raw_key="id", key="raw_key")
+      "job_type": "CASE WHEN odd THEN '2-5 Yrs' ELSE '' END"}, raw_key="id", key="raw_key")
 _foundit = obj("jobSearchResponse.data", entries(4, fields_of("jobId=id title=t companyName=c jobDescription=d jobDetailUrl=u postedDate=p salary=s")
                + ", 'locations', IF(v.l IS NULL, array(), array(v.l, 'Pune'))"))
-case(S["Foundit"], _foundit, 4, {"location": "coalesce(l, 'India')", "salary": _SAL}, words=2, raw_key="id", key="raw_key")
+case(S["Foundit"], _foundit, 4, {"location": "coalesce(l, 'India')", "salary": _SAL}, raw_key="id", key="raw_key")
 _insta = obj("jobs", entries(4, fields_of("title=t description=d slug=id created_at=p salary_range=s")
              + ", 'company', named_struct('name', v.c), 'locations', IF(v.l IS NULL, NULL, array(v.l, 'Pune'))"))
 case(S["Instahyre"], _insta, 4,
      {"location": "CASE WHEN l IS NULL THEN 'India' ELSE l || ', Pune' END", "salary": _SAL,
-      "url": "'https://www.instahyre.com/job/' || coalesce(CAST(id AS VARCHAR), '')"}, words=2)
+      "url": "'https://www.instahyre.com/job/' || coalesce(CAST(id AS VARCHAR), '')"})
 _cut = either("jobs", entries(61, fields_of("id=id title=t location=l description=d url=u posted_at=p salary=s")
               + ", 'company', named_struct('name', v.c)"))
 case(S["Cutshort"], _cut, 61, {
     "location": "coalesce(l, 'India')", "salary": _SAL,
-    "url": "coalesce(u, 'https://cutshort.io/job/' || coalesce(CAST(id AS VARCHAR), ''))"}, first=50)
+    "url": "coalesce(u, 'https://cutshort.io/job/' || coalesce(CAST(id AS VARCHAR), ''))"})
 _hirist = (f"IF(doc_id % 2 = 0, {obj('data', entries(4, fields_of('title=t company=c location=l description=d url=u posted_date=p')))},"
            f" {obj('jobs', entries(4, fields_of('designation=t company_name=c location=l job_description=d apply_url=u posted_date=p')))})")
-case(S["Hirist"], _hirist, 4, {"location": "coalesce(l, 'India')"}, words=2)
+case(S["Hirist"], _hirist, 4, {"location": "coalesce(l, 'India')"})
 
 
 def _page(link: str, title: str, titles: str = "v -> v.i < 12") -> str:
@@ -210,18 +209,18 @@ def _page(link: str, title: str, titles: str = "v -> v.i < 12") -> str:
 case(S["LinkedIn"], _page("<a href=\"https://www.linkedin.com/jobs/view/', doc_id, '-', v.i, '?trk=x\">", "<span class=\"sr-only\">', coalesce(v.t, 'x'), '</span>"), 31,
      {"title": "CASE WHEN i < 12 THEN coalesce(t, 'x') ELSE keyword || ' position' END", "company": "'LinkedIn Listing'",
       "location": "'India'", "description": "CASE WHEN i < 12 THEN coalesce(t, 'x') ELSE keyword || ' position' END",
-      "url": "'https://www.linkedin.com/jobs/view/' || doc_id || '-' || i", "posted": "'Recent'"}, first=20, words=2)
+      "url": "'https://www.linkedin.com/jobs/view/' || doc_id || '-' || i", "posted": "'Recent'"})
 _ni_title = duck.strip("coalesce(t, 'x')")
 case(S["Naukri-Index"], f"array_join(transform({entries(31, fields_of('i=i t=t'))}, v -> concat('<a class=\"r\" href=\"https://www.naukri.com/job-listings-', doc_id, '-', v.i % 7, '\">', coalesce(v.t, 'x'), '</a>')), ' ')", 31,
-     {"title": f"substring({_ni_title}, 1, 100)", "company": "'Naukri Listing'", "location": "'India'", "description": _ni_title,
-      "url": "'https://www.naukri.com/job-listings-' || doc_id || '-' || (i % 7)", "posted": "''"}, first=10, words=2, key="url")
+     {"title": f"{_ni_title}", "company": "'Naukri Listing'", "location": "'India'", "description": _ni_title,
+      "url": "'https://www.naukri.com/job-listings-' || doc_id || '-' || (i % 7)", "posted": "''"}, key="url")
 _google = obj("jobs_results", entries(31, fields_of("title=t company_name=c location=l description=d share_link=u")
               + ", 'apply_options', IF(v.odd, array(named_struct('link', concat('https://apply.example/', v.i))), array()),"
                 " 'detected_extensions', named_struct('posted_at', v.p, 'schedule_type', 'Full-time', 'salary', v.s)"))
-_G = {"location": "coalesce(l, 'India')", "description": "substring(d, 1, 2000)", "salary": _SAL, "job_type": "'Full-time'",
+_G = {"location": "coalesce(l, 'India')", "description": "d", "salary": _SAL, "job_type": "'Full-time'",
       "url": "CASE WHEN odd THEN 'https://apply.example/' || i ELSE coalesce(u, '') END"}
 _FOLDED = "lower(title) || '|' || lower(company)"
-case(S["Google-Jobs"], _google, 31, _G, first=15, key=_FOLDED)
+case(S["Google-Jobs"], _google, 31, _G, key=_FOLDED)
 _gh = obj("jobs", entries(4, fields_of("title=t absolute_url=u updated_at=p") + ", 'location', named_struct('name', v.l)"))
 _gh_text = obj("jobs", entries(4, fields_of("title=t location=l absolute_url=u updated_at=p")))
 
@@ -235,7 +234,7 @@ case(S["Greenhouse"], f"IF(doc_id % 3 = 0, {_gh_text}, {_gh})", 4,
      where=f"{has('t')} AND " + allowed("coalesce(l, '')", vocab.ATS_LOCATIONS), raw_key="coalesce(t, '') || '_' || board", key="raw_key")
 _lever = root(entries(4, fields_of("text=t descriptionPlain=d hostedUrl=u createdAt=s") + ", 'categories', named_struct('location', v.l, 'commitment', 'Full')"))
 case(S["Lever"], _lever, 4,
-     {"company": BOARD_SHOWN, "description": "substring(d, 1, 2000)", "posted": _SAL, "job_type": "'Full'"},
+     {"company": BOARD_SHOWN, "description": "d", "posted": _SAL, "job_type": "'Full'"},
      where=f"{has('t')} AND " + allowed("coalesce(l, 'Remote')", vocab.ATS_LOCATIONS),
      raw_key="coalesce(t, '') || '_' || board", key="raw_key")
 _ashby_jobs = entries(4, fields_of("id=id title=t locationName=l") + ", 'employmentType', 'FullTime'")
@@ -249,62 +248,62 @@ case(S["Ashby"], _ashby, 4,
 case(S["India-Startups"], _gh, 4,
      {"company": BOARD_TITLED, "location": "coalesce(nullif(l, ''), 'India')", "description": "NULL"}, where=has("t"))
 _nomads = root(entries(4, fields_of("title=t company_name=c location=l description=d url=u pub_date=p") + ", 'category_name', 'Kitchen'" + _tags))
-case(S["WorkingNomads"], _nomads, 4, {"description": "substring(d, 1, 2000)", "job_type": "'Kitchen'"},
+case(S["WorkingNomads"], _nomads, 4, {"description": "d", "job_type": "'Kitchen'"},
      where=has("t", "'Kitchen'", TAG_TEXT))
 _remotive = obj("jobs", entries(4, fields_of("title=t company_name=c candidate_required_location=l description=d url=u publication_date=p salary=s job_type=p") + _tags))
-case(S["Remotive"], _remotive, 4, {"description": "substring(d, 1, 2000)", "salary": _SAL, "job_type": "coalesce(p, '')"},
+case(S["Remotive"], _remotive, 4, {"description": "d", "salary": _SAL, "job_type": "coalesce(p, '')"},
      where=has("t", TAG_TEXT))
 _rss = ("concat('<rss><channel>', array_join(transform(" + entries(41, fields_of("i=i t=t c=c u=u p=p d=d"))
         + ", v -> concat('<item>', CASE WHEN v.t IS NULL THEN '' WHEN v.i % 2 = 0 THEN concat('<title><![CDATA[', coalesce(concat(v.c, ': '), ''), v.t, ']]></title>')"
           " ELSE concat('<title>', v.t, '</title>') END, coalesce(concat('<link>', v.u, '</link>'), ''), coalesce(concat('<pubDate>', v.p, '</pubDate>'), ''),"
           " coalesce(concat('<description><![CDATA[', v.d, ']]></description>'), ''), '</item>')), chr(10)), '</channel></rss>')")
 _RT = duck.strip("CASE WHEN i % 2 = 0 THEN coalesce(c || ': ', '') || t ELSE t END")
-_RD = "coalesce(substring(d, 1, 500), '')"
+_RD = "coalesce(d, '')"
 _WWR = {"location": "'Remote'", "url": "coalesce(u, '')", "posted": "coalesce(p, '')", "description": _RD,
-        "title": f"substring(CASE WHEN contains({_RT}, ':') THEN {duck.strip(f'substring({_RT}, instr({_RT}, chr(58)) + 1)')} ELSE {_RT} END, 1, 100)",
-        "company": f"substring(CASE WHEN contains({_RT}, ':') THEN {duck.strip(f'split_part({_RT}, chr(58), 1)')} ELSE 'Unknown' END, 1, 50)"}
-case(S["WWRemotely"], _rss, 41, _WWR, where=f"t IS NOT NULL AND {has(_RT, _RD)}", first=30, raw_key=_RT, key="raw_key")
+        "title": f"CASE WHEN contains({_RT}, ':') THEN {duck.strip(f'substring({_RT}, instr({_RT}, chr(58)) + 1)')} ELSE {_RT} END",
+        "company": f"CASE WHEN contains({_RT}, ':') THEN {duck.strip(f'split_part({_RT}, chr(58), 1)')} ELSE 'Unknown' END"}
+case(S["WWRemotely"], _rss, 41, _WWR, where=f"t IS NOT NULL AND {has(_RT, _RD)}", raw_key=_RT, key="raw_key")
 case(S["JustRemote"], either("jobs", entries(4, fields_of("title=t company=c location=l description=d url=u date=p"))), 4,
-     {"description": "substring(d, 1, 2000)"}, where=has("t"))
+     {"description": "d"}, where=has("t"))
 _yc = f"to_json(named_struct('results', array(named_struct('hits', {entries(41, fields_of('name=c isHiring=odd one_liner=t location=l slug=id'))}))))"
 case(S["YC-Jobs"], _yc, 41,
      {"title": "'Data Role at ' || coalesce(c, 'Unknown')", "description": "t", "posted": "''",
-      "url": "'https://www.ycombinator.com/companies/' || coalesce(CAST(id AS VARCHAR), '')"}, where=f"odd AND {has('t')}", first=30)
+      "url": "'https://www.ycombinator.com/companies/' || coalesce(CAST(id AS VARCHAR), '')"}, where=f"odd AND {has('t')}")
 _startup = either("jobs", entries(4, fields_of("title=t location=l description=d url=u published_at=p") + ", 'company', named_struct('name', v.c)"))
 _startup_text = obj("jobs", entries(4, fields_of("title=t company=c location=l description=d url=u published_at=p")))
-case(S["StartupJobs"], f"IF(doc_id % 3 = 0, {_startup_text}, {_startup})", 4, {"description": "substring(d, 1, 2000)"}, where=has("t"))
+case(S["StartupJobs"], f"IF(doc_id % 3 = 0, {_startup_text}, {_startup})", 4, {"description": "d"}, where=has("t"))
 _europe = root(entries(121, fields_of("id=id title=t company_name=c published_at=p") + ", 'workplace_type', IF(v.odd, 'Remote', 'office'),"
                " 'employment_types', array(named_struct('from', v.s, 'to', IF(v.odd, 90000, NULL), 'currency', 'pln'))"))
 case(S["Europe-Remote"], _europe, 121,
      {"location": "'Remote (Europe)'", "description": "NULL", "url": "'https://justjoin.it/offers/' || coalesce(CAST(id AS VARCHAR), '')",
-      "salary": "CASE WHEN s <> 0 THEN s || '-90000 pln' END"}, where=f"odd AND {has('t')}", first=100)
+      "salary": "CASE WHEN s <> 0 THEN s || '-90000 pln' END"}, where=f"odd AND {has('t')}")
 _crypto = either("jobs", entries(61, fields_of("title=t company=c description=d apply_url=u created_at=p")))
-case(S["Crypto-Jobs"], _crypto, 61, {"location": "'Remote (Web3)'", "description": "substring(d, 1, 2000)"},
-     where=has("t", words=[*KEYWORDS, *vocab.CRYPTO_EXTRA_KEYWORDS]), first=50)
+case(S["Crypto-Jobs"], _crypto, 61, {"location": "'Remote (Web3)'", "description": "d"},
+     where=has("t", words=[*KEYWORDS, *vocab.CRYPTO_EXTRA_KEYWORDS]))
 _adzuna = obj("results", entries(4, fields_of("title=t description=d redirect_url=u created=p salary_min=s")
               + ", 'company', named_struct('display_name', v.c), 'location', named_struct('display_name', v.l), 'contract_type', 'permanent'"))
 case(S["Adzuna-India"], _adzuna, 4,
-     {"location": "coalesce(l, 'India')", "description": "substring(d, 1, 2000)", "salary": _SAL, "job_type": "'permanent'"}, words=3, key=_FOLDED)
+     {"location": "coalesce(l, 'India')", "description": "d", "salary": _SAL, "job_type": "'permanent'"}, key=_FOLDED)
 _indeed = obj("cards", entries(31, fields_of("title=t company=c location=l date=p") + ", 'href', IF(v.odd, v.u, concat('/rc/', v.i))"))
 _IN = {"location": "coalesce(l, 'India')", "description": "coalesce(t, 'Unknown') || ' at ' || coalesce(c, 'Unknown')",
        "url": "CASE WHEN odd THEN coalesce(u, '') ELSE 'https://in.indeed.com/rc/' || i END", "posted": "coalesce(p, 'Today')"}
-case(S["Indeed-India"], _indeed, 31, _IN, where="t IS NOT NULL", first=20, words=2,
+case(S["Indeed-India"], _indeed, 31, _IN, where="t IS NOT NULL",
      raw_key="coalesce(t, 'Unknown') || '_' || coalesce(c, 'Unknown')", key="raw_key")
 _bing = (f"concat('<ol>', array_join(transform({entries(11, fields_of('i=i t=t u=u odd=odd'))}, v -> concat('<li class=\"b_algo\" id=\"', v.i, '\">',"
          " '<h2><a href=\"', IF(v.odd, coalesce(v.u, 'x'), 'https://other.example'), '\" h=\"1\">', coalesce(v.t, 'x'), '</a></h2><p class=\"s\"> Snip ', v.i, '</p></li>')), chr(10)), '</ol>')")
 _BT = duck.strip("coalesce(t, 'x')")
 case(S["BingSearch"], _bing, 11,
-     {"title": f"substring(CASE WHEN contains({_BT}, ' at ') THEN split_part({_BT}, ' at ', 1) WHEN contains({_BT}, ' - ') THEN split_part({_BT}, ' - ', 1) ELSE {_BT} END, 1, 100)",
+     {"title": f"CASE WHEN contains({_BT}, ' at ') THEN split_part({_BT}, ' at ', 1) WHEN contains({_BT}, ' - ') THEN split_part({_BT}, ' - ', 1) ELSE {_BT} END",
       "company": f"CASE WHEN contains({_BT}, ' at ') THEN split_part({_BT}, ' at ', 2) WHEN contains({_BT}, ' - ') THEN split_part({_BT}, ' - ', 2) ELSE 'Unknown' END",
       "location": "'India'", "description": "'Snip ' || i", "url": "coalesce(u, 'x')", "posted": "''", "source": "'Bing→' || board"},
-     where="odd AND u IS NOT NULL", first=5, words=2, key="title || '_' || company")
+     where="odd AND u IS NOT NULL", key="title || '_' || company")
 _ddg = (f"array_join(transform({entries(21, fields_of('i=i t=t odd=odd'))}, v -> IF(doc_id % 2 = 0,"
         " concat('<a class=\"result__url\" rel=\"n\" href=\"https://', IF(v.odd, 'linkedin', 'blog'), '.example/', doc_id, '/', v.i % 5, '\">u</a> <a class=\"result__a\">', coalesce(v.t, 'x'), '</a> <a class=\"result__snippet\">s</a>'),"
         " concat('<a href=\"//duckduckgo.com/l/?uddg=https%3A%2F%2F', IF(v.odd, 'in.indeed', 'blog'), '.example%2F', doc_id, '%2F', v.i % 5, '&rut=1\">', coalesce(v.t, 'x'), '</a>'))), chr(10))")
 case(S["DuckDuckGo"], _ddg, 21,
      {"title": "coalesce(t, 'x')", "company": "'Unknown'", "location": "'India'", "description": "coalesce(t, 'x')", "posted": "''",
       "url": "'https://' || CASE WHEN doc_id % 2 = 0 THEN 'linkedin' ELSE 'in.indeed' END || '.example/' || doc_id || '/' || (i % 5)"},
-     where="odd", first=8, words=2, key="url")
+     where="odd", key="url")
 _ng = obj("organic_results", entries(4, fields_of("snippet=d") + ", 'link', IF(v.odd, concat('https://www.naukri.com/', doc_id, '/', v.i), 'https://x.example'),"
           " 'title', concat(v.t, ' - ', coalesce(v.c, ''), ' - Naukri.com - jobs | more')"))
 # Without a company the title ends in " -"; a dash inside it then splits it.
@@ -313,8 +312,8 @@ case(S["Naukri-Google"], _ng, 4,
                " WHEN c IS NULL THEN t || ' -' ELSE t END",
       "company": "CASE WHEN t IS NULL THEN 'Naukri Listing' WHEN c IS NULL AND contains(t, ' - ') THEN split_part(t, ' - ', 2) || ' -'"
                  " WHEN c IS NULL THEN 'Naukri Listing' ELSE c END", "location": "'India'",
-      "description": "substring(d, 1, 300)", "url": "'https://www.naukri.com/' || doc_id || '/' || i", "posted": "'Recent'"},
-     where="odd", words=1)
+      "description": "d", "url": "'https://www.naukri.com/' || doc_id || '/' || i", "posted": "'Recent'"},
+     where="odd")
 _land_root = root(entries(31, fields_of("title=t description=d location=l url=u created_at=p company_name=c")
                   + ", 'skills', 'none'"))
 _land_data = obj("data", entries(31, fields_of("title=t description=d city=l apply_url=u created_at=p")
@@ -323,36 +322,41 @@ _landing = f"IF(doc_id % 3 = 0, {_land_root}, {_land_data})"
 _SK = "CASE WHEN doc_id % 3 = 0 THEN '' WHEN odd THEN 'SQL Go' ELSE '' END"
 case(S["LandingJobs"], _landing, 31,
      {"title": "coalesce(t, '')", "description": f"lower(coalesce(t, '')) || ' ' || lower({_SK})"},
-     where=has(both("t", "d", _SK)), matched=25)
+     where=has(both("t", "d", _SK)))
 _github = obj("items", entries(11, "'path', concat('docs/', v.i, '.md'), 'html_url', concat('https://git.example/', doc_id, '/', v.i % 3), 'repository', named_struct('full_name', v.c)"))
 _KT = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {q(w.title())}" for i, w in enumerate(_WORDS)) + " END"
 case(S["GitHub-Jobs"], _github, 11,
      {"title": f"{_KT} || ' position'", "company": "coalesce(c, 'GitHub Listing')", "location": "'Remote/Various'",
       "description": "'Job listing found on GitHub: docs/' || i || '.md'", "url": "'https://git.example/' || doc_id || '/' || (i % 3)",
-      "posted": "''"}, first=5, words=2, key="url")
+      "posted": "''"}, key="url")
 
 # ------------------------------------------------------------ the older readings
 
 V1 = SPECS_V1
-_CUT = {"description": "substring(d, 1, 2000)"}
+_CUT = {"description": "d"}
 _TC = "title || '_' || company"
 case(V1["RemoteOK"], _remoteok, 4, {**_CUT, "url": "coalesce(u, 'https://remoteok.com')", "salary": _SAL},
      "normalize_v1_", where=has(both("t", "d", TAG_TEXT)))
 case(V1["Arbeitnow"], _arbeit, 4, {**_CUT, "location": "coalesce(l, 'Unknown')"}, "normalize_v1_", where=has(both("t", "d", TAG_TEXT)))
 case(V1["Jobicy"], _jobicy, 4, {**_CUT, "salary": _SAL, "job_type": "'full, part'"}, "normalize_v1_",
      where=has(both("t", "d", "'food'")), key=_TC)
-case(V1["Findwork"], _findwork, 4, {**_CUT, "location": "coalesce(l, 'Unknown')"}, "normalize_v1_", words=2, key=_TC)
-case(V1["WWRemotely"], _rss, 41, _WWR, "normalize_v1_", where=f"t IS NOT NULL AND {has(_RT)}", key=_TC)
+case(V1["Findwork"], _findwork, 4, {**_CUT, "location": "coalesce(l, 'Unknown')"}, "normalize_v1_", key=_TC)
+# even entries carry marks; the older reader sees no others, and drops tags without a gap
+_MT = "(coalesce(c || ': ', '') || t)"
+case(V1["WWRemotely"], _rss, 41, {
+    **_WWR, "description": "regexp_replace(coalesce(d, ''), '<[^>]+>', '', 'g')",
+    "title": f"CASE WHEN contains({_MT}, ':') THEN {duck.strip(f'substring({_MT}, instr({_MT}, chr(58)) + 1)')} ELSE {_MT} END",
+    "company": f"CASE WHEN contains({_MT}, ':') THEN {duck.strip(f'split_part({_MT}, chr(58), 1)')} ELSE 'Unknown' END"},
+    "normalize_v1_", where=f"i % 2 = 0 AND t IS NOT NULL AND {has(_MT)}", key=_TC)
 case(V1["HN-Hiring"], _hn, 31,
-     {**_HN_COMMON, "description": f"substring({_X}, 1, 500)",
+     {**_HN_COMMON, "description": f"{_X}",
       "title": f"CASE WHEN contains({_LOW}, 'engineer') THEN 'Software Engineer' WHEN contains({_LOW}, 'data scientist') THEN 'Data Scientist'"
                f" WHEN contains({_LOW}, 'analyst') THEN 'Data Analyst' WHEN contains({_LOW}, 'machine learning') OR contains({_LOW}, 'ml') THEN 'ML Engineer'"
                f" WHEN contains({_LOW}, 'python') THEN 'Python Developer' ELSE 'Tech Position' END"},
-     "normalize_v1_", where=f"{_HN_TEXT} <> '' AND {has(_X)}", matched=20)
+     "normalize_v1_", where=f"{_HN_TEXT} <> '' AND {has(_X)}")
 case(V1["Google-Jobs"], _google, 31,
-     {**_G, "title": "coalesce(t, '')", "description": "substring(d, 1, 500)"}, "normalize_v1_", first=20, words=1)
-case(V1["Indeed-India"], _indeed, 31, {**_IN, "posted": "coalesce(p, 'today')"}, "normalize_v1_", where="t IS NOT NULL",
-     first=15, words=2, key=_TC)
+     {**_G, "title": "coalesce(t, '')", "description": "d"}, "normalize_v1_")
+case(V1["Indeed-India"], _indeed, 31, {**_IN, "posted": "coalesce(p, 'today')"}, "normalize_v1_", where="t IS NOT NULL", key=_TC)
 
 
 case(V1["Himalayas"], f"IF(doc_id % 2 = 0, {_himal}, {_himal_list})", 4,

@@ -32,7 +32,7 @@ def query(name: str, oracle: str | None = None):
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
-    return streams.read_files(spark, sf_dir, f"{name}.parquet", schema)
+    return streams.read_files(spark, f"{sf_dir}/{name}.parquet", schema)
 
 
 def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +228,7 @@ _VEC = " + ".join(
     for c, w in zip("aeio", (0.5, 1.0, 0.25, 2.0)))
 
 
-@query("embed_distinct", f"WITH x AS (SELECT doc_id, substring(lower({duck.strip('text')}), 1, 5000) AS t FROM documents)"
+@query("embed_distinct", f"WITH x AS (SELECT doc_id, lower({duck.strip('text')}) AS t FROM documents)"
        f" SELECT doc_id, round({_VEC}, 6) AS similarity FROM x")
 def embed_distinct(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boardsift import vocab
-from boardsift.functions.text import PROMPT_DESCRIPTION_LENGTH, left
 
 
 def escape_html(c: Column) -> Column:
@@ -122,11 +121,12 @@ PROMPT_FORMAT = (
 
 
 def prompt(title: Column, company: Column, description: Column) -> Column:
-    return F.format_string(PROMPT_FORMAT, title, company,
-                           left(description, PROMPT_DESCRIPTION_LENGTH))
+    return F.format_string(PROMPT_FORMAT, title, company, description)
 
 
-REPLY_SCHEMA = "suitable_for_junior BOOLEAN, experience_required STRING, reason STRING"
+REPLY_SCHEMA = "suitable_for_junior STRING, experience_required STRING, reason STRING"
+# What counts as false in a reply; anything else is suitable.
+FALSE_WORDS = ["false", "0", "0.0", "no", "off", "f", "n"]
 # Reasons and confidence of verdicts.
 NO_REPLY = "LLM call failed, defaulting to suitable"
 BAD_REPLY = "Failed to parse LLM response"
@@ -147,9 +147,11 @@ def verdict_fields(reply: Column) -> dict[str, Column]:
     lost = reply.isNull() | (reply == "")
     return {
         "suitable": F.when(lost | empty, F.lit(True)).otherwise(
-            F.coalesce(parsed["suitable_for_junior"], F.lit(True))),
-        "experience_required": F.when(~(lost | empty), F.coalesce(
-            parsed["experience_required"], F.lit("Not specified"))),
+            ~F.coalesce(F.lower(F.trim(parsed["suitable_for_junior"])).isin(FALSE_WORDS), F.lit(False))),
+        # an explicit null stays null, a missing key has a default
+        "experience_required": F.when(~(lost | empty), F.when(F.array_contains(
+            F.json_object_keys(body), "experience_required"), parsed["experience_required"]).otherwise(
+            F.lit("Not specified"))),
         "reason": F.when(lost, F.lit(NO_REPLY)).when(empty, F.lit(BAD_REPLY)).otherwise(
             F.coalesce(parsed["reason"], F.lit(""))),
         "confidence": F.when(lost | empty, F.lit(0.0)).otherwise(F.lit(REPLY_CONFIDENCE)),

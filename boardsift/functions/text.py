@@ -20,11 +20,6 @@ SPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# Stored lengths.
-NAME_LENGTH = 200
-DESCRIPTION_LENGTH = 5000
-STORED_DESCRIPTION_LENGTH = 3000
-PROMPT_DESCRIPTION_LENGTH = 2000
 
 
 def strip(c: Column) -> Column:
@@ -47,12 +42,12 @@ def collapse(c: Column) -> Column:
 
 
 def clean_string(c: Column) -> Column:
-    return left(strip(F.coalesce(c.cast("string"), F.lit("Unknown"))), NAME_LENGTH)
+    return strip(F.coalesce(c.cast("string"), F.lit("Unknown")))
 
 
 def clean_description(c: Column) -> Column:
     text = F.coalesce(c.cast("string"), F.lit(""))
-    return left(collapse(strip_tags(text)), DESCRIPTION_LENGTH)
+    return collapse(strip_tags(text))
 
 
 def clean_url(c: Column) -> Column:

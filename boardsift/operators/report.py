@@ -146,11 +146,15 @@ def quota_gate(used: DataFrame, limit: int, per_run: int = 3) -> DataFrame:
 # ---------------------------------------------------------------- top lists
 
 
+def matches(scored: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """All detected listings that are worth an alert."""
+    return scored.filter((F.col("status") == "detected") & F.col("is_india")
+                         & (F.col("combined_score") >= cfg.min_score))
+
+
 def top_matches(scored: DataFrame, k: int = 20, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Best detected listings; equal scores are ordered by id, so runs agree."""
-    eligible = ((F.col("status") == "detected") & F.col("is_india")
-                & (F.col("combined_score") >= cfg.min_score))
-    return scored.filter(eligible).orderBy(F.desc("combined_score"), "job_id").limit(k)
+    return matches(scored, cfg).orderBy(F.desc("combined_score"), "job_id").limit(k)
 
 
 def table_top_matches(table: DataFrame, k: int = 20, min_score: float = 0.3) -> DataFrame:

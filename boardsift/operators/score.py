@@ -11,7 +11,7 @@ from boardsift.config import AGE_V1, AGE_V2, AgePolicy, MatchConfig, TaggedConfi
 from boardsift.functions import rules
 from boardsift.functions.age import age_hours
 from boardsift.functions.text import (
-    STORED_DESCRIPTION_LENGTH, any_keyword, left, match_text, round_score, weighted_terms)
+    any_keyword, match_text, round_score, weighted_terms)
 from boardsift.operators.tfidf import with_tfidf
 
 
@@ -110,9 +110,7 @@ def score_listings(df: DataFrame, as_of: datetime | str, cfg: MatchConfig = Matc
         "keyword_score": round_score(F.col("_keyword")),
         "combined_score": round_score(F.col("_score")),
     })
-    return df.withColumn(
-        "description", left(F.col("description"), STORED_DESCRIPTION_LENGTH)
-    ).drop("_skill_text", "_penalty", "_keyword", "_semantic", "_score")
+    return df.drop("_skill_text", "_penalty", "_keyword", "_semantic", "_score")
 
 
 def tag_listings(df: DataFrame, tags: dict[str, list[str]],

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from boardsift.functions.age import timestamp_literal
 from boardsift.operators import dedup, report, score, semantic, state
 from boardsift.plugins import classify, eligible, with_embedding
 from boardsift.sources import tables
-from boardsift.sources.normalizer import SourceSpec, ingest_log, normalize
+from boardsift.sources.normalizer import SourceSpec, ingest_log, normalize, quarantine
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,7 @@ class ScanResult:
     scored: DataFrame
     outbox: DataFrame
     history: DataFrame
+    quarantined: DataFrame
 
 
 def read_batch(landing: DataFrame, specs: Sequence[SourceSpec],
@@ -66,12 +68,18 @@ def score_batch(batch: DataFrame, known: DataFrame, as_of: str, cfg: MatchConfig
 
 def run_scan(spark: SparkSession, landing: DataFrame, root: str, run_id: str, as_of: str,
              specs: Sequence[SourceSpec], keywords: Sequence[str] | None = None,
-             cfg: MatchConfig = MatchConfig(), alerts: int = 15, **models) -> ScanResult:
-    """Normalise, deduplicate, score, store, and queue alerts."""
+             cfg: MatchConfig = MatchConfig(), **models) -> ScanResult:
+    """Normalise, deduplicate, score, store, and queue an alert for every match.
+
+    What does not parse is kept in the run's ``quarantine`` folder.  How many alerts go out at a
+    time is the sender's choice, see :func:`sender_batch` and :func:`mark_sent`.
+    """
     tables.create_tables(spark, root)
     keywords = all_search_keywords() if keywords is None else keywords
     run = f"{root}/runs/{run_id}"
     batch = _once(spark, f"{run}/batch", lambda: read_batch(landing, specs, keywords))
+    quarantined = _once(spark, f"{run}/quarantine", lambda: reduce(DataFrame.unionByName, [
+        quarantine(landing, spec, keywords) for spec in specs]))
     scored = _once(spark, f"{run}/scored", lambda: score_batch(
         batch, tables.known_ids(spark, root), as_of, cfg, **models))
     tables.insert_new(spark, scored, root, ["job_id"])
@@ -81,7 +89,7 @@ def run_scan(spark: SparkSession, landing: DataFrame, root: str, run_id: str, as
         F.col("notified_at").isNotNull())
     done = queued.select("job_id").union(notified.select("job_id"))
     outbox = _once(spark, f"{run}/outbox", lambda: state.pending_alerts(
-        report.top_matches(scored, alerts, cfg), done).select(
+        report.matches(scored, cfg), done).select(
         "job_id", "combined_score", "message", timestamp_literal(as_of).alias("queued_at")))
     tables.write_part(outbox, root, "outbox", run_id)
 
@@ -89,7 +97,20 @@ def run_scan(spark: SparkSession, landing: DataFrame, root: str, run_id: str, as
     history = scan_history(batch, scored, outbox, log, run_id, as_of, cfg)
     tables.write_part(history, root, "scan_history", run_id)
     return ScanResult(scored, outbox, tables.read_table(spark, root, "scan_history").filter(
-        F.col("run_id") == run_id))
+        F.col("run_id") == run_id), quarantined)
+
+
+def sender_batch(spark: SparkSession, root: str, k: int) -> DataFrame:
+    """The ``k`` best queued alerts that nobody was sent yet."""
+    sent = state.latest_status(tables.read_table(spark, root, "status_events")).filter(
+        F.col("notified_at").isNotNull())
+    return dedup.new_only(tables.read_table(spark, root, "outbox"), sent.select("job_id")).orderBy(
+        F.desc("combined_score"), "job_id").limit(k)
+
+
+def mark_sent(ids: DataFrame, root: str, part: str, as_of: str) -> None:
+    """Records that the alerts of ``ids`` (job_id) went out; ``part`` names the delivery."""
+    tables.write_part(state.status_events(ids.select("job_id"), "notified", as_of), root, "status_events", part)
 
 
 def scan_history(batch: DataFrame, scored: DataFrame, outbox: DataFrame, log: DataFrame,

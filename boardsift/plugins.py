@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardsift.functions import alerts
-from boardsift.functions.text import DESCRIPTION_LENGTH, left, strip
+from boardsift.functions.text import strip
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float] | None]]
 Classifier = Callable[[str], str | None]
 
 
 def embedding_text(c: Column) -> Column:
-    return left(F.lower(strip(c)), DESCRIPTION_LENGTH)
+    return F.lower(strip(c))
 
 
 def _embed_batch(embedder: Embedder, texts: list[str]) -> list:

@@ -83,7 +83,7 @@ def normalize(landing: DataFrame, spec: SourceSpec, keywords: Sequence[str],
               keep_order: bool = False) -> DataFrame:
     """Listings of one board.
 
-    A payload that does not parse gives no rows (see :func:`quarantine`), and
+    A payload that does not parse, be it for one entry, gives no rows (see :func:`quarantine`), and
     a field of unexpected type is read as text: one bad row never ends a batch.
     """
     condition = _condition(spec, keywords)
@@ -120,9 +120,9 @@ def normalize(landing: DataFrame, spec: SourceSpec, keywords: Sequence[str],
 
 
 def quarantine(landing: DataFrame, spec: SourceSpec, keywords: Sequence[str] = ()) -> DataFrame:
-    """Landing rows of a board whose payload is not valid JSON."""
+    """Landing rows of a board in which its spec finds no list of entries at all."""
     rows = landing_of(landing, spec, keywords)
-    return rows.filter(F.col("payload").isNull() | F.try_parse_json("payload").isNull())
+    return rows.filter(F.col("payload").isNull() | F.expr(f"({spec.entries}) IS NULL"))
 
 
 def ingest_log(landing: DataFrame, listings: DataFrame, run_id: str) -> DataFrame:

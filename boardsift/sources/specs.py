@@ -123,7 +123,7 @@ FINDWORK = _tagged(
                       " text string, url string, date_posted string"),
     "role", "company_name",
     location=_default("e.location", "Unknown"), description="e.text", url="e.url",
-    posted="coalesce(e.date_posted, '')", dedup="coalesce(e.id, '')", keywords=3)
+    posted="coalesce(e.date_posted, '')", dedup="coalesce(e.id, '')")
 THEMUSE = SourceSpec(
     "TheMuse", _list("results", "id string, name string, contents string, company string,"
                      " locations array<struct<name string>>, refs struct<landing_page string>,"
@@ -154,17 +154,17 @@ HN_HIRING = SourceSpec(
         (_says("data scientist"), "Data Scientist"), (_says("data analyst"), "Data Analyst"),
         (_says("machine learning") + " OR " + _says("ml"), "ML Engineer"),
         (_says("engineer"), "Software Engineer")),
-     "company": f"CASE WHEN contains({_HN_FIRST}, '|') THEN left({strip(f'''split_part({_HN_FIRST}, '|', 1)''')}, 50)"
-                f" WHEN length({_HN_FIRST}) < 60 THEN left({_HN_FIRST}, 50) ELSE 'HN Company' END",
-     "location": "'Remote/Various'", "description": "left(e.text, 2000)",
+     "company": f"CASE WHEN contains({_HN_FIRST}, '|') THEN {strip(f'''split_part({_HN_FIRST}, '|', 1)''')}"
+                f" WHEN length({_HN_FIRST}) < 60 THEN {_HN_FIRST} ELSE 'HN Company' END",
+     "location": "'Remote/Various'", "description": "e.text",
      "url": "concat('https://news.ycombinator.com/item?id=', coalesce(e.id, ''))",
      "posted": "coalesce(e.at, '')"},
-    match=("e.text",), matched=25)
+    match=("e.text",))
 WORKING_NOMADS = _tagged(
     "WorkingNomads", _root("title string, company_name string, location string, description string,"
                            " url string, pub_date string, category_name string, tags array<string>"),
     "title", "company_name",
-    location=_default("e.location", "Remote"), description="left(e.description, 2000)", url="e.url",
+    location=_default("e.location", "Remote"), description="e.description", url="e.url",
     posted="coalesce(e.pub_date, '')", job_type="coalesce(e.category_name, '')",
     match=("e.title", "e.category_name", _words("e.tags")))
 REMOTIVE = _tagged(
@@ -173,7 +173,7 @@ REMOTIVE = _tagged(
                       " publication_date string, salary string, job_type string, tags array<string>"),
     "title", "company_name",
     location=_default("e.candidate_required_location", "Remote"),
-    description="left(e.description, 2000)", url="e.url",
+    description="e.description", url="e.url",
     posted="coalesce(e.publication_date, '')", salary="coalesce(e.salary, '')",
     job_type="coalesce(e.job_type, '')", match=("e.title", _words("e.tags")))
 
@@ -189,33 +189,36 @@ RSS_ITEMS = ("transform(regexp_extract_all(payload, '(?s)<item>(.*?)</item>', 1)
              f"{strip(f'''regexp_extract(i, '{_rss('title')}', 1)''')} AS title, "
              f"{strip(f'''regexp_extract(i, '{_rss('link')}', 1)''')} AS link, "
              "regexp_extract(i, '(?d)<pubDate>(.*?)</pubDate>', 1) AS at, "
-             f"left(regexp_extract(i, '{_rss('description', '(?s)')}', 1), 500) AS description))")
+             # The older reader takes titles and descriptions in CDATA marks only.
+             "regexp_extract(i, '(?d)<title><!\\\\[CDATA\\\\[(.*?)\\\\]\\\\]></title>', 1) AS marked_title, "
+             "regexp_extract(i, '(?s)<description><!\\\\[CDATA\\\\[(.*?)\\\\]\\\\]></description>', 1) AS marked, "
+             f"regexp_extract(i, '{_rss('description', '(?s)')}', 1) AS description))")
 WEWORKREMOTELY = SourceSpec(
     "WWRemotely", RSS_ITEMS,
-    {"title": f"left(IF(contains(e.title, ':'), {strip('substring(e.title, locate(chr(58), e.title) + 1)')}, e.title), 100)",
-     "company": f"left(IF(contains(e.title, ':'), {strip('substring_index(e.title, chr(58), 1)')}, 'Unknown'), 50)",
+    {"title": f"IF(contains(e.title, ':'), {strip('substring(e.title, locate(chr(58), e.title) + 1)')}, e.title)",
+     "company": f"IF(contains(e.title, ':'), {strip('substring_index(e.title, chr(58), 1)')}, 'Unknown')",
      "location": "'Remote'", "description": "e.description", "url": "e.link", "posted": "e.at"},
-    match=("e.title", "e.description"), keep="e.titled", first=30, dedup="e.title")
+    match=("e.title", "e.description"), keep="e.titled", dedup="e.title")
 JUSTREMOTE = _tagged(
     "JustRemote", _root_or(["jobs"], "title string, company string, location string,"
                            " description string, url string, date string"),
     "title", "company",
-    location=_default("e.location", "Remote"), description="left(e.description, 2000)", url="e.url",
+    location=_default("e.location", "Remote"), description="e.description", url="e.url",
     posted="coalesce(e.date, '')", match=("e.title",))
 YC = SourceSpec(
     "YC-Jobs", "get(from_json(payload, 'struct<results:array<struct<hits:array<struct<name string,"
     " isHiring boolean, one_liner string, location string, slug string>>>>>').results, 0).hits",
     {"title": "concat('Data Role at ', coalesce(e.name, 'Unknown'))",
      "company": _default("e.name", "Unknown"), "location": _default("e.location", "Remote"),
-     "description": "left(e.one_liner, 500)", "posted": "''",
+     "description": "e.one_liner", "posted": "''",
      "url": "concat('https://www.ycombinator.com/companies/', coalesce(e.slug, ''))"},
-    match=("e.one_liner",), keep="coalesce(e.isHiring, false)", first=30)
+    match=("e.one_liner",), keep="coalesce(e.isHiring, false)")
 STARTUPJOBS = SourceSpec(
     "StartupJobs", _root_or(["jobs"], "title string, company string, location string,"
                             " description string, url string, published_at string"),
     {"title": _default("e.title", "Unknown"),
      "company": _named("e.company", "name", "coalesce(e.company, 'Unknown')"),
-     "location": _default("e.location", "Remote"), "description": "left(e.description, 2000)",
+     "location": _default("e.location", "Remote"), "description": "e.description",
      "url": "e.url", "posted": "coalesce(e.published_at, '')"},
     match=("e.title",))
 EUROPE_REMOTE = SourceSpec(
@@ -228,24 +231,24 @@ EUROPE_REMOTE = SourceSpec(
      "salary": "CASE WHEN nullif(nullif(get(e.employment_types, 0).`from`, ''), '0') IS NOT NULL THEN"
                " concat(get(e.employment_types, 0).`from`, '-', coalesce(get(e.employment_types, 0).`to`, ''),"
                " ' ', coalesce(get(e.employment_types, 0).currency, '')) END"},
-    match=("e.title",), keep="lower(e.workplace_type) = 'remote'", first=100)
+    match=("e.title",), keep="lower(e.workplace_type) = 'remote'")
 CRYPTO = _tagged(
     "Crypto-Jobs", _root_or(["jobs"], "title string, company string, description string, url string,"
                             " apply_url string, created_at string"),
     "title", "company",
-    location="'Remote (Web3)'", description="left(e.description, 2000)",
+    location="'Remote (Web3)'", description="e.description",
     url="coalesce(e.url, e.apply_url, '')", posted="coalesce(e.created_at, '')",
-    match=("e.title",), first=50, extra_keywords=tuple(vocab.CRYPTO_EXTRA_KEYWORDS))
+    match=("e.title",), extra_keywords=tuple(vocab.CRYPTO_EXTRA_KEYWORDS))
 LANDINGJOBS = SourceSpec(
     "LandingJobs", _root_or(["jobs", "data"], "title string, description string, skills string,"
                             " company string, company_name string, city string, location string,"
                             " url string, apply_url string, created_at string"),
-    {"title": "left(coalesce(e.title, ''), 100)",
-     "company": f"left({_named('e.company', 'name', _default('e.company_name', 'Unknown'))}, 50)",
+    {"title": "coalesce(e.title, '')",
+     "company": f"{_named('e.company', 'name', _default('e.company_name', 'Unknown'))}",
      "location": "coalesce(e.city, e.location, 'Remote')",
      "description": "concat_ws(' ', lower(coalesce(e.title, '')), lower(" + _listed("e.skills", "''") + "))",
      "url": "coalesce(e.url, e.apply_url, '')", "posted": "coalesce(e.created_at, '')"},
-    match=(_text("e.title", "e.description", _listed("e.skills", "''")),), matched=25)
+    match=(_text("e.title", "e.description", _listed("e.skills", "''")),))
 
 # ------------------------------------------------------------ applicant-tracking boards
 
@@ -267,7 +270,7 @@ LEVER = SourceSpec(
                    " descriptionPlain string, hostedUrl string, createdAt string"),
     {"title": _default("e.text", "Unknown"), "company": BOARD_NAME,
      "location": _default("e.categories.location", "Remote"),
-     "description": "left(e.descriptionPlain, 2000)", "url": "e.hostedUrl",
+     "description": "e.descriptionPlain", "url": "e.hostedUrl",
      "posted": "coalesce(e.createdAt, '')", "job_type": "coalesce(e.categories.commitment, '')"},
     match=("e.text",), keep=_allowed(_default("e.categories.location", "Remote"), vocab.ATS_LOCATIONS),
     dedup="concat_ws('_', coalesce(e.text, ''), board)")
@@ -302,7 +305,7 @@ NAUKRI = SourceSpec(
      "posted": "coalesce(e.footerPlaceholderLabel, '')",
      "salary": "coalesce(get(e.placeholders, 0).label, '')",
      "job_type": f"coalesce({_PLACEHOLDER % 'experience'}.label, '')"},
-    dedup="coalesce(e.jobId, '')", keywords=3)
+    dedup="coalesce(e.jobId, '')")
 FOUNDIT = SourceSpec(
     "Foundit", _list("jobSearchResponse.data", "jobId string, title string, companyName string,"
                      " jobDescription string, jobDetailUrl string, postedDate string,"
@@ -311,23 +314,21 @@ FOUNDIT = SourceSpec(
      "location": _default("get(e.locations, 0)", "India"), "description": "e.jobDescription",
      "url": "e.jobDetailUrl", "posted": "coalesce(e.postedDate, '')",
      "salary": "coalesce(e.salary, '')"},
-    dedup="coalesce(e.jobId, '')", keywords=2)
+    dedup="coalesce(e.jobId, '')")
 INSTAHYRE = SourceSpec(
     "Instahyre", _list("jobs", "title string, company struct<name string>, locations array<string>,"
                        " description string, slug string, created_at string, salary_range string"),
     {"title": _default("e.title", "Unknown"), "company": _default("e.company.name", "Unknown"),
      "location": _default("array_join(e.locations, ', ')", "India"), "description": "e.description",
      "url": "concat('https://www.instahyre.com/job/', coalesce(e.slug, ''))",
-     "posted": "coalesce(e.created_at, '')", "salary": "coalesce(e.salary_range, '')"},
-    keywords=2)
+     "posted": "coalesce(e.created_at, '')", "salary": "coalesce(e.salary_range, '')"})
 CUTSHORT = SourceSpec(
     "Cutshort", _root_or(["jobs"], "id string, title string, company string, location string,"
                          " description string, url string, posted_at string, salary string"),
     {"title": _default("e.title", "Unknown"), "company": _named("e.company", "name", "'Unknown'"),
      "location": _default("e.location", "India"), "description": "e.description",
      "url": "coalesce(e.url, concat('https://cutshort.io/job/', coalesce(e.id, '')))",
-     "posted": "coalesce(e.posted_at, '')", "salary": "coalesce(e.salary, '')"},
-    first=50)
+     "posted": "coalesce(e.posted_at, '')", "salary": "coalesce(e.salary, '')"})
 HIRIST = SourceSpec(
     "Hirist", _root_or(["data", "jobs"], "title string, designation string, company string,"
                        " company_name string, location string, description string,"
@@ -336,8 +337,7 @@ HIRIST = SourceSpec(
      "company": "coalesce(e.company, e.company_name, 'Unknown')",
      "location": _default("e.location", "India"),
      "description": "coalesce(e.description, e.job_description, '')",
-     "url": "coalesce(e.url, e.apply_url, '')", "posted": "coalesce(e.posted_date, '')"},
-    keywords=2)
+     "url": "coalesce(e.url, e.apply_url, '')", "posted": "coalesce(e.posted_date, '')"})
 
 
 def _hrefs(url: str, title: str) -> str:
@@ -352,26 +352,25 @@ LINKEDIN = SourceSpec(
                        '<span class="sr-only">([^<]+)</span>'),
     {"title": _POSITION, "company": "'LinkedIn Listing'", "location": "'India'",
      "description": _POSITION, "url": "substring_index(e.`0`, '?', 1)", "posted": "'Recent'"},
-    keep="e.`0` IS NOT NULL", first=20, keywords=2)
+    keep="e.`0` IS NOT NULL")
 NAUKRI_INDEX = SourceSpec(
     "Naukri-Index", _hrefs('href="(https?://www\\\\.naukri\\\\.com/job-listings[^"]+)"',
                            '<a[^>]*href="https?://www\\\\.naukri\\\\.com/job-listings[^"]*"[^>]*>([^<]+)</a>'),
-    {"title": f"left({strip(_POSITION)}, 100)", "company": "'Naukri Listing'", "location": "'India'",
+    {"title": f"{strip(_POSITION)}", "company": "'Naukri Listing'", "location": "'India'",
      "description": strip(_POSITION), "url": "e.`0`", "posted": "''"},
-    keep="e.`0` IS NOT NULL", first=10, dedup="url", keywords=2)
+    keep="e.`0` IS NOT NULL", dedup="url")
 GOOGLE_JOBS = SourceSpec(
     "Google-Jobs", _list("jobs_results", "title string, company_name string, location string,"
                          " description string, share_link string,"
                          " apply_options array<struct<link string>>, detected_extensions"
                          " struct<posted_at string, schedule_type string, salary string>"),
     {"title": _default("e.title", "Unknown"), "company": _default("e.company_name", "Unknown"),
-     "location": _default("e.location", "India"), "description": "left(e.description, 2000)",
+     "location": _default("e.location", "India"), "description": "e.description",
      "url": "IF(size(e.apply_options) > 0, coalesce(get(e.apply_options, 0).link, ''),"
             " coalesce(e.share_link, ''))",
      "posted": "coalesce(e.detected_extensions.posted_at, '')",
      "salary": "coalesce(e.detected_extensions.salary, '')",
-     "job_type": "coalesce(e.detected_extensions.schedule_type, '')"},
-    first=15, dedup="title_company_folded")
+     "job_type": "coalesce(e.detected_extensions.schedule_type, '')"}, dedup="title_company_folded")
 ADZUNA = SourceSpec(
     "Adzuna-India", _list("results", "title string, company struct<display_name string>,"
                           " location struct<display_name string>, description string,"
@@ -379,22 +378,22 @@ ADZUNA = SourceSpec(
                           " contract_type string"),
     {"title": _default("e.title", "Unknown"), "company": _default("e.company.display_name", "Unknown"),
      "location": _default("e.location.display_name", "India"),
-     "description": "left(e.description, 2000)", "url": "e.redirect_url",
+     "description": "e.description", "url": "e.redirect_url",
      "posted": "coalesce(e.created, '')", "salary": "coalesce(e.salary_min, '')",
      "job_type": "coalesce(e.contract_type, '')"},
-    dedup="title_company_folded", keywords=3)
+    dedup="title_company_folded")
 _CARD_TITLE, _CARD_COMPANY = _default("e.title", "Unknown"), _default("e.company", "Unknown")
 INDEED = SourceSpec(
     "Indeed-India", _list("cards", "title string, company string, location string, date string,"
                           " href string"),
-    {"title": f"left({_CARD_TITLE}, 100)", "company": f"left({_filled('e.company', chr(39) + 'Unknown' + chr(39))}, 50)",
+    {"title": f"{_CARD_TITLE}", "company": f"{_filled('e.company', chr(39) + 'Unknown' + chr(39))}",
      "location": _default("e.location", "India"),
      "description": f"concat({_CARD_TITLE}, ' at ', {_CARD_COMPANY})",
      "url": "CASE WHEN length(e.href) > 0 AND NOT startswith(e.href, 'http') THEN"
             " concat('https://in.indeed.com', e.href) ELSE coalesce(e.href, '') END",
      "posted": _default("e.date", "Today")},
-    keep=f"{_CARD_TITLE} <> 'Unknown'", first=20,
-    dedup=f"concat_ws('_', {_CARD_TITLE}, {_CARD_COMPANY})", keywords=2)
+    keep=f"{_CARD_TITLE} <> 'Unknown'",
+    dedup=f"concat_ws('_', {_CARD_TITLE}, {_CARD_COMPANY})")
 
 # ------------------------------------------------------------ search-engine results
 
@@ -411,14 +410,14 @@ def _groups(pattern: str, names: list[str]) -> str:
 _BING_TITLE = strip("e.title")
 BING = SourceSpec(
     "BingSearch", _groups(_BING, ["url", "title", "snippet"]),
-    {"title": f"left(CASE WHEN contains({_BING_TITLE}, ' at ') THEN {strip(f'''split_part({_BING_TITLE}, ' at ', 1)''')}"
-              f" ELSE {strip(f'''split_part({_BING_TITLE}, ' - ', 1)''')} END, 100)",
-     "company": f"left(CASE WHEN contains({_BING_TITLE}, ' at ') THEN {strip(f'''split_part({_BING_TITLE}, ' at ', 2)''')}"
+    {"title": f"CASE WHEN contains({_BING_TITLE}, ' at ') THEN {strip(f'''split_part({_BING_TITLE}, ' at ', 1)''')}"
+              f" ELSE {strip(f'''split_part({_BING_TITLE}, ' - ', 1)''')} END",
+     "company": f"CASE WHEN contains({_BING_TITLE}, ' at ') THEN {strip(f'''split_part({_BING_TITLE}, ' at ', 2)''')}"
                 f" WHEN contains({_BING_TITLE}, ' - ') THEN {strip(f'''split_part({_BING_TITLE}, ' - ', 2)''')}"
-                " ELSE 'Unknown' END, 50)",
-     "location": "'India'", "description": f"left({strip('e.snippet')}, 500)", "url": "e.url",
+                " ELSE 'Unknown' END",
+     "location": "'India'", "description": f"{strip('e.snippet')}", "url": "e.url",
      "posted": "''"},
-    keep="contains(lower(e.url), 'job')", first=5, dedup="title_company", keywords=2,
+    keep="contains(lower(e.url), 'job')", dedup="title_company",
     source="concat('Bing→', board)")
 _DDG = ('(?s)<a[^>]*class="result__url"[^>]*href="([^"]+)"[^>]*>.*?<a[^>]*class="result__a"[^>]*>'
         '([^<]+)</a>.*?<a[^>]*class="result__snippet"[^>]*>([^<]*)</a>')
@@ -430,27 +429,26 @@ DUCKDUCKGO = SourceSpec(
     f"IF(payload RLIKE '{_DDG}', {_groups(_DDG, ['url', 'title'])}, "
     f"transform({_groups(_DDG_LINK, ['url', 'title'])}, "
     "l -> struct(coalesce(try_url_decode(l.url), l.url) AS url, l.title AS title)))",
-    {"title": "left(e.title, 100)", "location": "'India'", "description": "e.title", "url": "e.url",
+    {"title": "e.title", "location": "'India'", "description": "e.title", "url": "e.url",
      "posted": "''"},
-    keep=_SITES, first=8, dedup="url", keywords=2)
+    keep=_SITES, dedup="url")
 _NG_TITLE = (f"regexp_replace(regexp_replace(coalesce(e.title, ''), '(?d){SPACE}*-{SPACE}*Naukri\\\\.com.*$', ''),"
              f" '(?d){SPACE}*\\\\|.*$', '')").replace(SPACE, SPACE.replace("\\", "\\\\"))
 _NG_SPLIT = f"{_NG_TITLE} RLIKE '(?s)^.* - .*$' AND length(regexp_extract({_NG_TITLE}, '(?s)^(.*) - (.*)$', 2)) < 40"
 NAUKRI_GOOGLE = SourceSpec(
     "Naukri-Google", _list("organic_results", "link string, title string, snippet string"),
-    {"title": f"left(IF({_NG_SPLIT}, {strip(f'''regexp_extract({_NG_TITLE}, '(?s)^(.*) - (.*)$', 1)''')}, {_NG_TITLE}), 100)",
-     "company": f"left(IF({_NG_SPLIT}, {strip(f'''regexp_extract({_NG_TITLE}, '(?s)^(.*) - (.*)$', 2)''')}, 'Naukri Listing'), 50)",
-     "location": "'India'", "description": "left(e.snippet, 300)", "url": "e.link",
+    {"title": f"IF({_NG_SPLIT}, {strip(f'''regexp_extract({_NG_TITLE}, '(?s)^(.*) - (.*)$', 1)''')}, {_NG_TITLE})",
+     "company": f"IF({_NG_SPLIT}, {strip(f'''regexp_extract({_NG_TITLE}, '(?s)^(.*) - (.*)$', 2)''')}, 'Naukri Listing')",
+     "location": "'India'", "description": "e.snippet", "url": "e.link",
      "posted": "'Recent'"},
-    keep="contains(e.link, 'naukri.com')", keywords=1)
+    keep="contains(e.link, 'naukri.com')")
 GITHUB = SourceSpec(
     "GitHub-Jobs", _list("items", "path string, html_url string, repository struct<full_name string>"),
     {"title": f"concat({KEYWORD_TITLE}, ' position')",
      "company": _default("e.repository.full_name", "GitHub Listing"),
      "location": "'Remote/Various'", "posted": "''",
      "description": "concat('Job listing found on GitHub: ', coalesce(e.path, ''))",
-     "url": "e.html_url"},
-    first=5, dedup="url", keywords=2)
+     "url": "e.html_url"}, dedup="url")
 
 SPECS: dict[str, SourceSpec] = {s.name: s for s in (
     REMOTEOK, ARBEITNOW, HIMALAYAS, JOBICY, FINDWORK, THEMUSE, HN_HIRING, NAUKRI, FOUNDIT,
@@ -471,7 +469,7 @@ def _v1(spec: SourceSpec, fields: dict[str, str] | None = None, **changes) -> So
 
 
 def _short(spec: SourceSpec) -> dict[str, str]:
-    return {"description": f"left({spec.fields['description']}, 2000)"}
+    return {"description": f"{spec.fields['description']}"}
 
 
 # The older reading of boards that both generations know.
@@ -480,18 +478,23 @@ SPECS_V1: dict[str, SourceSpec] = {s.name: s for s in (
     _v1(ARBEITNOW, _short(ARBEITNOW)),
     _v1(HIMALAYAS, _short(HIMALAYAS)),
     _v1(JOBICY, _short(JOBICY), dedup="title_company"),
-    _v1(FINDWORK, _short(FINDWORK), dedup="title_company", keywords=2),
+    _v1(FINDWORK, _short(FINDWORK), dedup="title_company"),
     _v1(THEMUSE, _short(THEMUSE), dedup="title_company"),
-    _v1(WEWORKREMOTELY, match=("e.title",), first=None, dedup="title_company"),
+    _v1(WEWORKREMOTELY, {
+        "title": f"IF(contains(e.marked_title, ':'), {strip('substring(e.marked_title, locate(chr(58), e.marked_title) + 1)')},"
+                 " e.marked_title)",
+        "company": f"IF(contains(e.marked_title, ':'), {strip('substring_index(e.marked_title, chr(58), 1)')}, 'Unknown')",
+        "description": "regexp_replace(e.marked, '<[^>]+>', '')"},
+        match=("e.marked_title",), keep="e.marked_title <> ''", dedup="title_company"),
     _v1(HN_HIRING, {
         "title": _hn_title(
             (_says("engineer"), "Software Engineer"), (_says("data scientist"), "Data Scientist"),
             (_says("analyst"), "Data Analyst"),
             (_says("ml") + " OR " + _says("machine learning"), "ML Engineer"),
             (_says("python"), "Python Developer")),
-        "description": "left(e.text, 500)"}, matched=20),
-    _v1(GOOGLE_JOBS, {"title": "left(coalesce(e.title, ''), 100)",
-                      "company": f"left({_default('e.company_name', 'Unknown')}, 50)",
-                      "description": "left(e.description, 500)"}, first=20, dedup=None, keywords=1),
-    _v1(INDEED, {"posted": _default("e.date", "today")}, first=15, dedup="title_company"),
+        "description": "e.text"}),
+    _v1(GOOGLE_JOBS, {"title": "coalesce(e.title, '')",
+                      "company": f"{_default('e.company_name', 'Unknown')}",
+                      "description": "e.description"}, dedup=None),
+    _v1(INDEED, {"posted": _default("e.date", "today")}, dedup="title_company"),
 )}

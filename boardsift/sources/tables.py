@@ -19,6 +19,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = _path(spark, path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def finished(spark: SparkSession, path: str) -> bool:
     """True when a write to ``path`` has been committed."""
     return exists(spark, f"{path}/_SUCCESS")

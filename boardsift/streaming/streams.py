@@ -21,9 +21,18 @@ BatchFn = Callable[[DataFrame, int], DataFrame]
 SALTS = 16
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
-    """Parquet files as a stream; a schema is required, nothing is inferred."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A parquet file, or a folder of part files, as a stream; nothing is inferred.
+
+    A path that matches nothing is an error, since such a stream would just be empty.
+    """
+    if not tables.exists(spark, path):
+        raise FileNotFoundError(path)
+    reader = spark.readStream.schema(schema)
+    if tables.is_folder(spark, path):
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")  # a stream needs a folder
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from boardsift.config import MatchConfig, TaggedConfig
 from boardsift.operators import semantic, state
+from boardsift.plans import scan
 from boardsift.plans.scan import run_scan
 from boardsift.plans.tagged import run_tagged_scan
 from boardsift.plugins import classify, with_embedding
@@ -82,6 +83,17 @@ def test_run_is_incremental_and_restartable(spark, root):
     assert tables.read_table(spark, root, "outbox").count() == 4
 
 
+def test_no_match_and_no_payload_is_lost(spark, root):
+    many = landing(spark, [f"Data Analyst {i}" for i in range(20)])
+    broken = many.limit(1).withColumn("payload", F.lit('{"message": "quota exceeded"}')).withColumn(
+        "ord", F.lit(999).cast(dict(many.dtypes)["ord"]))
+    one = run_scan(spark, many.union(broken), root, "run1", AS_OF, SPECS_USED)
+    assert one.outbox.count() == 20 and one.quarantined.count() == 1
+    first = scan.sender_batch(spark, root, 15)
+    scan.mark_sent(first, root, "sent1", AS_OF)
+    assert scan.sender_batch(spark, root, 15).count() == 5
+
+
 def test_landing_is_pruned_by_board(spark, root):
     tables.write_landing(landing(spark, ["Data"]).union(landing(spark, ["Data"], "Remotive")), root)
     rows = tables.read_landing(spark, root).filter("source = 'Remotive'")

@@ -95,7 +95,7 @@ def test_more_links_than_titles(spark):
     link = '<a href="https://www.linkedin.com/jobs/view/%d?x=1"></a>'
     page = "".join(link % i for i in range(25)) + '<span class="sr-only">Only</span>'
     rows = read(spark, "LinkedIn", page)
-    assert len(rows) == 20
+    assert len(rows) == 25 and len(read(spark, "LinkedIn", page, spec=replace(SPECS["LinkedIn"], first=20))) == 20
     assert [r.title for r in rows[:2]] == ["Only", "analyst position"]
     assert rows[0].url == "https://www.linkedin.com/jobs/view/0"
 
@@ -110,7 +110,8 @@ def test_rss_items(spark):
 
 def test_comments_cap_counts_matches(spark):
     hits = [{"objectID": i, "comment_text": f"Firm {i} | x<p>python" if i % 2 else "nothing"} for i in range(80)]
-    rows = read(spark, "HN-Hiring", {"hits": hits})
+    assert len(read(spark, "HN-Hiring", {"hits": hits})) == 40
+    rows = read(spark, "HN-Hiring", {"hits": hits}, spec=replace(SPECS["HN-Hiring"], matched=25))
     assert len(rows) == 25 and rows[0].company == "Firm 1" and rows[-1].company == "Firm 49"
 
 

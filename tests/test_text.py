@@ -8,13 +8,13 @@ from boardsift.functions import text
 
 def test_clean_string(value):
     got = value(text.clean_string, [None, "  a b\t", " x　", "", "é" * 300])
-    assert got == ["Unknown", "a b", "x", "", "é" * 200]
+    assert got == ["Unknown", "a b", "x", "", "é" * 300]
 
 
 def test_clean_description(value):
     got = value(text.clean_description, [
         None, "<p class='a'>One</p>  two\n\n three ", "1 < 2 and 3 > 2", "x" * 6000, "a\x1cb\x0bc"])
-    assert got == ["", "One two three", "1 2", "x" * 5000, "a b c"]
+    assert got == ["", "One two three", "1 2", "x" * 6000, "a b c"]
 
 
 def test_clean_url(value):
