@@ -7,7 +7,7 @@
    when everything below is linked already.  Leaders of the linked sets go on to the next round.
 3. What is exact: every class lists its rarest shingles, as many as any partner must share one of
    (prefix filter).  Shingles that join different components so far give candidate pairs, cut by
-   the length, shared-list and sketch bounds, and each candidate is verified on the whole texts.
+   length, position and sketch bounds, and each candidate is verified on the whole texts.
 
 So round 2 only saves work: large groups of near copies are linked there once, not pairwise.
 
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardsift.llm import ngrams
@@ -42,7 +42,7 @@ class Settings:
     hashes: int = 2
     group: int = 1000
     bits: int = 22
-    hot: int = 12
+    hot: int = 4
 
 
 _SPACE = np.zeros(256, bool)
@@ -293,26 +293,21 @@ def near_groups(docs: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame
 
 def candidates(classes: DataFrame, comps: DataFrame, cfg: Settings) -> DataFrame:
     """(a, b): classes of different components that share a rare shingle and may be alike."""
-    rows = classes.join(comps, "doc_id").select("doc_id", "comp", "n", F.explode("rare").alias("token"))
+    rows = classes.join(comps, "doc_id").select("doc_id", "comp", "n", F.posexplode("rare").alias("at", "token"))
     w = Window.partitionBy("token")
     mixed = rows.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).filter(
         "lo <> hi").drop("lo", "hi")
     mixed = stored(mixed, "jaccard-mixed")
-    a = mixed.select("token", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "comp", "n")))
-    b = mixed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "comp", "n")))
-    # what both lists share, counted once for each pair; where one list ends first, all that its set
-    # shares up to there is counted, and of the rest no more than its remaining length can be shared
+    a = mixed.select("token", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "comp", "n", "at")))
+    b = mixed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "comp", "n", "at")))
+    # the overlap a pair needs; both must share a shingle among the first size - needed + 1 of their order
+    needed = F.ceil(cfg.percent * (F.col("a_n") + F.col("b_n")) / (100 + cfg.percent))
     met = a.join(b, "token").filter(
         (F.col("a_comp") != F.col("b_comp")) & ((F.col("a_n") < F.col("b_n")) | (
             (F.col("a_n") == F.col("b_n")) & (F.col("a_doc_id") < F.col("b_doc_id"))))
         & (100 * F.col("a_n") >= cfg.percent * F.col("b_n"))
-    ).groupBy("a_doc_id", "b_doc_id", "a_comp", "b_comp", "a_n", "b_n").agg(F.count("*").alias("met"))
-
-    def rest(n: Column) -> Column:
-        return F.ceil(cfg.percent * n / 100) - 1  # less the list itself
-
-    bound = F.col("met") + F.greatest(rest(F.col("a_n")), rest(F.col("b_n")))
-    met = met.filter((100 + cfg.percent) * bound >= cfg.percent * (F.col("a_n") + F.col("b_n")))
+        & (F.col("a_at") <= F.col("a_n") - needed) & (F.col("b_at") <= F.col("b_n") - needed)
+    ).select("a_doc_id", "b_doc_id", "a_comp", "b_comp", "a_n", "b_n").distinct()
     # two parity sketches differ in no more places than their sets in members
     sketch = classes.select("doc_id", "sketch")
     both = met.join(sketch.withColumnsRenamed({"doc_id": "a_doc_id", "sketch": "sa"}), "a_doc_id").join(
