@@ -209,3 +209,16 @@ def test_profiles_from_a_table(spark):
 def test_config_is_frozen():
     with pytest.raises(Exception):
         MatchConfig().min_score = 1.0
+
+
+def test_streams_read_folders_and_files(spark, root, sf_dir):
+    """A table of many part files streams like one of a single file; a missing one is an error."""
+    one = f"{sf_dir}/events.parquet"
+    table = spark.read.parquet(one)
+    many = f"{root}/events.parquet"
+    table.repartition(8).write.parquet(many)
+    for k, path in enumerate((one, many)):
+        stream = streams.read_files(spark, path, table.schema)
+        assert streams.to_table(stream, f"{root}/out{k}", f"{root}/mark{k}").count() == table.count()
+    with pytest.raises(FileNotFoundError):
+        streams.read_files(spark, f"{root}/none.parquet", table.schema)
