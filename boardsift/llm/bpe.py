@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from boardsift.llm.common import stored, table
 
 # The pattern of the public tokenizers, its white space spelt out.
-_S = r"\t-\r\x20\x85\xA0  -     　"
+_S = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+"
            rf"|[{_S}]+(?![^{_S}])|[{_S}]+")
 NONE = 2147483647
