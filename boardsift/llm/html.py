@@ -1,23 +1,28 @@
 """Main text of web pages by wrapper induction.
 
-A few pages of each host are parsed and their trees aligned by simple tree matching.  Text that
-aligned nodes share is the host's template; nodes whose text varies are slots.  The wrapper of a
-host is the set of its constant texts and the container that holds most of the varying text.
-Every page is then read with its host's wrapper: what stands outside the container, is constant
-outside an article, or is by its tag or class a menu, header, footer, sidebar, notice, advert,
-form or comment, is left out.
-
-At most ``SAMPLE`` pages of a host are aligned; all pages are extracted.  A page with no wrapper
-(a null url, a host with one page) is read by tags and classes alone.  Null and empty html give an
-empty text.  Repeated rows give repeated results.  Pages are read whole, however long or broken.
-Further columns of the input are ignored.
+Every page is parsed and its tree aligned with reference trees of its host by simple tree
+matching.  How often a text stands at a node is counted over all different pages of the host.  A
+text that recurs there is the host's template; other text varies.  The wrapper of a host is the set
+of its constant texts and the container that holds most of the varying text, and it chooses the
+content of each page of the host.  Menus, headers, footers, sidebars, notices, adverts, forms and
+comments are left out by tag or class before that.
+
+A text is constant if at least a twentieth of the host's pages have it and it is on half of the
+pages that have its path or, outside articles, that align with its node; or on ten pages, however
+many have the node (a template variant).  Two pages are needed, inside an article three.
+
+A page without a wrapper (a null url, a host with one page), or of which the wrapper leaves
+nothing, is read by tags and classes alone: an article, where there is one, is its content.  Null
+and empty html give an empty text.  Repeated rows give repeated results.  Pages are read and
+aligned whole, however long or broken.  Further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
@@ -26,10 +31,12 @@ from pyspark.sql import functions as F
 
 from boardsift.llm.common import stored, table
 
-#: Pages of a host that are aligned, and nodes of a page that take part in it.
-SAMPLE = 6
-NODES = 400
-#: Wrappers are sent to all tasks up to this size; larger sets are joined by host.
+#: Trees of a host that all its pages are aligned with; pages up to this length are taken first.
+REFERENCES = 3
+LENGTH = 1 << 16
+#: Containers nested deeper are one node with a long name.
+DEPTH = 200
+#: References and wrappers are sent to all tasks up to this size; larger sets are joined by host.
 BROADCAST_BYTES = 8 << 20
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
@@ -132,99 +139,238 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
 
 
 def tree(parts: list[tuple[str, bool, str]]) -> dict:
-    """Blocks as a tree of containers; leaves are texts."""
-    root: dict = {"name": "", "text": None, "inside": False, "kids": []}
+    """Blocks as a tree of containers; leaves are texts, with their place among the blocks."""
+    root: dict = {"name": "", "text": None, "at": -1, "kids": []}
     open_path: list[str] = []
     nodes = [root]
-    for path, inside, text in parts[:NODES]:
-        names = path.split("/") if path else []
+    for at, (path, _, text) in enumerate(parts):
+        names = path.split("/", DEPTH) if path else []
         k = 0
         # the innermost element of a block is its own, the ones around it are shared
         while k < min(len(names) - 1, len(open_path)) and names[k] == open_path[k]:
             k += 1
         del nodes[k + 1:]
         for name in names[k:]:
-            node = {"name": name, "text": None, "inside": inside, "kids": []}
+            node = {"name": name, "text": None, "at": -1, "kids": []}
             nodes[-1]["kids"].append(node)
             nodes.append(node)
         open_path = names
-        nodes[-1]["kids"].append({"name": "#", "text": text, "inside": inside, "kids": []})
+        nodes[-1]["kids"].append({"name": "#", "text": text, "at": at, "kids": []})
     return root
 
 
-def match(a: dict, b: dict) -> tuple[int, list]:
-    """Simple tree matching: the size of the largest order-keeping match of two trees, and its pairs."""
+_PAIR = 1 << 32
+
+
+def _only_text(node: dict) -> str | None:
+    """The text of a container that holds nothing else."""
+    return node["kids"][0]["text"] if len(node["kids"]) == 1 else None
+
+
+def _score(a: dict, b: dict, steps: dict) -> int:
+    """Size of the largest match of two trees times ``_PAIR``, plus the equal texts in it."""
     if a["name"] != b["name"]:
-        return 0, []
-    m, n = len(a["kids"]), len(b["kids"])
-    best = [[(0, None)] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            size, pairs = match(a["kids"][i - 1], b["kids"][j - 1])
-            choices = [(best[i - 1][j][0], "up"), (best[i][j - 1][0], "left")]
-            if size:
-                choices.insert(0, (best[i - 1][j - 1][0] + size, pairs))
-            best[i][j] = max(choices, key=lambda c: c[0])
-    found, i, j = [(a, b)], m, n
-    while i and j:
-        step = best[i][j][1]
-        if step == "up":
-            i -= 1
-        elif step == "left":
-            j -= 1
-        else:
-            found += step
-            i, j = i - 1, j - 1
-    return best[m][n][0] + 1, found
-
-
-def wrapper(pages: list[str]) -> tuple[str, list[str]]:
-    """(container of the varying text, constant texts) of pages of one host; equal pages count once."""
-    parsed = [p for p in (blocks(x) for x in dict.fromkeys(pages)) if p]
-    if len(parsed) < 2:
-        return "", []
-    same: Counter = Counter()
-    weight: Counter = Counter()
-    for one, two in zip(parsed, parsed[1:]):
-        constant = {a["text"] for a, b in match(tree(one), tree(two))[1]
-                    if a["text"] is not None and a["text"] == b["text"] and not a["inside"]}
-        same.update(constant)
-        for part in (one, two):
-            for path, _, text in part:
-                if text not in constant:
-                    names = path.split("/") if path else []
-                    for k in range(len(names) + 1):
-                        weight["/".join(names[:k])] += len(text)
-    total = weight[""]
-    deep = [p for p, w in weight.items() if w >= 0.8 * total and (
+        return 0
+    one, two = a["kids"], b["kids"]
+    if not one or not two:
+        return _PAIR + (a["text"] is not None and a["text"] == b["text"])
+    if len(one) == len(two) == 1:
+        return _PAIR + _score(one[0], two[0], steps)
+    known = steps.get((id(a), id(b)))
+    if known is None:
+        above, taken = [0] * (len(two) + 1), []
+        flat = [(y["name"], _only_text(y), y) for y in two]
+        for x in one:
+            last, row, step, name, text = 0, [0], bytearray(len(two)), x["name"], _only_text(x)
+            for j, (other, words, y) in enumerate(flat):
+                best = above[j + 1]
+                if last > best:
+                    best, step[j] = last, 1
+                if name == other:
+                    both = above[j] + (_score(x, y, steps) if text is None or words is None else
+                                       _PAIR * 2 + (text == words))
+                    if both >= best:
+                        best, step[j] = both, 2
+                last = best
+                row.append(best)
+            above = row
+            taken.append(step)
+        known = steps[id(a), id(b)] = (_PAIR + above[-1], taken)
+    return known[0]
+
+
+def match(a: dict, b: dict) -> tuple[int, list]:
+    """Simple tree matching: the size of the largest order-keeping match of two trees, and its pairs.
+
+    Among the largest matches it is one with the most equal texts.
+    """
+    steps: dict = {}
+    size = _score(a, b, steps) // _PAIR
+    found, todo = [], [(a, b)] if size else []
+    while todo:
+        x, y = todo.pop()
+        found.append((x, y))
+        i, j = len(x["kids"]), len(y["kids"])
+        if i == j == 1:
+            if x["kids"][0]["name"] == y["kids"][0]["name"]:
+                todo.append((x["kids"][0], y["kids"][0]))
+            continue
+        while i and j:
+            step = steps[id(x), id(y)][1][i - 1][j - 1]
+            if step == 2:
+                todo.append((x["kids"][i - 1], y["kids"][j - 1]))
+            i, j = i - (step != 1), j - (step != 0)
+    return size, found
+
+
+def key_of(path: str, text: str) -> int:
+    return int.from_bytes(blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(),
+                          "big", signed=True)
+
+
+def aligned(page: str, references: list[dict]) -> list[tuple[int, str, bool, str]]:
+    """(node, path, whether in an article, text) of each block; the node is the one of the reference
+    that matches best, or -1 where nothing aligns."""
+    parts = blocks(page)
+    nodes = [-1] * len(parts)
+    if parts and references:
+        own = tree(parts)
+        k, (_, pairs) = max(((k, match(own, r)) for k, r in enumerate(references)), key=lambda m: (m[1][0], -m[0]))
+        for a, b in pairs:
+            if a["text"] is not None:
+                nodes[a["at"]] = b["at"] * REFERENCES + k
+    return [(node, *part) for node, part in zip(nodes, parts)]
+
+
+def recurs(n, having, pages, inside):
+    """Whether a text on ``n`` of the pages ``having`` its place is constant; numbers or columns."""
+    often = (20 * n >= pages) & (n >= 2)
+    return often & ((n >= 10) | ((2 * n >= having) & ((n >= 3) | (inside == False))))  # noqa: E712
+
+
+def container(weight: dict[str, int]) -> str:
+    """The innermost container with most of the varying text, given by path."""
+    within: Counter = Counter()
+    for path, w in weight.items():
+        names = path.split("/", DEPTH)[:DEPTH] if path else []
+        for k in range(len(names) + 1):
+            within["/".join(names[:k])] += w
+    deep = [p for p, w in within.items() if w >= 0.8 * within[""] and (
         not p or p.rpartition("/")[2].partition(".")[0] in CONTAINERS)]
-    constants = sorted(t for t, k in same.items() if k >= 0.5 * (len(parsed) - 1))
-    return max(deep, key=lambda p: (p.count("/") if p else -1, p), default=""), constants
+    return max(deep, key=lambda p: (p.count("/") if p else -1, p), default="")
+
+
+def wrapper(pages: list[str]) -> tuple[str | None, list[str]]:
+    """(container of the varying text, constant texts) of a list of pages; equal pages count once.
+
+    The rule of ``wrappers`` in one process; no container without two pages.
+    """
+    pages = [p for p in dict.fromkeys(pages) if blocks(p)]
+    if len(pages) < 2:
+        return None, []
+    references = [tree(blocks(p)) for p in pages[:REFERENCES]]
+    at_path, at_node = defaultdict(set), defaultdict(set)
+    of_path, of_node = defaultdict(set), defaultdict(set)
+    for k, page in enumerate(pages):
+        for node, path, inside, text in aligned(page, references):
+            at_path[path, inside, text].add(k)
+            of_path[path].add(k)
+            if node >= 0 and not inside:
+                at_node[node, path, text].add(k)
+                of_node[node].add(k)
+    constant = {(path, text) for (path, inside, text), at in at_path.items()
+                if recurs(len(at), len(of_path[path]), len(pages), inside)}
+    constant |= {(path, text) for (node, path, text), at in at_node.items()
+                 if recurs(len(at), len(of_node[node]), len(pages), False)}
+    weight: Counter = Counter()
+    for (path, _, text), at in at_path.items():
+        weight[path] += 0 if (path, text) in constant else len(text) * len(at)
+    return container(weight), sorted({text for _, text in constant})
+
 
+def extract(page: str | None, root: str | None = None, constants: frozenset[int] = frozenset()) -> str:
+    """The blocks of content, joined by empty lines: what varies inside the wrapper's container.
 
-def extract(page: str | None, root: str = "", constants: frozenset[str] = frozenset()) -> str:
-    """The blocks of content, joined by empty lines; an article, where there is one, is the content."""
+    A page with most of its varying text outside the container is read whole.
+    """
     parts = blocks(page or "")
+    if root is not None:
+        kept = [p for p in parts if key_of(p[0], p[2]) not in constants]
+        held = [p for p in kept if not root or p[0] == root or p[0].startswith(root + "/")]
+        if 2 * sum(len(p[2]) for p in held) >= sum(len(p[2]) for p in kept):
+            kept = held
+        if kept:
+            return "\n\n".join(text for _, _, text in kept)
     if any(inside for _, inside, _ in parts):
-        return "\n\n".join(text for _, inside, text in parts if inside)
-    if root and any(path == root or path.startswith(root + "/") for path, _, _ in parts):
-        parts = [p for p in parts if p[0] == root or p[0].startswith(root + "/")]
-    return "\n\n".join(text for _, _, text in parts if text not in constants)
+        parts = [p for p in parts if p[1]]
+    return "\n\n".join(text for _, _, text in parts)
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """(host, refs): some pages of each host, cut per task before the shuffle."""
+    order = Window.partitionBy("host").orderBy(F.length("html") > LENGTH, F.xxhash64("html"), "html")
+    return pages.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= REFERENCES).groupBy("host").agg(
+        F.collect_set("html").alias("refs"))
+
+
+def aligned_blocks(pages: DataFrame) -> DataFrame:
+    """(host, page, node, path, inside, key, chars) of all blocks of all different pages of (host, html)."""
+    found = stored(references(pages), "wrapper-references")
+    schema = "host string, page long, node int, path string, inside boolean, key long, chars long"
+    size = found.agg(F.sum(F.length(F.array_join("refs", "")))).first()[0] or 0
+    small = size <= BROADCAST_BYTES
+    sent = pages.sparkSession.sparkContext.broadcast(
+        {r.host: sorted(r.refs) for r in found.collect()}) if small else None
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees: dict[str, list[dict]] = {}
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples():
+                if row.host not in trees:
+                    if not small and len(trees) > 100:
+                        trees.clear()
+                    trees[row.host] = [tree(blocks(r)) for r in (sent.value[row.host] if small else sorted(row.refs))]
+                rows += [(row.host, row.page, node, path, inside, key_of(path, text), len(text))
+                         for node, path, inside, text in aligned(row.html, trees[row.host])]
+            yield pd.DataFrame(rows, columns=["host", "page", "node", "path", "inside", "key", "chars"])
+
+    hashed = pages.withColumn("page", F.xxhash64("html"))
+    return (hashed if small else hashed.join(found, "host")).mapInPandas(read, schema).distinct()
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, root, constants); the sampled pages of a host are cut per task before the shuffle."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("url", "page_id"), "url", "page_id")
-    sample = pages.filter(F.col("host").isNotNull() & F.col("html").isNotNull()).withColumn(
-        "_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE)
+    """(host, root, constants) of every host with two different pages; constants are keys of path and text."""
+    pages = pages.filter(F.col("host").isNotNull() & F.col("html").isNotNull()).select("host", "html")
+    rows = stored(aligned_blocks(pages), "wrapper-blocks")
+
+    def counted(*keys: str, name: str) -> DataFrame:
+        return rows.select(*keys, "page").distinct().groupBy(*keys).agg(F.count("*").alias(name))
+
+    hosts = counted("host", name="pages").filter("pages > 1")
+    at_path = rows.groupBy("host", "path", "inside", "key", "page").agg(F.max("chars").alias("chars")).groupBy(
+        "host", "path", "inside", "key").agg(F.count("*").alias("n"), F.max("chars").alias("chars")).filter("n > 1")
+    at_path = stored(at_path, "wrapper-texts")
+    # a node holds one text of a page, so its rows are its pages
+    nodes = rows.filter("node >= 0 AND NOT inside")
+    at_node = nodes.groupBy("host", "node", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    of_node = nodes.groupBy("host", "node").agg(F.count("*").alias("having"))
+    told = at_path.join(counted("host", "path", name="having"), ["host", "path"]).join(hosts, "host").filter(
+        recurs(F.col("n"), F.col("having"), F.col("pages"), F.col("inside"))).select("host", "key")
+    told = told.union(at_node.join(of_node, ["host", "node"]).join(hosts, "host").filter(
+        recurs(F.col("n"), F.col("having"), F.col("pages"), F.lit(False))).select("host", "key")).distinct()
+    constant = stored(at_path.join(told, ["host", "key"]), "wrapper-constants")
+    fixed = constant.groupBy("host", "path").agg(F.sum(F.col("n") * F.col("chars")).alias("fixed"))
+    every = rows.select("host", "path", "key", "page", "chars").distinct().groupBy("host", "path").agg(
+        F.sum("chars").alias("every"))
+    weights = every.join(hosts, "host").join(fixed, ["host", "path"], "left").select(
+        "host", "path", (F.col("every") - F.coalesce("fixed", F.lit(0))).alias("w"))
 
-    def induce(group: pd.DataFrame) -> pd.DataFrame:
-        root, constants = wrapper(list(group.sort_values("_n")["html"]))
-        return pd.DataFrame({"host": group["host"][:1], "root": [root], "constants": [constants]})
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": group["host"][:1], "root": [container(dict(zip(group["path"], group["w"])))]})
 
-    return sample.select("host", "_n", "html").groupBy("host").applyInPandas(
-        induce, "host string, root string, constants array<string>").filter(
-        (F.col("root") != "") | (F.size("constants") > 0))
+    roots = weights.groupBy("host").applyInPandas(choose, "host string, root string")
+    return roots.join(constant.groupBy("host").agg(F.collect_set("key").alias("constants")), "host", "left")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -232,14 +378,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     hosted = pages.select("page_id", "url", "html", F.nullif(F.lower(F.regexp_extract(
         F.col("url"), HOST, 1)), F.lit("")).alias("host"))
     found = stored(wrappers(hosted), "wrappers")
-    size = found.agg(F.sum(F.length("host") + F.length("root") + F.length(F.array_join(
-        "constants", ""))).alias("b")).first()["b"] or 0
+    size = found.agg(F.sum(F.length("host") + F.length("root") + 8 * F.coalesce(
+        F.size("constants"), F.lit(0)))).first()[0] or 0
     joined = hosted.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
 
     @F.pandas_udf("string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for pages, roots, constants in batches:
-            yield pd.Series([extract(h, r or "", frozenset(c) if c is not None else frozenset())
+            yield pd.Series([extract(h, r, frozenset(c) if c is not None else frozenset())
                              for h, r, c in zip(pages, roots, constants)])
 
     return joined.select("page_id", "url", read("html", "root", "constants").alias("text"))

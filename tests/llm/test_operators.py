@@ -226,6 +226,35 @@ def test_tree_match_counts_pairs():
     assert html.match(one, two)[0] == 6  # root, div, two paragraphs and their texts
 
 
+def test_wrapper_chooses_the_content_of_pages_with_an_article(spark):
+    def page(k):
+        return (f"<body><article><p>Read our terms</p><p>{prose(k)}</p></article>"
+                f"<div class='more'><p>{prose(k + 50)}</p></div></body>")
+
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(6)] + [(6, None, page(6)), (7, "http://h.example/0", page(0))]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(
+        rows, "page_id int, url string, html string")).collect()}
+    assert all(got[k] == prose(k) + "\n\n" + prose(k + 50) for k in range(6)) and got[7] == got[0]
+    assert got[6] == "Read our terms\n\n" + prose(6)
+
+
+def test_wrapper_counts_all_pages_and_whole_trees(spark):
+    def page(k):
+        variant = f"<p>variant {k % 3}</p>"
+        body = "".join(f"<p>{prose(1000 * k + j, 3)}</p>" for j in range(405))
+        return f"<body><div class='box'>{variant}{body}<p>After the cut</p></div></body>"
+
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(30)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(
+        rows, "page_id int, url string, html string")).collect()}
+    assert all(got[k] == "\n\n".join(prose(1000 * k + j, 3) for j in range(405)) for k, _, _ in rows)
+
+
+def test_deep_pages_are_aligned():
+    page = "<div>" * 3000 + "<p>{}</p><p>same</p>"
+    assert html.wrapper([page.format(k) for k in "abc"])[1] == ["same"]
+
+
 # ------------------------------------------------------------ models
 
 SOUNDS = {"en": "the of and thing that with ing tion", "de": "der die und nicht schlich keit für über",
