@@ -221,7 +221,7 @@ def profiles(docs: DataFrame, hot: np.ndarray, cfg: Settings) -> DataFrame:
     """(doc_id, n, s1, s2, keys, rare, sketch): size, signature, minimum hashes, rarest shingles and a
     sketch: for each of 1024 hash buckets whether an odd number of shingles falls into it."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # of fixed size
-    least = -(-100 // (100 - cfg.percent)) if cfg.percent < 100 else 1 << 62  # of sets with unequal partners
+    least = -(-cfg.percent // (100 - cfg.percent)) if cfg.percent < 100 else 1 << 62  # of sets with unequal partners
 
     @F.pandas_udf("n long, s1 long, s2 long, keys array<long>, rare array<long>, sketch array<long>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -348,6 +348,15 @@ def test_jaccard_components(spark, words, percent, group):
     assert [r.component_id for r in got if r.doc_id is None] == [None] and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("words,percent,n", [(3, 90, 9), (5, 80, 4), (3, 50, 1)])
+def test_jaccard_links_the_smallest_unequal_sets(spark, words, percent, n):
+    text = prose(9, n + words)
+    rows = [(1, text.rsplit(" ", 1)[0]), (2, text), (3, prose(8, n + words)), (4, prose(8, n + words - 2))]
+    got = jaccard.join(docs(spark, rows), jaccard.Settings(words=words, percent=percent)).collect()
+    found = {r.doc_id: r.component_id for r in got}
+    assert {tuple(r) for r in got} == brute_components(rows, words, percent) and found[1] == found[2] == 1
+
+
 def test_jaccard_empty_table_and_one_of_each(spark):
     table = docs(spark, [(3, prose(1)), (1, prose(1)), (2, prose(2)), (None, prose(1))])
     assert jaccard.join(table.limit(0)).count() == 0
