@@ -36,17 +36,19 @@ def _dropped(x: Column, pattern: str) -> Column:
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the base counts and the shares that rules test; all in the text's own row."""
-    x = F.col("_x")
-    df = docs.withColumn("_x", F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r")))
+    x, raw = F.col("_x"), F.col("_raw")
+    df = docs.withColumn("_raw", F.coalesce(F.col(text), F.lit("")))
+    # only words are split from the trimmed text: blanks at its ends belong to its first and last line
+    df = df.withColumn("_x", F.btrim("_raw", F.lit(" \t\n\x0b\f\r")))
     df = df.withColumn("_w", F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, SPACE, -1)))
     w = F.col("_w")
     df = df.withColumns({
         "n_words": F.size(w).cast("bigint"),
         "word_chars": F.char_length(F.array_join(w, "")).cast("bigint"),
-        "n_symbols": _dropped(x, r"[#*$%&|<>]").cast("bigint"),
-        "_upper": _dropped(x, "[A-Z]"),
+        "n_symbols": _dropped(raw, r"[#*$%&|<>]").cast("bigint"),
+        "_upper": _dropped(raw, "[A-Z]"),
         "_distinct": F.size(F.array_distinct(w)),
-        "_lines": F.filter(F.split(x, "\n", -1), lambda s: s.rlike(r"[^\x20\x09-\x0D]")),
+        "_lines": F.filter(F.split(raw, "\n", -1), lambda s: s.rlike(r"[^\x20\x09-\x0D]")),
         # a window's hash and its place share one number: low bits for the place
         "_mask": F.expr(
             "shiftleft(CAST(1 AS BIGINT), length(bin(size(_w)))) - 1"),
@@ -82,7 +84,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "upper_share": F.col("_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
         "distinct_share": F.col("_distinct") / n,
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-    }).drop("_x", "_w", "_upper", "_distinct", "_lines", "_mask", "_s", "_r")
+    }).drop("_raw", "_x", "_w", "_upper", "_distinct", "_lines", "_mask", "_s", "_r")
 
 
 @dataclass(frozen=True)

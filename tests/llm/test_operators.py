@@ -152,6 +152,14 @@ def test_rule_statistics(spark):
         i: brute_statistics(t) for i, t in enumerate(TEXTS)}
 
 
+def test_rule_statistics_take_lines_from_the_whole_text(spark):
+    texts = [" a b\na b", "a b\r\na b\r\n", "a b\na b ", "\n a\nb\n a\n\n"]
+    rows = rules.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    got = {r.doc_id: tuple(r[c] for c in rules.BASE) for r in rows}
+    assert got == {i: brute_statistics(t) for i, t in enumerate(texts)}
+    assert [got[i][3] for i in range(4)] == [0, 1, 0, 1]
+
+
 def test_rules_learn_and_filter(spark):
     good = [(i, prose(i)) for i in range(60)]
     bad = [(100 + i, " ".join(w + "###" for w in prose(i).split())) for i in range(60)]
