@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm import spans as sp
-from boardsift.llm.common import stored, table
+from boardsift.llm.common import stored, table, words
 
 
 def _bytes_of_ip(v: Column) -> Column:
@@ -89,11 +89,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(identifier-like tokens with their left context, how often each left context occurs).
+    """(identifier-like tokens with their left context, the left context of every token of every text).
 
-    Contexts are counted in the texts that hold a digit or an at sign.
+    Only the identifier-like tokens are limited to texts that hold a digit or an at sign.
     """
-    found = sp.with_spans(_keyed(docs).filter(F.col("_text").rlike("[0-9@]")).select(
+    keyed, marked = _keyed(docs), F.col("_text").rlike("[0-9@]")
+    found = sp.with_spans(keyed.filter(marked).select(
         "_id", "_hash", "_text"), "_text", [TOKEN]).drop("_text")
     t = F.col("spans_token")
 
@@ -117,16 +118,24 @@ def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         v.rlike(f"^{PHONE}$") & _is_phone(v))
     rows = rows.withColumns({"seed": seed, "instance": F.lower("value"),
                              "end": F.col("start") + F.char_length("value")})
-    totals = found.select(F.explode(F.transform(third, left)).alias("pattern")).groupBy("pattern").agg(
-        F.count("*").alias("total"))
-    return rows, totals
+    # without digits a token is what stands between white space
+    w = F.col("_w")
+    plain = keyed.filter(~marked).select(words(F.lower("_text")).alias("_w")).filter(F.size(w) > 2)
+    pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 2), F.slice(w, F.lit(2), F.size(w) - 2),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    contexts = found.select(F.explode(F.transform(third, left)).alias("pattern")).union(
+        plain.select(F.explode(pairs).alias("pattern")))
+    return rows, contexts
 
 
-def graph(rows: DataFrame, totals: DataFrame, cfg: Bootstrap) -> DataFrame:
+def graph(rows: DataFrame, contexts: DataFrame, cfg: Bootstrap) -> DataFrame:
     """Edges (pattern, instance, n, seed, total) of patterns that enough different tokens follow."""
     edges = rows.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    viable = edges.groupBy("pattern").agg(F.count("*").alias("k")).filter(F.col("k") >= cfg.support)
-    return edges.join(viable.select("pattern"), "pattern").join(totals, "pattern")
+    viable = stored(edges.groupBy("pattern").agg(F.count("*").alias("k")).filter(F.col("k") >= cfg.support).select(
+        "pattern"), "pii-viable")
+    few = F.broadcast(viable) if viable.count() <= BROADCAST_ROWS else viable
+    totals = contexts.join(few, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    return edges.join(viable, "pattern").join(totals, "pattern")
 
 
 def bootstrap(edges: DataFrame, cfg: Bootstrap) -> tuple[DataFrame, DataFrame]:
@@ -147,9 +156,9 @@ def bootstrap(edges: DataFrame, cfg: Bootstrap) -> tuple[DataFrame, DataFrame]:
 
 def discovered(docs: DataFrame, cfg: Bootstrap = Bootstrap()) -> DataFrame:
     """(_id, _hash, context): spans of new identifiers, at most one row for each text."""
-    rows, totals = mentions(docs)
+    rows, contexts = mentions(docs)
     rows = stored(rows, "pii-mentions")
-    patterns, scores = bootstrap(stored(graph(rows, totals, cfg), "pii-edges"), cfg)
+    patterns, scores = bootstrap(stored(graph(rows, contexts, cfg), "pii-edges"), cfg)
     new = rows.filter(~F.col("seed")).join(patterns.select("pattern"), "pattern", "left_semi").join(
         scores.filter(F.col("score") >= cfg.accept).select("instance"), "instance", "left_semi")
     span = F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "value")

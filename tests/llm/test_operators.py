@@ -127,6 +127,16 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert pii.find(table.limit(0)).count() == 0
 
 
+def test_pii_contexts_count_in_all_texts(spark):
+    rows = [(i, f"lorem ipsum it is: {v} dolor sit") for i, v in enumerate([*SEEDS, "AB-12345-77", "QQ99812"])]
+    assert [len(r.spans_context) for r in pii.find(docs(spark, rows)).orderBy("doc_id").collect()] == [0] * 4 + [1] * 2
+    rows += [(20 + i, f"\tso It\n is:  plain {i * 'x'} words") for i in range(12)] + [(50, "it is:"), (51, None)]
+    assert {len(r.spans_context) for r in pii.find(docs(spark, rows)).collect()} == {0}
+    pairs, contexts = pii.mentions(docs(spark, rows))
+    total = {r.total for r in pii.graph(pairs, contexts, pii.Bootstrap()).filter("pattern = 'it is:'").collect()}
+    assert total == {18}  # the context at the end of a text leads to no token
+
+
 # ------------------------------------------------------------ rules
 
 
