@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from boardsift.llm import bpe, chat, decontam, html, jaccard, language, pii, quality, rules, secrets
+from boardsift.llm import (
+    bpe, chat, clusters, codes, decontam, html, jaccard, language, pii, quality, rules, secrets,
+)
 
 QUERIES = {
     "op1_latent_leaks": decontam.op1_latent_leaks,
@@ -15,6 +17,12 @@ QUERIES = {
     "op3_decision_list": rules.op3_decision_list,
     "op4_pii_bootstrap": pii.op4_pii_bootstrap,
     "op9_secret_ledger": secrets.op9_secret_ledger,
+    "op12_walsh_codes": codes.op12_walsh_codes,
+    "op13_rotated_clusters": clusters.op13_rotated_clusters,
 }
 
-ORACLES: dict[str, str] = {"op10_preference_pairs": chat.ORACLE}
+ORACLES: dict[str, str] = {
+    "op10_preference_pairs": chat.ORACLE,
+    "op12_walsh_codes": codes.sql(),
+    "op13_rotated_clusters": clusters.sql(),
+}

@@ -7,19 +7,22 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from boardsift.llm import catalog
 
-KEYS = {"op1_latent_leaks": "doc_id", "op10_preference_pairs": "conv_id", "op8_wrapper_text": "page_id"}
+KEYS = {"op1_latent_leaks": "doc_id", "op10_preference_pairs": "conv_id", "op8_wrapper_text": "page_id",
+        "op12_walsh_codes": "vec_id", "op13_rotated_clusters": "vec_id"}
 
 
 def test_one_query_for_each_operator():
-    assert [sum(k.startswith(f"op{n}_") for k in entry.queries()) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in entry.queries()) for n in (*range(1, 11), 12, 13)] == [1] * 12
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
 
 
-def test_preference_pairs_equal_sql(spark, sf_dir):
-    df = catalog.QUERIES["op10_preference_pairs"](spark, sf_dir)
+@pytest.mark.parametrize("name", catalog.ORACLES)
+def test_equal_sql(spark, sf_dir, name):
+    df = catalog.QUERIES[name](spark, sf_dir)
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW conversations AS FROM '{sf_dir}/conversations.parquet'")
-    rel = con.sql(catalog.ORACLES["op10_preference_pairs"])
+    for t in ("conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
+    rel = con.sql(catalog.ORACLES[name])
     assert sorted(rel.columns) == sorted(df.columns)
     assert sorted(str(tuple(r[c] for c in rel.columns)) for r in df.collect()) == sorted(map(str, rel.fetchall()))
 
