@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from boardsift.llm import (
-    bpe, chat, clusters, codes, decontam, html, jaccard, language, pii, quality, rules, secrets,
+    bpe, chat, clusters, codes, decontam, html, interpolation, jaccard, language, pii, quality, rules, secrets,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op3_decision_list": rules.op3_decision_list,
     "op4_pii_bootstrap": pii.op4_pii_bootstrap,
     "op9_secret_ledger": secrets.op9_secret_ledger,
+    "op11_deleted_interpolation": interpolation.op11_deleted_interpolation,
     "op12_walsh_codes": codes.op12_walsh_codes,
     "op13_rotated_clusters": clusters.op13_rotated_clusters,
 }
