@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from boardsift.operators import dedup, semantic
 from boardsift.plugins import classify, with_embedding
 from boardsift.session import fresh_path
 from boardsift.sources import tables
+from boardsift.sources.idindex import open_index
 from boardsift.sources.normalizer import normalize
 from boardsift.sources.specs import SPECS
-from boardsift.streaming import streams
+from boardsift.streaming import notify, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -73,7 +76,7 @@ def stream_ingest(spark, sf_dir):
 
 @query("stream_first_seen", "SELECT DISTINCT user_id FROM events")
 def stream_first_seen(spark, sf_dir):
-    keys = streams.first_seen(stream_of(spark, sf_dir, "events"), "user_id", "event_id")
+    keys = streams.first_seen(stream_of(spark, sf_dir, "events"), "user_id")
     return streams.to_table(keys, *paths(spark, "first-seen"))
 
 
@@ -81,7 +84,7 @@ def stream_first_seen(spark, sf_dir):
 def stream_first_seen_within(spark, sf_dir):
     """The delay spans all events, so each user appears once."""
     keys = streams.first_seen_within(
-        stream_of(spark, sf_dir, "events"), "user_id", "ts", "400 days", "event_id")
+        stream_of(spark, sf_dir, "events"), "user_id", "ts", "400 days")
     return streams.to_table(keys, *paths(spark, "first-seen-within"))
 
 
@@ -144,6 +147,16 @@ def stream_notify_once(spark, sf_dir):
     return out.select("job_id", "combined_score")
 
 
+@query("stream_notify_state", f"""WITH {SCORED} SELECT job_id, min(doc_id) AS doc_id, min_by(combined_score, doc_id) AS combined_score
+FROM scored WHERE status = 'detected' AND is_india AND combined_score >= 0.25 GROUP BY job_id""")
+def stream_notify_state(spark, sf_dir):
+    """Keyed state: each listing alerts at its first sighting that is worth it."""
+    rows = notify.notify_states(listing_stream(spark, sf_dir), AS_OF, CFG, "doc_id", "fetched_at",
+                                "1000 days", timedelta(days=60))
+    return notify.run_notify(rows, *paths(spark, "notify-state")).select(
+        "job_id", F.col("ord").alias("doc_id"), "combined_score")
+
+
 @query("stream_funnel", f"""WITH {SCORED} SELECT count(*) AS total_new, count(*) FILTER (NOT is_india) AS filtered_location,
  count(*) FILTER (is_india AND age_hours > 168) AS filtered_age,
  count(*) FILTER (is_india AND age_hours <= 168 AND status = 'filtered') AS filtered_score,
@@ -167,6 +180,49 @@ def history_csv(spark, sf_dir):
     return tables.read_history(spark, folder)
 
 
+@query("history_versions", f"WITH {duck.LISTINGS} SELECT DISTINCT job_id AS id FROM listings")
+def history_versions(spark, sf_dir):
+    """Three additions to a CSV history, each of the ids its index does not hold yet."""
+    rows = listing_queries.listings(spark, sf_dir).select(F.col("job_id").alias("id"), "doc_id")
+    folder = fresh_path(spark, "history")
+    for upto in (1, 2, 3):
+        batch = rows.filter(F.col("doc_id") % 3 < upto).select("id").distinct()
+        tables.append_history(dedup.new_only(batch, tables.history_index(spark, folder), "id"), folder)
+    return tables.read_history(spark, folder)
+
+
+_KNOWN_SQL = f"""WITH {duck.LISTINGS}, known AS (SELECT job_id FROM listings WHERE fetched_at < {listing_queries.CUT})"""
+
+
+@query("history_index_join", f"""{_KNOWN_SQL} SELECT job_id, min(doc_id) AS doc_id, min_by(title, doc_id) AS title
+FROM listings WHERE fetched_at >= {listing_queries.CUT} AND job_id NOT IN (FROM known) GROUP BY job_id""")
+def history_index_join(spark, sf_dir):
+    """New listings of a batch against a stored id index of two parts."""
+    batch, known = listing_queries.batch_and_known(spark, sf_dir)
+    index = open_index(spark, fresh_path(spark, "id-index"), 20_000)
+    even = F.col("doc_id") % 2 == 0
+    index.add(known.filter(even), "even")
+    index.add(known.filter(~even), "odd")
+    return dedup.fresh_listings(batch, index, ["doc_id"]).select("job_id", "doc_id", "title")
+
+
+@query("retention_by_day", f"""WITH {duck.LISTINGS}, one AS (SELECT doc_id, job_id, fetched_at,
+ CASE WHEN doc_id % 5 = 0 THEN 'applied' ELSE 'detected' END AS status FROM listings
+ QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY doc_id) = 1),
+gone AS (SELECT * FROM one WHERE fetched_at < {duck.AS_OF} - INTERVAL 30 DAY AND status = 'detected')
+SELECT job_id, status, (SELECT count(*) FROM gone) AS deleted FROM one WHERE job_id NOT IN (SELECT job_id FROM gone)""")
+def retention_by_day(spark, sf_dir):
+    """Expired listings leave their days' folders; the count comes with it."""
+    root = fresh_path(spark, "retention")
+    tables.create_tables(spark, root)
+    rows = listing_queries.listings(spark, sf_dir).withColumn(
+        "status", F.when(F.col("doc_id") % 5 == 0, "applied").otherwise("detected"))
+    tables.insert_new(spark, rows, root, ["doc_id"])
+    deleted = tables.retire(spark, root, AS_OF, 30)
+    return tables.read_table(spark, root, "listings").select(
+        "job_id", "status", F.lit(deleted).cast("bigint").alias("deleted"))
+
+
 @query("insert_twice", f"""WITH {SCORED} SELECT job_id, min(doc_id) AS doc_id, min_by(status, doc_id) AS status,
  min_by(combined_score, doc_id) AS combined_score FROM scored GROUP BY job_id""")
 def insert_twice(spark, sf_dir):

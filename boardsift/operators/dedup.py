@@ -34,13 +34,16 @@ def by_title_company(sep: str = "_", fold_case: bool = False) -> list[Column]:
     return [F.concat_ws(sep, title, company)]
 
 
-def new_only(batch: DataFrame, known: DataFrame, key: str = "job_id") -> DataFrame:
-    """Rows of ``batch`` whose key is not in ``known``.
+def new_only(batch: DataFrame, known, key: str = "job_id") -> DataFrame:
+    """Rows of ``batch`` whose key is not in ``known``, a frame or an id index.
 
     No broadcast hint: adaptive execution broadcasts ``known`` when its
     measured size allows and shuffles otherwise.  A batch that went through
-    :func:`first_wins` on the same key is already partitioned for the join.
+    :func:`first_wins` on the same key is already partitioned for the join.  An
+    index answers without moving what it stores.
     """
+    if not isinstance(known, DataFrame):
+        return known.new_only(batch, key)
     return batch.join(known.select(key), key, "left_anti")
 
 
@@ -56,11 +59,23 @@ def union_keys(history: DataFrame, sent: DataFrame, key: str = "id") -> DataFram
     return history.select(key).union(sent.select(key)).distinct()
 
 
-def fresh_listings(batch: DataFrame, known: DataFrame, order: Sequence[Key]) -> DataFrame:
-    """First row per ``job_id`` of a batch, without the listings already stored."""
-    return new_only(first_wins(batch, ["job_id"], order), known)
+def fresh_listings(batch: DataFrame, known, order: Sequence[Key]) -> DataFrame:
+    """First row per ``job_id`` of a batch, without the listings already stored.
 
-
-def insertable(batch: DataFrame, table: DataFrame, order: Sequence[Key]) -> DataFrame:
+    With an id index only ids and order are grouped and looked up; whole rows move for the
+    ids that turn out to be new.
+    """
+    if isinstance(known, DataFrame):
+        return new_only(first_wins(batch, ["job_id"], order), known)
+    places = [F.col(c) if isinstance(c, str) else c for c in order]
+    at = F.struct(*[p.alias(f"_{i}") for i, p in enumerate(places)])
+    new = known.new_only(batch.groupBy("job_id").agg(F.min(at).alias("_at")))
+    new = new.select(F.col("job_id").alias("_id"), "_at")
+    rows = batch.withColumn("_here", at).join(
+        new, (F.col("job_id") == F.col("_id")) & F.col("_here").eqNullSafe(F.col("_at")), "left_semi")
+    return first_wins(rows.drop("_here"), ["job_id"], order)
+
+
+def insertable(batch: DataFrame, table, order: Sequence[Key]) -> DataFrame:
     """The rows an insert-or-ignore would add; their count is the true insert count."""
     return fresh_listings(batch, table, order)

@@ -168,7 +168,10 @@ def by_status(table: DataFrame, status: str, k: int = 100) -> DataFrame:
 
 
 def recent(table: DataFrame, as_of: datetime | str, hours: int = 24, k: int = 100) -> DataFrame:
+    """The newest listings; of a table laid out by day only the last days are read."""
     cutoff = timestamp_literal(as_of) - F.make_interval(hours=F.lit(hours))
+    if "fetched_date" in table.columns:
+        table = table.filter(F.col("fetched_date") >= F.to_date(cutoff))
     return (table.filter(F.col("fetched_at") >= cutoff)
             .orderBy(F.desc("fetched_at"), "job_id").limit(k))
 

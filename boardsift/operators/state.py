@@ -102,9 +102,15 @@ def apply_verdicts(scored: DataFrame, verdicts: DataFrame) -> DataFrame:
     }).drop("_suitable", "_experience", "_reason")
 
 
-def pending_alerts(top: DataFrame, notified: DataFrame) -> DataFrame:
-    """Top matches nobody was told about, with the rendered message."""
-    todo = new_only(top, notified)
+def pending_alerts(top: DataFrame, notified) -> DataFrame:
+    """Top matches nobody was told about, with the rendered message.
+
+    ``notified`` is a frame of ids or an id index.
+    """
+    return alerts_for(new_only(top, notified))
+
+
+def alerts_for(todo: DataFrame) -> DataFrame:
     row = {c: F.col(c) for c in todo.columns}
     row.setdefault("llm_experience_required", F.lit(None).cast("string"))
     return todo.withColumn("message", alerts.alert_message(row))

@@ -47,10 +47,13 @@ def _once(spark: SparkSession, path: str, df: Callable[[], DataFrame]) -> DataFr
     return spark.read.parquet(path)
 
 
-def score_batch(batch: DataFrame, known: DataFrame, as_of: str, cfg: MatchConfig,
+def score_batch(batch: DataFrame, known, as_of: str, cfg: MatchConfig,
                 profiles: Sequence[Sequence[float]] = (), embedder: Callable | None = None,
                 classifier: Callable | None = None) -> DataFrame:
-    """New listings of a batch with scores, status and experience verdict."""
+    """New listings of a batch with scores, status and experience verdict.
+
+    ``known`` is a frame of job_ids or an id index.
+    """
     fresh = dedup.fresh_listings(batch, known, ORDER)
     similarity = None
     if embedder is not None:
@@ -80,9 +83,12 @@ def run_scan(spark: SparkSession, landing: DataFrame, root: str, run_id: str, as
     batch = _once(spark, f"{run}/batch", lambda: read_batch(landing, specs, keywords))
     quarantined = _once(spark, f"{run}/quarantine", lambda: reduce(DataFrame.unionByName, [
         quarantine(landing, spec, keywords) for spec in specs]))
+    index = tables.listing_index(spark, root).maintained()
     scored = _once(spark, f"{run}/scored", lambda: score_batch(
-        batch, tables.known_ids(spark, root), as_of, cfg, **models))
-    tables.insert_new(spark, scored, root, ["job_id"])
+        batch, index.excluding(run_id), as_of, cfg, **models))
+    # The rows are new and their run replaces itself, so nothing is looked up again.
+    tables.put_listings(scored, root, run_id)
+    index.add(scored, run_id)
 
     queued = tables.read_table(spark, root, "outbox")
     notified = state.latest_status(tables.read_table(spark, root, "status_events")).filter(

@@ -24,17 +24,20 @@ def with_id(listings: DataFrame) -> DataFrame:
         "job_id_v1", text.job_id_v1(F.col("title"), F.col("company"), F.col("source")))
 
 
-def new_matches(listings: DataFrame, history: DataFrame, as_of: str, profiles: dict[str, str],
+def new_matches(listings: DataFrame, history, as_of: str, profiles: dict[str, str],
                 cfg: TaggedConfig = TaggedConfig(),
                 stop_words: list[str] | None = None) -> DataFrame:
     """Fresh listings outside the history, once per search tag, with scores.
 
+    ``history`` is a frame of ids or an id index.
     Freshness and history come first, so only new rows are scored.  Repeats
     within a run are kept, one per tag and copy; see ``dedup.first_wins`` for
     the stricter policy.
     """
     fresh = score.fresh_by_age(with_id(listings), as_of, cfg.max_age_hours)
-    new = dedup.new_only(fresh, history.select(F.col("id").alias("job_id_v1")), "job_id_v1")
+    if isinstance(history, DataFrame):
+        history = history.select(F.col("id").alias("job_id_v1"))
+    new = dedup.new_only(fresh, history, "job_id_v1")
     return score.score_tagged(score.tag_listings(new, cfg.tags), profiles, cfg, stop_words)
 
 
@@ -44,11 +47,11 @@ def run_tagged_scan(listings: DataFrame, history_folder: str, out: str, as_of: s
     """Score, write the alerts of the best matches, and remember those.
 
     A listing below the alert limit is not remembered and competes again in
-    the next run.  The history gets its next version only after the alerts are
+    the next run.  The history gets the new ids only after the alerts are
     complete; a run repeated after a failure in between reuses them.
     """
     spark = listings.sparkSession
-    history = tables.read_history(spark, history_folder)
+    history = tables.history_index(spark, history_folder).maintained()
     if not tables.finished(spark, f"{out}/alerts"):
         scored = new_matches(listings, history, as_of, profiles, cfg, stop_words)
         scored.select("job_id_v1", "tag", "title", "company", "location", "source", "url",
@@ -59,7 +62,7 @@ def run_tagged_scan(listings: DataFrame, history_folder: str, out: str, as_of: s
         top.withColumn("message", alerts.tagged_alert(row)).write.mode("overwrite").parquet(
             f"{out}/alerts")
     sent = spark.read.parquet(f"{out}/alerts")
-    tables.save_history(
-        dedup.union_keys(history, sent.select(F.col("job_id_v1").alias("id"))), history_folder)
+    tables.append_history(
+        dedup.new_only(sent.select(F.col("job_id_v1").alias("id")).distinct(), history, "id"), history_folder)
     return TaggedResult(
         sent, report.tagged_funnel(spark.read.parquet(f"{out}/scored"), cfg.min_score))

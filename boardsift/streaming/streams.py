@@ -6,19 +6,19 @@ their position in a checkpoint of the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.config import MatchConfig
 from boardsift.operators import dedup, report, score, state
 from boardsift.sources import tables
+from boardsift.sources.idindex import IdIndex, open_index
 from boardsift.sources.normalizer import SourceSpec, normalize
 
 BatchFn = Callable[[DataFrame, int], DataFrame]
-# State partitions of one hot key are spread over this many sub-keys first.
-SALTS = 16
 
 
 def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -46,64 +46,78 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def by_batch(stream: DataFrame, path: str, checkpoint: str, fn: BatchFn,
-             mode: str = "append") -> None:
-    """Write ``fn(micro_batch, id)`` to its own folder; a replayed batch replaces it."""
+             mode: str = "append", after: BatchFn | None = None) -> None:
+    """Write ``fn(micro_batch, id)`` to its own folder; a replayed batch replaces it.
+
+    ``after`` gets what was written, and the id.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fn(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        out = fn(batch, batch_id)
+        place = f"{path}/batch_id={batch_id}"
+        out.write.mode("overwrite").parquet(place)
+        if after is not None:
+            after(batch.sparkSession.read.schema(out.schema).parquet(place), batch_id)
 
     query = (stream.writeStream.foreachBatch(write).outputMode(mode)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
 
 
-def written(spark: SparkSession, path: str, before: int, schema) -> DataFrame:
-    """What earlier batches wrote, without the batch being written."""
-    if not any(c.startswith("batch_id=") for c in tables.children(spark, path)):
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(path).filter(F.col("batch_id") < before)
-
-
 def ingest(landing: DataFrame, spec: SourceSpec, keywords: list[str], path: str,
-           checkpoint: str) -> DataFrame:
+           checkpoint: str, index: IdIndex | None = None) -> DataFrame:
     """Normalise landed payloads with the batch normaliser; each listing once.
 
-    First-wins within the micro-batch keeps one row per id and task before the
-    shuffle; the anti join drops ids of earlier batches.
+    First-wins within the micro-batch keeps one row per id and task before the shuffle; the id index
+    (by default one beside ``path``) tells which ids earlier batches had, so nothing written before is read again.
+    A batch that broke off is repeated against the index without its own ids.
     """
     spark = landing.sparkSession
+    ids = index or open_index(spark, f"{path}_ids")
+
+    parsed: list[DataFrame] = []
 
     def fn(batch: DataFrame, batch_id: int) -> DataFrame:
         listings = normalize(batch, spec, keywords, keep_order=True)
-        known = written(spark, path, batch_id, "job_id STRING, batch_id INT")
-        return dedup.fresh_listings(listings, known, ["ord", "pos"])
+        # read twice: for the ids that are looked up, and for the rows
+        parsed.append(dedup.first_wins(listings, ["job_id"], ["ord", "pos"]).persist())
+        return dedup.new_only(parsed[-1], ids.excluding(f"{path} {batch_id}"))
+
+    def after(out: DataFrame, batch_id: int) -> None:
+        parsed.pop().unpersist()
+        ids.add(out, f"{path} {batch_id}")
 
-    by_batch(landing, path, checkpoint, fn)
+    by_batch(landing, path, checkpoint, fn, after=after)
+    if index is None:
+        ids.maintained()
     return spark.read.parquet(path)
 
 
-def _salted(stream: DataFrame, salt_by: str, *columns: str | Column) -> DataFrame:
-    return stream.select(*columns, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).alias("_salt"))
+def combined(rows: DataFrame, key: str, time: str | None = None) -> DataFrame:
+    """One row for each key, with its latest time, of each Arrow batch of a task.
 
+    So a key that makes up most of the stream reaches the state as a few rows.
+    """
+    columns = [key] if time is None else [key, time]
+    rows = rows.select(*columns)
 
-def first_seen(stream: DataFrame, key: str, salt_by: str) -> DataFrame:
-    """Each key once over the whole stream.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            once = pa.Table.from_batches([batch]).group_by(key).aggregate([] if time is None else [(time, "max")])
+            yield from once.select([key] if time is None else [key, f"{time}_max"]).rename_columns(columns).to_batches()
 
-    The first step deduplicates per (key, salt), so a key that makes up most
-    of the stream is spread over tasks; the second sees at most ``SALTS`` rows
-    of it.  Only the key column enters the state.
-    """
-    once = _salted(stream, salt_by, key).dropDuplicates([key, "_salt"])
-    return once.select(key).dropDuplicates([key])
+    return rows.mapInArrow(run, rows.schema)
 
 
-def first_seen_within(stream: DataFrame, key: str, time: str, delay: str,
-                      salt_by: str) -> DataFrame:
-    """Each key once per watermark delay, with state bounded by it; salted too."""
-    at = F.col(time).cast("timestamp").alias(time)
-    rows = _salted(stream, salt_by, key, at).withWatermark(time, delay)
-    once = rows.dropDuplicatesWithinWatermark([key, "_salt"])
-    return once.select(key, time).dropDuplicatesWithinWatermark([key]).select(key)
+def first_seen(stream: DataFrame, key: str) -> DataFrame:
+    """Each key once over the whole stream; the state holds each key once, for ever."""
+    return combined(stream, key).dropDuplicates([key])
+
+
+def first_seen_within(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+    """Each key once per watermark delay; keys older than the watermark leave the state."""
+    rows = combined(stream.withColumn(time, F.col(time).cast("timestamp")), key, time)
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key]).select(key)
 
 
 def new_only(stream: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -149,17 +163,28 @@ def latest_update(spark: SparkSession, path: str, keys: list[str], value: str) -
 
 def notify_once(listings: DataFrame, as_of: str, cfg: MatchConfig, path: str,
                 checkpoint: str) -> DataFrame:
-    """Queue an alert the first time a listing is eligible, never again."""
+    """Queue an alert the first time a listing is eligible, never again.
+
+    The first row of a micro-batch speaks for its listing; an id index beside ``path`` knows what was
+    queued before.  See :mod:`boardsift.streaming.notify` for state that forgets.
+    """
     spark = listings.sparkSession
+    queued = open_index(spark, f"{path}_queued")
 
     def fn(batch: DataFrame, batch_id: int) -> DataFrame:
         one = dedup.first_wins(batch, ["job_id"], ["doc_id"])
         hits = score.score_listings(one, as_of, cfg).filter(
             (F.col("status") == "detected") & F.col("is_india"))
-        queued = written(spark, path, batch_id, "job_id STRING, batch_id INT")
-        return state.pending_alerts(hits, queued).select("job_id", "combined_score", "message")
+        return state.alerts_for(hits).select("job_id", "combined_score", "message")
 
-    by_batch(listings, path, checkpoint, fn)
+    def after(out: DataFrame, batch_id: int) -> None:
+        queued.add(out, str(batch_id))
+
+    def new(batch: DataFrame, batch_id: int) -> DataFrame:
+        hits = fn(batch, batch_id)
+        return dedup.new_only(hits, queued.excluding(str(batch_id)))
+
+    by_batch(listings, path, checkpoint, new, after=after)
     return spark.read.parquet(path)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardsift.config import MatchConfig, TaggedConfig
-from boardsift.operators import semantic, state
+from boardsift.operators import dedup, report, semantic, state
 from boardsift.plans import scan
 from boardsift.plans.scan import run_scan
 from boardsift.plans.tagged import run_tagged_scan
@@ -46,6 +46,27 @@ def test_history_versions(spark, root):
     assert sorted(r.id for r in tables.read_history(spark, root).collect()) == ["007", "a", "b"]
 
 
+def test_history_additions(spark, root):
+    """A version costs its own ids only; one that broke off is not read, its number is not used again."""
+    def ids(*x):
+        return spark.createDataFrame([(i,) for i in x], "id STRING")
+
+    tables.save_history(ids("a", "007"), root)
+    tables.append_history(ids("b"), root)
+    tables.append_history(ids("broken"), root)
+    tables.files.remove(spark, f"{root}/d00000003/_SUCCESS")
+    index = tables.history_index(spark, root)
+    new = dedup.new_only(ids("a", "b", "c", "broken"), index, "id")
+    tables.append_history(new, root)
+    assert sorted(r.id for r in tables.read_history(spark, root).collect()) == ["007", "a", "b", "broken", "c"]
+    assert sorted(r.id for r in spark.read.option("header", True).csv(f"{root}/d00000004").collect()) == ["broken", "c"]
+    again = tables.history_index(spark, root)
+    assert again.known_among(ids("a", "007", "b", "c", "broken", "d"), "id").count() == 5
+    tables.save_history(tables.read_history(spark, root), root)
+    tables.append_history(ids("e"), root)
+    assert tables.read_history(spark, root).count() == 6
+
+
 def test_history_without_id_is_empty(spark, root):
     spark.createDataFrame([("a",)], "other STRING").write.option("header", True).csv(f"{root}/v00000001")
     assert tables.read_history(spark, root).count() == 0
@@ -137,13 +158,56 @@ def test_run_with_models(spark, root):
     assert by["Data Analyst"].semantic_score == 0.0
 
 
-def test_purge(spark, root):
-    df = spark.sql("SELECT 'a' AS job_id, 'detected' AS status, TIMESTAMP '2023-01-01' AS fetched_at"
-                   " UNION ALL SELECT 'b', 'notified', TIMESTAMP '2023-01-01'"
-                   " UNION ALL SELECT 'c', 'detected', TIMESTAMP '2024-01-30'")
-    tables.purge(spark, state.survivors(df, AS_OF), root)
-    got = spark.read.parquet(root)
-    assert sorted(r.job_id for r in got.collect()) == ["b", "c"] and "fetched_date" in got.columns
+def stored(spark, root, rows, part):
+    df = spark.createDataFrame(rows, "job_id STRING, status STRING, at STRING").withColumn(
+        "fetched_at", F.col("at").cast("timestamp"))
+    tables.insert_new(spark, df, root, ["at"], part)
+
+
+def test_retirement_touches_only_what_expires(spark, root):
+    tables.create_tables(spark, root)
+    stored(spark, root, [("a", "detected", "2023-01-01 05:00:00"), ("b", "notified", "2023-01-01 06:00:00"),
+                         ("c", "detected", "2024-01-30 00:00:00"), ("d", "filtered", "2023-05-05 00:00:00"),
+                         ("e", "detected", "2024-01-01 01:00:00"), ("f", "detected", None),
+                         ("g", "detected", "2023-06-01 00:00:00")], "one")
+    stored(spark, root, [("h", "applied", "2023-01-01 07:00:00"), ("i", "detected", "2023-12-31 23:00:00")], "two")
+    ids = spark.createDataFrame([("g",)], "job_id STRING")
+    tables.write_part(state.status_events(ids, "applied", "2023-06-02"), root, "status_events", "one")
+
+    def files():
+        rows = tables.read_table(spark, root, "listings").select("job_id", "_metadata.file_path", "_metadata.file_modification_time")
+        return {r.job_id: tuple(r) for r in rows.collect()}
+
+    before = files()
+    assert tables.retire(spark, root, AS_OF) == 3
+    after = files()
+    assert sorted(after) == ["b", "c", "e", "f", "g", "h"]
+    assert all(before[k] == after[k] for k in "cefgh") and before["b"] != after["b"]
+    assert tables.retire(spark, root, AS_OF) == 0 and files() == after
+    # what went is new again, what stayed is not
+    stored(spark, root, [("a", "detected", "2024-01-30 00:00:00"), ("b", "detected", "2024-01-30 00:00:00")], "three")
+    assert len(files()) == 7 and files()["b"] == after["b"]
+
+
+def test_broken_retirement_is_finished_by_the_next(spark, root, monkeypatch):
+    tables.create_tables(spark, root)
+    stored(spark, root, [("a", "detected", "2023-01-01 05:00:00"), ("b", "notified", "2023-01-01 06:00:00")], "one")
+    monkeypatch.setattr(tables, "_apply_retirement", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        tables.retire(spark, root, AS_OF)
+    monkeypatch.undo()
+    assert tables.known_ids(spark, root).count() == 2
+    assert tables.retire(spark, root, AS_OF) == 0
+    assert [r.job_id for r in tables.known_ids(spark, root).collect()] == ["b"]
+
+
+def test_retirement_and_recent_read_only_their_days(spark, root):
+    tables.create_tables(spark, root)
+    old = tables.old_listings(spark, root, AS_OF, 30)
+    recent = report.recent(tables.read_table(spark, root, "listings"), AS_OF)
+    for df, sign in ((old, "<="), (recent, ">=")):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert f"(fetched_date#" in text and f" {sign} " in text.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_embedder_failures_stay_alone(spark):
@@ -197,7 +261,7 @@ def test_stream_first_seen_with_a_hot_key(spark, root):
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
     df.repartition(3).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    got = streams.to_table(streams.first_seen(stream, "k", "id"), f"{root}/out", f"{root}/check")
+    got = streams.to_table(streams.first_seen(stream, "k"), f"{root}/out", f"{root}/check")
     assert got.count() == got.distinct().count() == 201
 
 
