@@ -10,7 +10,7 @@ from boardsift.catalog import duck
 from boardsift.catalog.duck import LISTINGS, TEXTS, q, scored_sql
 from boardsift.catalog.fixtures import AS_OF, listings, raw_listings, table
 from boardsift.config import AGE_BASE, AGE_V1, AGE_V2, MatchConfig, TaggedConfig
-from boardsift.functions import alerts, rules, text
+from boardsift.functions import alerts, dictionary, rules, text
 from boardsift.functions.age import age_hours, timestamp_literal
 from boardsift.operators import dedup, report, score, semantic, state
 from boardsift.operators.tfidf import profile_counts
@@ -312,6 +312,35 @@ def relevance_flag(spark, sf_dir):
         .alias("is_relevant"))
 
 
+# ------------------------------------------------------------ dictionaries
+
+_FRAGMENTS = """fragments AS (SELECT term, count(DISTINCT p_name) AS names FROM (SELECT p_name, substr(p_name, i, n) AS term
+ FROM (SELECT DISTINCT p_name FROM part), (SELECT unnest(range(1, 20)) AS i), (SELECT unnest([3, 4, 5, 6]) AS n) WHERE i + n <= length(p_name) + 1)
+ GROUP BY term)"""
+
+
+def name_fragments(spark, sf_dir) -> DataFrame:
+    """(term, names): pieces of three to six characters of part names, and how many names have them."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    size = F.length("p_name")
+    starts = names.select("p_name", F.explode(F.sequence(F.lit(1), size)).alias("i"))
+    pieces = starts.select("p_name", "i", F.explode(F.array(*map(F.lit, (3, 4, 5, 6)))).alias("n")).filter(
+        F.col("i") + F.col("n") <= F.length("p_name") + 1)
+    return pieces.select("p_name", F.expr("substring(p_name, i, n)").alias("term")).groupBy("term").agg(
+        F.count_distinct("p_name").alias("names"))
+
+
+@query("dictionary_hits", f"""WITH {_FRAGMENTS}, hits AS (SELECT doc_id, term, names FROM documents, fragments WHERE contains(text, term))
+SELECT doc_id, count(*) AS terms, CAST(sum(names) AS BIGINT) AS names, string_agg(term, ',' ORDER BY term) AS found FROM hits GROUP BY doc_id""")
+def dictionary_hits(spark, sf_dir):
+    """Documents joined with every dictionary entry they hold, in one scan of each text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = dictionary.occurrences(docs, "text", name_fragments(spark, sf_dir), "term", "doc_id")
+    return hits.groupBy("doc_id").agg(
+        F.count("*").alias("terms"), F.sum("names").alias("names"),
+        F.array_join(F.array_sort(F.collect_list("term")), ",").alias("found"))
+
+
 # ------------------------------------------------------------ verdicts
 
 REPLY = """CASE WHEN toxic = 1 AND quality = 0 THEN 'no idea'

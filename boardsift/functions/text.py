@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boardsift.functions import dictionary
+
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 WORD = r"\p{L}\p{N}_"
 TAG = r"<[^>]+>"
@@ -85,6 +87,8 @@ def quoted(s: str) -> str:
 # Lists longer than this are looped over instead of unrolled: unrolled tests of
 # a few lists outgrow the size up to which the JVM compiles a method at all.
 UNROLL = 8
+# From this length on, one scan for a pattern of all terms beats a scan for each.
+ONE_SCAN = 200
 
 
 def _hit(text: str, term: str, mode: str) -> str:
@@ -103,6 +107,8 @@ def _bound(text: str, body: str) -> str:
 def _any(text: str, terms: list[str], mode: str) -> str:
     if len(terms) <= UNROLL or mode == "word":
         return "(" + (" OR ".join(_hit(text, t, mode) for t in terms) or "false") + ")"
+    if len(terms) >= ONE_SCAN:
+        return f"{text} RLIKE {quoted(dictionary.pattern(terms))}"
     listed = ", ".join(quoted(t) for t in terms)
     return f"exists(array({listed}), k -> contains({text}, k))"
 
@@ -131,6 +137,8 @@ def weighted_terms(text: str, weights: dict, mode: str = "substring") -> Column:
     if mode == "word":
         body = " + ".join(
             f"IF({_hit('t', k, mode)}, {number(w)}, {number(0)})" for k, w in weights.items())
+    elif len(weights) >= ONE_SCAN:
+        return _summed(text, weights)
     else:
         pairs = ", ".join(f"struct({quoted(k)} AS k, {number(w)} AS w)" for k, w in weights.items())
         body = (f"aggregate(array({pairs}), {number(0)}, "
@@ -138,8 +146,26 @@ def weighted_terms(text: str, weights: dict, mode: str = "substring") -> Column:
     return F.expr(_bound(text, body))
 
 
+def _summed(text: str, weights: dict) -> Column:
+    """As the loop over all terms does, in the order of ``weights``, over the terms found in one scan."""
+    zero = F.lit(0 if all(isinstance(w, int) for w in weights.values()) else 0.0)
+    table = F.create_map(*(x for i, (k, w) in enumerate(weights.items()) for x in (
+        F.lit(k), F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")))))
+    found = F.array_sort(F.transform(_present(text, list(weights)), lambda t: table[t]))
+    return F.aggregate(found, zero, lambda s, e: s + e["w"])
+
+
+def _present(text: str, terms: list[str]) -> Column:
+    return F.coalesce(dictionary.present(F.expr(text), terms), F.array().cast("array<string>"))
+
+
 def matched_terms(text: str, terms: Iterable[str]) -> Column:
     """The terms present, in the given order."""
+    terms = list(terms)
+    if len(terms) >= ONE_SCAN and len(set(terms)) == len(terms):
+        place = F.create_map(*(x for i, k in enumerate(terms) for x in (F.lit(k), F.lit(i))))
+        found = F.transform(_present(text, terms), lambda t: F.struct(place[t].alias("i"), t.alias("t")))
+        return F.transform(F.array_sort(found), lambda e: e["t"])
     listed = ", ".join(quoted(t) for t in terms)
     return F.expr(_bound(text, f"filter(array({listed}), k -> contains(t, k))"))
 
