@@ -12,7 +12,7 @@ from boardsift.catalog import duck
 from boardsift.catalog.duck import any_term, q
 from boardsift.catalog.fixtures import AS_OF, documents
 from boardsift.config import all_search_keywords
-from boardsift.sources.normalizer import ingest_log, normalize, quarantine
+from boardsift.sources.normalizer import ingest_errors, ingest_log, normalize, quarantine, quarantine_entries
 from boardsift.sources.specs import SPECS, SPECS_V1
 from boardsift.sources.threads import pick_thread
 
@@ -425,3 +425,56 @@ b AS (SELECT count(*) AS n FROM f WHERE {has('t', TAG_TEXT)}),
 d AS (SELECT count(*) AS n, CAST(sum(doc_id % 100) AS BIGINT) AS ms FROM documents)
 SELECT 'run-1' AS run_id, 'Arbeitnow' AS source, d.n AS payloads, a.n AS listings, d.ms AS duration_ms, 'not JSON' AS error FROM d, a
 UNION ALL SELECT 'run-1', 'Remotive', d.n, b.n, d.ms, NULL FROM d, b"""
+
+
+# ------------------------------------------------------------ entries among odd items
+
+# Before the entries of a document: a number, a text that looks like an object, an empty list, null.
+_ODD = """concat('{"data":[', CASE doc_id %% 5 WHEN 0 THEN '' WHEN 1 THEN '5,' WHEN 2 THEN '"{\\\\"title\\\\":\\\\"Data\\\\"}",'
+ WHEN 3 THEN '[],null,' ELSE 'true,-1.5,' END, substring(%s, 10))""" % _arbeit
+
+
+def _odd_landing(spark, sf_dir) -> DataFrame:
+    return landing(spark, sf_dir, "Arbeitnow", _ODD)
+
+
+def _mixed_entries(spark, sf_dir):
+    return normalize(_odd_landing(spark, sf_dir), S["Arbeitnow"], KEYWORDS).select(*COLUMNS)
+
+
+QUERIES["normalize_mixed_entries"] = _mixed_entries
+ORACLES["normalize_mixed_entries"] = ORACLES["normalize_arbeitnow"]
+
+
+def _odd_entries(spark, sf_dir):
+    return quarantine_entries(_odd_landing(spark, sf_dir), S["Arbeitnow"]).select(
+        "ord", F.col("pos").cast("bigint").alias("pos"), "entry")
+
+
+QUERIES["quarantine_entries"] = _odd_entries
+ORACLES["quarantine_entries"] = """WITH o AS (SELECT doc_id AS ord, CASE doc_id % 5 WHEN 1 THEN ['5']
+ WHEN 2 THEN ['"{\\"title\\":\\"Data\\"}"'] WHEN 3 THEN ['[]', 'null'] WHEN 4 THEN ['true', '-1.5'] ELSE [] END AS x FROM documents)
+SELECT ord, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS entry FROM o"""
+
+
+def _raw_entries(spark, sf_dir):
+    """Whole entries, with the fields that no column is made of."""
+    rows = landing(spark, sf_dir, "Arbeitnow", obj("data", entries(4, fields_of("title=t own=id more=s"))))
+    raw = normalize(rows, S["Arbeitnow"], ["data"]).select("raw_data")
+    return raw.select(*[F.get_json_object("raw_data", f"$.{k}").alias(k) for k in ("title", "own", "more")])
+
+
+QUERIES["raw_entries"] = _raw_entries
+ORACLES["raw_entries"] = f"""WITH f AS (SELECT {_NAMED} FROM ({_COUNT}))
+SELECT t AS title, CAST(id AS VARCHAR) AS own, CAST(s AS VARCHAR) AS more FROM f WHERE t IS NOT NULL AND contains(lower(t), 'data')"""
+
+
+def _all_errors(spark, sf_dir):
+    rows = _mixed(spark, sf_dir).withColumn("error", F.when(
+        F.col("ord") % 3 == 0, F.concat(F.lit("status "), (F.col("ord") % 4).cast("string"))))
+    return ingest_errors(rows, "run-1")
+
+
+QUERIES["ingest_errors"] = _all_errors
+ORACLES["ingest_errors"] = """SELECT 'run-1' AS run_id, s AS source, 'status ' || (doc_id % 4) AS error, count(*) AS payloads
+FROM documents, (SELECT unnest(['Arbeitnow', 'Remotive']) AS s) WHERE doc_id % 3 = 0 GROUP BY ALL"""

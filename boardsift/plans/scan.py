@@ -19,7 +19,8 @@ from boardsift.functions.age import timestamp_literal
 from boardsift.operators import dedup, report, score, semantic, state
 from boardsift.plugins import classify, eligible, with_embedding
 from boardsift.sources import tables
-from boardsift.sources.normalizer import SourceSpec, ingest_log, normalize, quarantine
+from boardsift.sources.normalizer import (
+    SourceSpec, ingest_errors, normalize, quarantine, quarantine_entries)
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,7 @@ class ScanResult:
     outbox: DataFrame
     history: DataFrame
     quarantined: DataFrame
+    quarantined_entries: DataFrame
 
 
 def read_batch(landing: DataFrame, specs: Sequence[SourceSpec],
@@ -74,7 +76,7 @@ def run_scan(spark: SparkSession, landing: DataFrame, root: str, run_id: str, as
              cfg: MatchConfig = MatchConfig(), **models) -> ScanResult:
     """Normalise, deduplicate, score, store, and queue an alert for every match.
 
-    What does not parse is kept in the run's ``quarantine`` folder.  How many alerts go out at a
+    What does not parse is kept in the run's ``quarantine`` and ``quarantined_entries`` folders.  How many alerts go out at a
     time is the sender's choice, see :func:`sender_batch` and :func:`mark_sent`.
     """
     tables.create_tables(spark, root)
@@ -83,6 +85,8 @@ def run_scan(spark: SparkSession, landing: DataFrame, root: str, run_id: str, as
     batch = _once(spark, f"{run}/batch", lambda: read_batch(landing, specs, keywords))
     quarantined = _once(spark, f"{run}/quarantine", lambda: reduce(DataFrame.unionByName, [
         quarantine(landing, spec, keywords) for spec in specs]))
+    odd = _once(spark, f"{run}/quarantined_entries", lambda: reduce(DataFrame.unionByName, [
+        quarantine_entries(landing, spec, keywords) for spec in specs]))
     index = tables.listing_index(spark, root).maintained()
     scored = _once(spark, f"{run}/scored", lambda: score_batch(
         batch, index.excluding(run_id), as_of, cfg, **models))
@@ -99,11 +103,11 @@ def run_scan(spark: SparkSession, landing: DataFrame, root: str, run_id: str, as
         "job_id", "combined_score", "message", timestamp_literal(as_of).alias("queued_at")))
     tables.write_part(outbox, root, "outbox", run_id)
 
-    log = ingest_log(landing, batch, run_id)
-    history = scan_history(batch, scored, outbox, log, run_id, as_of, cfg)
+    errors = ingest_errors(landing, run_id)
+    history = scan_history(batch, scored, outbox, errors, run_id, as_of, cfg)
     tables.write_part(history, root, "scan_history", run_id)
     return ScanResult(scored, outbox, tables.read_table(spark, root, "scan_history").filter(
-        F.col("run_id") == run_id), quarantined)
+        F.col("run_id") == run_id), quarantined, odd)
 
 
 def sender_batch(spark: SparkSession, root: str, k: int) -> DataFrame:
@@ -119,9 +123,12 @@ def mark_sent(ids: DataFrame, root: str, part: str, as_of: str) -> None:
     tables.write_part(state.status_events(ids.select("job_id"), "notified", as_of), root, "status_events", part)
 
 
-def scan_history(batch: DataFrame, scored: DataFrame, outbox: DataFrame, log: DataFrame,
+def scan_history(batch: DataFrame, scored: DataFrame, outbox: DataFrame, errors: DataFrame,
                  run_id: str, as_of: str, cfg: MatchConfig) -> DataFrame:
-    """The statistics row of a run, joined from one-row frames by ``run_id``."""
+    """The statistics row of a run, joined from one-row frames by ``run_id``.
+
+    ``errors`` holds (run_id, source, error), each error of a board.
+    """
     def of_run(df: DataFrame) -> DataFrame:
         return df.withColumn("run_id", F.lit(run_id))
 
@@ -132,7 +139,7 @@ def scan_history(batch: DataFrame, scored: DataFrame, outbox: DataFrame, log: Da
         .alias("source_counts"))
     funnel = of_run(report.funnel(scored, cfg))
     sent = of_run(outbox.agg(F.count("*").alias("total_notified")))
-    errors = report.joined_errors(log)
+    errors = report.joined_errors(errors)
     return (funnel.join(sent, "run_id").join(fetched, "run_id", "left")
             .join(errors, "run_id", "left").select(
         "run_id", timestamp_literal(as_of).alias("started_at"),

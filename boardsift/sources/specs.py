@@ -6,34 +6,29 @@ from dataclasses import replace
 
 from boardsift import vocab
 from boardsift.functions.text import SPACE, SPACE_CHARS, any_keyword_sql, quoted
-from boardsift.sources.normalizer import SourceSpec
+from boardsift.sources.normalizer import JsonList, SourceSpec
 
 
 def strip(x: str) -> str:
     return f"btrim({x}, {quoted(SPACE_CHARS)})"
 
 
-def _list(at: str, fields: str) -> str:
+def _at(path: str) -> str:
+    return f"try_variant_get(v, '{path}', 'array<variant>')"
+
+
+def _list(at: str, fields: str, **more) -> JsonList:
     """The array at path ``at`` of a JSON object payload."""
-    names = at.split(".")
-    schema = f"array<struct<{fields}>>"
-    for n in reversed(names):
-        schema = f"struct<{n}:{schema}>"
-    return f"from_json(payload, '{schema}').{at}"
+    return JsonList(_at(f"$.{at}"), fields, **more)
 
 
-def _root(fields: str) -> str:
-    return f"from_json(payload, 'array<struct<{fields}>>')"
+def _root(fields: str, **more) -> JsonList:
+    return JsonList(_at("$"), fields, **more)
 
 
-def _root_or(names: list[str], fields: str) -> str:
+def _root_or(names: list[str], fields: str) -> JsonList:
     """A JSON array, or an object that holds it under one of ``names``."""
-    item = f"array<struct<{fields}>>"
-    inner = f"from_json(payload, 'struct<{','.join(f'{n}:{item}' for n in names)}>')"
-    found = f"{inner}.{names[0]}"
-    if len(names) > 1:
-        found = f"coalesce({', '.join(f'{inner}.{n}' for n in names)})"
-    return f"IF(startswith(ltrim(payload), '['), {_root(fields)}, {found})"
+    return JsonList(f"coalesce({', '.join(map(_at, ['$', *(f'$.{n}' for n in names)]))})", fields)
 
 
 def _words(x: str) -> str:
@@ -82,9 +77,9 @@ def _tagged(name: str, entries: str, title: str, company: str, **more: str) -> S
 # ------------------------------------------------------------ remote boards
 
 REMOTEOK = _tagged(
-    "RemoteOK", "filter(" + _root(
+    "RemoteOK", _root(
         "id string, position string, company string, location string, description string,"
-        " url string, date string, salary string, tags array<string>") + ", (e, n) -> n > 0)",
+        " url string, date string, salary string, tags array<string>", skip=1),
     "position", "company",
     location=_default("e.location", "Remote"), description="e.description",
     url="coalesce(e.url, concat('https://remoteok.com/jobs/', coalesce(e.id, '')))",
@@ -147,9 +142,8 @@ def _says(word: str) -> str:
 
 HN_HIRING = SourceSpec(
     "HN-Hiring",
-    "transform(filter(" + _list("hits", "objectID string, comment_text string, created_at string")
-    + ", h -> length(h.comment_text) > 0), h -> struct(h.objectID AS id, h.created_at AS at,"
-      " regexp_replace(h.comment_text, '<[^>]+>', ' ') AS text))",
+    _list("hits", "objectID string, comment_text string, created_at string", keep="length(e.comment_text) > 0",
+          shape="struct(e.objectID AS id, e.created_at AS at, regexp_replace(e.comment_text, '<[^>]+>', ' ') AS text)"),
     {"title": _hn_title(
         (_says("data scientist"), "Data Scientist"), (_says("data analyst"), "Data Analyst"),
         (_says("machine learning") + " OR " + _says("ml"), "ML Engineer"),
@@ -206,8 +200,8 @@ JUSTREMOTE = _tagged(
     location=_default("e.location", "Remote"), description="e.description", url="e.url",
     posted="coalesce(e.date, '')", match=("e.title",))
 YC = SourceSpec(
-    "YC-Jobs", "get(from_json(payload, 'struct<results:array<struct<hits:array<struct<name string,"
-    " isHiring boolean, one_liner string, location string, slug string>>>>>').results, 0).hits",
+    "YC-Jobs", _list("results[0].hits", "name string, isHiring boolean, one_liner string, location string,"
+                     " slug string"),
     {"title": "concat('Data Role at ', coalesce(e.name, 'Unknown'))",
      "company": _default("e.name", "Unknown"), "location": _default("e.location", "Remote"),
      "description": "e.one_liner", "posted": "''",
@@ -275,9 +269,9 @@ LEVER = SourceSpec(
     match=("e.text",), keep=_allowed(_default("e.categories.location", "Remote"), vocab.ATS_LOCATIONS),
     dedup="concat_ws('_', coalesce(e.text, ''), board)")
 ASHBY = SourceSpec(
-    "Ashby", "flatten(transform(from_json(payload, 'struct<data:struct<jobBoard:struct<teams:"
-    "array<struct<jobs:array<struct<id string, title string, employmentType string,"
-    " locationName string>>>>>>>').data.jobBoard.teams, t -> coalesce(t.jobs, array())))",
+    "Ashby", JsonList(
+        f"flatten(transform({_at('$.data.jobBoard.teams')}, t -> coalesce({_at('$.jobs').replace('(v,', '(t,')},"
+        " CAST(array() AS ARRAY<VARIANT>))))", "id string, title string, employmentType string, locationName string"),
     {"title": _default("e.title", "Unknown"), "company": BOARD_NAME,
      "location": _default("e.locationName", "Remote"),
      "url": "concat('https://jobs.ashbyhq.com/', board, '/', coalesce(e.id, ''))", "posted": "''",

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardsift.sources import specs
-from boardsift.sources.normalizer import SourceSpec, ingest_log, normalize, quarantine
+from boardsift.sources.normalizer import (
+    SourceSpec, ingest_errors, ingest_log, normalize, quarantine, quarantine_entries)
 from boardsift.sources.specs import SPECS, SPECS_V1
 from boardsift.sources.threads import pick_thread
 
@@ -161,3 +162,44 @@ def test_ingest_log(spark):
         "error", F.when(F.col("payload") == "bad", "boom"))
     log = ingest_log(rows, normalize(rows, SPECS["Arbeitnow"], KEYWORDS), "r").first()
     assert (log.payloads, log.listings, log.duration_ms, log.error) == (2, 1, 10, "boom")
+
+
+def test_odd_entries_go_alone(spark):
+    good = {"title": "Data 1", "company_name": "C", "more": {"b": [1, 2.50, None], "a": "x"}}
+    payloads = [{"data": [good, 5, "{\"title\": \"Data 0\"}", None, [good], {**good, "title": "Data 2", "tags": 7}]},
+                {"data": "none"}, [good], {"data": {"title": "Data 3"}}]
+    df = land(spark, "Arbeitnow", *payloads)
+    rows = normalize(df, SPECS["Arbeitnow"], KEYWORDS, keep_order=True).orderBy("ord", "pos").collect()
+    assert [(r.ord, r.title) for r in rows] == [(0, "Data 1"), (0, "Data 2")]
+    assert json.loads(rows[0].raw_data) == good and json.loads(rows[1].raw_data) == {**good, "title": "Data 2", "tags": 7}
+    odd = quarantine_entries(df, SPECS["Arbeitnow"]).orderBy("ord", "pos").collect()
+    assert [(r.ord, r.pos) for r in odd] == [(0, 1), (0, 2), (0, 3), (0, 4)]
+    assert [json.loads(r.entry) for r in odd] == [5, "{\"title\": \"Data 0\"}", None, [good]]
+    assert sorted(r.ord for r in quarantine(df, SPECS["Arbeitnow"]).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("name,payload,title", [
+    ("RemoteOK", [{"legal": 1}, 3, {"position": "Data"}], "Data"),
+    ("Instahyre", {"jobs": [{"title": "Data", "company": "text", "locations": "Pune"}, "x"]}, "Data"),
+    ("Himalayas", {"jobs": [[], {"title": "Data", "locationRestrictions": "India", "categories": {"a": 1}}]}, "Data"),
+    ("StartupJobs", {"jobs": [None, {"title": "Data", "company": ["N"]}]}, "Data"),
+    ("StartupJobs", [1, {"title": "Data"}], "Data"),
+    ("Ashby", {"data": {"jobBoard": {"teams": [7, {"jobs": 3}, {"jobs": [4, {"title": "Data", "locationName": "India"}]}]}}}, "Data"),
+    ("YC-Jobs", {"results": [{"hits": [1, {"name": "N", "isHiring": True, "one_liner": "data"}]}]}, "Data Role at N"),
+    ("HN-Hiring", {"hits": [0, {"objectID": 1, "comment_text": "data scientist"}]}, "Data Scientist"),
+    ("Naukri", {"jobDetails": [{"title": "Data", "placeholders": "none"}, 1.5]}, "Data")])
+def test_healthy_entries_of_mixed_payloads(spark, name, payload, title):
+    assert [r.title for r in read(spark, name, payload)] == [title]
+
+
+def test_first_counts_odd_items_too(spark):
+    spec = replace(SPECS["Arbeitnow"], first=2)
+    df = land(spark, "Arbeitnow", {"data": [1, {"title": "Data 1"}, {"title": "Data 2"}, 2]})
+    assert [r.title for r in normalize(df, spec, KEYWORDS).collect()] == ["Data 1"]
+    assert [r.pos for r in quarantine_entries(df, spec).collect()] == [0]
+
+
+def test_every_error_is_kept(spark):
+    df = land(spark, "Arbeitnow", "a", "b", "c", "d").withColumn(
+        "error", F.when(F.col("ord") > 0, F.concat(F.lit("e"), (F.col("ord") % 2).cast("string"))))
+    assert sorted(tuple(r) for r in ingest_errors(df, "r").collect()) == [("r", "Arbeitnow", "e0", 1), ("r", "Arbeitnow", "e1", 2)]
