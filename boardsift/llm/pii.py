@@ -88,11 +88,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_text": text, "_id": F.col("doc_id"), "_hash": F.xxhash64(text)})
 
 
-def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(identifier-like tokens with their left context, the left context of every token of every text).
-
-    Only the identifier-like tokens are limited to texts that hold a digit or an at sign.
-    """
+def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(identifier-like tokens with their left context, the left context of every token of the texts that
+    hold a digit or an at sign, and of all other texts)."""
     keyed, marked = _keyed(docs), F.col("_text").rlike("[0-9@]")
     found = sp.with_spans(keyed.filter(marked).select(
         "_id", "_hash", "_text"), "_text", [TOKEN]).drop("_text")
@@ -123,30 +121,49 @@ def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = keyed.filter(~marked).select(words(F.lower("_text")).alias("_w")).filter(F.size(w) > 2)
     pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 2), F.slice(w, F.lit(2), F.size(w) - 2),
                        lambda a, b: F.concat(a, F.lit(" "), b))
-    contexts = found.select(F.explode(F.transform(third, left)).alias("pattern")).union(
-        plain.select(F.explode(pairs).alias("pattern")))
-    return rows, contexts
+    return rows, found.select(F.explode(F.transform(third, left)).alias("pattern")), plain.select(
+        F.explode(pairs).alias("pattern"))
+
 
+def graph(rows: DataFrame) -> DataFrame:
+    """Edges (pattern, instance, n, seed): how often a token follows a pattern."""
+    return rows.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
 
-def graph(rows: DataFrame, contexts: DataFrame, cfg: Bootstrap) -> DataFrame:
-    """Edges (pattern, instance, n, seed, total) of patterns that enough different tokens follow."""
-    edges = rows.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    viable = stored(edges.groupBy("pattern").agg(F.count("*").alias("k")).filter(F.col("k") >= cfg.support).select(
-        "pattern"), "pii-viable")
-    few = F.broadcast(viable) if viable.count() <= BROADCAST_ROWS else viable
-    totals = contexts.join(few, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
-    return edges.join(viable, "pattern").join(totals, "pattern")
 
+def occurrences(contexts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often each of ``patterns`` occurs before any token."""
+    few = F.broadcast(patterns) if patterns.count() <= BROADCAST_ROWS else patterns
+    return contexts.join(few, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
 
-def bootstrap(edges: DataFrame, cfg: Bootstrap) -> tuple[DataFrame, DataFrame]:
-    """(confident patterns, scored instances) after the rounds."""
+
+def bootstrap(edges: DataFrame, near: DataFrame, far: DataFrame, cfg: Bootstrap) -> tuple[DataFrame, DataFrame]:
+    """(confident patterns, scored instances) after the rounds.
+
+    A pattern's occurrences are counted in the texts that can hold identifiers (``near``) first.  Where these alone
+    make it too common, the others (``far``) would do so all the more and are not asked; so no text is gone
+    through for a pattern that cannot become confident in the running round, nor twice for one.
+    """
     scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    counted: dict[str, DataFrame | None] = {"near": None, "far": None}
     patterns = None
     for k in range(cfg.rounds):
-        patterns = stored(edges.join(scores, "instance").groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"),
-            F.sum((F.col("score") >= 0.5).cast("int")).alias("support"),
-        ).filter((F.col("confidence") >= cfg.confidence) & (F.col("support") >= cfg.support)), f"pii-patterns-{k}")
+        scored = edges.join(scores, "instance").groupBy("pattern").agg(
+            F.sum(F.col("n") * F.col("score")).alias("weight"),
+            F.sum((F.col("score") >= 0.5).cast("int")).alias("support")).filter(F.col("support") >= cfg.support)
+        open_ones = stored(scored.withColumn("total", F.lit(0).cast("bigint")), f"pii-supported-{k}")
+        for side, contexts in (("near", near), ("far", far)):
+            before = counted[side]
+            unseen = open_ones.select("pattern") if before is None else open_ones.select("pattern").join(
+                before, "pattern", "left_anti")
+            unseen = stored(unseen, f"pii-unseen-{side}-{k}")
+            if before is None or not unseen.isEmpty():
+                found = unseen.join(occurrences(contexts, unseen), "pattern", "left").select(
+                    "pattern", F.coalesce("total", F.lit(0)).alias("more"))
+                counted[side] = stored(found if before is None else before.union(found), f"pii-{side}-{k}")
+            open_ones = stored(open_ones.join(counted[side], "pattern").select(
+                "pattern", "weight", "support", (F.col("total") + F.col("more")).alias("total")).filter(
+                F.col("weight") >= cfg.confidence * F.col("total")), f"pii-open-{side}-{k}")
+        patterns = open_ones.select("pattern", (F.col("weight") / F.col("total")).alias("confidence"), "support")
         scores = stored(edges.join(patterns, "pattern", "left").groupBy("instance").agg(F.greatest(
             F.max(F.col("seed").cast("double")),
             1 - F.exp(F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(1 - 1e-9)))))
@@ -156,9 +173,9 @@ def bootstrap(edges: DataFrame, cfg: Bootstrap) -> tuple[DataFrame, DataFrame]:
 
 def discovered(docs: DataFrame, cfg: Bootstrap = Bootstrap()) -> DataFrame:
     """(_id, _hash, context): spans of new identifiers, at most one row for each text."""
-    rows, contexts = mentions(docs)
+    rows, near, far = mentions(docs)
     rows = stored(rows, "pii-mentions")
-    patterns, scores = bootstrap(stored(graph(rows, contexts, cfg), "pii-edges"), cfg)
+    patterns, scores = bootstrap(stored(graph(rows), "pii-edges"), near, far, cfg)
     new = rows.filter(~F.col("seed")).join(patterns.select("pattern"), "pattern", "left_semi").join(
         scores.filter(F.col("score") >= cfg.accept).select("instance"), "instance", "left_semi")
     span = F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "value")

@@ -132,9 +132,57 @@ def test_pii_contexts_count_in_all_texts(spark):
     assert [len(r.spans_context) for r in pii.find(docs(spark, rows)).orderBy("doc_id").collect()] == [0] * 4 + [1] * 2
     rows += [(20 + i, f"\tso It\n is:  plain {i * 'x'} words") for i in range(12)] + [(50, "it is:"), (51, None)]
     assert {len(r.spans_context) for r in pii.find(docs(spark, rows)).collect()} == {0}
-    pairs, contexts = pii.mentions(docs(spark, rows))
-    total = {r.total for r in pii.graph(pairs, contexts, pii.Bootstrap()).filter("pattern = 'it is:'").collect()}
-    assert total == {18}  # the context at the end of a text leads to no token
+    pairs, near, far = pii.mentions(docs(spark, rows))
+    wanted = spark.createDataFrame([("it is:",), ("never seen",)], "pattern string")
+    total = {r.pattern: r.total for r in pii.occurrences(near.union(far), wanted).collect()}
+    assert total == {"it is:": 18}  # the context at the end of a text leads to no token
+
+
+def brute_contexts(texts, seeds, cfg):
+    """Confident patterns by plain counting over token lists."""
+    tokens = [(t or "").split() for t in texts]
+    total, edges = collections.Counter(), collections.Counter()
+    for ts in tokens:
+        for a, b, c in zip(ts, ts[1:], ts[2:]):
+            total[a, b] += 1
+            if re.search("[0-9@]", c) and len(c) >= 4:
+                edges[(a, b), c.lower()] += 1
+    score = {i: float(i in seeds) for _, i in edges}
+    for _ in range(cfg.rounds):
+        by = collections.defaultdict(list)
+        for (p, i), n in edges.items():
+            by[p].append((n * score[i], score[i] >= 0.5))
+        conf = {p: sum(w for w, _ in v) / total[p] for p, v in by.items() if sum(b for _, b in v) >= cfg.support}
+        conf = {p: c for p, c in conf.items() if c >= cfg.confidence}
+        for i in score:
+            rest = 1.0
+            for (p, j) in edges:
+                if j == i and p in conf:
+                    rest *= 1 - min(conf[p], 1 - 1e-9)
+            score[i] = max(float(i in seeds), 1 - rest)
+    return conf, score
+
+
+def test_pii_discovery_equals_plain_counting_and_finds_what_is_planted(spark):
+    """Planted contexts, new identifiers behind them, and common word pairs that also precede some seeds."""
+    cfg = pii.Bootstrap()
+    seeds = [f"user{k}@mail{k}.example" for k in range(8)]
+    new = [f"ZX-{k}{k}91-{k}" for k in range(6)]
+    rows = []
+    for k, v in enumerate([*seeds, *new]):
+        rows.append((k, f"{prose(k, 12)} member key: {v} {prose(k + 50, 9)}"))
+        rows.append((100 + k, f"{prose(k + 99, 5)} the of {seeds[k % 8]} {prose(k, 5)} the of {prose(k + 7, 3)}"))
+    rows += [(200 + k, f"one the of {prose(k + 300, 4)} the of x") for k in range(30)]
+    rows += [(300, "code like ZX-0091-0 elsewhere"), (301, None)]
+    conf, score = brute_contexts([t for _, t in rows], set(seeds), cfg)
+    pairs, near, far = pii.mentions(docs(spark, rows))
+    patterns, scores = pii.bootstrap(pii.graph(pairs), near, far, cfg)
+    assert {(r.pattern, round(r.confidence, 9)) for r in patterns.collect()} == {
+        (" ".join(p), round(c, 9)) for p, c in conf.items()} and ("member", "key:") in conf and ("the", "of") not in conf
+    assert {r.instance: round(r.score, 6) for r in scores.collect()} == {i: round(s, 6) for i, s in score.items()}
+    found = {(r.doc_id, z.value) for r in pii.find(docs(spark, rows)).collect() for z in r.spans_context}
+    want = {(8 + k, v) for k, v in enumerate(new)}
+    assert found == want  # precision and recall 1: the mention without the context stays
 
 
 # ------------------------------------------------------------ rules
@@ -207,6 +255,41 @@ def test_preference_pairs(spark):
     assert chat.formatted(chat.echo_pairs(chat.conversations(turns(spark, [])))).count() == 0
 
 
+def test_branches_of_shared_openings(spark, monkeypatch):
+    """Every conversation with a different one of the same opening is paired; the SQL says the same."""
+    rows = []
+    for c in range(1, 41):
+        opening = "hi" if c % 3 else f"o{c % 4}"
+        rows += [(c, 0, "user", opening), (c, 1, "assistant", f"a{c % 7}"), (c, 2, "user", "x" * (c % 2))]
+    rows += [(100, 0, "user", "far"), (5000, 0, "user", "far"), (5000, 1, "assistant", "b"), (100, 1, "assistant", "a"),
+             (20_000_000, 0, "user", "far"), (20_000_000, 1, "assistant", "c"), (3, 9, None, None),
+             (40_000_000, 0, "user", "far"), (40_000_000, 1, "assistant", "c"),
+             (7000, 0, "user", "same"), (7000, 1, "assistant", "s"), (7001, 0, "user", "same"), (7001, 1, "assistant", "s"),
+             (None, 0, "user", "hi"), (None, 1, "assistant", "a1")]
+    found = chat.conversations(turns(spark, rows))
+    got = {(r.conv_id, r.chosen[1].text, r.rejected[1].text) for r in chat.branch_pairs(found).collect()}
+    by = {}
+    for c, n, role, text in rows:
+        if c is not None:
+            by.setdefault(c, []).append((n, role or "user", text or ""))
+    bodies = {c: tuple((role, text) for _, role, text in sorted(t)) for c, t in by.items()}
+    groups = {}
+    for c, b in sorted(bodies.items()):
+        groups.setdefault(b[0], {}).setdefault(b, c)
+    near = {(x, y) for g in groups.values() for x, y in zip(sorted(g.values()), sorted(g.values())[1:]) if y < 4096}
+    want = {(x, bodies[x][1][1], bodies[y][1][1]) for x, y in near}
+    assert want < got and {c for c, *_ in got - want} == {100, 5000} and (100, "a", "b") in got
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    frame = turns(spark, [r for r in rows if r[0] is not None])
+    con.register("conversations", frame.toArrow())
+    rel = con.sql(chat.ORACLE)
+    df = chat.formatted(chat.echo_pairs(chat.conversations(frame)).unionByName(chat.branch_pairs(chat.conversations(frame))))
+    assert sorted(tuple(str(r[c]) for c in rel.columns) for r in df.collect()) == sorted(
+        tuple(map(str, r)) for r in rel.fetchall())
+    assert sum(r[rel.columns.index("kind")] == "branch" for r in rel.fetchall()) == len(got)
+
+
 # ------------------------------------------------------------ html
 
 PAGE = ('<html><head><title>T</title></head><body class="has-sidebar"><header>Top</header><nav><a>Menu</a></nav>'
@@ -375,6 +458,16 @@ def test_jaccard_links_the_smallest_unequal_sets(spark, words, percent, n):
     assert {tuple(r) for r in got} == brute_components(rows, words, percent) and found[1] == found[2] == 1
 
 
+def test_jaccard_doc_id_with_several_texts(spark):
+    """Each text of a doc_id is linked by what it says."""
+    near = prose(5, 90).rsplit(" ", 1)[0]
+    for rows in ([(1, prose(4)), (1, prose(5, 90)), (3, near)], [(1, prose(5, 90)), (1, prose(4)), (3, near)],
+                 [(3, near), (1, None), (1, prose(5, 90)), (1, prose(5, 90)), (2, prose(4))]):
+        got = sorted(tuple(r) for r in jaccard.join(docs(spark, rows)).collect())
+        assert len(got) == len(rows) and {c for i, n, c in got if i == 3} == {1}
+        assert all(c == i for i, n, c in got if i != 3)
+
+
 def test_jaccard_empty_table_and_one_of_each(spark):
     table = docs(spark, [(3, prose(1)), (1, prose(1)), (2, prose(2)), (None, prose(1))])
     assert jaccard.join(table.limit(0)).count() == 0
@@ -421,6 +514,28 @@ def test_leaks(spark):
     assert decontam.leaks(docs(spark, rows).limit(0), benchmark).count() == 0
 
 
+def test_leaks_of_long_items(spark):
+    """A long item is found whole, and by a part of it; short parts and other texts are left alone."""
+    items = [(1, prose(2000, 400)), (2, prose(2001, 30)), (3, prose(2002, 70))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    long = items[0][1].split()
+    rows = [(k, prose(k, 150)) for k in range(20)] + [
+        (100, prose(60, 70) + " " + items[0][1] + " " + prose(61, 70)), (101, items[0][1]),
+        (102, prose(62, 90) + " " + " ".join(long[203:270]) + " " + prose(63, 90)),
+        (103, prose(64, 90) + " " + " ".join(long[100:112]) + " " + prose(65, 90)),
+        (104, prose(66, 33) + " " + items[2][1]), (105, items[1][1])]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), benchmark).collect()}
+    assert got == {(100, 1), (101, 1), (102, 1), (104, 3), (105, 2)}
+
+
+def test_leaks_in_several_passes(spark, monkeypatch):
+    benchmark = spark.createDataFrame([(k, prose(3000 + k, 30)) for k in range(9)], "item_id bigint, text string")
+    rows = [(k, prose(k, 50) + " " + prose(3000 + k, 30)) for k in range(12)]
+    monkeypatch.setattr(decontam, "QUERIES", 4)
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), benchmark).collect()}
+    assert got == {(k, k) for k in range(9)}
+
+
 def test_subsequence():
     assert [decontam.subsequence(list(map(ord, a)), list(map(ord, b))) for a, b in (
         ("abcbdab", "bdcaba"), ("", "x"), ("abc", "abc"), ("aaa", "aa"))] == [4, 0, 3, 2]
