@@ -23,7 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardsift.llm import ngrams
@@ -31,6 +32,9 @@ from boardsift.llm.common import stored, table
 
 #: Id lists are sent to all tasks up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Buckets of a piece of the shingles' frequencies, and groups that tasks are dealt to for adding them.
+PIECE = 4096
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -42,7 +46,6 @@ class Settings:
     hashes: int = 2
     group: int = 1000
     bits: int = 22
-    hot: int = 4
 
 
 _SPACE = np.zeros(256, bool)
@@ -194,32 +197,50 @@ def tree_links(sets: list[np.ndarray], percent: int) -> list[int]:
     return [tree.find(k) for k in range(len(sets))]
 
 
-def hot_buckets(docs: DataFrame, cfg: Settings) -> np.ndarray:
-    """How frequent shingles are, by hash bucket: an order that puts frequent ones last.
+def shingle_frequencies(docs: DataFrame, cfg: Settings) -> np.ndarray:
+    """How often shingles occur in all texts, by hash bucket: the order that puts frequent ones last.
 
-    Each task reports the buckets that stand out in it.  Any fixed order is right; this one keeps
-    passages that many documents share out of the lists of rare shingles.
+    Every bucket of every task counts.  The counts travel as pieces of ``PIECE`` buckets, which are added up in two steps
+    so that no group holds a piece of every task.  Any fixed order is right; this one keeps passages that many
+    documents share out of the lists of rare shingles, however thinly they are spread.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << cfg.bits, np.int32)
+        total = np.zeros(1 << cfg.bits, np.uint32)
         for batch in batches:
             for s in shingle_sets(list(batch["text"]), cfg.words):
                 total[(s >> np.uint64(64 - cfg.bits)).astype(np.int64)] += 1
-        mean = total.mean()
-        at = np.flatnonzero(total > max(cfg.hot, mean + 8 * np.sqrt(mean)))
-        yield pd.DataFrame({"bucket": at, "n": total[at].astype(np.int64)})
+        pieces = total.reshape(-1, min(PIECE, len(total)))
+        part = TaskContext.get().partitionId() % SALTS
+        for k in range(0, len(pieces), 256):
+            at = k + np.flatnonzero(pieces[k:k + 256].any(axis=1))
+            yield pd.DataFrame({"piece": at, "salt": part, "n": [_small(pieces[i]) for i in at]})
 
-    found = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(
-        F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << cfg.bits, np.int32)
-    out[found["bucket"]] = np.minimum(found["n"], 2**31 - 1)
-    return out
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum((_wide(n) for n in rows["n"]), np.uint64(0))
+        return pd.DataFrame({"piece": rows["piece"][:1], "salt": [0], "n": [_small(np.minimum(total, 2**31 - 1))]})
+
+    schema = "piece long, salt long, n binary"
+    parts = docs.select("text").mapInPandas(count, schema).groupBy("piece", "salt").applyInPandas(add, schema)
+    out = np.zeros((max(1, (1 << cfg.bits) // PIECE), min(PIECE, 1 << cfg.bits)), np.int32)
+    for r in parts.groupBy("piece").applyInPandas(add, schema).toLocalIterator():  # of fixed size in all
+        out[r["piece"]] = _wide(r["n"])
+    return out.ravel()
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; the first byte tells how many."""
+    kind = np.min_scalar_type(int(counts.max()))
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.uint64)
 
 
 def profiles(docs: DataFrame, hot: np.ndarray, cfg: Settings) -> DataFrame:
-    """(doc_id, n, s1, s2, keys, rare, sketch): size, signature, minimum hashes, rarest shingles and a
-    sketch: for each of 1024 hash buckets whether an odd number of shingles falls into it."""
+    """(doc_id, h, n, s1, s2, keys, rare, sketch), stored: hash of the text, size, signature, minimum hashes,
+    rarest shingles and a sketch: for each of 1024 hash buckets whether an odd number of shingles falls into it."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # of fixed size
     least = -(-cfg.percent // (100 - cfg.percent)) if cfg.percent < 100 else 1 << 62  # of sets with unequal partners
 
@@ -248,79 +269,93 @@ def profiles(docs: DataFrame, hot: np.ndarray, cfg: Settings) -> DataFrame:
                              int(np.bitwise_xor.reduce(b).view(np.int64)) if n else 0, keys, rare, sketch))
             yield pd.DataFrame(rows, columns=["n", "s1", "s2", "keys", "rare", "sketch"])
 
-    return docs.select("doc_id", run(F.coalesce("text", F.lit(""))).alias("_r")).select("doc_id", "_r.*")
+    rows = docs.select("doc_id", _hash().alias("h"), run(F.coalesce("text", F.lit(""))).alias("_r")).select(
+        "doc_id", "h", "_r.*")
+    rows = stored(rows, "jaccard-profiles")
+    shared.destroy()
+    return rows
+
+
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` (doc_id, …) with their texts; a short list goes to the texts, a long one is shuffled."""
+def _texts_of(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (class, …) with the texts of their classes.
+
+    A class stands in the row of its doc_id whose text has its hash.  A short list goes to the texts, a long one is
+    shuffled.
+    """
+    at = members.join(classes.select("class", "doc_id", "h"), "class")
     small = members.count() <= BROADCAST_ROWS
-    return docs.select("doc_id", "text").join(F.broadcast(members) if small else members, "doc_id")
+    return docs.select("doc_id", _hash().alias("h"), "text").join(F.broadcast(at) if small else at, [
+        "doc_id", "h"]).drop("doc_id", "h")
 
 
-def _grouped_links(docs: DataFrame, members: DataFrame, cfg: Settings) -> DataFrame:
-    """(doc_id, leader) for members (doc_id, key, salt) of groups of bounded size."""
+def _grouped_links(docs: DataFrame, classes: DataFrame, members: DataFrame, cfg: Settings) -> DataFrame:
+    """(class, leader) for members (class, key, salt) of groups of bounded size."""
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id")
-        ids = group["doc_id"].to_numpy()
+        group = group.sort_values(["class"], kind="stable").drop_duplicates("class")
+        ids = group["class"].to_numpy()
         first = tree_links(list(shingle_sets(list(group["text"]), cfg.words)), cfg.percent)
-        return pd.DataFrame({"doc_id": ids, "leader": ids[first]})
+        return pd.DataFrame({"class": ids, "leader": ids[first]})
 
-    return _texts_of(docs, members).groupBy("key", "salt").applyInPandas(link, "doc_id long, leader long")
+    return _texts_of(docs, classes, members).groupBy("key", "salt").applyInPandas(link, "class long, leader long")
 
 
 def near_groups(docs: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame:
-    """(doc_id, comp) of every class: linked through groups that share a minimum hash."""
-    comps = stored(classes.select("doc_id", F.col("doc_id").alias("comp")), "jaccard-comps")
+    """(class, comp) of every class: linked through groups that share a minimum hash."""
+    comps = stored(classes.select("class", F.col("class").alias("comp")), "jaccard-comps")
     for k in range(cfg.hashes):
-        keys = stored(classes.select("doc_id", F.get("keys", F.lit(k)).alias("key")), f"jaccard-keys-{k}")
+        keys = stored(classes.select("class", F.get("keys", F.lit(k)).alias("key")), f"jaccard-keys-{k}")
         for level in range(8):
-            leaders = comps.select(F.col("comp").alias("doc_id")).distinct().join(keys, "doc_id")
+            leaders = comps.select(F.col("comp").alias("class")).distinct().join(keys, "class")
             counts = leaders.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
             split = stored(leaders.join(counts, "key").withColumn("parts", F.ceil(F.col("m") / cfg.group)).select(
-                "doc_id", "key", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("parts")).alias("salt"),
+                "class", "key", F.pmod(F.xxhash64("class", F.lit(level)), F.col("parts")).alias("salt"),
                 "parts"), f"jaccard-split-{k}-{level}")
-            linked_to = stored(_grouped_links(docs, split.drop("parts"), cfg).filter("doc_id <> leader").select(
-                F.col("doc_id").alias("comp"), "leader"), f"jaccard-links-{k}-{level}")
+            linked_to = stored(_grouped_links(docs, classes, split.drop("parts"), cfg).filter("class <> leader").select(
+                F.col("class").alias("comp"), "leader"), f"jaccard-links-{k}-{level}")
             comps = stored(comps.join(linked_to, "comp", "left").select(
-                "doc_id", F.coalesce("leader", "comp").alias("comp")), f"jaccard-comps-{k}-{level}")
+                "class", F.coalesce("leader", "comp").alias("comp")), f"jaccard-comps-{k}-{level}")
             # the leaders of keys that were dealt to several trees meet again, those of other keys don't
-            keys = stored(split.filter("parts > 1").select("doc_id", "key"), f"jaccard-keys-{k}-{level}")
+            keys = stored(split.filter("parts > 1").select("class", "key"), f"jaccard-keys-{k}-{level}")
             if keys.isEmpty() or linked_to.isEmpty():
                 break
     return comps
 
 
 def candidates(classes: DataFrame, comps: DataFrame, cfg: Settings) -> DataFrame:
-    """(a, b): classes of different components that share a rare shingle and may be alike."""
-    rows = classes.join(comps, "doc_id").select("doc_id", "comp", "n", F.posexplode("rare").alias("at", "token"))
+    """(a, b, ca, cb): classes of different components that share a rare shingle and may be alike."""
+    rows = classes.join(comps, "class").select("class", "comp", "n", F.posexplode("rare").alias("at", "token"))
     w = Window.partitionBy("token")
     mixed = rows.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).filter(
         "lo <> hi").drop("lo", "hi")
     mixed = stored(mixed, "jaccard-mixed")
-    a = mixed.select("token", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "comp", "n", "at")))
-    b = mixed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "comp", "n", "at")))
+    a = mixed.select("token", *(F.col(c).alias(f"a_{c}") for c in ("class", "comp", "n", "at")))
+    b = mixed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("class", "comp", "n", "at")))
     # the overlap a pair needs; both must share a shingle among the first size - needed + 1 of their order
-    needed = F.ceil(cfg.percent * (F.col("a_n") + F.col("b_n")) / (100 + cfg.percent))
+    total = F.col("a_n") + F.col("b_n")
+    needed = F.ceil(cfg.percent * total / (100 + cfg.percent))
     met = a.join(b, "token").filter(
         (F.col("a_comp") != F.col("b_comp")) & ((F.col("a_n") < F.col("b_n")) | (
-            (F.col("a_n") == F.col("b_n")) & (F.col("a_doc_id") < F.col("b_doc_id"))))
+            (F.col("a_n") == F.col("b_n")) & (F.col("a_class") < F.col("b_class"))))
         & (100 * F.col("a_n") >= cfg.percent * F.col("b_n"))
         & (F.col("a_at") <= F.col("a_n") - needed) & (F.col("b_at") <= F.col("b_n") - needed)
-    ).select("a_doc_id", "b_doc_id", "a_comp", "b_comp", "a_n", "b_n").distinct()
+    ).select("a_class", "b_class", "a_comp", "b_comp", "a_n", "b_n").distinct()
     # two parity sketches differ in no more places than their sets in members
-    sketch = classes.select("doc_id", "sketch")
-    both = met.join(sketch.withColumnsRenamed({"doc_id": "a_doc_id", "sketch": "sa"}), "a_doc_id").join(
-        sketch.withColumnsRenamed({"doc_id": "b_doc_id", "sketch": "sb"}), "b_doc_id")
+    sketch = classes.select("class", "sketch")
+    both = met.join(sketch.withColumnsRenamed({"class": "a_class", "sketch": "sa"}), "a_class").join(
+        sketch.withColumnsRenamed({"class": "b_class", "sketch": "sb"}), "b_class")
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
                          lambda acc, x: acc + x)
-    total = F.col("a_n") + F.col("b_n")
     return both.filter((100 + cfg.percent) * differ <= (100 - cfg.percent) * total).select(
-        F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"), F.col("a_comp").alias("ca"),
+        F.col("a_class").alias("a"), F.col("b_class").alias("b"), F.col("a_comp").alias("ca"),
         F.col("b_comp").alias("cb"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, cfg: Settings) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, cfg: Settings) -> DataFrame:
     """(ca, cb) of the pairs whose whole texts are alike enough."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,10 +366,10 @@ def verified(docs: DataFrame, pairs: DataFrame, cfg: Settings) -> DataFrame:
                   for x, y in zip(left, right)]
             yield batch.loc[ok, ["ca", "cb"]]
 
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids")
-    texts = stored(_texts_of(docs, ids).dropDuplicates(["doc_id"]), "jaccard-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    ids = stored(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "jaccard-ids")
+    texts = stored(_texts_of(docs, classes, ids).dropDuplicates(["class"]), "jaccard-texts")
+    both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("ca", "cb", "text_a", "text_b").mapInPandas(check, "ca long, cb long").distinct()
 
 
@@ -360,22 +395,26 @@ def components(edges: DataFrame, a: str = "ca", b: str = "cb") -> DataFrame:
 def join(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    rows = stored(profiles(docs, hot_buckets(docs, cfg), cfg), "jaccard-profiles")
-    real = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     sig = ["n", "s1", "s2"]
-    classes = real.groupBy(*sig).agg(F.min("doc_id").alias("rep"))
-    member = stored(classes, "jaccard-classes")
+    rows = profiles(docs, shingle_frequencies(docs, cfg), cfg).withColumn("class", F.xxhash64(*sig))
+    real = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    # a class stands in its row with the smallest doc_id, whatever other texts that doc_id has
+    classes = stored(real.groupBy("class").agg(F.min_by(
+        F.struct("doc_id", "h", "n", "rare", "keys", "sketch"), F.struct("doc_id", "h")).alias("z")).select(
+        "class", "z.*"), "jaccard-classes")
     # only sets that can have a different partner go on
-    able = stored(real.filter(F.col("rare").isNotNull()).join(member.withColumnsRenamed(
-        {"rep": "doc_id"}), ["doc_id", *sig]).dropDuplicates(["doc_id", *sig]).dropDuplicates(["doc_id"]), "jaccard-able")
+    able = classes.filter(F.col("rare").isNotNull())
     comps = near_groups(docs, able, cfg)
     pairs = stored(candidates(able, comps, cfg), "jaccard-pairs")
-    roots = components(verified(docs, pairs, cfg))
-    linked_to = comps.join(roots, comps["comp"] == roots["node"], "left").select(
-        F.col("doc_id").alias("rep"), F.coalesce("root", "comp").alias("root"))
-    out = rows.select("doc_id", *sig).join(member, sig, "left").join(linked_to, "rep", "left")
+    roots = components(verified(docs, able, pairs, cfg))
+    comp_of = stored(classes.select("class", "doc_id").join(comps, "class", "left").join(
+        roots, F.col("comp") == F.col("node"), "left").select(
+        "class", "doc_id", F.coalesce("root", "comp", "class").alias("root")), "jaccard-roots")
+    named = comp_of.join(comp_of.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select(
+        "class", "component")
+    out = rows.select("doc_id", "n", "class").join(named, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(
-        "root", "rep", "doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
