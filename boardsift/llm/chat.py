@@ -12,12 +12,16 @@ the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import running_sum_of, table
+from boardsift.llm.common import running_sum_of, stored, table
 
 CLOSE = "<|end|>\n"
+#: Conversation numbers within which branches of an opening are paired first.
+BLOCK = 4096
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -81,17 +85,32 @@ def echo_pairs(convs: DataFrame) -> DataFrame:
 
 
 def branch_pairs(convs: DataFrame) -> DataFrame:
-    """Conversations 2k and 2k + 1 that open with the same turn but are not the same.
+    """Conversations that open with the same turn, each against the next different one.
 
-    Neighbours meet by their number, so however many conversations share an opening, no group forms.
+    Neighbours by number are paired within ``BLOCK`` numbers, so that a common opening is spread over many groups; the
+    last of each block meets those of other blocks, first of ``BLOCK`` neighbouring blocks, then all.  Equal
+    conversations count as one, the one with the smallest number.  Only hashes and numbers are sorted.
     """
     t = F.col("turns")
+    bare = F.transform(t, lambda x: F.struct(x["role"].alias("r"), x["text"].alias("t")))
     df = convs.filter(F.col("conv_id").isNotNull() & F.exists(t, lambda x: x["role"] == "assistant"))
-    even = df.filter(F.col("conv_id") % 2 == 0).select("conv_id", t.alias("chosen"))
-    odd = df.filter(F.col("conv_id") % 2 != 0).select((F.col("conv_id") - 1).alias("conv_id"), t.alias("rejected"))
-    bare = [F.transform(c, lambda x: F.struct(x["role"], x["text"])) for c in ("chosen", "rejected")]
-    return even.join(odd, "conv_id").filter(_same(F.get("chosen", F.lit(0)), F.get("rejected", F.lit(0))) & (
-        bare[0] != bare[1])).select("conv_id", F.lit("branch").alias("kind"), "chosen", "rejected")
+    rows = df.select("conv_id", F.sha2(F.to_json(F.slice(bare, 1, 1)), 256).alias("opening"),
+                     F.sha2(F.to_json(bare), 256).alias("body"))
+    shared = rows.groupBy("opening").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b")
+    left = stored(rows.join(shared, "opening", "left_semi"), "chat-branches")
+    pairs = []
+    for block in (F.lit(BLOCK), F.lit(BLOCK * BLOCK), None):
+        group = F.lit(0) if block is None else F.floor(F.col("conv_id") / block)
+        once = left.groupBy("opening", group.alias("block"), "body").agg(F.min("conv_id").alias("conv_id"))
+        w = Window.partitionBy("opening", "block").orderBy("conv_id")
+        met = stored(once.select("opening", "body", "conv_id", F.lead("conv_id").over(w).alias("other")),
+                     "chat-neighbours")
+        pairs.append(met.filter("other IS NOT NULL").select("conv_id", "other"))
+        left = met.filter("other IS NULL").select("opening", "body", "conv_id")
+    both = reduce(DataFrame.unionByName, pairs)
+    return both.join(df.select("conv_id", t.alias("chosen")), "conv_id").join(
+        df.select(F.col("conv_id").alias("other"), t.alias("rejected")), "other").select(
+        "conv_id", F.lit("branch").alias("kind"), "chosen", "rejected")
 
 
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,12 +119,29 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_common", F.col("n_common").cast("bigint"))
 
 
-ORACLE = """
+def _neighbours(k: int, rows: str, block: int | None) -> str:
+    group = "0" if block is None else f"conv_id // {block}"
+    return f"""
+r{k} AS (SELECT opening, {group} AS g, body, min(conv_id) AS conv_id FROM {rows} GROUP BY ALL),
+l{k} AS (
+  SELECT *, lead(conv_id) OVER (PARTITION BY opening, g ORDER BY conv_id) AS other FROM r{k}),"""
+
+
+ORACLE = f"""
 WITH t AS (
   SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'user'), coalesce(text, '')) AS i
   FROM conversations),
 a AS (SELECT conv_id, max(i) AS n FROM t WHERE role = 'assistant' GROUP BY 1),
+b AS (
+  SELECT conv_id, string_agg(role || chr(1) || text, chr(2) ORDER BY i) AS body,
+         min(role || chr(1) || text) FILTER (i = 1) AS opening
+  FROM t JOIN a USING (conv_id) GROUP BY 1),
+o AS (SELECT * FROM b WHERE opening IN (SELECT opening FROM b GROUP BY 1 HAVING count(DISTINCT body) > 1)),
+{_neighbours(0, "o", BLOCK)}{_neighbours(1, "l0 WHERE other IS NULL", BLOCK * BLOCK)}{_neighbours(2, "l1 WHERE other IS NULL", None)}
+pairs AS (
+  SELECT conv_id, other FROM l0 WHERE other IS NOT NULL UNION ALL SELECT conv_id, other FROM l1 WHERE other IS NOT NULL
+  UNION ALL SELECT conv_id, other FROM l2 WHERE other IS NOT NULL),
 sides AS (
   SELECT t.conv_id, 'echo' AS kind, 'chosen' AS side, i, role, text FROM t JOIN a USING (conv_id) WHERE i <= n
   UNION ALL
@@ -114,9 +150,9 @@ sides AS (
   SELECT a.conv_id, 'echo', 'rejected', n, 'assistant', coalesce(t.text, '')
   FROM a LEFT JOIN t ON t.conv_id = a.conv_id AND t.i = a.n - 1
   UNION ALL
-  SELECT t.conv_id, 'branch', 'chosen', i, role, text FROM t JOIN a USING (conv_id) WHERE conv_id % 2 = 0
+  SELECT t.conv_id, 'branch', 'chosen', i, role, text FROM t JOIN pairs USING (conv_id)
   UNION ALL
-  SELECT t.conv_id - 1, 'branch', 'rejected', i, role, text FROM t JOIN a USING (conv_id) WHERE conv_id % 2 <> 0),
+  SELECT p.conv_id, 'branch', 'rejected', i, role, text FROM t JOIN pairs p ON t.conv_id = p.other),
 cmp AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.kind, r.kind) AS kind, coalesce(c.i, r.i) AS i,
          coalesce(c.role = r.role AND c.text = r.text, FALSE) AS same
