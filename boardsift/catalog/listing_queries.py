@@ -13,8 +13,7 @@ from boardsift.config import AGE_BASE, AGE_V1, AGE_V2, MatchConfig, TaggedConfig
 from boardsift.functions import alerts, dictionary, rules, text
 from boardsift.functions.age import age_hours, timestamp_literal
 from boardsift.operators import dedup, report, score, semantic, state
-from boardsift.operators.tfidf import profile_counts
-from boardsift.plans import tagged
+from boardsift.plans import scan, tagged
 
 CFG = MatchConfig()
 TAGGED = TaggedConfig()
@@ -160,12 +159,14 @@ tagged AS ({parts.replace('contains(x,', 'contains(y,')})"""
 
 
 def tfidf_sql(stop: list[str], profiles: dict[str, str]) -> str:
-    """CTEs from ``tagged`` to ``tfidf``: term counts by unnesting and grouping."""
+    """CTEs from ``tagged`` to ``tfidf``: term counts of both sides by unnesting and grouping."""
     stops = ", ".join(q(w) for w in stop)
-    rows = []
-    for tag, body in profiles.items():
-        rows += [f"({q(tag)}, {q(t)}, {n})" for t, n in sorted(profile_counts(body, stop).items())]
-    return f"""profile(tag, term, p) AS (VALUES {', '.join(rows)}),
+    bodies = ", ".join(f"({q(tag)}, {q(body)})" for tag, body in profiles.items())
+    return f"""bodies(tag, body) AS (VALUES {bodies}),
+body_words AS (SELECT tag, list_filter(regexp_extract_all(lower(body), '[{duck.WORD}]{{2,}}'),
+ lambda w: NOT list_contains([{stops}], w)) AS w FROM bodies),
+profile AS (SELECT tag, term, count(*) AS p FROM (SELECT tag, unnest(list_concat(w, list_transform(
+ range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM body_words) GROUP BY ALL),
 tokens AS (SELECT doc_id, tag, list_filter(regexp_extract_all(x, '[{duck.WORD}]{{2,}}'),
  lambda w: NOT list_contains([{stops}], w)) AS w FROM tagged),
 terms AS (SELECT doc_id, tag, unnest(list_concat(w, list_transform(
@@ -199,7 +200,7 @@ def tagged_configs(spark, sf_dir):
 
 @query("tfidf_pair_score")
 def tfidf_pair_score(spark, sf_dir):
-    df = score.score_tagged(tagged_listings(spark, sf_dir), PROFILES, TAGGED, STOP_WORDS)
+    df = score.score_by_tag(listings(spark, sf_dir), vocab.TAGGED_CONFIGS, PROFILES, TAGGED, STOP_WORDS)
     return df.select("doc_id", "tag", F.round("tfidf", 6).alias("tfidf"), "points",
                      F.round("score", 2).alias("score"))
 
@@ -246,9 +247,8 @@ def new_tagged(spark, sf_dir) -> DataFrame:
 
 @query("tagged_top")
 def tagged_top(spark, sf_dir):
-    new = new_tagged(spark, sf_dir).filter(F.col("score") >= TAGGED.min_score)
-    return (new.orderBy(F.desc("score"), "job_id_v1", "tag", "doc_id").limit(TAGGED.alerts)
-            .select("doc_id", "job_id_v1", "tag", "score"))
+    return report.top_tagged(new_tagged(spark, sf_dir), TAGGED.min_score, TAGGED.alerts, "doc_id").select(
+        "doc_id", "job_id_v1", "tag", "score")
 
 
 @query("tagged_funnel")
@@ -269,6 +269,15 @@ def semantic_max_profile(spark, sf_dir):
         .alias("similarity"))
 
 
+@query("semantic_profile_table", """SELECT j.vec_id, round(max(list_dot_product(j.embedding::DOUBLE[], p.embedding::DOUBLE[])), 6) AS similarity
+FROM embeddings j CROSS JOIN (FROM embeddings WHERE vec_id < 500) p GROUP BY j.vec_id""")
+def semantic_profile_table(spark, sf_dir):
+    """All vectors against 500 profiles, the first ones of the table."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = semantic.with_similarity(vectors, "embedding", vectors.filter(F.col("vec_id") < 500))
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 SCORE_COLUMNS = ["doc_id", "job_id", "status", "filter_reason", "category", "semantic_score",
                  "keyword_score", "combined_score", "is_india", "is_remote", "city", "age_hours"]
 
@@ -495,31 +504,44 @@ TOP_SQL = "status = 'detected' AND is_india AND combined_score >= 0.25"
 _ONE = "QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY doc_id) = 1"
 
 
+def first_scored(spark, sf_dir) -> DataFrame:
+    """Scores of the first listing of each id.
+
+    A score needs the text of its own row only, so it comes first: what is sorted and shuffled by id
+    are the columns that the answer names, never descriptions.
+    """
+    return dedup.first_wins(scored(spark, sf_dir), ["job_id"], ["doc_id"])
+
+
 @query("top_matches", f"""WITH {SCORED}, one AS (SELECT * FROM scored {_ONE})
 SELECT job_id, title, company, combined_score FROM one WHERE {TOP_SQL}
 ORDER BY combined_score DESC, job_id LIMIT 15""")
 def top_matches(spark, sf_dir):
-    one = dedup.first_wins(listings(spark, sf_dir), ["job_id"], ["doc_id"])
-    top = report.top_matches(score.score_listings(one, AS_OF, CFG), 15, CFG)
-    return top.select("job_id", "title", "company", "combined_score")
+    return report.top_matches(first_scored(spark, sf_dir), 15, CFG).select(
+        "job_id", "title", "company", "combined_score")
+
+
+@query("top_descriptions", f"""WITH {SCORED}, one AS (SELECT * FROM scored {_ONE})
+SELECT job_id, doc_id, combined_score, description, url FROM one WHERE {TOP_SQL}
+ORDER BY combined_score DESC, job_id LIMIT 15""")
+def top_descriptions(spark, sf_dir):
+    top = report.top_matches(first_scored(spark, sf_dir), 15, CFG).select("job_id", "doc_id", "combined_score")
+    whole = listings(spark, sf_dir).select("job_id", "doc_id", "description", "url")
+    return report.with_rows(top, whole, ["job_id", "doc_id"])
 
 
 @query("table_top_matches", f"""WITH {SCORED} SELECT doc_id, job_id, combined_score FROM scored
 WHERE combined_score >= 0.3 AND is_india ORDER BY combined_score DESC, fetched_at DESC, job_id, doc_id LIMIT 20""")
 def table_top_matches(spark, sf_dir):
-    df = scored(spark, sf_dir).filter(
-        (F.col("combined_score") >= CFG.table_min_score) & F.col("is_india"))
-    return df.orderBy(F.desc("combined_score"), F.desc("fetched_at"), "job_id", "doc_id").limit(
-        20).select("doc_id", "job_id", "combined_score")
+    return report.table_top_matches(scored(spark, sf_dir), 20, CFG.table_min_score, "doc_id").select(
+        "doc_id", "job_id", "combined_score")
 
 
 @query("by_status_top", f"""WITH {SCORED}, one AS (SELECT * FROM scored {_ONE})
 SELECT job_id, combined_score FROM one WHERE status = 'filtered'
 ORDER BY combined_score DESC, job_id LIMIT 100""")
 def by_status_top(spark, sf_dir):
-    one = dedup.first_wins(listings(spark, sf_dir), ["job_id"], ["doc_id"])
-    return report.by_status(score.score_listings(one, AS_OF, CFG), "filtered", 100).select(
-        "job_id", "combined_score")
+    return report.by_status(first_scored(spark, sf_dir), "filtered", 100).select("job_id", "combined_score")
 
 
 @query("recent_listings", f"""WITH {LISTINGS}, one AS (SELECT * FROM listings {_ONE})
@@ -552,11 +574,9 @@ MESSAGE_SQL = f"""({_TIER}) || ' <b>' || ({_TAG}) || ' - ' || CAST(trunc(combine
 top AS (SELECT * FROM one WHERE {TOP_SQL} ORDER BY combined_score DESC, job_id LIMIT 15)
 SELECT job_id, combined_score, {MESSAGE_SQL} AS message FROM top WHERE job_id NOT IN (SELECT job_id FROM notified)""")
 def notify_once(spark, sf_dir):
-    df = listings(spark, sf_dir)
-    one = dedup.first_wins(df, ["job_id"], ["doc_id"])
-    top = report.top_matches(score.score_listings(one, AS_OF, CFG), 15, CFG)
+    top = report.top_matches(first_scored(spark, sf_dir), 15, CFG)
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    notified = df.join(toxic, "doc_id", "left_semi")
+    notified = listings(spark, sf_dir).join(toxic, "doc_id", "left_semi")
     return state.pending_alerts(top, notified).select("job_id", "combined_score", "message")
 
 
@@ -655,6 +675,43 @@ def quota_gate(spark, sf_dir):
     return report.quota_gate(report.usage(calls, apis, AS_OF), limit=2000)
 
 
+QUOTAS = [report.Quota("search", ("view", "click"), 5800, 5), report.Quota("jobs", ("error",), 1, 3),
+          report.Quota("ads", ("purchase",), 1_000_000_000, 4)]
+
+
+@query("quota_landing", f"""WITH e AS (SELECT event_id AS ord, event_type AS source, user_id, ts,
+ CASE WHEN event_type IN ('view', 'click') THEN 'search' WHEN event_type = 'error' THEN 'jobs' WHEN event_type = 'purchase' THEN 'ads' END AS api
+ FROM events),
+q(api, monthly, per_run) AS (VALUES ('search', 5800, 5), ('jobs', 1, 3), ('ads', 1000000000, 4)),
+u AS (SELECT api, count(*) AS n FROM e WHERE api IS NOT NULL AND ts < {duck.AS_OF} - INTERVAL 2 DAY
+ AND strftime(ts, '%Y-%m') = '2024-01' GROUP BY 1),
+g AS (SELECT q.api, least(per_run, greatest(monthly - coalesce(n, 0), 0)) AS allowed FROM q LEFT JOIN u USING (api)),
+l AS (SELECT *, row_number() OVER (PARTITION BY api ORDER BY ord) AS nth FROM e WHERE ts >= {duck.AS_OF} - INTERVAL 2 DAY)
+SELECT l.ord, l.source FROM l LEFT JOIN g USING (api) WHERE l.api IS NULL OR nth <= allowed""")
+def quota_landing(spark, sf_dir):
+    """Events of the last two days stand for answers, earlier ones for the calls of the month."""
+    cut = timestamp_literal(AS_OF) - F.make_interval(days=F.lit(2))
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("source"), F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("board"),
+        F.lit(None).cast("string").alias("keyword"), F.col("ts").cast("timestamp").alias("fetched_at"))
+    calls = report.call_events(events.filter(F.col("fetched_at") < cut), QUOTAS, AS_OF)
+    answers = events.filter(F.col("fetched_at") >= cut)
+    return report.unmetered(answers, QUOTAS).unionByName(
+        report.within_quota(answers, calls, QUOTAS, AS_OF)).select("ord", "source")
+
+
+@query("run_seconds", """SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS day,
+ CASE WHEN count(*) > 1 THEN (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 ELSE 0.0 END AS seconds
+FROM events GROUP BY user_id, CAST(ts AS DATE)""")
+def run_seconds(spark, sf_dir):
+    """Each user's events of a day stand for a run; one with a single event is unfinished."""
+    at = F.col("ts").cast("timestamp")
+    runs = table(spark, sf_dir, "events").groupBy("user_id", F.date_format(at, "yyyy-MM-dd").alias("day")).agg(
+        F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"))
+    ended = F.when(F.col("n") > 1, F.col("ended"))
+    return runs.select("user_id", "day", report.run_seconds(F.col("started"), ended).alias("seconds"))
+
+
 _ROT_START = "((hour(ts) % 4) * 4 + minute(ts) // 15) * 15"
 
 
@@ -796,3 +853,114 @@ def retention_survivors(spark, sf_dir):
 WHERE fetched_at < {duck.AS_OF} - INTERVAL 30 DAY AND status IN ('detected', 'filtered')""")
 def retention_count(spark, sf_dir):
     return state.expired_count(stored_with_status(spark, sf_dir), AS_OF, 30)
+
+
+def noted_log(spark, sf_dir) -> DataFrame:
+    """The status log with extra fields: notes that later events overwrite or clear, and a city."""
+    note = F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("note "), F.col("event_id") % 50))
+    extras = F.when(F.col("event_id") % 4 == 0, F.create_map(F.lit("llm_reason"), note)).when(
+        F.col("event_id") % 7 == 0, F.create_map(
+            F.lit("city"), F.concat(F.lit("City "), F.col("event_id") % 11), F.lit("llm_reason"), note))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.expr(STATUS_BY_TYPE).alias("status"),
+        F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), extras.alias("extras"))
+
+
+_NOTE = "CASE WHEN event_id % 3 <> 0 THEN concat('note ', event_id % 50) END"
+_NOTED = f"""noted AS (SELECT CAST(user_id AS VARCHAR) AS job_id, 'llm_reason' AS field, {_NOTE} AS value, ts, event_id
+ FROM events WHERE event_id % 4 = 0 OR event_id % 7 = 0
+ UNION ALL SELECT CAST(user_id AS VARCHAR), 'city', concat('City ', event_id % 11), ts, event_id
+ FROM events WHERE event_id % 4 <> 0 AND event_id % 7 = 0),
+extra AS (SELECT * FROM noted QUALIFY row_number() OVER (PARTITION BY job_id, field ORDER BY ts DESC, event_id DESC) = 1)"""
+_EXTRAS = f"""WITH {_LATEST}, {_NOTED} SELECT job_id, l.status, epoch_us(notified) AS notified_us,
+ coalesce(r.event_id IS NOT NULL, false) AS has_reason, r.value AS reason, c.value AS city
+FROM latest l LEFT JOIN (FROM extra WHERE field = 'llm_reason') r USING (job_id)
+LEFT JOIN (FROM extra WHERE field = 'city') c USING (job_id)"""
+
+
+def _extras_of(events: DataFrame) -> DataFrame:
+    x = F.col("extras")
+    return state.latest_status(events).join(state.latest_extras(events), "job_id", "left").select(
+        "job_id", "status", F.unix_micros("notified_at").alias("notified_us"),
+        F.coalesce(F.map_contains_key(x, "llm_reason"), F.lit(False)).alias("has_reason"),
+        x["llm_reason"].alias("reason"), x["city"].alias("city"))
+
+
+@query("status_extras", _EXTRAS)
+def status_extras(spark, sf_dir):
+    return _extras_of(noted_log(spark, sf_dir))
+
+
+@query("status_folded", _EXTRAS)
+def status_folded(spark, sf_dir):
+    """The same from a folded log with older events beside it, which a late writer may add."""
+    events = noted_log(spark, sf_dir)
+    return _extras_of(state.folded(events).unionByName(events.filter(F.col("seq") % 2 == 0)))
+
+
+@query("status_fold_events", f"""WITH {_LATEST}, {_NOTED},
+k AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1
+ UNION SELECT user_id, max_by(event_id, (ts, event_id)) FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id, event_type
+ UNION SELECT CAST(job_id AS BIGINT), event_id FROM extra)
+SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, coalesce(n, 0) AS n_extras FROM k
+LEFT JOIN (SELECT event_id, count(*) AS n FROM extra GROUP BY 1) USING (event_id)""")
+def status_fold_events(spark, sf_dir):
+    return state.folded(noted_log(spark, sf_dir)).select(
+        "job_id", "seq", F.coalesce(F.size("extras"), F.lit(0)).cast("bigint").alias("n_extras"))
+
+
+@query("extras_overlay", f"""WITH {LISTINGS}, {_LATEST}, {_NOTED},
+r AS (FROM extra WHERE field = 'llm_reason'), c AS (FROM extra WHERE field = 'city')
+SELECT l.doc_id, coalesce(s.status, 'detected') AS status, CASE WHEN r.event_id IS NULL THEN 'none' ELSE r.value END AS llm_reason,
+ CASE WHEN c.event_id IS NULL THEN l.location ELSE c.value END AS city FROM listings l
+LEFT JOIN latest s ON s.job_id = CAST(l.doc_id AS VARCHAR) LEFT JOIN r ON r.job_id = CAST(l.doc_id AS VARCHAR)
+LEFT JOIN c ON c.job_id = CAST(l.doc_id AS VARCHAR)""")
+def extras_overlay(spark, sf_dir):
+    never = F.lit(None).cast("timestamp")
+    stored = listings(spark, sf_dir).select(
+        "doc_id", F.col("doc_id").cast("string").alias("job_id"), F.lit("detected").alias("status"),
+        F.lit("none").alias("llm_reason"), F.col("location").alias("city"), never.alias("notified_at"),
+        never.alias("applied_at"))
+    return state.with_current_status(stored, noted_log(spark, sf_dir)).select("doc_id", "status", "llm_reason", "city")
+
+
+@query("mark_notified", f"""WITH {SCORED}, one AS (SELECT * FROM scored {_ONE})
+SELECT doc_id, CASE WHEN {TOP_SQL} THEN 'notified' ELSE status END AS status,
+ CASE WHEN {TOP_SQL} THEN epoch_us({duck.AS_OF}) END AS notified_us,
+ CASE WHEN {TOP_SQL} THEN concat('sent to ', source) END AS llm_reason FROM one""")
+def mark_notified(spark, sf_dir):
+    """Every match is told about and marked, with a note of where it went."""
+    never = F.lit(None).cast("timestamp")
+    rows = first_scored(spark, sf_dir).select(
+        "doc_id", "job_id", "source", "status", "is_india", "combined_score", never.alias("notified_at"),
+        never.alias("applied_at"), F.lit(None).cast("string").alias("llm_reason"))
+    sent = state.status_events(report.matches(rows, CFG), "notified", AS_OF, {
+        "llm_reason": F.concat(F.lit("sent to "), "source")})
+    return state.with_current_status(rows, sent).select(
+        "doc_id", "status", F.unix_micros("notified_at").alias("notified_us"), "llm_reason")
+
+
+@query("run_history", f"""WITH {SCORED}, r AS (SELECT *, CASE WHEN status = 'detected' THEN {duck.experience_reason()} END AS why FROM scored),
+f AS (SELECT *, coalesce(why LIKE 'Senior%' OR why LIKE 'Requires%', false) AS exp_drop FROM r),
+m AS (SELECT *, status = 'detected' AND NOT exp_drop AND is_india AND combined_score >= 0.25 AS matched FROM f)
+SELECT 'r1' AS run_id, epoch_us({duck.AS_OF}) AS started_us, count(*) AS total_fetched, count(*) AS total_new,
+ count(*) FILTER (matched) AS total_matched, count(*) FILTER (NOT is_india) AS total_filtered_location,
+ count(*) FILTER (is_india AND (age_hours > 168 OR status = 'filtered')) AS total_filtered_relevance,
+ count(*) FILTER (exp_drop) AS total_filtered_llm, count(*) FILTER (matched) AS total_notified,
+ coalesce(max(combined_score) FILTER (matched), 0) AS best_score,
+ round(coalesce(avg(combined_score) FILTER (matched), 0), 6) AS avg_score,
+ (SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM (SELECT source, count(*) n FROM documents GROUP BY 1)) AS sources,
+ (SELECT string_agg(line, chr(10) ORDER BY line) FROM (SELECT DISTINCT 'board' || (user_id % 20) || ': ' || event_type AS line
+  FROM events WHERE event_type = 'error')) AS errors FROM m""")
+def run_history(spark, sf_dir):
+    new = score.with_experience(scored(spark, sf_dir), CFG)
+    errors = table(spark, sf_dir, "events").filter("event_type = 'error'").select(
+        F.lit("r1").alias("run_id"), F.concat(F.lit("board"), F.col("user_id") % 20).alias("source"),
+        F.col("event_type").alias("error"))
+    row = scan.scan_history(listings(spark, sf_dir), new, report.matches(new, CFG), errors, "r1", AS_OF, CFG)
+    sources = F.array_join(F.transform(F.array_sort(F.map_entries("source_counts")), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return row.select(
+        "run_id", F.unix_micros("started_at").alias("started_us"), "total_fetched", "total_new", "total_matched",
+        "total_filtered_location", "total_filtered_relevance", "total_filtered_llm", "total_notified", "best_score",
+        F.round("avg_score", 6).alias("avg_score"), sources.alias("sources"), "errors")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardsift.config import MatchConfig
@@ -133,7 +133,7 @@ def usage(calls: DataFrame, apis: DataFrame, as_of: datetime | str) -> DataFrame
         "call_count", F.coalesce("call_count", F.lit(0)))
 
 
-def quota_gate(used: DataFrame, limit: int, per_run: int = 3) -> DataFrame:
+def quota_gate(used: DataFrame, limit: int | Column, per_run: int | Column = 3) -> DataFrame:
     """Calls each API may still make in this run."""
     left = F.greatest(F.lit(limit) - F.col("call_count"), F.lit(0))
     return used.withColumns({
@@ -143,6 +143,53 @@ def quota_gate(used: DataFrame, limit: int, per_run: int = 3) -> DataFrame:
     })
 
 
+@dataclass(frozen=True)
+class Quota:
+    """Calls a month and a run that the boards ``sources`` share, as answers of one metered API."""
+
+    api: str
+    sources: tuple[str, ...]
+    limit: int
+    per_run: int = 3
+
+
+def api_of(source: Column, quotas: Sequence[Quota]) -> Column:
+    """The metered API of a board, NULL for a free one."""
+    named = F.lit(None).cast("string")
+    for quota in quotas:
+        named = F.when(source.isin(list(quota.sources)), quota.api).otherwise(named)
+    return named
+
+
+def unmetered(landing: DataFrame, quotas: Sequence[Quota]) -> DataFrame:
+    """The answers of boards without a quota; nothing is moved."""
+    return landing.filter(api_of(F.col("source"), quotas).isNull())
+
+
+def within_quota(landing: DataFrame, calls: DataFrame, quotas: Sequence[Quota], as_of: datetime | str,
+                 order: Sequence[str] = ("ord", "source", "board", "keyword")) -> DataFrame:
+    """The answers of metered APIs that the month's and the run's quota pay for, first ones first.
+
+    ``calls`` holds the calls made before this run.  An API whose month is used up gives no row.
+    The cut by ``per_run`` comes before the shuffle, so each task sends a few payloads per API.
+    """
+    apis = landing.sparkSession.createDataFrame(
+        [(q.api, q.limit, q.per_run) for q in quotas], "api_name string, monthly bigint, per_run bigint")
+    gate = quota_gate(usage(calls, apis, as_of), F.col("monthly"), F.col("per_run")).select("api_name", "allowed")
+    w = Window.partitionBy("api_name").orderBy(*order)
+    first = landing.withColumn("api_name", api_of(F.col("source"), quotas)).filter(
+        F.col("api_name").isNotNull()).withColumn("_nth", F.row_number().over(w)).filter(
+        F.col("_nth") <= max(q.per_run for q in quotas))
+    return first.join(gate, "api_name").filter(F.col("_nth") <= F.col("allowed")).select(*landing.columns)
+
+
+def call_events(answers: DataFrame, quotas: Sequence[Quota], as_of: datetime | str) -> DataFrame:
+    """A call for each answer, ready to append to the log of calls."""
+    return answers.select(
+        api_of(F.col("source"), quotas).alias("api_name"),
+        F.coalesce(F.col("fetched_at"), timestamp_literal(as_of)).alias("called_at"))
+
+
 # ---------------------------------------------------------------- top lists
 
 
@@ -157,9 +204,18 @@ def top_matches(scored: DataFrame, k: int = 20, cfg: MatchConfig = MatchConfig()
     return matches(scored, cfg).orderBy(F.desc("combined_score"), "job_id").limit(k)
 
 
-def table_top_matches(table: DataFrame, k: int = 20, min_score: float = 0.3) -> DataFrame:
+def table_top_matches(table: DataFrame, k: int = 20, min_score: float = 0.3, *ties: str) -> DataFrame:
     return (table.filter((F.col("combined_score") >= min_score) & F.col("is_india"))
-            .orderBy(F.desc("combined_score"), F.desc("fetched_at"), "job_id").limit(k))
+            .orderBy(F.desc("combined_score"), F.desc("fetched_at"), "job_id", *ties).limit(k))
+
+
+def with_rows(top: DataFrame, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds the wide columns of ``rows`` to a top list, fetched by id after the cut.
+
+    ``by`` names the columns that tell rows apart.  A top list has at most as many rows as its limit, which
+    Spark knows, so the list goes to the rows and no text is sorted or shuffled.
+    """
+    return top.join(rows.select(*by, *[c for c in rows.columns if c not in top.columns]), list(by))
 
 
 def by_status(table: DataFrame, status: str, k: int = 100) -> DataFrame:
@@ -176,9 +232,9 @@ def recent(table: DataFrame, as_of: datetime | str, hours: int = 24, k: int = 10
             .orderBy(F.desc("fetched_at"), "job_id").limit(k))
 
 
-def top_tagged(scored: DataFrame, min_score: float, k: int = 15) -> DataFrame:
+def top_tagged(scored: DataFrame, min_score: float, k: int = 15, *ties: str) -> DataFrame:
     return (scored.filter(F.col("score") >= min_score)
-            .orderBy(F.desc("score"), "job_id_v1", "tag").limit(k))
+            .orderBy(F.desc("score"), "job_id_v1", "tag", *ties).limit(k))
 
 
 def exists(table: DataFrame, job_id: str) -> DataFrame:

@@ -12,7 +12,7 @@ from boardsift.functions import rules
 from boardsift.functions.age import age_hours
 from boardsift.functions.text import (
     any_keyword, match_text, round_score, weighted_terms)
-from boardsift.operators.tfidf import with_tfidf
+from boardsift.operators.tfidf import with_term_vector, with_tfidf
 
 
 def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -113,6 +113,11 @@ def score_listings(df: DataFrame, as_of: datetime | str, cfg: MatchConfig = Matc
     return df.drop("_skill_text", "_penalty", "_keyword", "_semantic", "_score")
 
 
+def tag_hits(tags: dict[str, list[str]], hay: str) -> Column:
+    """The search configurations with a keyword in column ``hay``, in their order."""
+    return F.array_compact(F.array(*[F.when(any_keyword(hay, words), F.lit(tag)) for tag, words in tags.items()]))
+
+
 def tag_listings(df: DataFrame, tags: dict[str, list[str]],
                  columns: tuple[str, ...] = ("title", "description")) -> DataFrame:
     """One row per listing and search configuration with a keyword hit.
@@ -120,10 +125,25 @@ def tag_listings(df: DataFrame, tags: dict[str, list[str]],
     The configurations are a short literal list, so this is one map-side
     explode and neither a join nor a union of scans.
     """
-    hits = F.array_compact(F.array(*[
-        F.when(any_keyword("_hay", words), F.lit(tag)) for tag, words in tags.items()]))
     hay = df.withColumn("_hay", F.concat_ws(" ", *columns))
-    return hay.withColumn("tag", F.explode(hits)).drop("_hay")
+    return hay.withColumn("tag", F.explode(tag_hits(tags, "_hay"))).drop("_hay")
+
+
+def _with_tagged_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("_text", F.lower(F.concat_ws(" ", "title", "company", "description")))
+
+
+def _with_points(df: DataFrame, cfg: TaggedConfig) -> DataFrame:
+    return settle(df, {**{c: F.col(c) for c in ("_own", "_near", "_vector")}, "points": keyword_points("_text", cfg),
+                       "_short": F.length(F.trim("_text")) < cfg.min_text_length})
+
+
+def _with_total(df: DataFrame, profiles: dict[str, str], cfg: TaggedConfig,
+                stop_words: list[str] | None) -> DataFrame:
+    df = with_tfidf(df, "_text", profiles, "tag", stop_words, cfg)
+    total = F.least(F.col("points") + F.col("tfidf"), F.lit(100.0))
+    df = df.withColumn("score", F.when(F.col("_short"), F.lit(0.0)).otherwise(F.round(total, 2)))
+    return settle(df.drop("_text", "_short"), {c: F.col(c) for c in ("points", "tfidf", "score")})
 
 
 def score_tagged(df: DataFrame, profiles: dict[str, str], cfg: TaggedConfig = TaggedConfig(),
@@ -133,14 +153,21 @@ def score_tagged(df: DataFrame, profiles: dict[str, str], cfg: TaggedConfig = Ta
     ``profiles`` maps a tag to its profile text.  Adds ``points``, ``tfidf``
     and ``score``.
     """
-    df = df.withColumn(
-        "_text", F.lower(F.concat_ws(" ", "title", "company", "description")))
-    df = with_tfidf(df, "_text", profiles, "tag", stop_words, cfg)
-    df = df.withColumn("points", keyword_points("_text", cfg))
-    short = F.length(F.trim("_text")) < cfg.min_text_length
-    total = F.least(F.col("points") + F.col("tfidf"), F.lit(100.0))
-    df = df.withColumn("score", F.when(short, F.lit(0.0)).otherwise(F.round(total, 2)))
-    return settle(df.drop("_text"), {c: F.col(c) for c in ("points", "tfidf", "score")})
+    df = with_term_vector(_with_tagged_text(df), "_text", profiles, stop_words, cfg)
+    return _with_total(_with_points(df, cfg), profiles, cfg, stop_words)
+
+
+def score_by_tag(df: DataFrame, tags: dict[str, list[str]], profiles: dict[str, str],
+                 cfg: TaggedConfig = TaggedConfig(), stop_words: list[str] | None = None) -> DataFrame:
+    """:func:`score_tagged` of :func:`tag_listings`, with each text read once.
+
+    Points and terms do not depend on the tag; they are computed before a listing is split by its tags, and
+    only for listings with one.
+    """
+    df = settle(df.withColumn("_hay", F.concat_ws(" ", "title", "description")), {
+        "_tags": tag_hits(tags, "_hay")}).drop("_hay").filter(F.size("_tags") > 0)
+    df = _with_points(with_term_vector(_with_tagged_text(df), "_text", profiles, stop_words, cfg), cfg)
+    return _with_total(df.withColumn("tag", F.explode("_tags")).drop("_tags"), profiles, cfg, stop_words)
 
 
 def fresh_by_age(df: DataFrame, as_of: datetime | str, max_hours: float,

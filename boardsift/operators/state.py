@@ -21,9 +21,10 @@ def latest_status(events: DataFrame) -> DataFrame:
     """Last status per listing, with the last time it was notified or applied.
 
     All aggregates combine per task before the shuffle, so a listing with very
-    many events sends one row per task.
+    many events sends one row per task.  Events of equal time and number are ordered by
+    their status.
     """
-    order = F.struct("at", "seq")
+    order = F.struct("at", "seq", "status")
 
     def last_time(status: str) -> Column:
         return F.max(F.when(F.col("status") == status, F.col("at")))
@@ -36,26 +37,86 @@ def latest_status(events: DataFrame) -> DataFrame:
     )
 
 
-def status_events(ids: DataFrame, status: str, at: datetime | str | Column) -> DataFrame:
-    """One event per listing id, ready to append."""
+def latest_extras(events: DataFrame) -> DataFrame:
+    """(job_id, extras): the value written last for each extra field of a listing.
+
+    A field that was set to NULL last is in the map with NULL; listings without extra fields have
+    no row.  Values are merged per field and task before the shuffle, so a map holds one entry
+    for each field and never for each event.
+    """
+    entries = events.select("job_id", "at", "seq", "status", F.explode("extras").alias("field", "value"))
+    last = entries.groupBy("job_id", "field").agg(
+        F.max_by("value", F.struct("at", "seq", "status", "value")).alias("value"))
+    return last.groupBy("job_id").agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("field", "value")))).alias("extras"))
+
+
+def folded(events: DataFrame) -> DataFrame:
+    """The events that still decide something, with the extras that nothing overwrote.
+
+    Kept are, for each listing, its last event, the last one that notified and the last one that
+    applied, and for each extra field the event that wrote it last.  The state of a listing is the same
+    from these as from all events, also when older events arrive afterwards, and
+    folding events twice, or folded ones beside the originals, changes nothing.
+    """
+    none = F.array().cast("array<struct<slot:string,value:string>>")
+    nothing = F.lit(None).cast("string")
+    slots = F.concat(
+        F.array(F.struct(F.lit("last").alias("slot"), nothing.alias("value"))),
+        F.when(F.col("status").isin("notified", "applied"), F.array(F.struct(
+            F.concat(F.lit("last "), "status").alias("slot"), nothing.alias("value")))).otherwise(none),
+        F.coalesce(F.transform(F.map_entries("extras"), lambda e: F.struct(
+            F.concat(F.lit("="), e["key"]).alias("slot"), e["value"].alias("value"))), none))
+    winners = events.select("job_id", "at", "seq", "status", F.inline(slots)).groupBy("job_id", "slot").agg(
+        F.max(F.struct("at", "seq", "status", "value")).alias("w")).select("job_id", "slot", "w.*")
+    entry = F.when(F.col("slot").startswith("="), F.struct(
+        F.substring("slot", 2, 2147483647).alias("key"), "value"))
+    extras = F.map_from_entries(F.sort_array(F.collect_list(entry)))
+    return winners.groupBy("job_id", "at", "seq", "status").agg(extras.alias("_extras")).select(
+        "job_id", "status", "at", "seq", F.when(F.size("_extras") > 0, F.col("_extras")).alias("extras"))
+
+
+def status_events(ids: DataFrame, status: str, at: datetime | str | Column,
+                  extras: dict[str, Column] | None = None) -> DataFrame:
+    """One event per listing id, ready to append.
+
+    ``extras`` are further fields that the event sets, as columns of ``ids``; NULL clears a field.
+    """
     if status not in vocab.STATUSES:
         raise ValueError(f"unknown status {status!r}")
+    pairs = [x for name, value in (extras or {}).items() for x in (F.lit(name), value.cast("string"))]
     return ids.select(
         "job_id", F.lit(status).alias("status"), timestamp_literal(at).alias("at"),
         F.lit(0).cast("bigint").alias("seq"),
-        F.lit(None).cast("map<string,string>").alias("extras"))
+        (F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")).alias("extras"))
+
+
+# Columns that an event sets by itself or that say where a row is stored.
+NO_EXTRAS = {"job_id", "status", "notified_at", "applied_at", "fetched_date", "part"}
 
 
 def with_current_status(table: DataFrame, events: DataFrame) -> DataFrame:
-    """Overlay the event log on the stored listings."""
+    """Overlay the event log, and the extra fields it sets, on the stored listings.
+
+    A value that its column's type cannot hold becomes NULL; fields that the table lacks stay in the log.
+    """
     last = latest_status(events).select(
         "job_id", F.col("status").alias("_status"),
         F.col("notified_at").alias("_notified"), F.col("applied_at").alias("_applied"))
-    return table.join(last, "job_id", "left").withColumns({
+    new = {
         "status": F.coalesce("_status", "status"),
         "notified_at": F.coalesce("_notified", "notified_at"),
         "applied_at": F.coalesce("_applied", "applied_at"),
-    }).drop("_status", "_notified", "_applied")
+    }
+    if "extras" in events.columns:
+        last = last.join(latest_extras(events).withColumnRenamed("extras", "_extras"), "job_id", "left")
+        for f in table.schema.fields:
+            if f.name not in NO_EXTRAS:
+                x = F.col("_extras")
+                new[f.name] = F.when(F.coalesce(F.map_contains_key(x, f.name), F.lit(False)), x[f.name].try_cast(
+                    f.dataType)).otherwise(F.col(f.name))
+    return table.join(last, "job_id", "left").withColumns(new).drop(
+        "_status", "_notified", "_applied", "_extras")
 
 
 def expired(as_of: datetime | str, days: int = 30) -> Column:

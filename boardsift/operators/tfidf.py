@@ -66,27 +66,6 @@ def _map(counts: Counter) -> Column:
         *[F.lit(counts[t]) for t in sorted(counts)]).cast("array<int>"))
 
 
-def _square_sum(terms: Column) -> Column:
-    """Fold sorted terms into the sum of squared counts and the number of terms.
-
-    A further hit of a term seen ``run`` times raises its square by 2 run + 1.
-    """
-    zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"),
-                    F.lit(0.0).alias("sq"), F.lit(0).alias("n"))
-
-    def step(s: Column, t: Column) -> Column:
-        run = F.when(s["last"] == t, s["run"]).otherwise(F.lit(0))
-        return F.struct(t.alias("last"), (run + 1).alias("run"),
-                        (s["sq"] + (run * 2 + 1).cast("double")).alias("sq"),
-                        (s["n"] + F.when(run == 0, 1).otherwise(0)).alias("n"))
-
-    return F.aggregate(terms, zero, step, lambda s: F.struct(s["sq"].alias("sq"), s["n"].alias("n")))
-
-
-def _count_in(hits: Column, term: Column) -> Column:
-    return F.size(F.filter(hits, lambda t: t == term))
-
-
 def _sums(entries: Column) -> Column:
     """Fold term entries into the five sums of the cosine."""
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("dot", "jj", "pp", "j1", "p1")])
@@ -104,27 +83,47 @@ def _sums(entries: Column) -> Column:
     return F.aggregate(entries, zero, step)
 
 
-def _most_frequent(terms: Column, shared: Column, counts: Column, limit: int) -> Column:
+def _most_frequent(vector: Column, counts: Column, shared: Column, limit: int) -> Column:
     """Entries of the ``limit`` most frequent terms of both texts, ties by term."""
-    def weight(term: Column) -> Column:
-        return F.when(F.array_contains(shared, term), F.element_at(counts, term)).otherwise(F.lit(0))
-
     def entry(n: Column, term: Column, p: Column) -> Column:
         return F.struct((-(n + p)).alias("k"), term.alias("term"), n.alias("n"), p.alias("p"))
 
-    def run_length(starts: Column) -> Column:
-        return F.transform(starts, lambda at, k: entry(
-            F.coalesce(F.get(starts, k + 1), F.size(terms)) - at, F.get(terms, at),
-            weight(F.get(terms, at))))
-
-    starts = F.filter(F.sequence(F.lit(0), F.size(terms) - 1),
-                      lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
-    own = F.get(F.transform(F.array(starts), run_length), F.lit(0))
+    own = F.transform(vector, lambda e: entry(
+        e["n"], e["term"], F.coalesce(F.element_at(counts, e["term"]), F.lit(0))))
     rest = F.transform(F.array_except(F.map_keys(counts), shared),
                        lambda t: entry(F.lit(0), t, F.element_at(counts, t)))
     return F.slice(F.sort_array(F.concat(own, rest)), 1, limit)
 
 
+def with_term_vector(df: DataFrame, text: str, profiles: dict[str, str], stop_words: list[str] | None = None,
+                     cfg: TaggedConfig = TaggedConfig()) -> DataFrame:
+    """Count the terms of column ``text`` (lower-cased) once, whatever the number of profiles.
+
+    Adds ``_near``, the sorted (term, n) of terms that some profile has, ``_own``, number and
+    squared length of all terms, and ``_vector``, all (term, n), for texts with so many terms that only the most
+    frequent ones count; it is NULL for others, so little moves on.
+    """
+    stop = default_stop_words() if stop_words is None else stop_words
+    counts = [profile_counts(p, stop) for p in profiles.values()]
+    df = df.withColumn("_words", words_of(F.col(text), stop))
+    df = df.withColumn("_terms", terms_of(F.col("_words")))
+    # every column that a lambda looks into is used more than once, so it is computed once
+    t = F.col("_terms")
+    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    df = df.withColumn("_starts", F.when(F.size(t) > 0, starts).otherwise(F.array().cast("array<int>")))
+    at = F.col("_starts")
+    df = df.withColumn("_all", F.transform(at, lambda i, k: F.struct(
+        F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).alias("n"))))
+    every, most = sorted(set().union(*counts)), max(map(len, counts), default=0)
+    v = F.col("_all")
+    square = F.aggregate(v, F.lit(0.0), lambda total, e: total + (e["n"] * e["n"]).cast("double"))
+    return df.withColumns({
+        "_own": F.struct(F.size(v).alias("n"), square.alias("sq")),
+        "_near": F.filter(v, lambda e: e["term"].isin(every)) if every else F.slice(v, 1, 0),
+        "_vector": F.when(F.size(v) + most > cfg.max_features, v),
+    }).drop("_words", "_terms", "_starts", "_all")
+
+
 def with_tfidf(df: DataFrame, text: str, profiles: dict[str, str], tag: str,
                stop_words: list[str] | None = None,
                cfg: TaggedConfig = TaggedConfig()) -> DataFrame:
@@ -132,27 +131,26 @@ def with_tfidf(df: DataFrame, text: str, profiles: dict[str, str], tag: str,
     profile of the row's ``tag``.
 
     Beyond ``max_features`` distinct terms, the most frequent terms of the two
-    texts are kept; ties are broken by term.
+    texts are kept; ties are broken by term.  A frame that went through :func:`with_term_vector` with the
+    same arguments before it was split by tag is not tokenised again.
     """
     stop = default_stop_words() if stop_words is None else stop_words
     counts = {name: profile_counts(text, stop) for name, text in profiles.items()}
-    none = F.array().cast("array<string>")
-    df = df.withColumn("_words", words_of(F.col(text), stop))
-    df = df.withColumn("_terms", terms_of(F.col("_words")))
+    if "_near" not in df.columns:
+        df = with_term_vector(df, text, profiles, stop, cfg)
+    none = F.slice("_near", 1, 0)
     df = df.withColumns({
-        "_own": _square_sum(F.col("_terms")),
         # Membership in a literal set is one hash lookup per term.
         "_hits": _per_tag(tag, counts, lambda c: F.filter(
-            F.col("_terms"), lambda t: t.isin(sorted(c))) if c else none, none),
+            F.col("_near"), lambda e: e["term"].isin(sorted(c))) if c else none, none),
         "_counts": _per_tag(tag, counts, _map, F.lit(None).cast("map<string,int>")),
     })
-    df = df.withColumn("_shared", F.array_distinct("_hits"))
     size = F.coalesce(F.size("_counts"), F.lit(0))
-    limited = F.col("_own.n") + size - F.size("_shared") > cfg.max_features
-    pairs = F.transform("_shared", lambda t: F.struct(
-        _count_in(F.col("_hits"), t).alias("n"), F.element_at(F.col("_counts"), t).alias("p")))
+    limited = F.col("_own.n") + size - F.size("_hits") > cfg.max_features
+    pairs = F.transform("_hits", lambda e: F.struct(
+        e["n"].alias("n"), F.element_at(F.col("_counts"), e["term"]).alias("p")))
     kept = F.transform(
-        _most_frequent(F.col("_terms"), F.col("_shared"), F.col("_counts"), cfg.max_features),
+        _most_frequent(F.col("_vector"), F.col("_counts"), F.col("_hits.term"), cfg.max_features),
         lambda e: F.struct(e["n"], e["p"]))
     df = df.withColumn("_limited", limited).withColumn(
         "_sums", _sums(F.when(F.col("_limited"), kept).otherwise(pairs)))
@@ -164,4 +162,4 @@ def with_tfidf(df: DataFrame, text: str, profiles: dict[str, str], tag: str,
     norm = (F.sqrt(s["jj"] + j1 * F.lit(SINGLE_IDF)) * F.sqrt(s["pp"] + p1 * F.lit(SINGLE_IDF)))
     cosine = F.when(s["dot"] > 0, s["dot"] / norm).otherwise(F.lit(0.0))
     return df.withColumn("tfidf", cosine * F.lit(cfg.tfidf_scale)).drop(
-        "_words", "_terms", "_own", "_hits", "_shared", "_counts", "_limited", "_sums")
+        "_own", "_near", "_vector", "_hits", "_counts", "_limited", "_sums")

@@ -73,15 +73,19 @@ def score_batch(batch: DataFrame, known, as_of: str, cfg: MatchConfig,
 
 def run_scan(spark: SparkSession, landing: DataFrame, root: str, run_id: str, as_of: str,
              specs: Sequence[SourceSpec], keywords: Sequence[str] | None = None,
-             cfg: MatchConfig = MatchConfig(), **models) -> ScanResult:
+             cfg: MatchConfig = MatchConfig(), quotas: Sequence[report.Quota] = (), **models) -> ScanResult:
     """Normalise, deduplicate, score, store, and queue an alert for every match.
 
+    Of the answers of metered APIs (``quotas``) a run reads those that its quota pays for, and logs them as calls.
+
     What does not parse is kept in the run's ``quarantine`` and ``quarantined_entries`` folders.  How many alerts go out at a
     time is the sender's choice, see :func:`sender_batch` and :func:`mark_sent`.
     """
     tables.create_tables(spark, root)
     keywords = all_search_keywords() if keywords is None else keywords
     run = f"{root}/runs/{run_id}"
+    if quotas:
+        landing = paid_landing(spark, landing, root, run_id, as_of, quotas)
     batch = _once(spark, f"{run}/batch", lambda: read_batch(landing, specs, keywords))
     quarantined = _once(spark, f"{run}/quarantine", lambda: reduce(DataFrame.unionByName, [
         quarantine(landing, spec, keywords) for spec in specs]))
@@ -110,6 +114,15 @@ def run_scan(spark: SparkSession, landing: DataFrame, root: str, run_id: str, as
         F.col("run_id") == run_id), quarantined, odd)
 
 
+def paid_landing(spark: SparkSession, landing: DataFrame, root: str, run_id: str, as_of: str,
+                 quotas: Sequence[report.Quota]) -> DataFrame:
+    """The landing without the answers beyond the quota; a repeated run gets the same ones and counts them once."""
+    before = tables.read_without(spark, root, "api_calls", run_id)
+    paid = _once(spark, f"{root}/runs/{run_id}/paid", lambda: report.within_quota(landing, before, quotas, as_of))
+    tables.write_part(report.call_events(paid, quotas, as_of), root, "api_calls", run_id)
+    return report.unmetered(landing, quotas).unionByName(paid)
+
+
 def sender_batch(spark: SparkSession, root: str, k: int) -> DataFrame:
     """The ``k`` best queued alerts that nobody was sent yet."""
     sent = state.latest_status(tables.read_table(spark, root, "status_events")).filter(

@@ -38,7 +38,7 @@ def new_matches(listings: DataFrame, history, as_of: str, profiles: dict[str, st
     if isinstance(history, DataFrame):
         history = history.select(F.col("id").alias("job_id_v1"))
     new = dedup.new_only(fresh, history, "job_id_v1")
-    return score.score_tagged(score.tag_listings(new, cfg.tags), profiles, cfg, stop_words)
+    return score.score_by_tag(new, cfg.tags, profiles, cfg, stop_words)
 
 
 def run_tagged_scan(listings: DataFrame, history_folder: str, out: str, as_of: str,

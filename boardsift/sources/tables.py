@@ -107,6 +107,28 @@ def write_part(df: DataFrame, root: str, name: str, part: str) -> None:
         "overwrite").parquet(f"{root}/{name}/part={part}")
 
 
+def read_without(spark: SparkSession, root: str, name: str, part: str) -> DataFrame:
+    """A table without the rows of one part, for a step that replaces that part."""
+    return _stored(spark, root, name).filter(F.col("part") != part).drop("part")
+
+
+def fold_status(spark: SparkSession, root: str) -> int:
+    """Replace the complete parts of the status log by one with the events that still count.
+
+    Returns the number of parts replaced.  The new part is complete before the first old one goes, and
+    folded events beside the originals mean the same (``state.folded``), so a call that broke off
+    anywhere leaves a right log.  A query that listed the old parts before has to be started again.
+    """
+    log = f"{root}/status_events"
+    old = sorted(f"{log}/{p}" for p in children(spark, log) if p.startswith("part=") and finished(spark, f"{log}/{p}"))
+    events = spark.read.schema(TABLES["status_events"]).parquet(*old) if old else spark.createDataFrame(
+        [], TABLES["status_events"])
+    write_part(state.folded(events), root, "status_events", f"folded-{uuid.uuid4().hex}")
+    for path in old:
+        files.remove(spark, path)
+    return len(old)
+
+
 def save_key_table(ids: DataFrame, table: str, buckets: int) -> None:
     """Store ids bucketed, so that a later anti join shuffles only the batch."""
     (ids.select("job_id").write.mode("overwrite").bucketBy(buckets, "job_id")

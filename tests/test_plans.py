@@ -4,9 +4,10 @@ import re
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from boardsift.catalog import queries
-from boardsift.operators import dedup
+from boardsift.operators import dedup, report
 from boardsift.sources import tables
 
 
@@ -47,6 +48,37 @@ def test_row_local_work_does_not_shuffle_by_content(spark, sf_dir, name):
     assert all("doc_id" in e for e in exchanges)  # at most the spreading of one small file
 
 
+def moved(df):
+    """Names of the columns in each exchange of a plan."""
+    explain = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [set(re.findall(r"(\w+)#\d+", m)) for m in re.findall(
+        r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]\n", explain)]
+
+
+@pytest.mark.parametrize("name", ["top_matches", "top_descriptions", "by_status_top", "notify_once", "mark_notified"])
+def test_top_lists_move_no_descriptions(spark, sf_dir, name):
+    exchanges = moved(queries()[name](spark, sf_dir))
+    assert exchanges and not any("description" in columns for columns in exchanges)
+
+
+def test_short_list_goes_to_the_rows(spark):
+    rows = spark.range(1000).selectExpr("id", "repeat('x', 1000) AS text")
+    top = rows.orderBy(F.desc("id")).select("id").limit(5)
+    found = report.with_rows(top, rows, ["id"])
+    assert "BroadcastHashJoin" in plan(found) and not any("text" in columns for columns in moved(found))
+    assert sorted(r.id for r in found.collect()) == list(range(995, 1000))
+
+
+def test_quota_cuts_payloads_per_task(spark):
+    landing = spark.range(1000).selectExpr(
+        "IF(id % 2 = 0, 's', 'x') AS source", "CAST(NULL AS STRING) AS board", "CAST(NULL AS STRING) AS keyword", "id AS ord",
+        "CAST(NULL AS TIMESTAMP) AS fetched_at", "repeat('x', 1000) AS payload")
+    calls = spark.createDataFrame([], "api_name STRING, called_at TIMESTAMP")
+    found = report.within_quota(landing, calls, [report.Quota("a", ("s",), 10)], "2024-01-31")
+    assert "Partial" in plan(found) and len(re.findall("WindowGroupLimit", plan(found))) >= 2
+    assert sorted(r.ord for r in found.collect()) == [0, 2, 4]
+
+
 def test_top_k_is_bounded_per_task(spark, sf_dir):
     assert "TakeOrderedAndProject" in of(spark, sf_dir, "top_matches")
 

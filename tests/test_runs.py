@@ -81,6 +81,40 @@ def test_create_tables_keeps_rows(spark, root):
     assert tables.known_ids(spark, root).count() == 0
 
 
+def test_folded_log_replaces_its_parts(spark, root):
+    tables.create_tables(spark, root)
+    ids = spark.createDataFrame([("a",), ("b",)], "job_id STRING")
+    for k, status in enumerate(["detected", "notified", "applied", "detected"]):
+        tables.write_part(state.status_events(ids, status, f"2024-01-0{k + 1}", {"n": F.lit(k)}), root, "status_events", str(k))
+    tables.write_part(state.status_events(ids, "rejected", "2024-01-09"), root, "status_events", "broken")
+    tables.files.remove(spark, f"{root}/status_events/part=broken/_SUCCESS")
+    assert tables.fold_status(spark, root) == 5
+    left = tables.files.children(spark, f"{root}/status_events")
+    assert len([p for p in left if p.startswith("part=")]) == 2 and "part=broken" in left
+    log = tables.read_table(spark, root, "status_events").filter("status <> 'rejected'")
+    assert log.count() == 6
+    tables.fold_status(spark, root)
+    log = tables.read_table(spark, root, "status_events").filter("status <> 'rejected'")
+    row = state.latest_status(log).filter("job_id = 'a'").first()
+    assert row.status == "detected" and row.notified_at.day == 2 and row.applied_at.day == 3
+    assert {r.extras["n"] for r in state.latest_extras(tables.read_table(spark, root, "status_events")).collect()} == {"3"}
+
+
+def test_run_stops_reading_a_used_up_api(spark, root):
+    quota = [report.Quota("api", ("Remotive",), 3, 2)]
+    free = landing(spark, ["Data Scientist"])
+
+    def run(name, start):
+        paid = landing(spark, [f"Data Analyst {start + i}" for i in range(4)], "Remotive", start)
+        found = run_scan(spark, free.union(paid), root, name, AS_OF, SPECS_USED, quotas=quota)
+        return found.history.first().total_fetched, tables.read_table(spark, root, "api_calls").count()
+
+    assert run("run1", 10) == (3, 2)
+    assert run("run1", 10) == (3, 2)  # a repeated run makes no new calls
+    assert run("run2", 20) == (2, 3)
+    assert run("run3", 30) == (1, 3)
+
+
 def test_run_is_incremental_and_restartable(spark, root):
     first = landing(spark, ["Data Scientist", "Chef", "Data Scientist", "Data Analyst"])
     first = first.union(landing(spark, ["Junior Data Analyst"], "Remotive", 4))

@@ -92,3 +92,42 @@ def test_tags_repeat_a_listing(spark):
                                "title STRING, description STRING")
     got = score.tag_listings(df, TaggedConfig().tags).select("tag").collect()
     assert sorted(r[0] for r in got) == ["BI Developer", "Data Science"]
+
+
+def test_similarity_to_a_table_of_profiles(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (1, [0.0, -2.0]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [1.0]), (6, [3.0, 4.0]), (7, [])]
+    df = spark.createDataFrame(rows, "id INT, v ARRAY<FLOAT>")
+    profiles = spark.createDataFrame(
+        [([2.0, 1.0],), ([-1.0, 3.0],), ([-1.0, 3.0],), (None,), ([9.0, None],), ([1.0, 2.0, 3.0],)], "embedding ARRAY<FLOAT>")
+
+    def run(p, **more):
+        return {r.id: r.similarity for r in semantic.with_similarity(df, "v", p, **more).collect()}
+
+    want = {0: 2.0, 1: -2.0, 2: None, 3: None, 4: None, 5: None, 6: 10.0, 7: None}
+    assert run(profiles) == want
+    assert run(profiles, max_bytes=20) == want  # in several passes
+    assert run(profiles.limit(0)) == {**dict.fromkeys(range(8), 0.0), 2: None}
+    with pytest.raises(ValueError):
+        semantic.profile_vectors(profiles, limit=3)
+
+
+def test_plan_does_not_grow_with_the_profiles(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+    def plan(n):
+        return semantic.with_similarity(vectors, "embedding", vectors.limit(n))._jdf.queryExecution().toString()
+
+    assert abs(len(plan(400)) - len(plan(4))) < 50
+
+
+def test_terms_are_counted_before_the_tags(spark):
+    df = spark.createDataFrame([("Python data", "c", "python sql tableau " * 5), ("Cook", "c", "soup")],
+                               "title STRING, company STRING, description STRING")
+    tags, profiles = {"a": ["python"], "b": ["sql"], "c": ["tableau"]}, {"a": "python sql", "b": "sql", "c": "tableau python"}
+    one = score.score_by_tag(df, tags, profiles, TaggedConfig(), [])
+    two = score.score_tagged(score.tag_listings(df, tags), profiles, TaggedConfig(), [])
+    assert one.count() == 3 and sorted(one.select(*two.columns).collect()) == sorted(two.collect())
+    text = one._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract_all") == 1
+    assert text.index("Generate explode") < text.index("regexp_extract_all")

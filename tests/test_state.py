@@ -53,6 +53,70 @@ def test_status_domain(spark):
         state.status_events(ids, "lost", "2024-01-01")
 
 
+NOTED = EVENT + ", extras MAP<STRING,STRING>"
+
+
+def noted(spark):
+    return spark.createDataFrame([
+        ("a", "detected", day(1), 1, {"reason": "one", "city": "Pune"}),
+        ("a", "notified", day(2), 1, {"reason": "two"}),
+        ("a", "applied", day(3), 1, None),
+        ("a", "detected", day(3), 2, {"reason": None, "score": "0.5"}),
+        ("a", "detected", day(3), 2, {"reason": None, "score": "0.5"}),
+        ("b", "notified", day(5), 1, {}),
+        ("c", "filtered", None, None, {"score": "no number", "unknown": "x"})], NOTED)
+
+
+def test_extras_are_merged_field_by_field(spark):
+    got = {r.job_id: r.extras for r in state.latest_extras(noted(spark)).collect()}
+    assert got == {"a": {"city": "Pune", "reason": None, "score": "0.5"}, "c": {"score": "no number", "unknown": "x"}}
+    stored = spark.createDataFrame(
+        [(k, "detected", None, None, "old", "Berlin", 0.1) for k in "abcd"],
+        "job_id STRING, status STRING, notified_at TIMESTAMP, applied_at TIMESTAMP, reason STRING, city STRING, score DOUBLE")
+    rows = {r.job_id: (r.status, r.reason, r.city, r.score)
+            for r in state.with_current_status(stored, noted(spark)).collect()}
+    assert rows == {"a": ("detected", None, "Pune", 0.5), "b": ("notified", "old", "Berlin", 0.1),
+                    "c": ("filtered", "old", "Berlin", None), "d": ("detected", "old", "Berlin", 0.1)}
+
+
+def test_folding_keeps_every_state(spark):
+    """Random logs, cut at random: folded early, folded twice, and mixed with what was folded."""
+    random = __import__("random").Random(5)
+    rows = [(random.choice("abc"), random.choice(["detected", "notified", "applied", "rejected"]),
+             day(random.randint(1, 5)), random.randint(1, 4),
+             {random.choice("xy"): random.choice(["1", "2", None])} if random.random() < 0.6 else None) for _ in range(120)]
+    events = spark.createDataFrame(rows, NOTED)
+
+    def states(df):
+        return sorted(map(str, state.latest_status(df).collect())), sorted(map(str, state.latest_extras(df).collect()))
+
+    want, once = states(events), state.folded(events)
+    early, late = spark.createDataFrame(rows[:50], NOTED), spark.createDataFrame(rows[50:], NOTED)
+    assert once.count() <= 3 * 5 and states(once) == want
+    assert states(state.folded(once)) == want and state.folded(once).count() == once.count()
+    assert states(state.folded(early).union(late)) == want == states(once.union(early))
+    assert state.folded(events.limit(0)).count() == 0
+
+
+def test_events_carry_extras(spark):
+    ids = spark.createDataFrame([("a", 3)], "job_id STRING, n INT")
+    event = state.status_events(ids, "applied", "2024-01-01", {"n": F.col("n"), "reason": F.lit(None)}).first()
+    assert event.extras == {"n": "3", "reason": None}
+
+
+def test_quota_of_a_run(spark):
+    landing = spark.createDataFrame(
+        [("s1", i, day(20)) for i in range(4)] + [("s2", 10, day(20)), ("t", 11, day(20)), ("free", 12, None), (None, 13, None)],
+        "source STRING, ord BIGINT, fetched_at TIMESTAMP").selectExpr("*", "CAST(NULL AS STRING) AS board", "'k' AS keyword")
+    calls = spark.createDataFrame([("s", day(3)), ("t", day(4)), ("t", day(5)), ("s", day(30, 12))],
+                                  "api_name STRING, called_at TIMESTAMP")
+    quotas = [report.Quota("s", ("s1", "s2"), 3, 5), report.Quota("t", ("t",), 2)]
+    paid = report.within_quota(landing, calls, quotas, "2024-01-31")
+    assert paid.columns == landing.columns and sorted(r.ord for r in paid.collect()) == [0, 1]
+    assert sorted(r.ord for r in report.unmetered(landing, quotas).collect()) == [12, 13]
+    assert [(r.api_name, r.called_at) for r in report.call_events(paid, quotas, "2024-01-31").collect()] == [("s", day(20))] * 2
+
+
 def test_retention(spark):
     rows = [("old", "detected", day(1)), ("kept", "notified", day(1)), ("edge", "filtered", day(2)),
             ("new", "filtered", day(30)), ("none", None, day(1)), ("untimed", "filtered", None)]
