@@ -141,9 +141,14 @@ class Codec:
         return df.withColumn("_code", F.expr(expression))
 
     def encoded(self, docs: DataFrame) -> DataFrame:
-        """Adds n_tokens, ids (decimal, one space between) and decoded."""
+        """Adds n_tokens, ids (decimal, one space between) and decoded.
+
+        Columns of ``docs`` with one of these three names are replaced, all others are kept, whatever their names.
+        """
         known = self.dictionary(docs)
-        df = docs.withColumn("_p", self.pieces(F.col("text")))
+        df = docs.drop("n_tokens", "ids", "decoded")
+        own = {c: f"_bpe_own_{i}" for i, c in enumerate(df.columns) if c in ("_p", "_code")}
+        df = df.withColumnsRenamed(own).withColumn("_p", self.pieces(F.col("text")))
         if known is None:
             df = self._bind(f"transform(_p, x -> {CODE.replace('WORD', 'x')})", df)
         else:
@@ -154,7 +159,7 @@ class Codec:
             "n_tokens": F.aggregate(c, F.lit(0).cast("bigint"), lambda a, z: a + z["n"]),
             "ids": F.array_join(c["ids"], " "),
             "decoded": F.array_join(c["text"], ""),
-        }).drop("_p", "_code")
+        }).drop("_p", "_code").withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def default_path() -> str:

@@ -243,9 +243,12 @@ def aligned(page: str, references: list[dict]) -> list[tuple[int, str, bool, str
 
 
 def recurs(n, having, pages, inside):
-    """Whether a text on ``n`` of the pages ``having`` its place is constant; numbers or columns."""
-    often = (20 * n >= pages) & (n >= 2)
-    return often & ((n >= 10) | ((2 * n >= having) & ((n >= 3) | (inside == False))))  # noqa: E712
+    """Whether a text on ``n`` of the pages ``having`` its place is constant; numbers or columns.
+
+    Inside an article only what most of these pages have there is, as a sentence that several articles share is content.
+    """
+    often, most, outside = (20 * n >= pages) & (n >= 2), 2 * n >= having, inside == False  # noqa: E712
+    return often & ((most & (n >= 3)) | (outside & (most | (n >= 10))))
 
 
 def container(weight: dict[str, int]) -> str:

@@ -199,23 +199,27 @@ def find(docs: DataFrame, cfg: Bootstrap = Bootstrap()) -> DataFrame:
 
 
 def mask(docs: DataFrame, cfg: Bootstrap = Bootstrap()) -> DataFrame:
-    """``docs`` with every personal span of ``text`` replaced by its kind in brackets."""
+    """``docs`` with every personal span of ``text`` replaced by its kind in brackets.
+
+    The fixed kinds are replaced first, so that an identifier learned from its context cannot break one of them;
+    a learned identifier is then replaced wherever the same text says it again.
+    """
     new = discovered(docs, cfg).select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), F.transform(
         "context", lambda z: z["value"]).alias("_values"))
     rows = _keyed(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
     out = rows.join(_sent(new), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
-    x, new_values = F.col("_text"), F.col("_values")
-    # the quoted values, longest first; only texts with a discovery are searched for them
-    quoted = F.array_join(F.transform(F.array_sort(F.array_distinct(new_values), lambda a, b: F.char_length(
-        b) - F.char_length(a)), lambda v: F.regexp_replace(v, r"([^A-Za-z0-9])", r"\\$1")), "|")
-    out = out.withColumn("_text", F.when(new_values.isNull(), x).otherwise(
-        F.regexp_replace(x, F.concat(F.lit("(?<![A-Za-z0-9])(?:"), quoted, F.lit(")(?![A-Za-z0-9])")), F.lit("[CONTEXT]"))))
     for kind in KINDS:
         x = F.col("_text")
         out = out.withColumn("_m", F.when(kind.probe(x), F.regexp_extract_all(x, F.lit(kind.pattern), F.lit(
             0))).otherwise(F.array().cast("array<string>")))
         out = out.withColumn("_g", F.when(F.size("_m") > 0, F.split(x, kind.pattern, -1)))
         out = out.withColumn("_text", sp.replaced(x, F.col("_g"), F.col("_m"), _mark(kind)))
+    x, new_values = F.col("_text"), F.col("_values")
+    # the quoted values, longest first; only texts with a discovery are searched for them
+    quoted = F.array_join(F.transform(F.array_sort(F.array_distinct(new_values), lambda a, b: F.char_length(
+        b) - F.char_length(a)), lambda v: F.regexp_replace(v, r"([^A-Za-z0-9])", r"\\$1")), "|")
+    out = out.withColumn("_text", F.when(new_values.isNull(), x).otherwise(
+        F.regexp_replace(x, F.concat(F.lit("(?<![A-Za-z0-9])(?:"), quoted, F.lit(")(?![A-Za-z0-9])")), F.lit("[CONTEXT]"))))
     new_text = F.when(F.col("text").isNotNull(), F.col("_text"))
     return out.select(*(new_text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 

@@ -127,6 +127,14 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert pii.find(table.limit(0)).count() == 0
 
 
+def test_masking_keeps_fixed_kinds_whole(spark):
+    """A learned identifier that equals a part of a card of its text does not break the card."""
+    rows = [(i, f"lorem ipsum customer account: {v} dolor sit") for i, v in enumerate(SEEDS)]
+    rows += [(8, "customer account: 4465 paid by 4465 7583 8288 9437 and 4465 again")]
+    got = {r.doc_id: r.text for r in pii.mask(docs(spark, rows)).collect()}
+    assert got[8] == "customer account: [CONTEXT] paid by [CARD] and [CONTEXT] again"
+
+
 def test_pii_contexts_count_in_all_texts(spark):
     rows = [(i, f"lorem ipsum it is: {v} dolor sit") for i, v in enumerate([*SEEDS, "AB-12345-77", "QQ99812"])]
     assert [len(r.spans_context) for r in pii.find(docs(spark, rows)).orderBy("doc_id").collect()] == [0] * 4 + [1] * 2
@@ -339,6 +347,42 @@ def test_wrapper_chooses_the_content_of_pages_with_an_article(spark):
     assert got[6] == "Read our terms\n\n" + prose(6)
 
 
+def test_wrapper_keeps_sentences_that_some_articles_share(spark):
+    """A sentence in the articles of 12 of 40 pages is content; what most articles repeat is not."""
+    def page(k):
+        shared = "<p>We met again in spring</p>" if k % 3 == 0 and k < 36 else ""
+        return (f"<body><div class='top'><p>Welcome</p></div><article><p>Read our terms</p><p>{prose(k)}</p>{shared}"
+                f"<p>{prose(k + 500)}</p></article></body>")
+
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(40)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(
+        rows, "page_id int, url string, html string")).collect()}
+    for k in range(40):
+        shared = ["We met again in spring"] if k % 3 == 0 and k < 36 else []
+        assert got[k] == "\n\n".join([prose(k), *shared, prose(k + 500)])
+    assert "We met again in spring" not in html.wrapper([p for _, _, p in rows])[1]
+
+
+def test_wrapper_of_one_process_equals_the_table(spark):
+    """The rule of ``wrappers`` in one process, on hosts of several templates, repeats and damaged pages."""
+    def page(host, k):
+        note = "<p>Sale today</p>" if (k + host) % 4 == 0 else ""
+        kind = "article" if host % 2 else "div class='box'"
+        return (f"<body><div class='top'><p>Site {host}</p>{note}</div><{kind}><p>{prose(100 * host + k % 17)}</p>{note}"
+                f"<p>Same line</p></{kind.split()[0]}><div class='low'><p>Rights {k % 3}</p></div></body>")
+
+    rows = [(h, page(h, k)) for h in range(4) for k in range(20)] + [(0, ""), (1, "<<p"), (2, None), (2, page(2, 0))]
+    table = spark.createDataFrame([(f"h{h}", p) for h, p in rows], "host string, html string")
+    got = {r.host: (r.root, len(r.constants or [])) for r in html.wrappers(table).collect()}
+    assert got.keys() == {f"h{h}" for h in range(4)}
+    for h in range(4):
+        mine = [p for host, p in rows if host == h and p is not None]
+        chosen = {r.html for r in html.references(table.filter(f"host = 'h{h}'")).selectExpr("explode(refs) AS html").collect()}
+        root, constants = html.wrapper(sorted(chosen) + [p for p in mine if p not in chosen])
+        assert got[f"h{h}"][0] == root
+        assert got[f"h{h}"][1] >= len(constants)
+
+
 def test_wrapper_counts_all_pages_and_whole_trees(spark):
     def page(k):
         variant = f"<p>variant {k % 3}</p>"
@@ -572,3 +616,11 @@ def test_bpe_equals_library(spark, words):
         assert hashlib.sha256(r.decoded.encode()).hexdigest() and r._text == "mine"
     if words == 3:
         assert codec.encoded(docs(spark, []).limit(0)).count() == 0
+
+
+def test_encoding_keeps_columns_of_any_name(spark):
+    table = spark.createDataFrame([(1, "one two", "p", "c", "old", "x")], "doc_id int, text string, _p string, _code string, ids string, own string")
+    out = bpe.Codec(spark, bpe.default_path()).encoded(table)
+    assert sorted(out.columns) == ["_code", "_p", "decoded", "doc_id", "ids", "n_tokens", "own", "text"]
+    row = out.first()
+    assert (row._p, row._code, row.own) == ("p", "c", "x") and row.decoded == "one two" and row.ids != "old"
