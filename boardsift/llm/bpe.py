@@ -1,28 +1,40 @@
-"""Byte-level BPE in Spark expressions.
+"""Byte-level BPE: merges folded in Spark expressions, applied to whole texts from a bounded dictionary.
 
-A text is cut into words by the tokenizer's pattern.  The ranked merges of a word are a fold over
-its byte array: each step looks up the ranks of neighbouring parts in a literal rank map, and joins
-the leftmost pair of the lowest rank.  Distinct words are counted over all texts; the ``words`` most
-frequent ones are folded once and put in a literal dictionary of bounded size, and any other
-word is folded where it occurs, so each text is encoded in its own row and nothing is dropped.
-Decoding concatenates the pieces of the ids.
+The ranked merges of a word are a fold over its byte array: each step looks up the ranks of
+neighbouring parts in a literal rank map, and joins the leftmost pair of the lowest rank.
 
-Both literals are arrays of small maps addressed by a word's hash, since a map is searched
-entry by entry.  They enter the plan as session variables.
+1. Words are counted over all texts.  The ``words`` most frequent ones of at most ``LONGEST`` bytes
+   are folded once; their ids are a dictionary of bounded size, broadcast to Python workers.
+2. Each text is cut by the tokenizer's pattern; words of the dictionary get their ids, and the text's
+   other words, each once, go back to the fold.  Such words recur hardly ever in other texts, so
+   folding them beside their text costs little more than folding them once in a table,
+   and no text is shuffled.
+3. The two are put together, and decoding concatenates the binary pieces of the ids.
+
+The rank map is an array of small maps addressed by a key's hash, since a map is searched entry
+by entry.  It enters the plan as a session variable that is dropped once the plan holds it.
 
 Nulls: a null text is empty and has no ids.  Repeated rows give repeated results.  Texts are read
 whole; a word of n bytes takes time in the order of n squared.  An empty table gives an empty
-result.  Further columns of the input are ignored by ``encode`` and kept by ``encoded``.
+result.  Further columns of the input are kept by ``encoded``.
 """
 
 from __future__ import annotations
 
 import base64
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+import regex
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm.common import stored, table
+from boardsift.operators.score import settle
 
 # The pattern of the public tokenizers, its white space spelt out.
 _S = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -30,7 +42,11 @@ PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N
            rf"|[{_S}]+(?![^{_S}])|[{_S}]+")
 NONE = 2147483647
 BUCKETS = 1 << 16
+#: The dictionary holds at most so many words, of at most so many bytes each.
 WORDS = 1 << 18
+LONGEST = 64
+#: Different words that a task counts before it passes the counts on.
+COUNTED = 1 << 18
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -72,48 +88,65 @@ aggregate(
   a -> a.p)
 """
 
-#: What is kept of an encoded word: how many ids, the ids as text, and the decoded piece.
-CODE = f"""
+#: The ids of a word as text, one space between.
+IDS = f"""
 element_at(transform(array(cast(WORD AS binary)), w ->
-  element_at(transform(array(transform({FOLD}, q -> element_at(get(c.ranks, {_bucket('q')}), q))), ids -> named_struct(
-    'n', size(ids),
-    'ids', array_join(transform(ids, x -> cast(x AS string)), ' '),
-    'text', decode(unhex(array_join(transform(ids, x -> get(c.vocab, x)), '')), 'UTF-8'))), 1)), 1)
+  array_join(transform({FOLD}, q -> cast(element_at(get(c.ranks, {_bucket('q')}), q) AS string)), ' ')), 1)
 """
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all texts, but for words too long for the dictionary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(PATTERN).findall
+        seen: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(find(text.as_py() or ""))
+                if len(seen) >= COUNTED:
+                    yield counted()
+                    seen.clear()
+        yield counted()
+
+    return docs.select("text").mapInArrow(count, "word string, n long").filter(
+        F.octet_length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+
+
 class Codec:
     """The literals of one rank file; ``words`` bounds the dictionary of frequent words."""
 
     def __init__(self, spark: SparkSession, path: str, words: int = WORDS) -> None:
-        pairs = read_ranks(path)
-        frame = spark.createDataFrame([(bytearray(a), b) for a, b in pairs], "key binary, rank int")
         self.spark, self.words = spark, words
-        # the vocabulary has a fixed size
-        self.frame = stored(frame, "bpe-ranks")
-        top = max(b for _, b in pairs)
-        self.vocab_frame = stored(spark.range(top + 1).select(F.col("id").cast("int").alias("rank")).join(
-            self.frame, "rank", "left").coalesce(1).agg(F.transform(F.array_sort(F.collect_list(F.struct(
-                "rank", F.coalesce(F.hex("key"), F.lit("")).alias("h")))), lambda z: z["h"]).alias("v")), "bpe-vocab")
-        self.rank_frame = self._literal(self.frame, "key", "rank")
-
-    def _literal(self, entries: DataFrame, key: str, value: str) -> DataFrame:
-        """One row ``v``: an array of maps; the entry of a key is in the map its hash addresses."""
-        kinds = dict(entries.dtypes)
-        maps = entries.select(F.expr(_bucket(key)).alias("b"), key, value).groupBy("b").agg(
-            F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
-        empty = F.map_from_arrays(F.array().cast(f"array<{kinds[key]}>"), F.array().cast(f"array<{kinds[value]}>"))
-        rows = self.spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left").select(
+        self.pairs = read_ranks(path)
+        frame = spark.createDataFrame([(bytearray(a), b) for a, b in self.pairs], "key binary, rank int")
+        # one row: an array of maps; the entry of a key is in the map its hash addresses
+        maps = frame.select(F.expr(_bucket("key")).alias("b"), "key", "rank").groupBy("b").agg(
+            F.map_from_entries(F.collect_list(F.struct("key", "rank"))).alias("m"))
+        empty = F.expr("cast(map() AS map<binary, int>)")
+        rows = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left").select(
             "b", F.coalesce("m", empty).alias("m"))
-        return stored(rows.coalesce(1).sortWithinPartitions("b").agg(F.collect_list("m").alias("v")), "bpe-literal")
-
-    def pieces(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
-
-    def dictionary(self, docs: DataFrame) -> DataFrame | None:
-        """One row: the codes of the most frequent words, as a bucketed literal."""
-        counts = stored(docs.select(F.explode(self.pieces(F.col("text"))).alias("word")).groupBy("word").agg(
-            F.count("*").alias("n")), "bpe-words")
+        self.ranks = stored(rows.coalesce(1).sortWithinPartitions("b").agg(F.collect_list("m").alias("v")), "bpe-ranks")
+
+    def _bind(self, df: DataFrame, name: str, expression: str) -> DataFrame:
+        """Adds a column that reads the rank map, which becomes a literal of the plan."""
+        own = f"bpe_{uuid.uuid4().hex}"
+        self.ranks.createOrReplaceTempView(own)
+        self.spark.sql(f"DECLARE OR REPLACE VARIABLE {own} {self.ranks.schema['v'].dataType.simpleString()}")
+        self.spark.sql(f"SET VARIABLE {own} = (SELECT v FROM {own})")
+        out = settle(df, {name: F.expr(expression.replace("c.ranks", own))})  # apart from any Python function
+        self.spark.sql(f"DROP TEMPORARY VARIABLE {own}")
+        self.spark.catalog.dropTempView(own)
+        return out
+
+    def dictionary(self, docs: DataFrame) -> dict[str, str]:
+        """The ids of the most frequent words; at most ``words`` of them."""
+        counts = stored(word_counts(docs), "bpe-words")
         # the least count that leaves at most ``words`` words
         sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("m")).orderBy(
             F.desc("n")).collect()
@@ -124,42 +157,61 @@ class Codec:
                 break
             cut = row["n"]
         if cut is None:
-            return None
+            return {}
         frequent = counts.filter(F.col("n") >= cut).select("word").repartition(
             max(8, self.spark.sparkContext.defaultParallelism), "word")
-        code = self._bind(CODE.replace("WORD", "word"), frequent)
-        return self._literal(stored(code.select("word", F.col("_code").alias("code")), "bpe-codes"), "word", "code")
-
-    def _bind(self, expression: str, df: DataFrame, **frames: DataFrame) -> DataFrame:
-        """Adds ``_code``; each one-row frame becomes a session variable, a literal once planned."""
-        for name, frame in ({"ranks": self.rank_frame, "vocab": self.vocab_frame} | frames).items():
-            own = f"bpe_{name}_{id(frame)}"
-            frame.createOrReplaceTempView(own)
-            self.spark.sql(f"DECLARE OR REPLACE VARIABLE {own} {frame.schema['v'].dataType.simpleString()}")
-            self.spark.sql(f"SET VARIABLE {own} = (SELECT v FROM {own})")
-            expression = expression.replace(f"c.{name}", own)
-        return df.withColumn("_code", F.expr(expression))
+        codes = self._bind(frequent, "ids", IDS.replace("WORD", "word")).toArrow()
+        return dict(zip(codes["word"].to_pylist(), codes["ids"].to_pylist()))
 
     def encoded(self, docs: DataFrame) -> DataFrame:
         """Adds n_tokens, ids (decimal, one space between) and decoded.
 
         Columns of ``docs`` with one of these three names are replaced, all others are kept, whatever their names.
         """
-        known = self.dictionary(docs)
         df = docs.drop("n_tokens", "ids", "decoded")
-        own = {c: f"_bpe_own_{i}" for i, c in enumerate(df.columns) if c in ("_p", "_code")}
-        df = df.withColumnsRenamed(own).withColumn("_p", self.pieces(F.col("text")))
-        if known is None:
-            df = self._bind(f"transform(_p, x -> {CODE.replace('WORD', 'x')})", df)
-        else:
-            df = self._bind(f"transform(_p, x -> coalesce(try_element_at(get(c.known, {_bucket('x')}), x), "
-                            f"{CODE.replace('WORD', 'x')}))", df, known=known)
-        c = F.col("_code")
-        return df.withColumns({
-            "n_tokens": F.aggregate(c, F.lit(0).cast("bigint"), lambda a, z: a + z["n"]),
-            "ids": F.array_join(c["ids"], " "),
-            "decoded": F.array_join(c["text"], ""),
-        }).drop("_p", "_code").withColumnsRenamed({v: k for k, v in own.items()})
+        own = {c: f"_bpe_own_{i}" for i, c in enumerate(df.columns) if c in ("_found", "_folded", "_code")}
+        known = self.spark.sparkContext.broadcast(self.dictionary(docs))
+        vocab = self.spark.sparkContext.broadcast({str(rank): piece for piece, rank in self.pairs})
+        df = df.withColumnsRenamed(own).withColumn("_found", _look_up(known)(F.coalesce("text", F.lit(""))))
+        df = self._bind(df, "_folded", f"transform(_found.others, x -> {IDS.replace('WORD', 'x')})")
+        df = df.withColumn("_code", _put_together(vocab)("_found.ids", "_folded"))
+        return df.select("*", "_code.*").drop("_found", "_folded", "_code").withColumnsRenamed(
+            {v: k for k, v in own.items()})
+
+
+def _look_up(known: Broadcast):
+    """The ids of each text, ``?k`` in place of its k-th word that the dictionary lacks, and these words."""
+
+    @F.pandas_udf("ids string, others array<string>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        find, get = regex.compile(PATTERN).findall, known.value.get
+        for batch in texts:
+            rows = []
+            for text in batch:
+                others: dict[str, str] = {}
+                ids = [get(w) or others.setdefault(w, f"?{len(others)}") for w in find(text)]
+                rows.append((" ".join(ids), list(others)))
+            yield pd.DataFrame(rows, columns=["ids", "others"], dtype=object)
+
+    return run
+
+
+def _put_together(vocab: Broadcast):
+    """Puts folded words in their places, counts the ids and decodes them."""
+
+    @F.pandas_udf("n_tokens long, ids string, decoded string")
+    def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        pieces = vocab.value
+        for found, folded in columns:
+            rows = []
+            for text, codes in zip(found, folded):
+                if len(codes):
+                    text = " ".join([codes[int(x[1:])] if x[0] == "?" else x for x in text.split()])
+                ids = text.split()
+                rows.append((len(ids), text, b"".join([pieces[x] for x in ids]).decode("utf-8")))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"], dtype=object)
+
+    return run
 
 
 def default_path() -> str:
