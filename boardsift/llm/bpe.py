@@ -24,7 +24,6 @@ from __future__ import annotations
 import base64
 import re
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,20 +40,26 @@ _S = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def _pattern(space: str, letter: str, number: str) -> str:
-    return (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+"
+    return (rf"'(?:[stmd]|re|ve|ll)| ?(?:[{letter}]+|[{number}]+|[^{space}{letter}{number}]+)"
             rf"|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def _spelt_out(kind: str) -> str:
+    """The characters of a kind up to U+FFFF as ranges, for patterns that know no kinds."""
+    every = "".join(chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000)
+    return "".join(rf"\u{ord(m[0][0]):04x}-\u{ord(m[0][-1]):04x}" for m in regex.finditer(f"{kind}+", every))
+
+
 PATTERN = _pattern(_S, r"\p{L}", r"\p{N}")
-#: What the pattern comes to in a text of ASCII characters.
+#: What the pattern comes to in a text of characters up to U+007F and U+FFFF; these are faster to search for.
 ASCII = _pattern(r"\t-\r\x20", "A-Za-z", "0-9")
+PLANE = _pattern(_S, _spelt_out(r"\p{L}"), _spelt_out(r"\p{N}"))
 
 BUCKETS = 65521
 #: The dictionary holds at most so many words, of at most so many bytes each.
 WORDS = 1 << 18
 LONGEST = 64
-#: Different words that a task counts before it passes the counts on, and texts of an output batch.
-COUNTED = 1 << 17
+#: Texts of an output batch.
 TEXTS = 256
 
 
@@ -97,31 +102,9 @@ element_at(transform(array(cast(WORD AS binary)), w -> array_join(cast({FOLD} AS
 
 def splitter() -> Callable[[str], list[str]]:
     """The words of a text."""
-    ascii_words, words = re.compile(ASCII).findall, regex.compile(PATTERN).findall
-    return lambda text: ascii_words(text) if text.isascii() else words(text)
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, but for words too long for the dictionary."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter()
-        seen: Counter[str] = Counter()
-
-        def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(find(text.as_py() or ""))
-                if len(seen) >= COUNTED:
-                    yield counted()
-                    seen.clear()
-        yield counted()
-
-    return docs.select("text").mapInArrow(count, "word string, n long").filter(
-        F.octet_length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    ascii_words, words, all_words = re.compile(ASCII).findall, re.compile(PLANE).findall, regex.compile(PATTERN).findall
+    beyond = re.compile(r"[^\0-\uffff]").search
+    return lambda text: ascii_words(text) if text.isascii() else all_words(text) if beyond(text) else words(text)
 
 
 class Codec:
@@ -158,7 +141,9 @@ class Codec:
 
     def dictionary(self, docs: DataFrame) -> dict[str, str]:
         """The ids of the most frequent words; at most ``words`` of them."""
-        counts = stored(word_counts(docs), "bpe-words")
+        word = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))).alias("word")
+        counts = stored(docs.select(word).filter(F.octet_length("word") <= LONGEST).groupBy("word").agg(
+            F.count("*").alias("n")), "bpe-words")
         # the least count that leaves at most ``words`` words
         sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("m")).orderBy(
             F.desc("n")).collect()
@@ -185,7 +170,7 @@ class Codec:
         known = self.spark.sparkContext.broadcast(self.dictionary(docs))
         vocab = self.spark.sparkContext.broadcast(self.vocab)
         df = df.withColumnsRenamed(own).withColumn("_found", _look_up(known)("text"))
-        df = self._bind(df, "_folded", f"transform(_found.others, x -> {IDS.replace('WORD', 'x')})")
+        df = self._bind(df, "_folded", f"array_join(transform(_found.others, x -> {IDS.replace('WORD', 'x')}), '?')")
         df = df.withColumn("_code", _put_together(vocab)("_found.ids", "_folded"))
         return df.select("*", "_code.*").drop("_found", "_folded", "_code").withColumnsRenamed(
             {v: k for k, v in own.items()})
@@ -223,6 +208,7 @@ def _put_together(vocab: Broadcast):
                 for text, codes in zip(found.slice(at, TEXTS), folded.slice(at, TEXTS)):
                     ids, other = text.as_py(), codes.as_py()
                     if other:
+                        other = other.split("?")
                         first, *rest = ids.split("?")
                         for k, part in enumerate(rest):
                             n, gap, after = part.partition(" ")
