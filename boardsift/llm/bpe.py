@@ -9,7 +9,8 @@ and only the ranks of the two pairs beside it are looked up anew, in a literal r
 2. Each text is cut by the tokenizer's pattern; words of the dictionary get their ids, and the text's
    other words, each once, go to the fold beside the text.  Such words recur in few other texts
    (1.5 texts each on 0.1 GB), and no text is shuffled for them.
-3. The two are put together, and decoding concatenates the binary pieces of the ids.
+3. Decoding concatenates the binary pieces of the ids; the parts between such words and the words
+   themselves, which are whole characters, are then put together.
 
 The rank map is an array of small maps that the two ids of a pair address, since a map is searched
 entry by entry.  It enters the plan as a session variable that is dropped once the plan holds it.
@@ -29,7 +30,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm.common import stored, table
@@ -94,10 +95,15 @@ aggregate(
   a -> a.t)
 """
 
-#: The ids of a word as text, one space between.
+#: The ids of a word as text, one space between, and with their number and the piece they decode to.
 IDS = f"""
 element_at(transform(array(cast(WORD AS binary)), w -> array_join(cast({FOLD} AS array<string>), ' ')), 1)
 """
+CODE = f"""
+element_at(transform(array(cast(WORD AS binary)), w -> element_at(transform(array({FOLD}), t -> named_struct(
+  'n', size(t), 'ids', array_join(cast(t AS array<string>), ' '),
+  'piece', decode(unhex(array_join(transform(t, x -> get(c.vocab, x)), '')), 'UTF-8'))), 1)), 1)
+"""
 
 
 def splitter() -> Callable[[str], list[str]]:
@@ -113,7 +119,7 @@ class Codec:
     def __init__(self, spark: SparkSession, path: str, words: int = WORDS) -> None:
         self.spark, self.words = spark, words
         rank = dict(read_ranks(path))
-        self.vocab = {str(r): piece for piece, r in rank.items()}
+        self.pieces = {str(r): piece for piece, r in rank.items()}
         self.bytes = f"array({', '.join(str(rank[bytes([b])]) for b in range(256))})"
         # every way to make a piece of two pieces
         pairs = [((rank[p[:k]] << 24) + rank[p[k:]], r) for p, r in rank.items() for k in range(1, len(p))
@@ -126,17 +132,24 @@ class Codec:
         rows = spark.range(BUCKETS).withColumnRenamed("id", "b").join(maps, "b", "left").select(
             "b", F.coalesce("m", F.expr("cast(map() AS map<bigint, int>)")).alias("m"))
         self.ranks = stored(rows.coalesce(1).sortWithinPartitions("b").agg(F.collect_list("m").alias("v")), "bpe-ranks")
+        top = max(rank.values())  # the vocabulary has a fixed size
+        self.vocab = stored(spark.createDataFrame(pa.table({"v": [[
+            self.pieces.get(str(r), b"").hex() for r in range(top + 1)]]})), "bpe-vocab")
 
     def _bind(self, df: DataFrame, name: str, expression: str) -> DataFrame:
-        """Adds a column that reads the rank map, which becomes a literal of the plan."""
-        own = f"bpe_{uuid.uuid4().hex}"
-        self.ranks.createOrReplaceTempView(own)
-        self.spark.sql(f"DECLARE OR REPLACE VARIABLE {own} {self.ranks.schema['v'].dataType.simpleString()}")
-        self.spark.sql(f"SET VARIABLE {own} = (SELECT v FROM {own})")
-        # computed apart from any Python function
-        out = settle(df, {name: F.expr(expression.replace("c.ranks", own).replace("c.bytes", self.bytes))})
-        self.spark.sql(f"DROP TEMPORARY VARIABLE {own}")
-        self.spark.catalog.dropTempView(own)
+        """Adds a column that reads the literals, each a session variable until the plan holds it."""
+        expression = expression.replace("c.bytes", self.bytes)
+        for literal, frame in (("c.ranks", self.ranks), ("c.vocab", self.vocab)):
+            if literal in expression:
+                own = f"bpe_{uuid.uuid4().hex}"
+                frame.createOrReplaceTempView(own)
+                self.spark.sql(f"DECLARE OR REPLACE VARIABLE {own} {frame.schema['v'].dataType.simpleString()}")
+                self.spark.sql(f"SET VARIABLE {own} = (SELECT v FROM {own})")
+                self.spark.catalog.dropTempView(own)
+                expression = expression.replace(literal, own)
+        out = settle(df, {name: F.expr(expression)})  # computed once, and apart from any Python function
+        for own in sorted(set(re.findall("bpe_[0-9a-f]{32}", expression))):
+            self.spark.sql(f"DROP TEMPORARY VARIABLE {own}")
         return out
 
     def dictionary(self, docs: DataFrame) -> dict[str, str]:
@@ -166,56 +179,48 @@ class Codec:
         Columns of ``docs`` with one of these three names are replaced, all others are kept, whatever their names.
         """
         df = docs.drop("n_tokens", "ids", "decoded")
-        own = {c: f"_bpe_own_{i}" for i, c in enumerate(df.columns) if c in ("_found", "_folded", "_code")}
+        own = {c: f"_bpe_own_{i}" for i, c in enumerate(df.columns) if c in ("_found", "_folded")}
         known = self.spark.sparkContext.broadcast(self.dictionary(docs))
-        vocab = self.spark.sparkContext.broadcast(self.vocab)
-        df = df.withColumnsRenamed(own).withColumn("_found", _look_up(known)("text"))
-        df = self._bind(df, "_folded", f"array_join(transform(_found.others, x -> {IDS.replace('WORD', 'x')}), '?')")
-        df = df.withColumn("_code", _put_together(vocab)("_found.ids", "_folded"))
-        return df.select("*", "_code.*").drop("_found", "_folded", "_code").withColumnsRenamed(
-            {v: k for k, v in own.items()})
+        pieces = self.spark.sparkContext.broadcast(self.pieces)
+        df = df.withColumnsRenamed(own).withColumn("_found", _look_up(known, pieces)("text"))
+        df = self._bind(df, "_folded", f"transform(_found.others, x -> {CODE.replace('WORD', 'x')})")
+
+        def whole(parts: str, other: str) -> Column:
+            return F.expr(f"concat(get(_found.{parts}, 0), array_join(transform(_found.places, (k, j) -> "
+                          f"concat(get(_folded, k).{other}, get(_found.{parts}, j + 1))), ''))")
+
+        n = F.expr("aggregate(_found.places, _found.n, (a, k) -> a + get(_folded, k).n)")
+        return df.select("*", n.alias("n_tokens"), whole("ids", "ids").alias("ids"), whole(
+            "pieces", "piece").alias("decoded")).drop("_found", "_folded").withColumnsRenamed(
+                {v: k for k, v in own.items()})
 
 
-def _look_up(known: Broadcast):
-    """The ids of each text, ``?k`` in place of its k-th word that the dictionary lacks, and these words."""
-    made = pa.struct([("ids", pa.string()), ("others", pa.list_(pa.string()))])
+def _look_up(known: Broadcast, pieces: Broadcast):
+    """What the dictionary gives of each text: the ids between the words it lacks, their number, and what they decode to;
+    these words, each once; and which of them stands at each gap."""
+    kind = "n long, ids array<string>, pieces array<string>, others array<string>, places array<int>"
+    texts_of = pa.list_(pa.string())
+    made = pa.struct([("n", pa.int64()), ("ids", texts_of), ("pieces", texts_of), ("others", texts_of),
+                      ("places", pa.list_(pa.int32()))])
 
-    @F.arrow_udf("ids string, others array<string>")
+    @F.arrow_udf(kind)
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        find, get = splitter(), known.value.get
+        find, get, piece = splitter(), known.value.get, pieces.value.__getitem__
         for batch in texts:
             for at in range(0, len(batch), TEXTS):
                 rows = []
                 for text in batch.slice(at, TEXTS):
                     others: dict[str, str] = {}
-                    ids = [get(w) or others.setdefault(w, f"?{len(others)}") for w in find(text.as_py() or "")]
-                    rows.append((" ".join(ids), list(others)))
-                yield pa.array(rows, made)
-
-    return run
-
-
-def _put_together(vocab: Broadcast):
-    """Puts folded words in their places, counts the ids and decodes them."""
-    made = pa.struct([("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
-
-    @F.arrow_udf("n_tokens long, ids string, decoded string")
-    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        piece = vocab.value.__getitem__
-        for found, folded in columns:
-            for at in range(0, len(found), TEXTS):
-                rows = []
-                for text, codes in zip(found.slice(at, TEXTS), folded.slice(at, TEXTS)):
-                    ids, other = text.as_py(), codes.as_py()
-                    if other:
-                        other = other.split("?")
-                        first, *rest = ids.split("?")
-                        for k, part in enumerate(rest):
-                            n, gap, after = part.partition(" ")
-                            rest[k] = other[int(n)] + gap + after
-                        ids = first + "".join(rest)
-                    each = ids.split()
-                    rows.append((len(each), ids, b"".join(map(piece, each)).decode("utf-8")))
+                    codes = " ".join([get(w) or others.setdefault(w, f"?{len(others)}")
+                                      for w in find(text.as_py() or "")])
+                    ids, places = codes.split("?"), []
+                    for k in range(1, len(ids)):
+                        place, gap, after = ids[k].partition(" ")
+                        places.append(int(place))
+                        ids[k] = gap + after
+                    each = [part.split() for part in ids]
+                    rows.append((sum(map(len, each)), ids, [b"".join(map(piece, e)).decode("utf-8") for e in each],
+                                 list(others), places))
                 yield pa.array(rows, made)
 
     return run
