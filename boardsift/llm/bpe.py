@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -113,6 +114,20 @@ def splitter() -> Callable[[str], list[str]]:
     return lambda text: ascii_words(text) if text.isascii() else all_words(text) if beyond(text) else words(text)
 
 
+class Words:
+    """A table (word, ids) that arrives in a worker as a dictionary, so that the driver makes no object for each word."""
+
+    def __init__(self, entries: pa.Table) -> None:
+        self.entries = entries
+
+    def __reduce__(self):
+        return _as_dictionary, (self.entries,)
+
+
+def _as_dictionary(entries: pa.Table) -> dict[str, str]:
+    return dict(zip(entries["word"].to_pylist(), entries["ids"].to_pylist()))
+
+
 class Codec:
     """The literals of one rank file; ``words`` bounds the dictionary of frequent words."""
 
@@ -122,10 +137,13 @@ class Codec:
         self.pieces = {str(r): piece for piece, r in rank.items()}
         self.bytes = f"array({', '.join(str(rank[bytes([b])]) for b in range(256))})"
         # every way to make a piece of two pieces
-        pairs = [((rank[p[:k]] << 24) + rank[p[k:]], r) for p, r in rank.items() for k in range(1, len(p))
-                 if p[:k] in rank and p[k:] in rank]
-        frame = spark.createDataFrame(pa.table({"pair": pa.array([k for k, _ in pairs], pa.int64()),
-                                                "rank": pa.array([r for _, r in pairs], pa.int32())}))
+        pairs, made = array("q"), array("i")
+        for piece, r in rank.items():
+            for k in range(1, len(piece)):
+                if piece[:k] in rank and piece[k:] in rank:
+                    pairs.append((rank[piece[:k]] << 24) + rank[piece[k:]])
+                    made.append(r)
+        frame = spark.createDataFrame(pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(made, pa.int32())}))
         # one row: an array of maps; a pair is in the map it addresses
         maps = frame.groupBy((F.col("pair") % BUCKETS).alias("b")).agg(
             F.map_from_entries(F.collect_list(F.struct("pair", "rank"))).alias("m"))
@@ -152,8 +170,8 @@ class Codec:
             self.spark.sql(f"DROP TEMPORARY VARIABLE {own}")
         return out
 
-    def dictionary(self, docs: DataFrame) -> dict[str, str]:
-        """The ids of the most frequent words; at most ``words`` of them."""
+    def dictionary(self, docs: DataFrame) -> pa.Table:
+        """(word, ids) of the most frequent words; at most ``words`` of them."""
         word = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))).alias("word")
         counts = stored(docs.select(word).filter(F.octet_length("word") <= LONGEST).groupBy("word").agg(
             F.count("*").alias("n")), "bpe-words")
@@ -167,11 +185,10 @@ class Codec:
                 break
             cut = row["n"]
         if cut is None:
-            return {}
+            return pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.string())})
         frequent = counts.filter(F.col("n") >= cut).select("word").repartition(
             max(8, self.spark.sparkContext.defaultParallelism), "word")
-        codes = self._bind(frequent, "ids", IDS.replace("WORD", "word")).toArrow()
-        return dict(zip(codes["word"].to_pylist(), codes["ids"].to_pylist()))
+        return self._bind(frequent, "ids", IDS.replace("WORD", "word")).toArrow()
 
     def encoded(self, docs: DataFrame) -> DataFrame:
         """Adds n_tokens, ids (decimal, one space between) and decoded.
@@ -180,7 +197,7 @@ class Codec:
         """
         df = docs.drop("n_tokens", "ids", "decoded")
         own = {c: f"_bpe_own_{i}" for i, c in enumerate(df.columns) if c in ("_found", "_folded")}
-        known = self.spark.sparkContext.broadcast(self.dictionary(docs))
+        known = self.spark.sparkContext.broadcast(Words(self.dictionary(docs)))
         pieces = self.spark.sparkContext.broadcast(self.pieces)
         df = df.withColumnsRenamed(own).withColumn("_found", _look_up(known, pieces)("text"))
         df = self._bind(df, "_folded", f"transform(_found.others, x -> {CODE.replace('WORD', 'x')})")
