@@ -14,6 +14,7 @@ from boardsift.functions import alerts, dictionary, rules, text
 from boardsift.functions.age import age_hours, timestamp_literal
 from boardsift.operators import dedup, report, score, semantic, state
 from boardsift.plans import scan, tagged
+from boardsift.session import stored
 
 CFG = MatchConfig()
 TAGGED = TaggedConfig()
@@ -507,10 +508,11 @@ _ONE = "QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY doc_id) = 1"
 def first_scored(spark, sf_dir) -> DataFrame:
     """Scores of the first listing of each id.
 
-    A score needs the text of its own row only, so it comes first: what is sorted and shuffled by id
-    are the columns that the answer names, never descriptions.
+    Copies of a listing are left out before its text is read and scored, see :func:`dedup.leading`.
+    What is sorted and shuffled by id are the columns that the answer names, never descriptions.
     """
-    return dedup.first_wins(scored(spark, sf_dir), ["job_id"], ["doc_id"])
+    first = dedup.leading(listings(spark, sf_dir), ["job_id"], ["doc_id"])
+    return dedup.first_wins(score.score_listings(first, AS_OF, CFG), ["job_id"], ["doc_id"])
 
 
 @query("top_matches", f"""WITH {SCORED}, one AS (SELECT * FROM scored {_ONE})
@@ -931,9 +933,9 @@ SELECT doc_id, CASE WHEN {TOP_SQL} THEN 'notified' ELSE status END AS status,
 def mark_notified(spark, sf_dir):
     """Every match is told about and marked, with a note of where it went."""
     never = F.lit(None).cast("timestamp")
-    rows = first_scored(spark, sf_dir).select(
+    rows = stored(first_scored(spark, sf_dir).select(
         "doc_id", "job_id", "source", "status", "is_india", "combined_score", never.alias("notified_at"),
-        never.alias("applied_at"), F.lit(None).cast("string").alias("llm_reason"))
+        never.alias("applied_at"), F.lit(None).cast("string").alias("llm_reason")), "first-scored")
     sent = state.status_events(report.matches(rows, CFG), "notified", AS_OF, {
         "llm_reason": F.concat(F.lit("sent to "), "source")})
     return state.with_current_status(rows, sent).select(

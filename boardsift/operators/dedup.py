@@ -8,8 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boardsift.session import stored
+
 Key = str | Column
 
+#: Keys of leading rows are sent to all tasks up to this many.
+SENT_KEYS = 500_000
+
 
 def cap_per_group(df: DataFrame, keys: Sequence[Key], order: Sequence[Key], n: int) -> DataFrame:
     """The first ``n`` rows of each group in ``order``.
@@ -27,6 +32,27 @@ def first_wins(df: DataFrame, keys: Sequence[Key], order: Sequence[Key]) -> Data
     return cap_per_group(df, keys, order, 1)
 
 
+def leading(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows that :func:`first_wins` chooses from, without the columns of others being computed.
+
+    Keys and order are grouped on their own and sent to the rows, which stay where they are, so costly columns
+    that follow are made for leading rows only.  Rows that agree in both all stay.  With more than
+    ``SENT_KEYS`` different keys nothing is left out, as the rows would have to move.
+    """
+    at = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
+    # as text files of ids are narrow, writing them costs less than making them twice
+    first = stored(df.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(
+        F.min(at).alias("_at")), "leading")
+    if first.limit(SENT_KEYS + 1).count() > SENT_KEYS:
+        return df
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_at._{i}"))
+    return df.join(F.broadcast(first), same, "left_semi")
+
+
 def by_title_company(sep: str = "_", fold_case: bool = False) -> list[Column]:
     title, company = F.col("title"), F.col("company")
     if fold_case:

@@ -61,6 +61,24 @@ def test_top_lists_move_no_descriptions(spark, sf_dir, name):
     assert exchanges and not any("description" in columns for columns in exchanges)
 
 
+def test_copies_are_not_scored(spark, sf_dir):
+    text = of(spark, sf_dir, "top_matches")
+    assert "BroadcastHashJoin" in text and "LeftSemi" in text
+
+
+def test_scores_are_made_once(spark, sf_dir):
+    assert "documents.parquet" not in of(spark, sf_dir, "mark_notified")  # it reads what was scored before
+
+
+def test_leading_rows_are_those_first_wins_picks(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 3, "z"), (None, None, "w"), ("b", 5, "v"), ("b", 5, "u")],
+                                 "k string, o int, t string")
+    want = [("a", 1, "y"), ("b", 5, "u"), ("b", 5, "v"), (None, None, "w")]
+    assert sorted(map(tuple, dedup.leading(rows, ["k"], ["o"]).collect()), key=str) == sorted(want, key=str)
+    monkeypatch.setattr(dedup, "SENT_KEYS", 2)
+    assert dedup.leading(rows, ["k"], ["o"]).count() == 6  # too many keys to send: all rows stay
+
+
 def test_short_list_goes_to_the_rows(spark):
     rows = spark.range(1000).selectExpr("id", "repeat('x', 1000) AS text")
     top = rows.orderBy(F.desc("id")).select("id").limit(5)
