@@ -11,7 +11,7 @@ from boardsift.catalog import duck, listing_queries, payload_queries
 from boardsift.catalog.fixtures import AS_OF, RAW_COLUMNS, fetched_at, spread, table
 from boardsift.catalog.listing_queries import CFG, SCORED
 from boardsift.functions import text
-from boardsift.operators import dedup, semantic
+from boardsift.operators import dedup, score, semantic
 from boardsift.plugins import classify, with_embedding
 from boardsift.session import fresh_path
 from boardsift.sources import tables
@@ -229,9 +229,10 @@ def insert_twice(spark, sf_dir):
     """Insert-or-ignore of the same batch twice leaves one row per listing."""
     root = fresh_path(spark, "tables")
     tables.create_tables(spark, root)
-    rows = listing_queries.scored(spark, sf_dir).withColumn("url", F.col("doc_id").cast("string"))
+    rows = listing_queries.listings(spark, sf_dir).withColumn("url", F.col("doc_id").cast("string"))
     for _ in range(2):
-        tables.insert_new(spark, rows, root, ["doc_id"])
+        tables.insert_new(spark, rows, root, ["doc_id"], finish=lambda new: score.score_listings(
+            new, AS_OF, listing_queries.CFG))
     return tables.read_table(spark, root, "listings").select(
         "job_id", F.col("url").cast("bigint").alias("doc_id"), "status", "combined_score")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,14 +90,16 @@ def _put_days(rows: DataFrame, root: str) -> None:
 
 
 def insert_new(spark: SparkSession, df: DataFrame, root: str, order: list[str],
-               part: str | None = None) -> None:
+               part: str | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Insert-or-ignore by ``job_id``; a repeated batch adds nothing.
 
-    ``part`` names the batch, so that one that broke off can be inserted again.
+    ``part`` names the batch, so that one that broke off can be inserted again.  ``finish`` adds what is
+    costly, such as scores, to the rows that are inserted; the batch itself is read several times.
     """
     part = part or uuid.uuid4().hex
     index = listing_index(spark, root)
-    put_listings(dedup.fresh_listings(df, index.excluding(part), order), root, part)
+    fresh = dedup.fresh_listings(df, index.excluding(part), order)
+    put_listings(finish(fresh) if finish else fresh, root, part)
     index.add(_stored(spark, root, "listings").filter(F.col("part") == part), part)
 
 

@@ -320,3 +320,19 @@ def test_streams_read_folders_and_files(spark, root, sf_dir):
         assert streams.to_table(stream, f"{root}/out{k}", f"{root}/mark{k}").count() == table.count()
     with pytest.raises(FileNotFoundError):
         streams.read_files(spark, f"{root}/none.parquet", table.schema)
+
+
+def test_only_inserted_rows_are_finished(spark, tmp_path):
+    root = str(tmp_path / "t")
+    tables.create_tables(spark, root)
+    rows = spark.range(6).selectExpr("CAST(id % 3 AS STRING) AS job_id", "id AS at", "TIMESTAMP '2024-01-01' AS fetched_at")
+    seen = []
+
+    def finish(new):
+        seen.append(new.count())
+        return new.withColumn("status", F.lit("detected"))
+
+    for _ in range(2):
+        tables.insert_new(spark, rows, root, ["at"], finish=finish)
+    assert seen == [3, 0]
+    assert [r.status for r in tables.read_table(spark, root, "listings").collect()] == ["detected"] * 3
