@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Words are hashed; document frequencies over all documents give the idf weights.
-2. A randomised SVD of TF-IDF passages, the benchmark's and a bounded sample of the documents',
-   yields a latent space.  The products with the passage matrix run distributed; only the sketch of
-   the sampled rows and the space itself, both of fixed size, reach the driver.
+2. A randomised SVD of TF-IDF passages, the benchmark's and those of all documents, yields a latent
+   space.  Documents' passages are added to a fixed number of signed sums while they are counted.  Products with
+   the passage matrix run distributed; only what they make of its rows and the space itself, both of
+   fixed size, reach the driver.
 3. Every passage of every document (32 words, each 16 words) is projected by summing its words'
    latent rows, and compared with all benchmark items by cosine in the latent space.  An item of over 64
    words is cut into passages in the same way, and each is looked for.
@@ -36,12 +37,15 @@ BROADCAST_ROWS = 1_000_000
 SLICE = 4096
 #: Queries that are sent to all tasks at once; more take several passes over the documents.
 QUERIES = 50_000
+#: Rows of sums that travel at once, and the most tasks that make sums.
+ROWS = 8
+SUM_TASKS = 256
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the document passages, and ``items`` the benchmark items, the space is fitted on;
-    all documents and all items are searched.  ``cosine`` is taken in the latent space; ``share`` is how
+    """The space is fitted on all items and all passages of all documents, which weigh as ``sample`` passages
+    together.  More than ``items`` items share as many rows.  ``cosine`` is taken in the latent space; ``share`` is how
     much of the passage's whole weight must point along the item."""
 
     bits: int = 16
@@ -69,28 +73,53 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, bits: int) -> np.ndarray:
+def statistics(docs: DataFrame, cfg: Settings) -> tuple[np.ndarray, DataFrame]:
+    """Document frequencies, with the number of documents at the end, and (part, data): signed sums of passages.
+
+    Each passage of each document (its words dealt in runs of ``2 * block``) is added, with a random sign, to one
+    of ``rank + oversample`` rows; in expectation the sums' Gram matrix is that of all passages.  Both come from one
+    reading.  A task sends a table of fixed size; more than ``SUM_TASKS`` partitions share tasks.
+    """
+    size, wide = 1 << cfg.bits, cfg.rank + cfg.oversample
+    slices = max(1, size // SLICE)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((1 << bits) + 1, np.int64)
+        total, sums = np.zeros(size + 1, np.int64), np.zeros(wide * size, np.float32)
         for batch in batches:
+            ids = batch["doc_id"].to_numpy().astype(np.int64).astype(np.uint64)
+            base = 0
             for group in ngrams.groups(batch["text"].fillna("")):
                 h, text = word_hashes(group)
-                b = _bucket(h, bits)
+                b = _bucket(h, cfg.bits)
                 ends = np.searchsorted(text, np.arange(len(group) + 1))
-                last = np.zeros(1 << bits, np.int64)
+                last = np.zeros(size, np.int64)
                 for k in range(len(group)):
                     own = b[ends[k]:ends[k + 1]]
                     last[own] = np.arange(len(own))
                     total[own[last[own] == np.arange(len(own))]] += 1
                 total[-1] += len(group)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
-
-    found = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(
-        F.sum("n").alias("n")).toPandas()
-    out = np.zeros((1 << bits) + 1)
-    out[found["bucket"]] = found["n"]
-    return out
+                passage = ((np.arange(len(h)) - ends[text]) // (2 * cfg.block)).astype(np.uint64)
+                dealt = ngrams.mixed(ngrams.mixed(ids[base + text]) + passage * np.uint64(0x9E3779B97F4A7C15))
+                row, sign = (dealt >> np.uint64(8)) % np.uint64(wide), 1 - 2 * (dealt & np.uint64(1)).astype(np.int64)
+                np.add.at(sums, row.astype(np.int64) * size + b, sign.astype(np.float32))
+                base += len(group)
+        yield pd.DataFrame({"part": [-1], "data": [total.astype(np.float64).tobytes()]})
+        sums = sums.reshape(wide, size)
+        for k in range(0, wide, ROWS):
+            parts = [(k // ROWS * slices + n, sums[k:k + ROWS, n * SLICE:(n + 1) * SLICE]) for n in range(slices)]
+            parts = [(n, x.astype(np.float64).tobytes()) for n, x in parts if x.any()]
+            yield pd.DataFrame(parts, columns=["part", "data"])
+
+    def added(part: pd.DataFrame) -> pd.DataFrame:
+        out = 0
+        for x in part["data"]:
+            out = out + np.frombuffer(x)
+        return pd.DataFrame({"part": part["part"].iloc[:1], "data": [out.tobytes()]})
+
+    found = stored(docs.select("doc_id", "text").coalesce(SUM_TASKS).mapInPandas(
+        count, "part long, data binary").groupBy("part").applyInPandas(added, "part long, data binary"), "lsa-sums")
+    whole = found.filter("part < 0").first()
+    return np.frombuffer(whole["data"]) if whole else np.zeros(size + 1), found.filter("part >= 0")
 
 
 def _tfidf(h: np.ndarray, idf: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,32 +128,64 @@ def _tfidf(h: np.ndarray, idf: np.ndarray, bits: int) -> tuple[np.ndarray, np.nd
     return at, x / (np.sqrt(x @ x) or 1.0)
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray, cfg: Settings) -> DataFrame:
-    """(row, idx, val): TF-IDF rows of the benchmark and of one passage of each sampled document."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)  # of fixed size
-    size = cfg.block * 2
+def passages(sums: DataFrame, benchmark: DataFrame, idf: np.ndarray, cfg: Settings) -> DataFrame:
+    """(key, item, idx, val): TF-IDF rows of the benchmark, and the documents' sums of passages.
+
+    More than ``items`` different items are dealt to as many signed sums.  The documents weigh as ``sample`` passages.
+    """
+    shared = sums.sparkSession.sparkContext.broadcast(idf)  # of fixed size
+    size, slices = 1 << cfg.bits, max(1, (1 << cfg.bits) // SLICE)
+    schema = "key long, item boolean, idx array<int>, val array<double>"
+
+    def weighted(part: int, data: bytes) -> np.ndarray:
+        """Rows of a part, by bucket."""
+        x = np.frombuffer(data).reshape(-1, min(SLICE, size))
+        at = part % slices * SLICE
+        return x * shared.value[at:at + x.shape[1]]
+
+    def energy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"e": [float((weighted(p, x) ** 2).sum()) for p, x in zip(b["part"], b["data"])]})
+
+    def rows(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("part")
+        blocks = [(p % slices * SLICE, weighted(p, x)) for p, x in zip(parts["part"], parts["data"])]
+        idx, val, first = [], [], parts["part"].iloc[0] // slices * ROWS
+        for k in range(len(blocks[0][1])):
+            at = [np.flatnonzero(x[k]) for _, x in blocks]
+            idx.append(np.concatenate([lo + i for (lo, _), i in zip(blocks, at)]))
+            val.append(np.concatenate([x[k][i] for (_, x), i in zip(blocks, at)]) * scale)
+        return pd.DataFrame({"key": np.arange(first, first + len(idx)), "item": False, "idx": idx, "val": val})
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             idx, val = [], []
-            for t, is_item in zip(batch["text"], batch["item"]):
-                h, _ = word_hashes([t])
-                if not is_item:  # a passage from the middle
-                    h = h[max(0, len(h) // 2 - size // 2):][:size]
-                at, x = _tfidf(h, shared.value, cfg.bits)
+            for t, sign in zip(batch["text"], batch["sign"]):
+                at, x = _tfidf(word_hashes([t])[0], shared.value, cfg.bits)
                 idx.append(at)
-                val.append(x * (cfg.emphasis if is_item else 1.0))
-            yield pd.DataFrame({"key": batch["key"], "item": batch["item"], "idx": idx, "val": val})
-
-    def bounded(df: DataFrame, key: str, n: int, item: bool) -> DataFrame:
-        ids = df.filter(F.col("text").isNotNull()).select(key).distinct().orderBy(
-            F.xxhash64(key), key).limit(n)
-        return df.filter(F.col("text").isNotNull()).join(F.broadcast(ids), key).select(
-            F.col(key).cast("long").alias("key"), F.lit(item).alias("item"), "text")
-
-    both = bounded(benchmark, "item_id", cfg.items, True).unionByName(bounded(docs, "doc_id", cfg.sample, False))
-    out = stored(both.mapInPandas(vectors, "key long, item boolean, idx array<int>, val array<double>").coalesce(
-        4), "lsa-passages")
+                val.append(x * (cfg.emphasis * sign))
+            yield pd.DataFrame({"key": batch["key"], "item": True, "idx": idx, "val": val})
+
+    def joined(same: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size)
+        for i, x in zip(same["idx"], same["val"]):
+            total[np.asarray(i, np.int64)] += x
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"key": same["key"].iloc[:1], "item": True, "idx": [at], "val": [total[at]]})
+
+    whole = sums.mapInPandas(energy, "e double").agg(F.sum("e")).first()[0] or 1.0
+    scale = float(np.sqrt(cfg.sample / whole))
+    documents = sums.groupBy(F.floor(F.col("part") / slices)).applyInPandas(rows, schema)
+    items = benchmark.filter(F.col("text").isNotNull()).withColumn("key", F.col("item_id").cast("long"))
+    if items.select("key").distinct().count() <= cfg.items:
+        found = items.select("key", F.lit(1.0).alias("sign"), "text").mapInPandas(vectors, schema)
+    else:
+        dealt = F.xxhash64("key")
+        sign = F.when(F.shiftright(dealt, 40).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
+        found = items.dropDuplicates(["key"]).select(
+            F.pmod(dealt, F.lit(cfg.items)).alias("key"), sign.alias("sign"), "text").mapInPandas(
+            vectors, schema).groupBy("key").applyInPandas(joined, schema)
+    out = stored(found.unionByName(documents).coalesce(4), "lsa-passages")
     shared.destroy()
     return out
 
@@ -138,7 +199,7 @@ def latent_space(rows: DataFrame, cfg: Settings) -> np.ndarray:
     spark = rows.sparkSession
 
     def times(matrix: np.ndarray) -> pd.DataFrame:
-        """The sampled rows times a matrix (buckets, wide)."""
+        """The rows times a matrix (buckets, wide)."""
         shared = spark.sparkContext.broadcast(matrix)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +212,7 @@ def latent_space(rows: DataFrame, cfg: Settings) -> np.ndarray:
         return out
 
     def transposed(basis: pd.DataFrame) -> np.ndarray:
-        """The matrix's transpose times a basis (rows, wide); one task, as the rows are a bounded sample."""
+        """The matrix's transpose times a basis (rows, wide); one task, as the number of rows is bounded."""
         q = spark.createDataFrame([(int(k), bool(i), v.tolist()) for k, i, v in zip(
             basis["key"], basis["item"], basis["q"])], "key long, item boolean, q array<double>")
 
@@ -286,12 +347,12 @@ def queries(benchmark: DataFrame, cfg: Settings) -> list[tuple[int, tuple[int, .
 def build(docs: DataFrame, benchmark: DataFrame, cfg: Settings = Settings()) -> list[Index]:
     """An index for each ``QUERIES`` queries."""
     benchmark = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    df = document_frequencies(docs, cfg.bits)
+    df, sums = statistics(docs, cfg)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
     asked = queries(benchmark, cfg)
     if not asked or not df[-1]:
         return []
-    words = latent_space(passages(docs, benchmark, idf, cfg), cfg)
+    words = latent_space(passages(sums, benchmark, idf, cfg), cfg)
     words *= idf.astype(np.float32)[:, None]
     out = []
     for k in range(0, len(asked), QUERIES):

@@ -580,6 +580,25 @@ def test_leaks_in_several_passes(spark, monkeypatch):
     assert got == {(k, k) for k in range(9)}
 
 
+def test_latent_space_is_fitted_on_all_words(spark):
+    """More documents and items than the settings name: no passage and no item is left out."""
+    np = decontam.np
+    cfg = decontam.Settings(bits=14, sample=2, items=3)
+    rows = [(k, " ".join(f"w{k}x{n}" for n in range(90))) for k in range(8)]
+    benchmark = spark.createDataFrame([(k, f"item{k} own{k}") for k in range(9)], "item_id bigint, text string")
+    df, sums = decontam.statistics(docs(spark, rows), cfg)
+    found = decontam.passages(sums, benchmark, np.ones(1 << 14), cfg).collect()
+
+    def buckets(texts):
+        return set(decontam._bucket(decontam.word_hashes(texts)[0], 14).tolist())
+
+    assert df[-1] == 8 and set(np.flatnonzero(df[:-1]).tolist()) == buckets([t for _, t in rows])
+    own = {i for r in found if not r.item for i in r.idx}
+    assert len(own) > 0.97 * len(buckets([t for _, t in rows]))  # words of one bucket may cancel out
+    assert len({i for r in found if r.item for i in r.idx}) >= 17 and sum(r.item for r in found) <= 3
+    assert abs(sum(x * x for r in found if not r.item for x in r.val) - 2) < 1e-6
+
+
 def test_subsequence():
     assert [decontam.subsequence(list(map(ord, a)), list(map(ord, b))) for a, b in (
         ("abcbdab", "bdcaba"), ("", "x"), ("abc", "abc"), ("aaa", "aa"))] == [4, 0, 3, 2]
