@@ -104,7 +104,15 @@ def _bound(text: str, body: str) -> str:
     return f"get(transform(array({text}), t -> {body}), 0)"
 
 
+def shortest(terms: Iterable[str]) -> list[str]:
+    """The different terms that hold no other one; a text with any of ``terms`` has one of these."""
+    terms = list(dict.fromkeys(terms))
+    return [t for t in terms if not any(o != t and o in t for o in terms)]
+
+
 def _any(text: str, terms: list[str], mode: str) -> str:
+    if mode == "substring" and len(terms) < ONE_SCAN:
+        terms = shortest(terms)
     if len(terms) <= UNROLL or mode == "word":
         return "(" + (" OR ".join(_hit(text, t, mode) for t in terms) or "false") + ")"
     if len(terms) >= ONE_SCAN:

@@ -159,13 +159,14 @@ def normalize(landing: DataFrame, spec: SourceSpec, keywords: Sequence[str],
     out = out.withColumns({
         "title": text.clean_string(F.col("title")),
         "company": text.clean_string(F.col("company")),
-        "description": text.clean_description(F.col("description")),
         "url": text.clean_url(F.col("url")),
     })
     if spec.dedup in LISTING_KEYS:
         out = first_wins(out, LISTING_KEYS[spec.dedup](), ["ord", "pos"])
     elif spec.dedup:
         out = first_wins(out, ["_key"], ["ord", "pos"]).drop("_key")
+    # no key holds the description, so it is cleaned for the rows that stay
+    out = out.withColumn("description", text.clean_description(F.col("description")))
     out = out.withColumn("job_id", text.job_id(F.col("title"), F.col("company"), F.col("source")))
     columns = ["job_id", *EMPTY_FIELDS, "source", "raw_data", "fetched_at"]
     return out.select(*columns, *(["ord", "pos"] if keep_order else []))

@@ -203,3 +203,20 @@ def test_every_error_is_kept(spark):
     df = land(spark, "Arbeitnow", "a", "b", "c", "d").withColumn(
         "error", F.when(F.col("ord") > 0, F.concat(F.lit("e"), (F.col("ord") % 2).cast("string"))))
     assert sorted(tuple(r) for r in ingest_errors(df, "r").collect()) == [("r", "Arbeitnow", "e0", 1), ("r", "Arbeitnow", "e1", 2)]
+
+
+def test_rss_markup_ends_at_the_first_closing_tag(spark):
+    item = "<item><title>Python %d</title><description>%s</description></item>"
+    texts = ["<![CDATA[a ]] b <i>x</i> ]> c]]>", "plain ] and ]]> text]]>", "<![CDATA[open", "", "<![CDATA[]]>", "l1\nl2 < 3" + "<b>" * 5000]
+    feed = "".join(item % (n, t) for n, t in enumerate(texts)) + "<item><title>Python 9</title><description>cut</item>"
+    raw = {json.loads(r.raw_data)["e"]["title"]: json.loads(r.raw_data)["e"] for r in read(spark, "WWRemotely", feed)}
+    assert [raw[f"Python {n}"]["description"] for n in range(6)] == [
+        "a ]] b <i>x</i> ]> c", "plain ] and ]]> text", "open", "", "", texts[5]]
+    assert [raw[f"Python {n}"]["marked"] for n in range(2)] == ["a ]] b <i>x</i> ]> c", ""]
+    assert raw["Python 9"]["description"] == ""
+
+
+def test_descriptions_are_cleaned_after_copies_went(spark):
+    text = normalize(land(spark, "WWRemotely", "<rss></rss>"), SPECS["WWRemotely"], KEYWORDS)._jdf.queryExecution(
+        ).optimizedPlan().toString()
+    assert text.index("<[^>]+>") < text.index("Window ")

@@ -71,3 +71,8 @@ def test_job_type_list(spark):
 def test_terms_with_quotes_and_backslashes(value):
     got = value(lambda c: text.any_term("x", ["it's", "a\\b"]), ["it's", "a\\b", "ab"])
     assert got == [True, True, False]
+
+
+def test_terms_that_hold_another_are_not_looked_for():
+    assert text.shortest(["remote", "fully remote", "apac", "remote", "remote-first"]) == ["remote", "apac"]
+    assert text.shortest([]) == [] and text.shortest(["", "a"]) == [""]
