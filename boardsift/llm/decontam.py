@@ -64,9 +64,7 @@ class Settings:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of the words of all texts."""
-    h, shape, text = ngrams.tokens(*ngrams.code_points(texts))
-    word = shape < 16
-    return h[word], text[word]
+    return ngrams.words(*ngrams.code_points(texts))
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -193,64 +191,74 @@ def passages(sums: DataFrame, benchmark: DataFrame, idf: np.ndarray, cfg: Settin
 def latent_space(rows: DataFrame, cfg: Settings) -> np.ndarray:
     """(buckets, rank): right singular vectors by a randomised range finder with one power step.
 
-    Matrices travel in 32 bits, a slice of buckets at a time, and what tasks were sent is dropped at once.
+    Products over all buckets stay in the tasks: the driver sees what they make of the rows, and the space itself
+    once, a few slices of buckets at a time.
     """
     size, wide = 1 << cfg.bits, cfg.rank + cfg.oversample
     spark = rows.sparkSession
 
-    def times(matrix: np.ndarray) -> pd.DataFrame:
-        """The rows times a matrix (buckets, wide)."""
-        shared = spark.sparkContext.broadcast(matrix)
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows times a random matrix (buckets, wide), which each task draws by itself."""
+        rng = np.random.default_rng(5)
+        g = np.empty((size, wide), np.float32)
+        for k in range(0, size, SLICE):
+            g[k:k + SLICE] = rng.standard_normal((min(SLICE, size - k), wide))
+        yield from products(batches, g)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"key": b["key"], "item": b["item"], "y": [
-                    np.asarray(v) @ shared.value[np.asarray(i)] for i, v in zip(b["idx"], b["val"])]})
-
-        out = rows.mapInPandas(run, "key long, item boolean, y array<double>").toPandas()
-        shared.destroy()
-        return out
+    def products(batches: Iterable[pd.DataFrame], g: np.ndarray) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "item": b["item"], "y": [
+                (np.asarray(v) @ g[np.asarray(i)]).tobytes() for i, v in zip(b["idx"], b["val"])]})
 
-    def transposed(basis: pd.DataFrame) -> np.ndarray:
-        """The matrix's transpose times a basis (rows, wide); one task, as the number of rows is bounded."""
-        q = spark.createDataFrame([(int(k), bool(i), v.tolist()) for k, i, v in zip(
-            basis["key"], basis["item"], basis["q"])], "key long, item boolean, q array<double>")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((size, wide), np.float32)
-            for b in batches:
-                for i, v, y in zip(b["idx"], b["val"], b["q"]):
-                    total[np.asarray(i)] += np.outer(v, y).astype(np.float32)
-            for k in range(0, size, SLICE):
-                yield pd.DataFrame({"first": [k], "g": [total[k:k + SLICE].tobytes()]})
-
-        parts = rows.join(F.broadcast(q), ["key", "item"]).select("idx", "val", "q").coalesce(1).mapInPandas(
-            run, "first long, g binary")
-        out = np.zeros((size, wide), np.float32)
-        for r in parts.toLocalIterator():
-            found = np.frombuffer(r["g"], np.float32).reshape(-1, wide)
-            out[r["first"]:r["first"] + len(found)] += found
-        return out
+    def transposed(batches: Iterable[pd.DataFrame]) -> np.ndarray:
+        """The rows' transpose times their basis."""
+        total = np.zeros((size, wide), np.float32)
+        for b in batches:
+            for i, v, q in zip(b["idx"], b["val"], b["q"]):
+                i, v, q = np.asarray(i), np.asarray(v), np.frombuffer(q)
+                for k in range(0, len(i), SLICE):
+                    total[i[k:k + SLICE]] += np.outer(v[k:k + SLICE], q).astype(np.float32)
+        return total
+
+    def power(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows times their transpose times the basis."""
+        kept = list(batches)  # of bounded size
+        yield from products(kept, transposed(kept))
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = transposed(batches)
+        for k in range(0, size, SLICE):
+            yield pd.DataFrame({"first": [k], "g": [total[k:k + SLICE].tobytes()]})
+
+    def based(y: pd.DataFrame) -> DataFrame:
+        """The rows with their basis; one task, as their number is bounded."""
+        q = spark.createDataFrame(basis(y), "key long, item boolean, q binary")
+        return rows.join(F.broadcast(q), ["key", "item"]).select("key", "item", "idx", "val", "q").coalesce(1)
 
     def basis(y: pd.DataFrame) -> pd.DataFrame:
         y = y.sort_values(["item", "key"], kind="stable").drop_duplicates(["item", "key"])
-        q, _ = np.linalg.qr(np.stack(y["y"].to_numpy()))
+        q, _ = np.linalg.qr(np.stack([np.frombuffer(x) for x in y["y"]]))
         q = np.pad(q, ((0, 0), (0, wide - q.shape[1])))
-        return pd.DataFrame({"key": y["key"].to_numpy(), "item": y["item"].to_numpy(), "q": list(q)})
-
-    rng = np.random.default_rng(5)
-    g = np.empty((size, wide), np.float32)
-    for k in range(0, size, SLICE):
-        g[k:k + SLICE] = rng.standard_normal((min(SLICE, size - k), wide))
-    for _ in range(2):
-        g = transposed(basis(times(g)))
-    gram = np.zeros((wide, wide))
+        return pd.DataFrame({"key": y["key"].to_numpy(), "item": y["item"].to_numpy(), "q": [x.tobytes() for x in q]})
+
+    made = "key long, item boolean, y binary"
+    y = rows.mapInPandas(sketch, made).toPandas()
+    y = based(y).mapInPandas(power, made).toPandas()
+    # a slice a file, so that few are on their way to the driver at once
+    parts = stored(based(y).mapInPandas(slices, "first long, g binary").repartition(-(-size // SLICE)), "lsa-space")
+    gram, g = np.zeros((wide, wide)), np.empty((size, wide), np.float32)
+    for r in parts.toLocalIterator():
+        part = np.frombuffer(r["g"], np.float32).reshape(-1, wide)
+        g[r["first"]:r["first"] + len(part)] = part
     for k in range(0, size, SLICE):
         part = g[k:k + SLICE].astype(np.float64)
         gram += part.T @ part
     u, s, _ = np.linalg.svd(gram)
     keep = min(cfg.rank, int((s > 1e-9 * max(s[0], 1e-30)).sum()))
-    return g @ (u[:, :keep] / np.sqrt(s[:keep])).astype(np.float32)
+    turn = (u[:, :keep] / np.sqrt(s[:keep])).astype(np.float32)
+    for k in range(0, size, SLICE):
+        g[k:k + SLICE, :keep] = g[k:k + SLICE] @ turn
+    return g[:, :keep]
 
 
 def subsequence(a: list[int], b: list[int]) -> int:
@@ -286,11 +294,7 @@ class Index:
                 place = np.arange(len(h)) - ends[text]
                 at = np.flatnonzero(place % cfg.block == 0)
                 b = _bucket(h, cfg.bits)
-                sums = np.empty((len(at), self.words.shape[1]), np.float32)
-                step = 4096  # blocks at a time, so that the gathered rows stay in the cache
-                for k in range(0, len(at), step):
-                    lo, hi = at[k], at[k + step] if k + step < len(at) else len(h)
-                    sums[k:k + step] = np.add.reduceat(self.words[b[lo:hi]], at[k:k + step] - lo, axis=0)
+                sums = self._sums(b, at)
                 norm = np.add.reduceat(self.weights[b], at)
                 owner = text[at]
                 pair = np.flatnonzero(owner[1:] == owner[:-1])
@@ -300,8 +304,25 @@ class Index:
                 yield from self._confirmed(sums, at, owner, h, ends, base)
             base += len(group)
 
+    def _sums(self, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The latent rows of the words, summed over the blocks that begin at ``at``."""
+        size = np.diff(at, append=len(b))
+        out = self.words[b[at]]
+        step = 1024  # blocks at a time, so that the rows stay in the cache
+        buffer = np.empty((step, out.shape[1]), out.dtype)
+        for lo in range(0, len(at), step):
+            part, first, n = out[lo:lo + step], at[lo:lo + step], size[lo:lo + step]
+            for k in range(1, n.max()):
+                if n.min() > k:
+                    part += np.take(self.words, b[first + k], axis=0, out=buffer[:len(part)], mode="clip")
+                else:
+                    has = np.flatnonzero(n > k)
+                    part[has] += self.words[b[first[has] + k]]
+        return out
+
     def _confirmed(self, sums, at, owner, h, ends, base):
         cfg, done = self.cfg, {}
+        least = min(cfg.overlap, cfg.paraphrase)  # no leak has a smaller share
         for q in range(0, len(self.items), 512):
             for k in range(0, len(sums), 8192):
                 part, items = sums[k:k + 8192], self.queries[q:q + 512]
@@ -319,10 +340,13 @@ class Index:
                     own = self.items[key[1]][1]
                     lo, hi = ends[key[0]], ends[key[0] + 1]
                     near = h[max(lo, at[k + w] - len(own)):min(hi, at[k + w] + 2 * cfg.block + len(own))].tolist()
-                    tail = own[-max(3, len(own) // 4):]
-                    share, answer = subsequence(own, near) / len(own), subsequence(tail, near) / len(tail)
-                    if not found or share > found[1]:
-                        done[key] = (float(cosine), share, answer)
+                    here = set(near)
+                    if sum(x in here for x in own) / len(own) < least:
+                        continue  # in whatever order
+                    share = subsequence(own, near) / len(own)
+                    if share >= least and (not found or share > found[1]):
+                        tail = own[-max(3, len(own) // 4):]
+                        done[key] = (float(cosine), share, subsequence(tail, near) / len(tail))
         for (t, i), (cosine, share, answer) in sorted(done.items()):
             if share >= cfg.overlap or share >= cfg.paraphrase and answer >= cfg.answer:
                 yield base + t, self.items[i][0], cosine, share, answer

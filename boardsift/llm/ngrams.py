@@ -96,6 +96,47 @@ def tokens(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[keep], shape[keep], text[keep]
 
 
+def _values() -> np.ndarray:
+    """What a code point up to U+FFFF adds to a hash, before its place counts."""
+    points = np.arange(0x10000, dtype=np.uint64)
+    return (points + np.where((_CLASS == 3) & (points < 0x180), np.uint64(32), np.uint64(0)) + np.uint64(1)) * _MIX
+
+
+_VALUE = _values()
+_IN_WORD = (_CLASS != 0) & (_CLASS != 5)
+#: By the place in a token, as far as most tokens go.
+_PLACE = np.cumprod(np.full(256, _BASE, np.uint64), dtype=np.uint64) + np.arange(256, dtype=np.uint64)
+
+
+def words(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of each run of letters and digits: those of ``tokens``, without other marks."""
+    if not len(points):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    plane = points.max() < 0x10000
+    inside = _IN_WORD[points if plane else np.minimum(points, 0xFFFF)]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    text_starts = starts[:-1][starts[:-1] < len(points)]
+    first[text_starts] = inside[text_starts]
+    begin = np.flatnonzero(first)
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.flatnonzero(inside)  # marks and white space are left out
+    length = np.diff(np.searchsorted(at, begin), append=len(at))
+    place = np.arange(len(at), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
+    value = _VALUE[points[at]] if plane else _value(points[at])
+    if length.max() <= 256:
+        value *= _PLACE[place]
+    else:
+        value *= _PLACE[place & 255] + (place & ~255).astype(np.uint64)
+    h = mixed(np.add.reduceat(value, np.cumsum(length) - length))
+    return h, np.searchsorted(starts, begin, side="right") - 1
+
+
+def _value(points: np.ndarray) -> np.ndarray:
+    return np.where(points < 0x10000, _VALUE[np.minimum(points, 0xFFFF)], (points.astype(np.uint64) + np.uint64(1)) * _MIX)
+
+
 def windows(h: np.ndarray, text: np.ndarray, order: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of each run of ``order`` tokens inside one text."""
     n = len(h) - order + 1

@@ -617,6 +617,53 @@ def test_latent_space_is_the_leading_one(spark):
     assert np.allclose(np.linalg.svd(true.T @ v)[1], 1, atol=1e-3)
 
 
+def test_products_over_all_buckets_stay_in_tasks(spark, monkeypatch):
+    """The driver sends no matrix of all buckets and gets the space alone."""
+    np = decontam.np
+    cfg = decontam.Settings(bits=10, rank=4, oversample=4)
+    sent = []
+    kind = type(spark.sparkContext)
+    monkeypatch.setattr(kind, "broadcast", lambda self, x, f=kind.broadcast: (sent.append(x), f(self, x))[1])
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, False, list(range(1024)), rng.standard_normal(1024).tolist()) for k in range(9)],
+                                 "key bigint, item boolean, idx array<int>, val array<double>")
+    v = decontam.latent_space(rows, cfg)
+    assert v.shape == (1024, 4) and np.allclose(v.T @ v, np.eye(4), atol=1e-4)
+    assert not [x for x in sent if isinstance(x, np.ndarray)]
+
+
+def test_words_are_the_tokens_of_letters_and_digits():
+    np, ngrams = decontam.np, decontam.ngrams
+    texts = ["", " ", "a", "Ab1 É😀x 𝒳𝒴z日本 語", "a" * 700 + " b" * 3, "!!x", "y", "", "ŻŹ ŸÿĀā ƀ", "12 !a!b", "\ud800a b"]
+    for some in (texts, texts[:3], ["!!"], [], texts[4:], ["x" * 256 + " " + "x" * 257]):
+        h, shape, text = ngrams.tokens(*ngrams.code_points(some))
+        got = ngrams.words(*ngrams.code_points(some))
+        assert np.array_equal(got[0], h[shape < 16]) and np.array_equal(got[1], text[shape < 16])
+
+
+def test_block_sums():
+    np = decontam.np
+    rng = np.random.default_rng(6)
+    index = decontam.Index(rng.standard_normal((64, 5)).astype(np.float32), np.ones(64), [], np.zeros((0, 5)), decontam.Settings())
+    at = np.cumsum([0] + rng.integers(1, 17, 2500).tolist())
+    b = rng.integers(0, 64, at[-1] + 3)
+    assert np.allclose(index._sums(b, at), np.add.reduceat(index.words[b], at, axis=0), atol=1e-4)
+
+
+def test_only_passages_with_enough_of_the_item_are_compared_in_order(monkeypatch):
+    """A near passage that lacks the item's words is dropped before the long comparison, a leak is not."""
+    np = decontam.np
+    calls = []
+    monkeypatch.setattr(decontam, "subsequence", lambda a, b, f=decontam.subsequence: (calls.append(1), f(a, b))[1])
+    own = decontam.word_hashes(["p q r s t u v w x y"])[0].tolist()
+    words = np.zeros((1 << 16, 2), np.float32)
+    words[:, 0] = 1
+    index = decontam.Index(words, np.ones(1 << 16, np.float32), [(7, own)], np.array([[1.0, 0]], np.float32), decontam.Settings())
+    assert list(index.search(["p q r s a b c d e f", "a b c d e f"])) == [] and not calls
+    (found,) = index.search(["a b p q r s t u v w x y"])
+    assert found[:2] == (0, 7) and found[3:] == (1.0, 1.0) and calls
+
+
 # ------------------------------------------------------------ BPE
 
 WORDS = [None, "", "Hello world's  end\n\n  x   y 12345 ÀÉ😀😀 don't", "a" * 600, "   ", "\ttab\r\n", "日本語 𝒳𝒴 ²½",
