@@ -305,19 +305,36 @@ class Index:
             base += len(group)
 
     def _sums(self, b: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The latent rows of the words, summed over the blocks that begin at ``at``."""
+        """The latent rows of the words, summed over the blocks that begin at ``at``, in the order of ``reduceat``."""
+        out = np.empty((len(at), self.words.shape[1]), self.words.dtype)
         size = np.diff(at, append=len(b))
-        out = self.words[b[at]]
+        whole = size == 16  # what follows is for blocks of 16 words, the others are left to ``reduceat``
         step = 1024  # blocks at a time, so that the rows stay in the cache
-        buffer = np.empty((step, out.shape[1]), out.dtype)
-        for lo in range(0, len(at), step):
-            part, first, n = out[lo:lo + step], at[lo:lo + step], size[lo:lo + step]
-            for k in range(1, n.max()):
-                if n.min() > k:
-                    part += np.take(self.words, b[first + k], axis=0, out=buffer[:len(part)], mode="clip")
-                else:
-                    has = np.flatnonzero(n > k)
-                    part[has] += self.words[b[first[has] + k]]
+        buffers = np.empty((4, step, out.shape[1]), out.dtype)
+        full = np.flatnonzero(whole)
+        for lo in range(0, len(full), step):
+            place = at[full[lo:lo + step]]
+            total, two, three, row = buffers[:, :len(place)]
+
+            def rows(k: int, to: np.ndarray) -> np.ndarray:
+                return np.take(self.words, b[place + k], axis=0, out=to, mode="clip")
+
+            def four(k: int, to: np.ndarray, other: np.ndarray) -> np.ndarray:
+                np.add(rows(k, to), rows(k + 1, row), out=to)
+                np.add(rows(k + 2, other), rows(k + 3, row), out=other)
+                return np.add(to, other, out=to)
+
+            np.add(four(1, total, two), four(5, two, three), out=total)
+            for k in range(9, 16):
+                total += rows(k, row)
+            out[full[lo:lo + step]] = rows(0, row) + total
+        for lo in range(0, len(at), 1 << 16):
+            rest = lo + np.flatnonzero(~whole[lo:lo + (1 << 16)])
+            if len(rest):
+                n = size[rest]
+                begin = np.cumsum(n) - n
+                words = np.repeat(at[rest] - begin, n) + np.arange(n.sum())
+                out[rest] = np.add.reduceat(self.words[b[words]], begin, axis=0)
         return out
 
     def _confirmed(self, sums, at, owner, h, ends, base):
