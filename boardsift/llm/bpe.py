@@ -1,17 +1,17 @@
-"""Byte-level BPE: merges folded in Spark expressions, applied to whole texts from a bounded dictionary.
+"""Byte-level BPE: ranked merges folded once for frequent words, beside its text for any other word.
 
-The ranked merges of a word are a fold over its byte array: bytes become ids, each step takes the
-leftmost pair of neighbours of the lowest rank and puts the id of the merged piece in its place,
-and only the ranks of the two pairs beside it are looked up anew, in a literal rank map.
+The ranked merges of a word are a fold over its bytes: each step joins the leftmost pair of
+neighbours of the lowest rank, and only the ranks of the two pairs beside it are looked up anew.
 
 1. Words are counted over all texts.  The ``words`` most frequent ones of at most ``LONGEST`` bytes
-   are folded once; their ids are a dictionary of bounded size, broadcast to Python workers.
-2. Each text is cut by the tokenizer's pattern; words of the dictionary get their ids, and the text's
-   other words, each once, go to the fold beside the text.  Such words recur in few other texts
+   are folded once, in Spark expressions; their ids are a dictionary of bounded size, broadcast to Python workers.
+2. Arrow tasks cut each text by the tokenizer's pattern; words of the dictionary get their ids, and the text's
+   other words, each once, are folded there.  Such words recur in few other texts
    (1.5 texts each on 0.1 GB), and no text is shuffled for them.
-3. The two are put together, and decoding concatenates the binary pieces of the ids.
+3. The same tasks decode: the binary pieces of the ids are concatenated.
 
-The rank map is an array of small maps that the two ids of a pair address, since a map is searched
+So a task of step 2 needs one Python worker, and its plan holds no literal.  In step 1 bytes become ids, and the ids of a
+pair are looked up in a literal rank map: an array of small maps that the two ids address, since a map is searched
 entry by entry.  It enters the plan as a session variable that is dropped once the plan holds it.
 
 Nulls: a null text is empty and has no ids.  Repeated rows give repeated results.  Texts are read
@@ -128,7 +128,7 @@ class Codec:
     def __init__(self, spark: SparkSession, path: str, words: int = WORDS) -> None:
         self.spark, self.words = spark, words
         rank = dict(read_ranks(path))
-        self.vocab = {str(r): piece for piece, r in rank.items()}
+        self.rank = rank
         self.bytes = f"array({', '.join(str(rank[bytes([b])]) for b in range(256))})"
         # every way to make a piece of two pieces
         pairs, made = array("q"), array("i")
@@ -183,54 +183,48 @@ class Codec:
         Columns of ``docs`` with one of these three names are replaced, all others are kept, whatever their names.
         """
         df = docs.drop("n_tokens", "ids", "decoded")
-        own = {c: f"_bpe_own_{i}" for i, c in enumerate(df.columns) if c in ("_found", "_folded", "_code")}
+        own = {c: f"_bpe_own_{i}" for i, c in enumerate(df.columns) if c == "_code"}
         known = self.spark.sparkContext.broadcast(Words(self.dictionary(docs)))
-        vocab = self.spark.sparkContext.broadcast(self.vocab)
-        df = df.withColumnsRenamed(own).withColumn("_found", _look_up(known)("text"))
-        df = self._bind(df, "_folded", f"array_join(transform(_found.others, x -> {IDS.replace('WORD', 'x')}), '?')")
-        df = df.withColumn("_code", _put_together(vocab)("_found.ids", "_folded"))
-        return df.select("*", "_code.*").drop("_found", "_folded", "_code").withColumnsRenamed(
-            {v: k for k, v in own.items()})
-
-
-def _look_up(known: Broadcast):
-    """The ids of each text, ``?k`` in place of its k-th word that the dictionary lacks, and these words."""
-    made = pa.struct([("ids", pa.string()), ("others", pa.list_(pa.string()))])
+        rank = self.spark.sparkContext.broadcast(self.rank)
+        df = df.withColumnsRenamed(own).withColumn("_code", _encode(known, rank)("text"))
+        return df.select("*", "_code.*").drop("_code").withColumnsRenamed({v: k for k, v in own.items()})
+
+
+def folded(word: bytes, rank: dict[bytes, int], none: int) -> list[int]:
+    """The ids of a word: the fold of its ranked merges; ``none`` is above any rank."""
+    pieces = [word[i:i + 1] for i in range(len(word))]
+    ranks = [rank.get(a + b, none) for a, b in zip(pieces, pieces[1:])]
+    while ranks and (low := min(ranks)) < none:
+        i = ranks.index(low)
+        pieces[i:i + 2] = [pieces[i] + pieces[i + 1]]
+        del ranks[i]
+        if i < len(ranks):
+            ranks[i] = rank.get(pieces[i] + pieces[i + 1], none)
+        if i:
+            ranks[i - 1] = rank.get(pieces[i - 1] + pieces[i], none)
+    return [rank[p] for p in pieces]
+
+
+def _encode(known: Broadcast, rank: Broadcast):
+    """Ids of each text, from the dictionary or else by the fold, their number and what they decode to."""
+    made = pa.struct([("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
 
-    @F.arrow_udf("ids string, others array<string>")
+    @F.arrow_udf("n_tokens long, ids string, decoded string")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        find, get = splitter(), known.value.get
+        find, get, ranks = splitter(), known.value.get, rank.value
+        none = max(ranks.values()) + 1
+        piece = {str(r): p for p, r in ranks.items()}.__getitem__
         for batch in texts:
             for at in range(0, len(batch), TEXTS):
                 rows = []
                 for text in batch.slice(at, TEXTS):
-                    others: dict[str, str] = {}
-                    ids = [get(w) or others.setdefault(w, f"?{len(others)}") for w in find(text.as_py() or "")]
-                    rows.append((" ".join(ids), list(others)))
-                yield pa.array(rows, made)
-
-    return run
-
-
-def _put_together(vocab: Broadcast):
-    """Puts folded words in their places, counts the ids and decodes them."""
-    made = pa.struct([("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
-
-    @F.arrow_udf("n_tokens long, ids string, decoded string")
-    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        piece = vocab.value.__getitem__
-        for found, folded in columns:
-            for at in range(0, len(found), TEXTS):
-                rows = []
-                for text, codes in zip(found.slice(at, TEXTS), folded.slice(at, TEXTS)):
-                    ids, other = text.as_py(), codes.as_py()
-                    if other:
-                        other = other.split("?")
-                        first, *rest = ids.split("?")
-                        for k, part in enumerate(rest):
-                            n, gap, after = part.partition(" ")
-                            rest[k] = other[int(n)] + gap + after
-                        ids = first + "".join(rest)
+                    words = find(text.as_py() or "")
+                    found = list(map(get, words))
+                    if None in found:
+                        others = {w for w, ids in zip(words, found) if ids is None}
+                        others = {w: " ".join(map(str, folded(w.encode(), ranks, none))) for w in others}
+                        found = [ids or others[w] for w, ids in zip(words, found)]
+                    ids = " ".join(found)
                     each = ids.split()
                     rows.append((len(each), ids, b"".join(map(piece, each)).decode("utf-8")))
                 yield pa.array(rows, made)

@@ -684,6 +684,21 @@ def test_bpe_equals_library(spark, words):
         assert codec.encoded(docs(spark, []).limit(0)).count() == 0
 
 
+def test_fold_equals_library():
+    ranks = dict(bpe.read_ranks(bpe.default_path()))
+    known = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    none = max(ranks.values()) + 1
+    words = [w for k in range(300) for w in bpe.splitter()(f"x{prose(k, 3)} {'aäbß日'[k % 5] * k}{k ** 9} \x00\x7f{'ab' * (k % 40)}")]
+    assert [bpe.folded(w.encode(), ranks, none) for w in words] == [
+        known.encode_ordinary(w) for w in words]
+
+
+def test_encoding_needs_one_python_step(spark):
+    """Words outside the dictionary took a second one, and a rank map in the plan of every task."""
+    plan = bpe.Codec(spark, bpe.default_path(), 3).encoded(docs(spark, list(enumerate(WORDS))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan
+
+
 def test_encoding_keeps_columns_of_any_name(spark):
     table = spark.createDataFrame([(1, "one two", "p", "c", "old", "x")], "doc_id int, text string, _p string, _code string, ids string, own string")
     out = bpe.Codec(spark, bpe.default_path()).encoded(table)
