@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm import ngrams
-from boardsift.llm.common import stored, table
+from boardsift.llm.common import small_batches, stored, table
 
 #: Ids of leaking documents are sent to all tasks up to this many, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -412,7 +412,9 @@ LEAK = "doc_id long, item_id long, cosine double, overlap double, answer double"
 def leaks(docs: DataFrame, benchmark: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, cosine, overlap, answer): one row for each pair, the best passages'."""
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    found = [_searched(docs, index) for index in build(docs, benchmark, cfg)]
+    with small_batches(docs.sparkSession):
+        indexes = build(docs, benchmark, cfg)
+    found = [_searched(docs, index) for index in indexes]
     if not found:
         return docs.sparkSession.createDataFrame([], LEAK)
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(
@@ -433,7 +435,8 @@ def _searched(docs: DataFrame, index: Index) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """The documents without a leak, with their own columns; a null doc_id stays."""
-    bad = stored(leaks(docs, benchmark, cfg).select("doc_id").distinct(), "leaking")
+    with small_batches(docs.sparkSession):
+        bad = stored(leaks(docs, benchmark, cfg).select("doc_id").distinct(), "leaking")
     return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, "doc_id", "left_anti").select(
         *docs.columns)
 

@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardsift.llm import ngrams
-from boardsift.llm.common import stored, table
+from boardsift.llm.common import small_batches, stored, table
 
 #: Id lists are sent to all tasks up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Buckets of a piece of the shingles' frequencies, and groups that tasks are dealt to for adding them.
 PIECE = 4096
 SALTS = 64
+#: Code points that are hashed at once; several 64-bit numbers are held for each.
+RUN = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     """The sorted different shingle hashes of each text; A-Z count as a-z."""
     power = np.cumprod(np.full(256, 0x100000001B3, np.uint64), dtype=np.uint64)
-    for run in ngrams.groups([t or "" for t in texts]):
+    for run in ngrams.groups((t or "" for t in texts), RUN):
         raw = [t.encode("utf-8", "surrogatepass") for t in run]
         data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         starts = np.cumsum([0] + [len(r) + 1 for r in raw])
@@ -394,7 +396,11 @@ def components(edges: DataFrame, a: str = "ca", b: str = "cb") -> DataFrame:
 
 def join(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    with small_batches(docs.sparkSession):  # every step with Python is stored
+        return _joined(docs.select("doc_id", "text"), cfg)
+
+
+def _joined(docs: DataFrame, cfg: Settings) -> DataFrame:
     sig = ["n", "s1", "s2"]
     rows = profiles(docs, shingle_frequencies(docs, cfg), cfg).withColumn("class", F.xxhash64(*sig))
     real = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))

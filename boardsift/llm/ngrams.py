@@ -17,12 +17,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 
 
-def groups(texts: Iterable[str]) -> Iterator[list[str]]:
-    """Runs of texts of about ``GROUP`` code points."""
+def groups(texts: Iterable[str], most: int = GROUP) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` code points."""
     run: list[str] = []
     size = 0
     for t in texts:
-        if run and size + len(t) > GROUP:
+        if run and size + len(t) > most:
             yield run
             run, size = [], 0
         run.append(t)

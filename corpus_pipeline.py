@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm import bpe, decontam, jaccard, pii, rules
-from boardsift.llm.common import table
+from boardsift.llm.common import small_batches, stored, table
 from boardsift.session import fresh_path
 
 
@@ -34,6 +34,8 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids)."""
     out = bpe.Codec(spark, bpe.default_path()).encoded(docs.select("doc_id", "lang", "source", "text"))
+    with small_batches(spark):
+        out = stored(out.select("doc_id", "lang", "source", "n_tokens", "ids"), "encoded")
     ids = F.when(F.col("n_tokens") > 0, F.split("ids", " ").cast("array<int>")).otherwise(
         F.array().cast("array<int>"))
     return out.select("doc_id", "lang", "source", "n_tokens", ids.alias("ids"))

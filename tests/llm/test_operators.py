@@ -9,7 +9,9 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from boardsift import session
 from boardsift.llm import bpe, chat, common, decontam, html, jaccard, language, ngrams, pii, quality, rules, secrets
 from boardsift.llm import spans as sp
 
@@ -518,6 +520,45 @@ def test_jaccard_empty_table_and_one_of_each(spark):
     assert sorted(str(r.doc_id) for r in jaccard.one_of_each(table).collect()) == ["1", "2", "None"]
 
 
+def test_jaccard_workers_hold_few_texts(spark, monkeypatch):
+    """What a worker holds at once does not grow with the rows of a partition."""
+    sets = jaccard.shingle_sets
+
+    def watched(texts, words):
+        assert sum(map(len, texts)) < 4 << 20
+        return sets(texts, words)
+
+    monkeypatch.setattr(jaccard, "shingle_sets", watched)
+    words = F.transform(F.sequence(F.lit(1), F.lit(600)), lambda k: F.xxhash64("id", k).cast("string"))
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    got = jaccard.join(rows.union(rows.limit(1).select(F.lit(5000), "text")))
+    assert got.filter("doc_id = component_id").count() == 1000 and got.count() == 1001
+
+
+def test_small_batches_in_the_stages(spark, monkeypatch):
+    """Stages with Python bound its batches while they run, and leave the session as it was."""
+    import corpus_pipeline
+    key, bounds = "spark.sql.execution.arrow.maxBytesPerBatch", []
+
+    def watched(df, name):
+        if re.search("Python|Pandas", df._jdf.queryExecution().toString()):
+            bounds.append(spark.conf.get(key, None))
+        return common.stored(df, name)
+
+    for module in (decontam, jaccard, corpus_pipeline):
+        monkeypatch.setattr(module, "stored", watched)
+    rows = docs(spark, [(k, prose(k, 90)) for k in range(6)]).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    benchmark = spark.createDataFrame([(k, prose(1000 + k, 30)) for k in range(6)], "item_id bigint, text string")
+    for own in (None, "1m"):
+        with session.settings(spark, {key: own} if own else {}):
+            left = decontam.clean(jaccard.one_of_each(rows), benchmark)
+            out = corpus_pipeline.encoded(spark, left, "")
+            assert spark.conf.get(key, None) == own
+        assert out.count() == 6 and "Python" not in out._jdf.queryExecution().toString()
+        assert len(bounds) > 3 and set(bounds) == {own or session.BATCH_BYTES}
+        bounds.clear()
+
+
 def test_prefix_tree_equals_pairs():
     np = jaccard.np
     rng = np.random.default_rng(3)
